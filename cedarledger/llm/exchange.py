@@ -29,10 +29,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def by_bucket(df: DataFrame, key: str = "bucket", *order: str) -> DataFrame:
-    """Deal rows out by key; with order, each task streams its rows sorted by key and order."""
-    out = df.repartition(partitions(df.sparkSession), key)
-    return out.sortWithinPartitions(key, *order) if order else out
+def by_bucket(df: DataFrame, key: str = "bucket") -> DataFrame:
+    """Deal rows out by key."""
+    return df.repartition(partitions(df.sparkSession), key)
+
+
+def together(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by key, so that each task streams the rows of a key one after another."""
+    return by_bucket(df, key).sortWithinPartitions(key)
 
 
 def next_row_ids():
@@ -57,3 +61,16 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 def text_key():
     """Tells apart rows that share a doc_id but not their text."""
     return F.xxhash64(F.col("text"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept where all executors read it: the folder that the session names in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:  # tests and single machines
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

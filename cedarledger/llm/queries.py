@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, decontam, langid, line_dedup, minhash, pii, quality, substring_dedup, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.judged(found).drop("text_key")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_docs(spark, sf_dir)))
 
@@ -19,8 +24,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(_docs(spark, sf_dir)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return line_dedup.digests(line_dedup.apply(docs, line_dedup.keep_bitmaps(docs)))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return substring_dedup.digests(substring_dedup.remove(docs, substring_dedup.repeats(docs)))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(_docs(spark, sf_dir)))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_docs(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_bpe, op4_token_counts)}
+    return {f.__name__: f for f in (op2_decontamination, op3_bpe, op4_token_counts, op5_line_dedup, op6_substring_dedup, op7_minhash, op8_pii, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import load, vocabulary
-from .exchange import by_bucket, documents, next_row_ids, pack, partitions, unpack
+from .exchange import by_bucket, documents, next_row_ids, pack, partitions, together, unpack
 
 PACKED = "bucket int, chunk long, words binary, spread binary, docs binary, freqs binary, doc_ids array<long>, n_bytes array<long>"
 PARTIAL = "chunk long, sums binary, doc_ids array<long>, n_bytes array<long>"
@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | N
 
     packed = documents(docs, "doc_id", "text").mapInArrow(spread, PACKED)
     partial = by_bucket(packed).mapInArrow(count, PARTIAL)
-    return by_bucket(partial, "chunk", "doc_ids").mapInArrow(gather, RESULT)
+    return together(partial, "chunk").mapInArrow(gather, RESULT)
 
 
 def gather(batches):
