@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, line_dedup, minhash, pii, quality, substring_dedup, token_counts
+from . import bpe, decontam, langid, line_dedup, lm, minhash, pii, quality, substring_dedup, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_docs(spark, sf_dir))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontam.judged(found).drop("text_key")
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_decontamination, op3_bpe, op4_token_counts, op5_line_dedup, op6_substring_dedup, op7_minhash, op8_pii, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_score, op2_decontamination, op3_bpe, op4_token_counts, op5_line_dedup, op6_substring_dedup, op7_minhash, op8_pii, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
