@@ -25,6 +25,8 @@ WINDOW = 16
 CHUNK_MASK = 0x1FF
 CACHE_BYTES = 48 << 20
 SPACES = b" \t\n\x0b\x0c\r"
+# A punctuation mark after an ASCII letter is a pre-token of its own; the apostrophe is not, as it may begin a contraction.
+CLOSING, LETTERS = b".,;:!?|", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def vocabulary(name: str = "word_bpe_49k.json", path: str | None = None) -> str:
@@ -71,19 +73,30 @@ def cuts(data: bytes, table: np.ndarray, mask: int = CHUNK_MASK) -> list[int]:
 class Words(dict):
     """Ids (packed) and decoded form of a word, by its bytes."""
 
-    def __init__(self, tokenizer, most: int = 500_000):
+    def __init__(self, tokenizer, most: int = 800_000):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
         self.shown = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: bytes):
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        value = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.shown[i] for i in ids]))
+        """White-space-free word: what only differs in case or by closing punctuation is put together from what is known."""
+        last = word[-1]
+        if last in CLOSING and len(word) > 1 and word[-2] in LETTERS:
+            core, end = self[word[:-1]], self[word[-1:]]
+            value = (core[0] + end[0], f"{core[1]} {end[1]}")
+        elif word.isascii() and not word.islower() and word.isalpha():
+            value = self[word.lower()]
+        else:
+            value = self._encoded(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = value
         return value
 
+    def _encoded(self, word: bytes):
+        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.shown[i] for i in ids])
+
 
 class Encoder:
     """Encodes whole texts; decode() gives what the library's decode gives for a vocabulary without a decoder."""

@@ -186,3 +186,15 @@ def apply(docs: DataFrame, bitmaps: DataFrame, *carry: str) -> DataFrame:
 
 def digests(applied: DataFrame) -> DataFrame:
     return applied.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def deduplicated(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The documents with all their columns, text without its dropped lines, n_chars (if there is one) the new length. A text that loses nothing stays as it is."""
+    rest = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])).select("doc_id", "text", "_row")
+    out = apply(rest, bitmaps, "_row", "text")
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    columns = []
+    for c in docs.columns:
+        new = text if c == "text" else F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c]) if c == "n_chars" else F.col("_row")[c]
+        columns.append(new.alias(c))
+    return out.select(*columns)

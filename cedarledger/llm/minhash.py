@@ -209,3 +209,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("component") == LOWEST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those of which a near-duplicate with a smaller doc_id stays. All rows of a doc_id that stays, stay."""
+    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
