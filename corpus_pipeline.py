@@ -1,18 +1,44 @@
-"""A corpus pipeline: each stage takes what its predecessor kept and returns documents; the last returns token ids."""
+"""A corpus pipeline: each stage takes what its predecessor kept and returns documents; the last returns digests of token ids.
+
+Order: quality rules, line deduplication, near-duplicates (the document with the least doc_id of each group stays), benchmark
+decontamination (contaminated documents go), BPE encoding and decoding.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cedarledger.llm import bpe
+from cedarledger.llm import bpe, decontam, line_dedup, minhash, quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(docs, line_dedup.keep_bitmaps(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.first_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each remaining document, as digests."""
     return bpe.digests(bpe.encode_decode(docs))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("quality", quality_rules),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("bpe", encode),
+]
+#: SQL can't express the importance scores, the components or the encoding; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
