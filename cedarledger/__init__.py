@@ -1,0 +1 @@
+"""Loan surveillance analytics for commercial mortgage securities, as Spark plans."""
