@@ -214,4 +214,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without those of which a near-duplicate with a smaller doc_id stays. All rows of a doc_id that stays, stay."""
     gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
