@@ -81,7 +81,7 @@ def parsed(documents: DataFrame, text: str = "value") -> DataFrame:
         "cik", "accession_number", "doc_position", *(asset.alias(c) if c == "asset_number" else _leaf(t, n).alias(c) for c, n in S.LOAN_STRINGS.items()), *(any_date(_leaf(t, n)).alias(c) for c, n in S.LOAN_DATES.items()),
         *(_amount(_leaf(t, n)).alias(c) for c, n in S.LOAN_AMOUNTS.items()), F.transform(properties, _property).alias("properties"),
         F.map_filter(F.transform_values("r", lambda k, v: F.trim(v)), lambda k, v: (k != "property") & v.isNotNull() & (v != "")).alias("raw_fields"),
-        F.when(F.col("source").isNotNull(), F.col("source").withField("field_path", path)).otherwise(F.lit(None).cast(S.SOURCE).withField("field_path", path)).alias("source"), F.concat(own, nested).alias("issues"),
+        F.struct(*(path.alias("field_path") if f.name == "field_path" else F.col("source")[f.name].alias(f.name) for f in S.SOURCE)).alias("source"), F.concat(own, nested).alias("issues"),
     )
 
 
