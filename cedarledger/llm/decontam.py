@@ -23,20 +23,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def _hash_at(hashes: Column, at: Column, width: Column) -> Column:
-    return F.xxhash64(F.slice(hashes, at + 1, width))
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _starts(n: Column, width: Column) -> Column:
-    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+def hashes(h: Column, width: int) -> Column:
+    """Hash of every run of width words, from word hashes: runs are made of two overlapping runs of about half the width."""
+    if width == 1:
+        return h
+    half = 1 << (width - 1).bit_length() - 1
+    rest = width - half
+
+    def pair(x: Column) -> Column:
+        n = F.greatest(F.size(x) - rest, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(rest + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    return let(hashes(h, half), pair)
 
 
 def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Distinct windows of the items: width, hash, words, ids of the items that have them."""
     w = items.select(F.col("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     w = w.select("item_id", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.least(F.size("w"), F.lit(width)).alias("width"))
-    each = w.select("item_id", "width", "w", "h", F.explode(_starts(F.size("w"), F.col("width"))).alias("at"))
-    each = each.select("item_id", "width", _hash_at(F.col("h"), F.col("at"), F.col("width")).alias("hash"), F.slice("w", F.col("at") + 1, F.col("width")).alias("words"))
+    of = F.coalesce(*(F.when(F.col("width") == n, hashes(F.col("h"), n)) for n in range(1, width + 1)))
+    each = w.select("item_id", "width", "w", F.posexplode(of).alias("at", "hash"))
+    each = each.select("item_id", "width", "hash", F.slice("w", F.col("at") + 1, F.col("width")).alias("words"))
     return each.groupBy("width", "hash", "words").agg(F.collect_set("item_id").alias("items"))
 
 
@@ -45,19 +57,20 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     table = windows(items, width)
     sizes = {r["width"]: r["n"] for r in table.groupBy("width").agg(F.count("*").alias("n")).collect()}  # width rows at most
     table = table.select(F.col("width").alias("_width"), F.col("hash").alias("_hash"), F.col("words").alias("_words"), F.col("items").alias("_items"))
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
     w = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     w = w.select("row", "doc_id", "text_key", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     widths = sorted(sizes) or [width]
     w = w.withColumn("width", F.lit(widths[0]) if len(widths) == 1 else F.explode(F.array(*map(F.lit, widths))))
-    hashes = F.transform(_starts(F.size("h"), F.col("width")), lambda at: _hash_at(F.col("h"), at, F.col("width")))
-    each = w.select("row", "doc_id", "text_key", "n_words", "w", "width", F.posexplode_outer(hashes).alias("at", "hash"))
-    met = each.join(
-        table,
-        (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")) & (F.slice("w", F.coalesce(F.col("at"), F.lit(0)) + 1, F.col("width")) == F.col("_words")),
-        "left",
-    ).filter(F.col("_items").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
+    of = F.coalesce(*(F.when(F.col("width") == n, hashes(F.col("h"), n)) for n in widths))
+    own = F.slice("w", F.coalesce(F.col("at"), F.lit(0)) + 1, F.col("width"))
+    each = w.select("row", "doc_id", "text_key", "n_words", "w", "width", F.posexplode_outer(of).alias("at", "hash"))
+    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+        table = F.broadcast(table)
+    else:  # rows go through a shuffle: each takes its window along, not its document
+        each = each.withColumn("w", own)
+        own = F.col("w")
+    met = each.join(table, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")) & (own == F.col("_words")), "left")
+    met = met.filter(F.col("_items").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
     span = F.when(F.col("_items").isNotNull(), F.struct(F.col("at").alias("at"), F.col("width").alias("width")))
     return met.groupBy("row", "doc_id", "text_key", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items"))
 
@@ -83,4 +96,4 @@ def judged(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all columns, without the contaminated ones; rows that share doc_id and text share the verdict."""
     bad = judged(find(docs, items)).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
