@@ -8,7 +8,9 @@ their registers, corrected for registers that agree by chance; only pairs far be
 always confirmed on the full sets, by integers.
 
 Equal sets are one class from the start: a class is compared once, however many copies it has. No pairs are listed, and a
-document is compared with a part of its group until one link is found.
+document is compared with a part of its group until one link is found. A group of more than BLOCK members is cut into blocks
+that are resolved apart; every member is then compared with one hub of the whole group, and what still hangs outside the
+group's largest part goes past every block. So no task holds more than a block, and only the rest is compared again.
 
 Null or wordless texts have an empty set, are linked with nothing and stay. Documents of fewer words than a shingle have
 the whole sequence as their one shingle. Repeated rows are copies. A null doc_id counts as smaller than any other and
@@ -32,6 +34,7 @@ BANDS = 16
 MANTISSA = 10
 SURE_SIZE = 256  # smaller sets are compared without an estimate
 MARGIN = 0.35  # pairs estimated further below the threshold are left out: about eight standard deviations
+BLOCK = 4096  # members of a hanging group that one task holds
 LOWEST = -(1 << 63)
 SIGNATURES = "doc_id long, node binary, n_shingles long, registers binary"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -158,12 +161,132 @@ def resolve(sets: list[np.ndarray], regs: np.ndarray, percent: int = PERCENT) ->
     return part
 
 
+MEMBERS = "part binary, node binary, least long, members binary"
+IN_BLOCK = "key binary, part binary, node binary, least long, comp binary, guest boolean, members binary"
+LINKED = "u binary, v binary"
+
+
+def _groups(batches, n: int):
+    """Rows of a key, which lie together, as tuples of n columns; equal nodes (copies of a row) come once."""
+    key, rows = None, {}
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if r[0] != key:
+                if rows:
+                    yield list(rows.values())
+                key, rows = r[0], {}
+            rows[r[2], r[5] if n > 5 else None] = r
+    if rows:
+        yield list(rows.values())
+
+
+def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["u", "v"])
+
+
+def _local(percent: int):
+    """Within a block: each node and the first node of its component there (itself, if it is alone)."""
+
+    def run(batches):
+        for rows in _groups(batches, 5):
+            # largest first: a whole document is a better first partner than a cut one
+            rows.sort(key=lambda r: (-len(r[4]), r[3], r[2]))
+            own = [np.frombuffer(r[4], np.uint64) for r in rows]
+            found = resolve(own, np.array([registers(s) for s in own]), percent).tolist()
+            first: dict[int, bytes] = {}
+            for p, r in zip(found, rows):
+                first.setdefault(p, r[2])
+            yield _edges([(r[2], first[p]) for p, r in zip(found, rows)])
+
+    return run
+
+
+def _past(percent: int):
+    """Guests of a block against its members of other components: one edge for each component that a guest is linked with."""
+
+    def run(batches):
+        for rows in _groups(batches, 7):
+            hosts, guests = [r for r in rows if not r[5]], [r for r in rows if r[5]]
+            if not hosts or not guests:
+                continue
+            own = [np.frombuffer(r[6], np.uint64) for r in hosts]
+            regs, sizes = np.array([registers(s) for s in own]), np.array([len(s) for s in own])
+            numbers = {c: i for i, c in enumerate(dict.fromkeys(r[4] for r in rows))}
+            part = np.array([numbers[r[4]] for r in hosts])
+            out = []
+            for g in guests:
+                s = np.frombuffer(g[6], np.uint64)
+                agree = (regs == registers(s)).sum(1)
+                fit = (part != numbers[g[4]]) & (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s)))
+                fit &= (np.minimum(sizes, len(s)) < SURE_SIZE) | (estimate(agree) >= percent / 100 - MARGIN)
+                found, met = np.flatnonzero(fit), set()
+                for y in found[np.argsort(-agree[found], kind="stable")].tolist():
+                    if part[y] not in met and linked(s, own[y], percent):
+                        met.add(part[y])
+                        out.append((g[4], hosts[y][4]))
+            yield _edges(out)
+
+    return run
+
+
+def _hub_links(percent: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for comp, members, hub_comp, hub in zip(*(c.to_pylist() for c in batch.columns)):
+                if comp != hub_comp and linked(np.frombuffer(members, np.uint64), np.frombuffer(hub, np.uint64), percent):
+                    out.append((comp, hub_comp))
+            yield _edges(out)
+
+    return run
+
+
+def resolve_groups(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """node, component (least doc_id) of the members of hanging groups."""
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).otherwise(0)
+    key = lambda b: F.concat("part", F.encode(b.cast("string"), "UTF-8"))
+    placed = members.join(sizes, "part").select(key(block).alias("key"), "part", "node", "least", "members", "blocks")
+    if sizes.filter("blocks > 1").isEmpty():
+        local = together(placed, "key").select("key", "part", "node", "least", "members").mapInArrow(_local(percent), LINKED)
+        comps = local.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        return _least(parts, comps)
+    placed = stored(placed)
+    local = stored(together(placed, "key").select("key", "part", "node", "least", "members").mapInArrow(_local(percent), LINKED)).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    # of the groups that were cut: one hub each, the first node of the largest component of any block
+    large = placed.filter("blocks > 1").join(local, "node")
+    hubs = large.groupBy("part", "comp").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("comp", F.struct("n", "comp")).alias("hub_comp"))
+    hub_sets = hubs.join(large.select(F.col("node").alias("hub_comp"), F.col("members").alias("hub")).dropDuplicates(["hub_comp"]), "hub_comp")
+    by_hub = large.select("part", "comp", "members").join(hub_sets, "part").select("comp", "members", "hub_comp", "hub").mapInArrow(_hub_links(percent), LINKED).distinct()
+    joined = _joined(local, components(by_hub))
+    # what is still outside its group's hub goes past every block of the group
+    hub_of = _joined(hubs.select("part", F.col("hub_comp").alias("comp")), components(by_hub)).select("part", F.col("comp").alias("main"))
+    now = placed.filter("blocks > 1").join(joined, "node").join(hub_of, "part")
+    hosts = now.select("key", "part", "node", "least", "comp", F.lit(False).alias("guest"), "members")
+    guests = now.filter(F.col("comp") != F.col("main")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(key(F.col("b")).alias("key"), "part", "node", "least", "comp", F.lit(True).alias("guest"), "members")
+    more = together(hosts.unionByName(guests), "key").select("key", "part", "node", "least", "comp", "guest", "members").mapInArrow(_past(percent), LINKED).distinct()
+    return _least(parts, _joined(joined, components(more)))
+
+
+def _joined(local: DataFrame, under: DataFrame) -> DataFrame:
+    """local with its comp replaced by the component that it belongs to."""
+    up = under.select(F.col("u").alias("comp"), F.col("v").alias("_top"))
+    return local.join(up, "comp", "left").select(*[c for c in local.columns if c != "comp"], F.coalesce("_top", "comp").alias("comp"))
+
+
+def _least(parts: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of each node the least doc_id of its component."""
+    own = comps.join(parts.select("node", "least"), "node")
+    least = own.groupBy("comp").agg(F.min("least").alias("component"))
+    return own.select("node", "comp").join(least, "comp").select("node", "component")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the component), kept: one row per input row."""
     own = documents(docs, "doc_id", "text")
     signed = stored(signatures(own, shingle))
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("least"), F.first("registers").alias("registers"))
-    parts = hanging(nodes.select("node", "registers")).join(nodes.select("node", "least"), "node")
+    parts = stored(hanging(nodes.select("node", "registers")).join(nodes.select("node", "least"), "node"))
 
     def sets(batches):
         hashes = WordHashes()
@@ -178,33 +301,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     wanted = parts.select(F.col("least").alias("_id"), "node", "part", "least")
     keyed = own.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), "text")
-    members = keyed.join(wanted.hint("shuffle_hash"), "_id").select("text", "node", "part", "least").mapInArrow(sets, "part binary, node binary, least long, members binary")
-
-    def groups(batches):
-        part, rows = None, {}
-
-        def done():
-            # largest first: a whole document is a better first partner than a cut one; copies of a row collapse
-            order = sorted(rows.values(), key=lambda r: (-len(r[2]), r[1]))
-            own_sets = [np.frombuffer(r[2], np.uint64) for r in order]
-            regs = np.array([registers(s) for s in own_sets])
-            found = resolve(own_sets, regs, percent)
-            least: dict[int, int] = {}
-            for p, r in zip(found.tolist(), order):
-                least[p] = min(r[1], least.get(p, r[1]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in order], pa.binary()), pa.array([least[p] for p in found.tolist()], pa.int64())], ["node", "component"])
-
-        for batch in batches:
-            for p, node, least, members in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
-                    if rows:
-                        yield done()
-                    part, rows = p, {}
-                rows[node] = (node, least, members)
-        if rows:
-            yield done()
-
-    resolved = together(members, "part").mapInArrow(groups, "node binary, component long")
+    members = keyed.join(wanted.hint("shuffle_hash"), "_id").select("text", "node", "part", "least").mapInArrow(sets, MEMBERS)
+    resolved = resolve_groups(members, parts, percent)
     labels = nodes.select("node", "least").join(resolved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
     out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("component") == LOWEST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))

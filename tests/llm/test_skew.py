@@ -59,3 +59,21 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     out = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
+
+
+def test_groups_cut_into_blocks(spark, monkeypatch):
+    """Chains of near-copies whose ends aren't alike, far more than one block holds."""
+    r = random.Random(13)
+    words = sentence(r, 120).split()
+    rows = []
+    for i in range(90):
+        rows.append((i, " ".join(words)))
+        if i % 2 == 0:
+            words[r.randrange(120)] = f"edit{i}"
+    other = sentence(r, 80).split()
+    rows += [(200 + i, " ".join(other[:40] + [f"one{i}"] + other[41:])) for i in range(40)] + [(300 + i, sentence(r, 50)) for i in range(20)]
+    r.shuffle(rows)
+    docs = frame(spark, rows).repartition(5)
+    for block in (7, 30, 10_000):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows))
