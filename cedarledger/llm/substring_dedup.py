@@ -6,7 +6,8 @@ document only go no further. Around each shared anchor the match is extended to
 each such window is identified by its 13 words, and the least doc_id that has it is found. Windows that a smaller doc_id has
 too are merged into maximal repeats, and the words of repeats are removed.
 
-No pairs of documents are made: a group of copies costs its number of windows. Null texts have no words. Rows that share a
+No pairs of documents are made: a group of copies costs its number of windows, and of what a batch of documents shares only
+one goes to the other batches, so a passage that a third of all documents have makes no large bucket. Null texts have no words. Rows that share a
 doc_id are one document, so a window repeated only inside one doc_id stays; equal rows share their result. A null doc_id
 counts as smaller than any other. Extra columns are ignored; an empty table gives no rows.
 """
@@ -65,6 +66,11 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
 
 
+def _split(of: np.ndarray, p: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Documents, and fingerprints of 48 bits."""
+    return pack(of), p.astype(np.uint32).tobytes(), (p >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
 SPREAD = "bucket int, chunk long, docs binary, low binary, high binary, ids array<long>, keys array<long>"
 SPREAD_NAMES, SPREAD_TYPES = ["bucket", "chunk", "docs", "low", "high", "ids", "keys"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
@@ -88,23 +94,32 @@ def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
                 rows = [(chunk % n_buckets, chunk, None, None, None, batch.column(0).slice(start, n).to_pylist(), batch.column(1).slice(start, n).to_pylist())]
                 if prints:
                     p, of = np.concatenate(prints), np.concatenate(of)
+                    # anchors that several documents of the batch have are known to be shared: one of them goes on, for other batches
+                    order = np.argsort(p, kind="stable")
+                    p, of = p[order], of[order]
+                    first = np.concatenate(([True], p[1:] != p[:-1]))
+                    some = ~first
+                    some[:-1] |= ~first[1:]
+                    if some.any():
+                        rows.append((chunk % n_buckets, chunk, *_split(of[some], p[some]), [], []))
+                    p, of = p[first], of[first]
                     order = np.argsort((p % np.uint64(n_buckets)).astype(np.int32), kind="stable")
                     p, of = p[order], of[order]
                     ends = np.searchsorted((p % np.uint64(n_buckets)).astype(np.int32), np.arange(n_buckets + 1))
                     for b in range(n_buckets):
                         lo, hi = ends[b], ends[b + 1]
                         if lo < hi:
-                            rows.append((b, chunk, pack(of[lo:hi]), p[lo:hi].astype(np.uint32).tobytes(), (p[lo:hi] >> np.uint64(32)).astype(np.uint16).tobytes(), None, None))
+                            rows.append((b, chunk, *_split(of[lo:hi], p[lo:hi]), None, None))
                 yield _rows(rows, SPREAD_NAMES, SPREAD_TYPES)
 
     def meet(batches):
-        """All rows of a partition: passes document lists on and answers with the anchors that two rows' documents, or two of a row's, have."""
+        """All rows of a partition, one for each batch and bucket: passes on what is known and answers with the anchors that two batches have."""
         held = []
         for batch in batches:
             lists = []
             for r in batch.to_pylist():
-                if r["ids"] is not None:
-                    lists.append((r["chunk"], None, None, None, r["ids"], r["keys"]))
+                if r["ids"] is not None:  # a document list, or anchors that are known to be shared
+                    lists.append((r["chunk"], r["docs"], r["low"], r["high"], *((r["ids"], r["keys"]) if r["docs"] is None else (None, None))))
                 else:
                     p = np.frombuffer(r["low"], np.uint32).astype(np.uint64) | np.frombuffer(r["high"], np.uint16).astype(np.uint64) << np.uint64(32)
                     held.append((r["chunk"], unpack(r["docs"]), p))
@@ -119,7 +134,7 @@ def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
                     hit = twice[at] == p
                     if hit.any():
                         p, of = p[hit], of[hit]
-                        yield _rows([(chunk, pack(of), p.astype(np.uint32).tobytes(), (p >> np.uint64(32)).astype(np.uint16).tobytes(), None, None)], MEET_NAMES, MEET_TYPES)
+                        yield _rows([(chunk, *_split(of, p), None, None)], MEET_NAMES, MEET_TYPES)
 
     def gather(batches):
         chunk, parts, ids, keys = None, [], None, None
@@ -132,12 +147,12 @@ def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
             order = np.argsort(of, kind="stable")
             of, p = of[order], p[order]
             docs, at = np.unique(of, return_index=True)
-            for i in range(0, len(docs), 500):
+            for i in range(0, len(docs), 500):  # anchors that were found twice come twice
                 part = docs[i : i + 500]
                 split = np.split(p[at[i] :], at[i + 1 : i + len(part)] - at[i]) if len(part) > 1 else [p[at[i] :]]
                 stop = at[i + len(part)] if i + len(part) < len(at) else len(p)
                 split[-1] = p[at[i + len(part) - 1] : stop]
-                yield _rows([(ids[d], keys[d], np.sort(x).tobytes()) for d, x in zip(part.tolist(), split)], ["doc", "text_key", "anchors"], [pa.int64(), pa.int64(), pa.binary()])
+                yield _rows([(ids[d], keys[d], np.unique(x).tobytes()) for d, x in zip(part.tolist(), split)], ["doc", "text_key", "anchors"], [pa.int64(), pa.int64(), pa.binary()])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -190,6 +205,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                 rows = [(chunk % n_buckets, chunk, None, None, None, None, None, doc_ids.tolist(), batch.column(1).slice(start, n).to_pylist())]
                 if keep:
                     of, at, whole, anchor = (np.concatenate(x) for x in zip(*keep))
+                    # a window that a smaller doc_id of this batch has too is decided here; the others' least goes on
+                    order = np.lexsort((doc_ids[of], anchor, whole))
+                    new = np.concatenate(([True], (whole[order[1:]] != whole[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])))
+                    least = doc_ids[of[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
+                    later = np.empty(len(order), bool)
+                    later[order] = doc_ids[of[order]] > least
+                    if later.any():
+                        rows.append((chunk % n_buckets, chunk, None, pack(of[later]), pack(at[later]), None, None, [], []))
+                        of, at, whole, anchor = of[~later], at[~later], whole[~later], anchor[~later]
                     bucket = (mix(anchor) % np.uint64(n_buckets)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
                     ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -205,8 +229,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
         for batch in batches:
             lists = []
             for r in batch.to_pylist():
-                if r["all_ids"] is not None:
-                    lists.append((r["chunk"], None, None, r["all_ids"], r["all_keys"]))
+                if r["all_ids"] is not None:  # a document list, or windows that are decided
+                    lists.append((r["chunk"], r["docs"], r["at"], *((r["all_ids"], r["all_keys"]) if r["docs"] is None else (None, None))))
                 else:
                     ids = np.frombuffer(r["ids"], np.int64)
                     tail = len(r["docs"]) - 4 * len(ids)

@@ -3,6 +3,7 @@
 Pre-tokens are the runs between ASCII white space, at which the tokenizer always splits. Each batch of documents sends
 its distinct pre-tokens, with the documents and frequencies of each, to the bucket of the pre-token; a bucket counts the
 pieces of a pre-token once and answers with sums per document, so what comes back is one number per document and bucket.
+Pre-tokens that many documents have are dealt to another bucket by each batch, so none of them makes one bucket large.
 
 Null texts count as empty: 0 bytes, 0 tokens. One result per input row, repeated rows included; extra columns are
 ignored; an empty table gives no rows.
@@ -25,6 +26,7 @@ PACKED = "bucket int, chunk long, words binary, spread binary, docs binary, freq
 PARTIAL = "chunk long, sums binary, doc_ids array<long>, n_bytes array<long>"
 RESULT = "doc_id long, n_bytes long, n_tokens long"
 BATCH_BYTES = 24 << 20
+OFTEN = 8  # a word in more than one of so many documents of a batch counts as frequent
 
 
 def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[tuple[list, list[bytes]]]:
@@ -56,9 +58,10 @@ def postings(texts_words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, n
     return list(index), *(np.concatenate(x) if x else none for x in (words, docs, freqs))
 
 
-def dealt(words: list[bytes], word_of: np.ndarray, n_buckets: int):
-    """Per bucket that has any: its number, its words, and the postings that belong to them, ordered by word."""
-    bucket = np.fromiter((crc32(w) % n_buckets for w in words), np.int64, len(words))
+def dealt(words: list[bytes], word_of: np.ndarray, n_buckets: int, salt: np.ndarray | None = None):
+    """Per bucket that has any: its number, its words, and the postings that belong to them, ordered by word. Salt, by word, moves a word to another bucket."""
+    bucket = np.fromiter(map(crc32, words), np.int64, len(words))
+    bucket = (bucket if salt is None else bucket + salt) % n_buckets
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
@@ -83,8 +86,10 @@ def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | N
             for keys, texts in slices(batch):
                 chunk = next(ids)
                 words, word_of, doc_of, freq = postings([t.split() for t in texts])
+                # what many documents of the batch have, has many postings in every batch: each batch sends it elsewhere
+                salt = np.where(np.bincount(word_of, minlength=len(words)) * OFTEN > len(texts), crc32(b"%d" % chunk), 0)
                 rows = [(chunk % n_buckets, chunk, None, None, None, None, keys, [len(t) for t in texts])]
-                for b, own, per_word, by in dealt(words, word_of, n_buckets):
+                for b, own, per_word, by in dealt(words, word_of, n_buckets, salt):
                     rows.append((b, chunk, b"\n".join(own), pack(per_word), pack(doc_of[by]), pack(freq[by]), None, None))
                 for i in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), PACKED_TYPES)], PACKED_NAMES)
