@@ -5,6 +5,9 @@ offset. A chunk is encoded once per task and looked up afterwards. A cut may spl
 its first and after its last white space apart, and a join is repaired by encoding the word that spans it anew. White
 space is a boundary of pre-tokens for the tokenizer, so the repaired ids agree with those of the whole text from there on.
 
+Words that differ only in the case of ASCII letters, or by a closing mark after a letter, are put together from the ids of
+their parts, which the tokenizer splits there too; only other words go through it, each once per task.
+
 Null texts count as empty and give no ids. Rows are independent: repeated rows give repeated results, extra columns are
 ignored, an empty table gives no rows. One document is held in memory at a time.
 """
