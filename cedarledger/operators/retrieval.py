@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import chunk_id, collapse, scrub
 
@@ -60,3 +60,11 @@ def upsert(index: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame
 
 def delete(index: DataFrame, accession_number: str) -> DataFrame:
     return index.filter(~F.col("accession_number").eqNullSafe(F.lit(accession_number)))
+
+
+def save(index: DataFrame, path: str) -> None:
+    index.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -48,3 +48,9 @@ def content_addressed(files: DataFrame, source: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     out = files.select("path", F.length("content").alias("size"), checksum.alias("checksum"), content_path(F.lit(source), checksum, name).alias("stored_path"), *(["expected_checksum"] if "expected_checksum" in files.columns else []))
     return out.withColumn("corrupt", F.coalesce(F.col("expected_checksum") != F.col("checksum"), F.lit(False)) if "expected_checksum" in files.columns else F.lit(False))
+
+
+def snapshot_hash(files: DataFrame) -> DataFrame:
+    """Sixteen hex digits for a set of files (path, content), whatever their order: a hash over their checksums by path."""
+    one = F.concat_ws(":", "path", F.sha2("content", 256))
+    return files.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ","), 256), 1, 16).alias("snapshot"))

@@ -229,6 +229,10 @@ def row_counts(spark, sf_dir):
     return store.row_counts({n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders", "lineitem", "documents", "pages")})
 
 
+def health(spark, sf_dir):
+    return spark.sql("SELECT 1 AS ok")
+
+
 def filing_list(spark, sf_dir):
     """Orders of each customer as a column-oriented list, read back as filings."""
     o = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == AFTER)
@@ -346,6 +350,7 @@ SELECT cast(o_orderkey AS varchar) AS question_id, true AS tool_routing_correct,
         "content_paths": "SELECT cast(strlen(html) AS int) AS size, sha256(html) AS checksum, 'edgar/' || substr(sha256(html), 1, 2) || '/' || sha256(html) || '/' || page_id || '.html' AS stored_path, false AS corrupt FROM pages",
         "orphan_check": "SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
         "row_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in ("region", "nation", "customer", "orders", "lineitem", "documents", "pages")),
+        "health": "SELECT 1 AS ok",
         "filing_list": f"""WITH f AS (SELECT lpad(cast(o_custkey AS varchar), 10, '0') AS cik, cast(o_orderkey AS varchar) AS accession_number, o_orderstatus AS form_type, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, o_orderkey AS k FROM orders WHERE year(o_orderdate) = {AFTER} AND o_orderstatus IN ('F', 'O')),
 s AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date, k) AS seq, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, k DESC) AS r FROM f) SELECT cik, accession_number, form_type, filing_date, filing_date AS report_date, cast(seq AS int) AS seq FROM s WHERE r <= 2""",
         "document_names": "SELECT cast(page_id AS varchar) AS accession_number, 0 AS seq, 'EX-102' AS document_type, 'a' || (page_id % 5) || '.xml' AS filename FROM pages UNION ALL SELECT cast(page_id AS varchar), 1, '10-D', 'b.htm' FROM pages",
@@ -358,7 +363,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date, k) AS
 _QUERIES = (
     deal_summary, paydown_kpi, period_compare, status_changes, balance_drift, top_movers, loan_history, property_profile, noi_change, noi_change_summary, property_types, geography, latest_two_periods, gate_metrics,
     chunk_documents, vector_topk, repetition_flags, number_grounding, loan_reference_check, injection_scrub, route_questions, citation_dedupe, url_allowlist, money_rendering, identifier_forms, fact_forms,
-    property_name_match, evaluate_answers, upsert_latest, source_dedupe, content_paths, orphan_check, row_counts, filing_list, document_names, sectionize_pages, xml_loans, certificate_grid, reconciliation_check,
+    property_name_match, evaluate_answers, upsert_latest, source_dedupe, content_paths, orphan_check, row_counts, health, filing_list, document_names, sectionize_pages, xml_loans, certificate_grid, reconciliation_check,
 )
 
 

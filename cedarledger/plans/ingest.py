@@ -45,11 +45,23 @@ def narrative(documents: DataFrame, target: int = retrieval.TARGET, overlap: int
     return chunks.withColumn("embedding", retrieval.hashed_embedding(F.col("text")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """In whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
     """Ingest landing/assets, and landing/reports and landing/narrative where they exist; outcomes per asset filing."""
     loans, issues, outcome = asset_filings(read_documents(spark, f"{landing}/assets"))
     store.write_filings(loans, f"{tables}/loans")
     store.write_filings(issues, f"{tables}/issues")
+    for kind, plan in (("reports", monthly_reports), ("narrative", lambda d: (narrative(d),))):
+        if exists(spark, f"{landing}/{kind}"):
+            documents = read_documents(spark, f"{landing}/{kind}")
+            keys = documents.select("cik", "accession_number").distinct()
+            for name, out in zip(("certificates", "reconciliations") if kind == "reports" else ("chunks",), plan(documents)):
+                store.write_filings(out.join(keys, "accession_number"), f"{tables}/{name}")
     return outcome
 
 
