@@ -1,7 +1,6 @@
 """Personal data: strict patterns, plus spans found by weak supervision.
 
-Base spans are what the strict patterns match. Looser candidates (written-out addresses, spaced numbers, keys and
-passwords) are judged by labelers that vote: a pattern labeler, a gazetteer labeler, a context labeler and a format
+Base spans are what the strict patterns match. Looser candidates (written-out addresses, numbers in groups) are judged by labelers that vote: a pattern labeler, a gazetteer labeler, a context labeler and a format
 labeler. Votes of all candidates in the corpus are counted by vote combination (a table of bounded size), expectation-
 maximisation estimates each labeler's reliability from them without labels, and a logistic span classifier is trained on
 the resulting posteriors. The classifier then decides every candidate; base spans always stay.
@@ -32,14 +31,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-# Looser candidates. Their kinds are those above, and secret for keys and passwords.
+# Looser candidates: addresses written out, and numbers in groups without a country code.
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+[ ]?(?:\(at\)|\[at\])[ ]?[A-Za-z0-9-]{1,63}+(?:(?:\.|[ ]?(?:\(dot\)|\[dot\])[ ]?)[A-Za-z0-9-]{1,63}+){1,8}")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9][0-9() .-]{6,24}[0-9](?![0-9A-Za-z])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{4}[0-9A-Z]{16}(?![A-Za-z0-9])|[a-z_]{3,20}+=[A-Za-z0-9]{12,128}+)")
 
-# Gazetteers: key prefixes and field names that announce a secret, area of trusted words around personal data.
-_PREFIXES = ("AKIA", "ASIA", "password=", "passwd=", "secret=", "token=", "api_key=")
-_NEAR = frozenset("mail email e-mail contact write phone tel telephone call mobile fax ssn iban card account password passwd secret token key login".split())
+# Gazetteer of words that announce personal data, and of words that announce other numbers.
+_NEAR = frozenset("mail email e-mail contact write phone tel telephone call mobile fax ssn iban card account".split())
 _AGAINST = frozenset("version license licence page chapter section isbn figure table year".split())
 
 
@@ -92,7 +89,6 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
         found += [("email", m) for m in _WRITTEN.finditer(text)]
     if _DIGIT.search(text):
         found += [("phone", m) for m in _NUMBER.finditer(text)]
-        found += [("secret", m) for m in _SECRET.finditer(text)]
     busy = sorted((a, b) for _, a, b in taken)
     for kind, m in sorted(found, key=lambda x: (x[1].start(), x[0])):
         a, b = m.span()
@@ -107,11 +103,7 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
     before = re.findall(r"[a-z-]+", text[max(0, a - 40) : a].lower())[-3:]
     digits = _digits(s)
     context = 1 if _NEAR.intersection(before) else 0 if _AGAINST.intersection(before) else -1
-    if kind == "secret":
-        gazetteer = 1 if s.startswith(_PREFIXES) else 0
-        pattern = 1 if digits and len(s) >= 16 else 0
-        form = 1 if len(set(s)) >= 8 and digits else 0
-    elif kind == "email":
+    if kind == "email":
         gazetteer = 1 if "dot" in s or "." in s else 0
         pattern = 1
         form = 1 if re.search(r"[A-Za-z]", s[:3]) else 0
@@ -124,7 +116,7 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
 
 def features(kind: str, v: tuple[int, ...]) -> np.ndarray:
     """Of a span, for the classifier: its kind and its votes, each as indicators."""
-    x = [1.0, kind == "email", kind == "phone", kind == "secret"]
+    x = [1.0, kind == "email", kind == "phone"]
     for y in v:
         x += [y == 1, y == 0]
     return np.array(x, dtype=float)
@@ -182,7 +174,7 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                     seen.update((k, votes(text, k, a, b)) for k, a, b in candidates(text, taken))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([",".join(map(str, v)) for _, v in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "votes", "n"])
 
-    # at most 3 kinds x 3^4 votes come back
+    # at most 2 kinds x 3^4 votes come back
     counted = own.select("text").mapInArrow(tally, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
     weights = train({(r["kind"], tuple(map(int, r["votes"].split(",")))): r["n"] for r in sorted(counted, key=lambda r: (r["kind"], r["votes"]))})
 
@@ -196,7 +188,7 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
                 if weights is not None:
                     more = [(k, a, b) for k, a, b in candidates(text, spans) if 1 / (1 + math.exp(-float(features(k, votes(text, k, a, b)) @ weights))) >= threshold]
-                    order = {k: i for i, k in enumerate((*KINDS, "secret"))}
+                    order = {k: i for i, k in enumerate(KINDS)}
                     spans = sorted(spans + more, key=lambda s: (order[s[0]], s[1], s[2]))
                 rows.append((key, *(n[k] for k in KINDS), base, ",".join(f"{k}:{a}:{b}" for k, a, b in spans)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(zip(*rows) if rows else [[]] * 7)], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
