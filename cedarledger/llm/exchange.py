@@ -63,14 +63,23 @@ def text_key():
     return F.xxhash64(F.col("text"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where all executors read it: the folder that the session names in spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors and the driver see: the one that the session names in spark.checkpoint.dir."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:  # tests and single machines
+        if folder is None:  # tests and single machines; gone with the process
+            import atexit
+            import shutil
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
