@@ -93,11 +93,15 @@ def status_changes(before: DataFrame, after: DataFrame, by: tuple[str, ...] = BY
     return out.select(*by, "asset_number", "property_names", "status_before", "status_after", "severity_rank", "period_a_ending_date", "period_b_ending_date", F.row_number().over(order).alias("rank"), _version())
 
 
-def balance_drift(loans: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Actual less scheduled balance, largest magnitude first; loans without one of the two are left out, zero drift stays."""
+def _drifts(loans: DataFrame) -> DataFrame:
     d = loans.filter(F.col("actual_balance_amount").isNotNull() & F.col("scheduled_balance_amount").isNotNull())
     d = d.withColumn("drift_amount", F.col("actual_balance_amount") - F.col("scheduled_balance_amount"))
-    d = d.withColumn("drift_percentage", F.try_divide(F.col("drift_amount").cast("double"), F.col("scheduled_balance_amount").cast("double")) * 100)
+    return d.withColumn("drift_percentage", F.try_divide(F.col("drift_amount").cast("double"), F.col("scheduled_balance_amount").cast("double")) * 100)
+
+
+def balance_drift(loans: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Actual less scheduled balance, largest magnitude first; loans without one of the two are left out, zero drift stays."""
+    d = _drifts(loans)
     order = Window.partitionBy(*by).orderBy(F.desc(F.abs("drift_amount")), "asset_number", "doc_position")
     return d.select(*by, "asset_number", _names(loans).alias("property_names"), "actual_balance_amount", "scheduled_balance_amount", "drift_amount", "drift_percentage", F.row_number().over(order).alias("rank"), _version())
 
@@ -107,6 +111,13 @@ def movers(drift: DataFrame, most: int = 10) -> DataFrame:
     return drift.filter(F.col("drift_amount") != 0).orderBy("rank").limit(most)
 
 
+def top_movers(loans: DataFrame, most: int = 10) -> DataFrame:
+    """The loans of all deals that drifted most: each task keeps so many rows, and only those meet."""
+    top = _drifts(loans).filter(F.col("drift_amount") != 0).orderBy(F.desc(F.abs("drift_amount")), "asset_number", "doc_position").limit(most)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("drift_amount")), "asset_number", "doc_position")
+    return top.withColumn("rank", F.row_number().over(order))
+
+
 def loan_history(loans: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Snapshots of each loan by period end, unknown periods first, with the balance's step from one to the next."""
     order = Window.partitionBy(*by, "asset_number").orderBy(F.asc_nulls_first("period_ending_date"), "doc_position")

@@ -49,7 +49,7 @@ def balance_drift(spark, sf_dir):
 
 
 def top_movers(spark, sf_dir):
-    d = A.movers(A.balance_drift(proxy.period(spark, sf_dir, AFTER), by=()))
+    d = A.top_movers(proxy.period(spark, sf_dir, AFTER))
     return d.select("asset_number", num("drift_amount").alias("drift"), "rank")
 
 
