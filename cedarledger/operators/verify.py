@@ -59,14 +59,19 @@ def repetitive(text: Column, window: int = WINDOW, most: int = MOST) -> Column:
     return F.coalesce(let(F.sort_array(_windows(chars, window)), any_more), F.lit(False))
 
 
+# Why a draft is rejected.
+NUMBERS, LOANS = "numbers not present in evidence: ", "loans not present in evidence: "
+LOOP, UNCITED = "draft is a degenerate repetitive loop, not coherent prose", "evidence was gathered but no citation is available"
+
+
 def errors(draft: Column, evidence: Column, has_evidence: Column, n_citations: Column, strict: bool = False) -> Column:
     """Reasons to reject a draft, in order; empty if there are none."""
     numbers, loans = unsupported_numbers(draft, evidence, strict), unsupported_loans(draft, evidence)
     found = F.array(
-        F.when(F.size(numbers) > 0, F.concat(F.lit("numbers not present in evidence: "), F.concat_ws(", ", numbers))),
-        F.when(F.size(loans) > 0, F.concat(F.lit("loans not present in evidence: "), F.concat_ws(", ", loans))),
-        F.when(repetitive(draft), F.lit("draft is a degenerate repetitive loop, not coherent prose")),
-        F.when(has_evidence & (F.trim(draft) != "") & (n_citations == 0), F.lit("evidence was gathered but no citation is available")),
+        F.when(F.size(numbers) > 0, F.concat(F.lit(NUMBERS), F.concat_ws(", ", numbers))),
+        F.when(F.size(loans) > 0, F.concat(F.lit(LOANS), F.concat_ws(", ", loans))),
+        F.when(repetitive(draft), F.lit(LOOP)),
+        F.when(has_evidence & (F.trim(draft) != "") & (n_citations == 0), F.lit(UNCITED)),
     )
     return F.filter(found, lambda e: e.isNotNull())
 
