@@ -2,8 +2,8 @@
 
 Windows of WIDTH normalised words of every benchmark item (an item of fewer words is one window) go into a hash table that
 is broadcast while it has at most BROADCAST_WINDOWS entries and joined by shuffle beyond that. Every window of every document
-is looked up by a 64-bit hash; a hit counts only if the words themselves agree. Everything is built from DataFrame
-functions.
+is hashed and passes a sieve of the table's hashes in its own row; what passes is looked up by its hash, and a hit counts
+only if the words themselves agree. Everything is built from DataFrame functions.
 
 Null texts have no words. Repeated documents each get a result; repeated items with one id count once. A benchmark without
 words hits nothing; an empty table of documents gives no rows; extra columns are ignored.
@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 WIDTH = 13
 BROADCAST_WINDOWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Lower-cased runs of characters that don't stand between words."""
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), lambda x: x != "")
 
 
 def let(value: Column, then) -> Column:
@@ -52,27 +53,36 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return each.groupBy("width", "hash", "words").agg(F.collect_set("item_id").alias("items"))
 
 
+def sieve(hashed: list[int]):
+    """Whether a hash may be among these, as a column function: a table of eight bits for each at least."""
+    n = 1 << max(12, (len(hashed) // 8).bit_length())
+    bits = [0] * n
+    for h in hashed:
+        bits[h % n] |= 1 << ((h >> 40) & 63)
+    table = F.from_json(F.lit("[" + ",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits) + "]"), "array<bigint>")
+    return lambda h: F.getbit(F.get(table, F.pmod(h, F.lit(n)).cast("int")), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, spans (start and number of words of each hit), items (ids of items with hits)."""
     table = windows(items, width)
     sizes = {r["width"]: r["n"] for r in table.groupBy("width").agg(F.count("*").alias("n")).collect()}  # width rows at most
-    table = table.select(F.col("width").alias("_width"), F.col("hash").alias("_hash"), F.col("words").alias("_words"), F.col("items").alias("_items"))
+    fits = sum(sizes.values()) <= BROADCAST_WINDOWS
+    passes = sieve([r["hash"] for r in table.select("hash").collect()]) if fits else lambda h: F.lit(True)  # at most BROADCAST_WINDOWS longs
+    table = table.select(F.col("hash").alias("_hash"), F.col("words").alias("_words"), F.col("items").alias("_items"))
     w = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     w = w.select("row", "doc_id", "text_key", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     widths = sorted(sizes) or [width]
     w = w.withColumn("width", F.lit(widths[0]) if len(widths) == 1 else F.explode(F.array(*map(F.lit, widths))))
     of = F.coalesce(*(F.when(F.col("width") == n, hashes(F.col("h"), n)) for n in widths))
-    own = F.slice("w", F.coalesce(F.col("at"), F.lit(0)) + 1, F.col("width"))
-    each = w.select("row", "doc_id", "text_key", "n_words", "w", "width", F.posexplode_outer(of).alias("at", "hash"))
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
-    else:  # rows go through a shuffle: each takes its window along, not its document
-        each = each.withColumn("w", own)
-        own = F.col("w")
-    met = each.join(table, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")) & (own == F.col("_words")), "left")
-    met = met.filter(F.col("_items").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
-    span = F.when(F.col("_items").isNotNull(), F.struct(F.col("at").alias("at"), F.col("width").alias("width")))
-    return met.groupBy("row", "doc_id", "text_key", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items"))
+    some = F.filter(F.transform(of, lambda h, i: F.when(passes(h), F.struct(i.alias("at"), h.alias("hash")))), lambda x: x.isNotNull())
+    some = F.transform(some, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), F.slice(F.col("w"), x["at"] + 1, F.col("width")).alias("words")))
+    each = w.select("row", "doc_id", "text_key", "n_words", "width", F.explode_outer(some).alias("x"))
+    each = each.select("row", "doc_id", "text_key", "n_words", "width", F.col("x.at").alias("at"), F.col("x.hash").alias("hash"), F.col("x.words").alias("words"))
+    met = each.join(F.broadcast(table) if fits else table, F.col("hash") == F.col("_hash"), "left")
+    true = F.coalesce(F.col("words") == F.col("_words"), F.lit(False))
+    span = F.when(true, F.struct(F.col("at").alias("at"), F.col("width").alias("width")))
+    return met.groupBy("row", "doc_id", "text_key", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(true, F.col("_items"))))).alias("items"))
 
 
 def covered(spans: Column) -> Column:
