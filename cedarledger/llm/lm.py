@@ -12,8 +12,8 @@ So the model spreads probability 1 over the known words and one unknown word per
 
 Training. Each task trains a copy of the network on all its training documents, from the same start: truncated
 backpropagation over windows of WINDOW tokens, the state carried from window to window through each document, a gradient
-taken in one window of every GRADIENT_EVERY, at a random phase. The copies are averaged, weighted by tokens; the number of
-copies grows with the input.
+taken in every window, and every document gone through once, whatever the input's size. The copies are averaged, weighted by
+tokens; the number of copies grows with the input.
 
 Scoring carries the state through the whole of each document, whatever its length.
 
@@ -38,11 +38,7 @@ SLOTS = 17  # head words of a class, then its tail
 HEAD = CLASSES * (SLOTS - 1) - 1  # the end has a slot too
 HIDDEN = 16
 WINDOW = 32
-GRADIENT_EVERY = 6
 GROUP = 512  # documents trained on side by side, of about one length
-LEAST_UPDATES = 120  # a task of fewer than SMALL tokens goes through its documents again, up to EPOCHS times
-EPOCHS = 16
-SMALL = 500_000
 RATE = 0.01
 BATCH_BYTES = 16 << 20
 BATCH_TOKENS = 6_000_000  # of the documents whose states advance together
@@ -225,27 +221,18 @@ class Trainer:
         """Documents of about one length go side by side, the groups in random order."""
         order = np.argsort([len(d) for d in docs], kind="stable")
         groups = [order[at : at + GROUP] for at in range(0, len(docs), GROUP)]
-        small = sum(len(d) for d in docs) < SMALL
-        for _ in range(EPOCHS):
-            for g in self.rng.permutation(len(groups)):
-                self._group([docs[i] for i in groups[g]])
-            if not small or self.updates >= LEAST_UPDATES:
-                break
+        for g in self.rng.permutation(len(groups)):
+            self._group([docs[i] for i in groups[g]])
 
     def _group(self, docs: list[np.ndarray]) -> None:
         _, active, starts, flat = packed_steps(docs)
         h = np.zeros((len(docs), HIDDEN), np.float32)
         last = np.full(len(docs), END, np.int32)
-        phase = int(self.rng.integers(GRADIENT_EVERY))
-        for w, t0 in enumerate(range(0, len(active), WINDOW)):
+        for t0 in range(0, len(active), WINDOW):
             ys = [flat[starts[t] : starts[t + 1]] for t in range(t0, min(t0 + WINDOW, len(active)))]
             xs = [last[: len(ys[0])], *(a[: len(b)] for a, b in zip(ys, ys[1:]))]
-            if (w + phase) % GRADIENT_EVERY:
-                for x in xs:
-                    h, _ = step(self.p, x, h[: len(x)])
-            else:
-                grads, h, n = train_window(self.p, xs, ys, h)
-                self._update(grads, n)
+            grads, h, n = train_window(self.p, xs, ys, h)
+            self._update(grads, n)
             last = ys[-1]
         self.tokens += len(flat)
 

@@ -163,6 +163,19 @@ def test_language_model_gradient_by_differences():
         assert math.isclose(grads[name][at], (up - down) / 2e-5, rel_tol=1e-3, abs_tol=1e-6), name
 
 
+def test_every_training_token_gives_a_gradient(monkeypatch):
+    """Whatever the size: short documents, long ones, and more tokens than a switch by size would let through."""
+    rng = np.random.default_rng(6)
+    seen = []
+    real = lm.train_window
+    monkeypatch.setattr(lm, "train_window", lambda p, xs, ys, h: seen.append(sum(map(len, ys))) or real(p, xs, ys, h))
+    for lengths in ([5] * 40, [300, 7, 64, 33], [32] * 600):
+        seen.clear()
+        trainer = lm.Trainer(lm.start(np.ones(lm.SYMBOLS)), 1)
+        trainer.learn([rng.integers(0, lm.SYMBOLS, n).astype(np.int32) for n in lengths])
+        assert sum(seen) == sum(lengths) == trainer.tokens and trainer.updates == len(seen)
+
+
 def test_state_is_carried_through_a_document():
     rng = np.random.default_rng(2)
     p = lm.start(np.ones(lm.SYMBOLS))
