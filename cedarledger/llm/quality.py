@@ -3,8 +3,10 @@
 Words and neighbouring word pairs are hashed into BUCKETS counters. Two multinomials are estimated over them: one from all
 documents of the corpus, one from trusted documents (labelled good and not toxic; a bounded sample of labelled ids). A text's
 score is its log-likelihood ratio of trusted against raw, divided by its number of n-grams; one threshold decides every
-document, with no random draw. The threshold is fitted on a bounded sample of labelled documents, so that next to none of
-the good ones fall below it. Everything is built from DataFrame functions.
+document, with no random draw. Toxic words stand in a few places of a text and hardly move that ratio, so they are weighed
+apart: the words that tell documents labelled toxic from good ones (learned from a bounded sample) add up to a text's
+toxicity, which has a threshold of its own. Both thresholds are fitted on histograms of all labelled documents, toxic ones on
+the bad side, so that next to none of the good ones are lost. Everything is built from DataFrame functions.
 
 Null texts have no words; a text without words scores 0. A table without trusted documents scores 0 everywhere, and without
 documents labelled bad there is no threshold, so only the rules decide. Null labels are not trusted; repeated labels count once; repeated rows each get their own result; extra
@@ -17,10 +19,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .exchange import stored
+
 BUCKETS = 1 << 14
 DIGITS = 4  # of a weight after the point: the table is part of the plan, and plans are printed and logged
 TRUSTED = 20_000  # labelled ids at most; these are broadcast
-JUDGED = 1_000  # documents of either label, at most, on which the threshold is fitted
+JUDGED = 2_000  # documents of either label, at most, from which toxic words are learned
+TOXIC_WORDS = 256
+TELLING = 20  # times more frequent in toxic documents than in good ones, at least
+BINS = 10_000  # of a histogram to a unit of score
 COST = 20  # documents labelled bad that a lost good one outweighs
 SMOOTHING = 1.0
 BETWEEN = r"[\x20\x09-\x0D]+"
@@ -55,6 +62,14 @@ def _good() -> Column:
     return (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
 
 
+def _bad() -> Column:
+    return F.coalesce(F.col("quality") == 0, F.lit(False)) | _toxic()
+
+
+def _toxic() -> Column:
+    return F.coalesce(F.col("toxic") == 1, F.lit(False))
+
+
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return _first(labels, _good(), most)
 
@@ -122,31 +137,57 @@ def _failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def fit_threshold(docs: DataFrame, labels: DataFrame, weights: list[float], most: int = JUDGED) -> float:
-    """The cut with most labelled bad documents less COST times the good ones below it, in the middle of the widest gap that has it."""
-    bad = _first(labels, F.col("quality") == 0, most).select(F.col("doc_id").alias("_judged"), F.lit(0).alias("_good"))
-    good = _first(labels, _good(), most).select(F.col("doc_id").alias("_judged"), F.lit(1).alias("_good"))
-    table = _table(weights)
-    met = docs.select("doc_id", "text").join(F.broadcast(bad.unionByName(good)), F.col("doc_id") == F.col("_judged"))
-    of = met.select("_good", let(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), lambda h: F.struct(_failed(F.size(h), _repeats(h)).alias("failed"), _ratio(h, table).alias("s"))).alias("x"))
-    # documents that the rules reject anyway don't matter here; at most 2 x JUDGED ids are asked for
-    rows = sorted((r["s"], r["_good"]) for r in of.filter("NOT x.failed").select("x.s", "_good").collect())
-    if not any(g == 0 for _, g in rows):
-        return -math.inf
-    best, cut, gain = (0, math.inf), -math.inf, 0
-    for (s, g), (t, _) in zip(rows, rows[1:] + [(rows[-1][0], 1)]):
-        gain += -COST if g else 1
-        if t > s and (gain, t - s) > best:  # a cut must gain something
-            best, cut = (gain, t - s), (s + t) / 2
-    return cut
+def toxic_words(docs: DataFrame, labels: DataFrame, most: int = JUDGED) -> dict[int, float]:
+    """Hashes of the words that tell toxic documents from good ones, with their log ratio of document frequencies."""
+    toxic = _first(labels, _toxic(), most).select(F.col("doc_id").alias("_judged"), F.lit(1).alias("_t"))
+    good = _first(labels, _good(), most).select(F.col("doc_id").alias("_judged"), F.lit(0).alias("_t"))
+    met = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(good)), F.col("doc_id") == F.col("_judged"))
+    own = met.select("_t", F.explode(F.array_distinct(F.concat(F.array(F.lit(None).cast("long")), F.transform(words(F.col("text")), lambda w: F.xxhash64(w))))).alias("h"))
+    counts = own.groupBy("h").agg(F.sum("_t").alias("t"), F.sum(1 - F.col("_t")).alias("g"))
+    sizes = counts.filter("h IS NULL").first()  # every document has the null once
+    if sizes is None or not sizes["t"] or not sizes["g"]:
+        return {}
+    ratio = F.log((F.col("t") + 0.5) / (sizes["t"] + 1.0)) - F.log((F.col("g") + 0.5) / (sizes["g"] + 1.0))
+    told = counts.filter("h IS NOT NULL AND t > 1").select("h", "t", ratio.alias("r")).filter(F.col("r") >= math.log(TELLING))
+    return {x["h"]: round(x["r"], 2) for x in told.orderBy((F.col("t") * F.col("r")).desc(), "h").limit(TOXIC_WORDS).collect()}
+
+
+def _toxicity(h: Column, telling: dict[int, float]) -> Column:
+    """Sum of the weights of the telling words that a text has, each once."""
+    if not telling:
+        return F.lit(0.0)
+    weight = F.create_map(*(F.lit(x) for kv in telling.items() for x in kv))
+    return F.aggregate(F.array_distinct(F.filter(h, lambda x: x.isin(*telling))), F.lit(0.0), lambda s, x: s + F.element_at(weight, x))
+
+
+def cut(bins: list[tuple[float, float, int, int]]) -> float:
+    """The value with most bad documents less COST times the good ones below it, in the middle of the widest gap that has it. Bins in order: least and largest value, bad and good documents."""
+    best, found, gain = (0, math.inf), -math.inf, 0
+    for (_, s, bad, good_), (t, *_) in zip(bins, bins[1:]):  # never above the last
+        gain += bad - COST * good_
+        if (gain, t - s) > best:  # a cut must gain something
+            best, found = (gain, t - s), (s + t) / 2
+    return found
+
+
+def _histogram(judged: DataFrame, value: Column) -> list[tuple[float, float, int, int]]:
+    """Of all labelled documents; as many rows as there are bins."""
+    bins = judged.select(value.alias("x"), "_bad", "_good").groupBy(F.floor(F.col("x") * BINS).alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("_bad").alias("bad"), F.sum("_good").alias("good"))
+    return sorted(tuple(r) for r in bins.select("lo", "hi", "bad", "good").collect())
+
+
+def fit_thresholds(scored: DataFrame, labels: DataFrame) -> tuple[float, float]:
+    """Least score and, below it, largest toxicity of a kept document, from all labelled documents that the rules don't reject anyway."""
+    one = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_judged")).agg(F.max(_bad().cast("int")).alias("_bad"), F.max(_toxic().cast("int")).alias("_toxic"), F.max(F.coalesce(_good(), F.lit(False)).cast("int")).alias("_good"))
+    judged = scored.filter(~F.col("base_failed")).select("doc_id", "score", "toxicity").join(one, F.col("doc_id") == F.col("_judged"))
+    most = -cut(_histogram(judged.select("toxicity", F.col("_toxic").alias("_bad"), "_good"), -F.col("toxicity")))
+    return cut(_histogram(judged.filter(F.col("toxicity") <= most), F.col("score"))), most
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, *carry: str) -> DataFrame:
-    """doc_id, counts, base_failed, score and kept; carry names columns to pass through. Without a threshold one is fitted."""
-    weights = ratios(docs, labels)
-    if threshold is None:
-        threshold = fit_threshold(docs, labels, weights)
-    table = _table(weights)
+    """doc_id, counts, base_failed, score and kept; carry names columns to pass through. Without a threshold of the score one is fitted, and one of toxicity."""
+    table = _table(ratios(docs, labels))
+    telling = toxic_words(docs, labels) if threshold is None else {}
     text = F.coalesce(F.col("text"), F.lit(""))
     one = let(
         words(text),
@@ -157,17 +198,23 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, *c
                 F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)).cast("long").alias("word_chars"),
                 _repeats(h).cast("long").alias("n_repeat_words"),
                 _ratio(h, table).alias("score"),
+                _toxicity(h, telling).alias("toxicity"),
             ),
         ),
     )
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     got = docs.select("doc_id", *carry, one.alias("_q"), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"))
     q = F.col("_q")
-    failed = _failed(q["n_words"], q["n_repeat_words"])
-    return got.select(
+    scored = got.select(
         "doc_id", *carry, q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), "n_symbols", "n_dup_lines", q["n_repeat_words"].alias("n_repeat_words"),
-        failed.alias("base_failed"), q["score"].alias("score"), (~failed & (q["score"] >= F.lit(threshold))).alias("kept"),
+        _failed(q["n_words"], q["n_repeat_words"]).alias("base_failed"), q["score"].alias("score"), q["toxicity"].alias("toxicity"),
     )
+    most = math.inf
+    if threshold is None:
+        scored = stored(scored)  # a text is scored once, for the thresholds and for the result
+        threshold, most = fit_thresholds(scored, labels)
+    kept = ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)) & (F.col("toxicity") <= F.lit(most))
+    return scored.withColumn("kept", kept).drop("toxicity")
 
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:

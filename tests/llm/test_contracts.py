@@ -1,6 +1,7 @@
 """Every operator against its plain version, over nulls, empty and very long texts, ties, repeated rows and clashing columns."""
 
 import math
+import random
 from collections import Counter
 from zlib import crc32
 
@@ -112,6 +113,29 @@ def test_quality_scores_by_brute_force(spark, docs, labels):
     assert np.allclose(got, want, atol=1e-8)
 
 
+def test_documents_labelled_toxic_go(spark):
+    """Labelled good and toxic, with a toxic word in a few places: they go, without a label too, and clean ones stay."""
+    r = random.Random(17)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(300):
+        w = [r.choice(vocabulary) for _ in range(120)]
+        if toxic := i % 5 == 0:
+            w[r.randrange(120)] = r.choice(["vile", "nasty"])
+        rows.append((i, " ".join(w)))
+        if i % 10 < 8:
+            marks.append((i, 1, int(toxic)))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x["doc_id"] for x in quality.score(docs_, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect() if x["kept"]}
+    assert kept == {i for i in range(300) if i % 5}
+
+
+def test_cut_by_a_histogram():
+    assert quality.cut([]) == -math.inf and quality.cut([(0.0, 0.1, 0, 9)]) == -math.inf
+    assert quality.cut([(0.0, 0.1, 3, 0), (0.5, 0.6, 1, 0), (2.0, 2.5, 5, 1)]) == 1.3
+    assert quality.cut([(0.0, 0.1, 30, 1), (0.5, 0.6, 1, 9)]) == 0.3
+
+
 def test_language_model(docs, docs_rows):
     rows = {}
     for r in lm.score(docs).collect():
