@@ -7,6 +7,10 @@ comparing members of parts not yet joined. Before two full sets are compared, th
 their registers, corrected for registers that agree by chance; only pairs far below the threshold are left out. Links are
 always confirmed on the full sets, by integers.
 
+Sets of at most FEW shingles, in which one shingle can move every band, have an exact way beside the bands: in any order of
+all shingles, two linked sets share one of their first n - ceil(PERCENT n / 100) + 1. The order puts frequent shingles last.
+Sets that share such a shingle are compared in full, whatever their bands say.
+
 Equal sets are one class from the start: a class is compared once, however many copies it has. No pairs are listed, and a
 document is compared with a part of its group until one link is found. A group of more than BLOCK members is cut into blocks
 that are resolved apart; every member is then compared with one hub of the whole group, and what still hangs outside the
@@ -35,8 +39,10 @@ MANTISSA = 10
 SURE_SIZE = 256  # smaller sets are compared without an estimate
 MARGIN = 0.35  # pairs estimated further below the threshold are left out: about eight standard deviations
 BLOCK = 4096  # members of a hanging group that one task holds
+FEW = 96  # shingles of a set that is also compared by its prefix; bands lose next to nothing from 80 on
+FREQUENT = 65_536  # shingles of small sets whose frequency counts in the order; the others come first, by hash
 LOWEST = -(1 << 63)
-SIGNATURES = "doc_id long, node binary, n_shingles long, registers binary"
+SIGNATURES = "doc_id long, node binary, n_shingles long, registers binary, few binary"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -102,14 +108,15 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            node, n, regs = [], [], []
+            node, n, regs, few = [], [], [], []
             for x in batch.column(1):
                 s = shingle_set(hashes.of(words_of(x.as_py().encode("utf-8"))), shingle)
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 # register i of band j is number j + 16 i, so that a band's registers lie apart
                 regs.append(registers(s).reshape(-1, BANDS).T.tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "node", "n_shingles", "registers"])
+                few.append(s.tobytes() if 0 < len(s) <= FEW else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(few, pa.binary())], ["doc_id", "node", "n_shingles", "registers", "few"])
 
     return documents(docs, "doc_id", "text").mapInArrow(run, SIGNATURES)
 
@@ -124,6 +131,53 @@ def hanging(nodes: DataFrame) -> DataFrame:
     return under.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(under.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
 
 
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Of a set's shingles in order, so many that every other set linked with it shares one; none if all linked sets are equal to it."""
+    return n + (-percent * n // 100) + 1 if 100 * n >= percent * (n + 1) or 100 * (n - 1) >= percent * n else 0
+
+
+def frequent(small: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of small sets, sorted by hash, and their places from rare to frequent."""
+
+    def count(batches):
+        for batch in batches:
+            h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    rows = small.select("few").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h = np.array([x["h"] for x in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(rows) - np.arange(len(rows)))[order]
+
+
+def by_prefix(small: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links u, v among small sets: node, least, few. A node without a link stands with itself or not at all."""
+    shared = small.sparkSession.sparkContext.broadcast(frequent(small))
+
+    def keys(batches):
+        known, place = shared.value
+        for batch in batches:
+            out = []
+            for node, few in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(few, np.uint64)
+                if p := prefix_length(len(s), percent):
+                    rank = np.zeros(len(s), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        rank = np.where(known[at] == s, place[at], 0)
+                    out += [(node, int(h)) for h in s[np.argsort(rank, kind="stable")[:p]].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["node", "h"])
+
+    each = small.select("node", "few").mapInArrow(keys, "node binary, h long")
+    sizes = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # a group of more than a block: every pair of its blocks meets, so each task holds two blocks at most
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    met = each.join(sizes, "h").select("h", "node", own.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+    key = F.encode(F.concat_ws(",", "h", F.least("b", "c"), F.greatest("b", "c")), "UTF-8")
+    placed = met.select("node", key.alias("key")).join(small, "node").select("key", F.col("key").alias("part"), "node", "least", F.col("few").alias("members"))
+    return together(placed, "key").mapInArrow(_local(percent), LINKED).filter("u <> v").distinct()
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < percent * large:
@@ -242,15 +296,14 @@ def _hub_links(percent: int):
 
 
 def resolve_groups(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """node, component (least doc_id) of the members of hanging groups."""
+    """node, comp (a node) of the members of hanging groups."""
     sizes = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).otherwise(0)
     key = lambda b: F.concat("part", F.encode(b.cast("string"), "UTF-8"))
     placed = members.join(sizes, "part").select(key(block).alias("key"), "part", "node", "least", "members", "blocks")
     if sizes.filter("blocks > 1").isEmpty():
         local = together(placed, "key").select("key", "part", "node", "least", "members").mapInArrow(_local(percent), LINKED)
-        comps = local.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        return _least(parts, comps)
+        return local.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     placed = stored(placed)
     local = stored(together(placed, "key").select("key", "part", "node", "least", "members").mapInArrow(_local(percent), LINKED)).select(F.col("u").alias("node"), F.col("v").alias("comp"))
     # of the groups that were cut: one hub each, the first node of the largest component of any block
@@ -265,7 +318,7 @@ def resolve_groups(members: DataFrame, parts: DataFrame, percent: int) -> DataFr
     hosts = now.select("key", "part", "node", "least", "comp", F.lit(False).alias("guest"), "members")
     guests = now.filter(F.col("comp") != F.col("main")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(key(F.col("b")).alias("key"), "part", "node", "least", "comp", F.lit(True).alias("guest"), "members")
     more = together(hosts.unionByName(guests), "key").select("key", "part", "node", "least", "comp", "guest", "members").mapInArrow(_past(percent), LINKED).distinct()
-    return _least(parts, _joined(joined, components(more)))
+    return _joined(joined, components(more))
 
 
 def _joined(local: DataFrame, under: DataFrame) -> DataFrame:
@@ -274,6 +327,15 @@ def _joined(local: DataFrame, under: DataFrame) -> DataFrame:
     return local.join(up, "comp", "left").select(*[c for c in local.columns if c != "comp"], F.coalesce("_top", "comp").alias("comp"))
 
 
+def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps, and components that links between nodes join; nodes of links may be new."""
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    every = stored(comps.unionByName(ends.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))))
+    of = lambda end: every.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}"))
+    edges = links.join(of("u"), "u").join(of("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).filter("u <> v")
+    return _joined(every, components(edges))
+
+
 def _least(parts: DataFrame, comps: DataFrame) -> DataFrame:
     """Of each node the least doc_id of its component."""
     own = comps.join(parts.select("node", "least"), "node")
@@ -285,7 +347,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id (least doc_id of the component), kept: one row per input row."""
     own = documents(docs, "doc_id", "text")
     signed = stored(signatures(own, shingle))
-    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("least"), F.first("registers").alias("registers"))
+    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("least"), F.first("registers").alias("registers"), F.first("few").alias("few"))
     parts = stored(hanging(nodes.select("node", "registers")).join(nodes.select("node", "least"), "node"))
 
     def sets(batches):
@@ -302,7 +364,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     wanted = parts.select(F.col("least").alias("_id"), "node", "part", "least")
     keyed = own.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), "text")
     members = keyed.join(wanted.hint("shuffle_hash"), "_id").select("text", "node", "part", "least").mapInArrow(sets, MEMBERS)
-    resolved = resolve_groups(members, parts, percent)
+    comps = resolve_groups(members, parts, percent)
+    small = nodes.filter(F.col("few").isNotNull()).select("node", "least", "few")
+    links = stored(by_prefix(small, percent))
+    if not links.isEmpty():
+        comps = _with_links(comps, links)
+    resolved = _least(nodes, comps)
     labels = nodes.select("node", "least").join(resolved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
     out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("component") == LOWEST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))

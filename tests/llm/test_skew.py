@@ -77,3 +77,22 @@ def test_groups_cut_into_blocks(spark, monkeypatch):
     for block in (7, 30, 10_000):
         monkeypatch.setattr(minhash, "BLOCK", block)
         same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows))
+
+
+def test_small_sets_are_linked_exactly(spark, monkeypatch):
+    """One-word edits of texts of 8 to 40 words, at an end or inside, against brute force; groups of any size are cut."""
+    r = random.Random(19)
+    rows = []
+    for n in range(8, 41):
+        for _ in range(6):
+            w = [f"{r.choice('abcdefgh')}{r.randrange(400)}" for _ in range(n)]
+            at = r.randrange(n)
+            for edited in (w, w + ["end"], w[1:], w[:at] + ["new"] + w[at + 1 :]):
+                rows.append((len(rows), " ".join(edited)))
+    rows += [(len(rows) + i, "one and the same start of many short texts, all of them alike but for the end " + f"e{i}") for i in range(40)]
+    r.shuffle(rows)
+    docs = frame(spark, rows).repartition(5)
+    for block, most in ((7, 3), (10_000, 1 << 16)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "FREQUENT", most)
+        same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows))
