@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each word of a text gets a language; neighbours are tied by learned transitions, so code-switched text is labelled word by
+Each word of a text gets a language; a run of more than PIECE letters, as in scripts without spaces, counts as consecutive
+words of PIECE letters, so every letter gives features. Neighbours are tied by learned transitions, so code-switched text is labelled word by
 word. A word's features are its affixes, its character n-grams and lexicon entries (frequent words of the fitting sample),
 hashed into a table of fixed size. Marginals come from forward-backward; a document's language is the one with the largest
 share of posterior mass over its words, and that share is the score.
@@ -26,7 +27,8 @@ LANGUAGES = 64  # more distinct labels than this are an error in the input, not
 DIM = 1 << 15
 LEXICON = 300  # words a language
 SEGMENT = 64  # words of one training sequence
-_WORD = re.compile(r"[^\W\d_]+")
+PIECE = 24
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % PIECE)
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -45,8 +47,8 @@ class Hashed(dict):
 
 
 def feature_ids(word: str, lexicon: frozenset[str], hashed: Hashed) -> list[int]:
-    """Hashed: two affixes at each end, 1- to 3-grams, the word if the lexicon has it. Of a long word, its ends and the n-grams of its first 24 letters."""
-    w = f"^{word[:24]}$"
+    """Hashed: two affixes at each end, 1- to 3-grams, the word if the lexicon has it."""
+    w = f"^{word}$"
     n = len(w)
     names = ["p" + word[:2], "p" + word[:3], "s" + word[-2:], "s" + word[-3:], *w]
     names += [w[i : i + 2] for i in range(n - 1)]

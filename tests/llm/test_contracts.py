@@ -230,6 +230,22 @@ def test_languages(spark):
     assert all(0 <= x["score"] <= 1 for x in out.values())
 
 
+def test_runs_without_spaces_count_to_their_last_letter():
+    import random
+
+    r = random.Random(23)
+    lex = {"en": "the and ing tion wh".split(), "fr": "eau le ai ou ment".split()}
+    make = lambda l, n, between=" ": between.join("".join(r.choice(lex[l]) for _ in range(2)) for _ in range(n))
+    f = langid.fit([(make(l, 200), l) for l in lex for _ in range(10)])
+    for first, then in (("en", "fr"), ("fr", "en")):
+        text = make(first, 6, "") + make(then, 300, "")
+        tokens = langid.words(text)
+        assert "".join(tokens) == text and max(map(len, tokens)) <= langid.PIECE
+        g = langid.forward_backward(f.scores([tokens]), f.move)[0]
+        assert f.langs[int(g.mean(0).argmax())] == then
+    assert langid.words("Two words, " + "x" * 24) == ["two", "words", "x" * 24]
+
+
 def test_code_switched_words_follow_their_language():
     import random
 
