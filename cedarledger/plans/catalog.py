@@ -108,8 +108,9 @@ def chunk_documents(spark, sf_dir):
 
 def vector_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id = 0").select("embedding").first()["embedding"]
-    return retrieval.top_k(v, list(q), 10, "vec_id").select("vec_id", num("score", 5).alias("score"))
+    q = v.filter("vec_id = 0").select("embedding").first()
+    v, q = (v.limit(0), [0.0]) if q is None else (v, list(q["embedding"]))  # no query, no neighbours
+    return retrieval.top_k(v, q, 10, "vec_id").select("vec_id", num("score", 5).alias("score"))
 
 
 def repetition_flags(spark, sf_dir):

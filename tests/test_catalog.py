@@ -32,6 +32,12 @@ def test_query_matches_its_sql(spark, duck, name):
     assert plain(catalog.queries()[name](spark, SF).toPandas()) == plain(duck.execute(catalog.oracle_sql()[name]).df())
 
 
+def test_no_neighbours_without_the_query_vector(spark, tmp_path):
+    for i, ids in enumerate(([], [1, 2])):
+        spark.createDataFrame([(k, [1.0, 0.5]) for k in ids], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{i}/embeddings.parquet")
+        assert catalog.vector_topk(spark, f"{tmp_path}/{i}").collect() == []
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     from pyspark.sql import functions as F
 
