@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SAMPLE = 100  # documents a language, expected
-LANGUAGES = 64  # more distinct labels than this are an error in the input, not languages
 DIM = 1 << 15
 LEXICON = 300  # words a language
 SEGMENT = 64  # words of one training sequence
@@ -175,15 +174,13 @@ def _remainder():
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """A bounded number of labelled rows for fitting, about per_language of each label; never a row that is held out."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_remainder() != 2))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # every label is a language
     if not sizes:
         return []
     space = 1 << 20
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(space))
-    wanted = F.lit(False)
-    for lang, n in sizes.items():
-        wanted |= (F.col("lang") == lang) & (drawn < max(1, round(space * min(1.0, per_language / n))))
-    rows = known.filter(wanted).select("text", "lang", "doc_id").limit(2 * per_language * len(sizes)).collect()
+    shares = docs.sparkSession.createDataFrame([(lang, max(1, round(space * min(1.0, per_language / n)))) for lang, n in sizes.items()], "lang string, _below long")
+    rows = known.join(F.broadcast(shares), "lang").filter(drawn < F.col("_below")).select("text", "lang", "doc_id").limit(2 * per_language * len(sizes)).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"]))]
 
 

@@ -230,6 +230,12 @@ def test_languages(spark):
     assert all(0 <= x["score"] <= 1 for x in out.values())
 
 
+def test_every_label_is_sampled(spark):
+    rows = [(i, f"word{i % 90}", f"l{i % 90}") for i in range(900)]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in got} == {lang for _, _, lang in rows}
+
+
 def test_runs_without_spaces_count_to_their_last_letter():
     import random
 
