@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .exchange import stored
+from .exchange import stored, text_key
 
 BUCKETS = 1 << 14
 DIGITS = 4  # of a weight after the point: the table is part of the plan, and plans are printed and logged
@@ -219,5 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, *c
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return score(whole, labels, threshold, "_row").filter("kept").select("_row.*")
+    # whole rows are not carried through the stored scores: reading those back takes too much memory
+    keyed = docs.select("doc_id", "text", text_key().alias("_key"))
+    gone = score(keyed, labels, threshold, "_key").filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_key").distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
