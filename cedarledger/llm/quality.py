@@ -5,8 +5,8 @@ documents of the corpus, one from trusted documents (labelled good and not toxic
 score is its log-likelihood ratio of trusted against raw, divided by its number of n-grams; one threshold decides every
 document, with no random draw. Toxic words stand in a few places of a text and hardly move that ratio, so they are weighed
 apart: the words that tell documents labelled toxic from good ones (learned from a bounded sample) add up to a text's
-toxicity, which has a threshold of its own. Both thresholds are fitted on histograms of all labelled documents, toxic ones on
-the bad side, so that next to none of the good ones are lost. Everything is built from DataFrame functions.
+toxicity, which has a threshold of its own. Both thresholds are fitted on histograms of all labelled documents, toxicity's with
+the toxic ones on the bad side and the ratio's with those of quality 0, so that next to none of the good ones are lost. Everything is built from DataFrame functions.
 
 Null texts have no words; a text without words scores 0. A table without trusted documents scores 0 everywhere, and without
 documents labelled bad there is no threshold, so only the rules decide. Null labels are not trusted; repeated labels count once; repeated rows each get their own result; extra
@@ -63,7 +63,7 @@ def _good() -> Column:
 
 
 def _bad() -> Column:
-    return F.coalesce(F.col("quality") == 0, F.lit(False)) | _toxic()
+    return F.coalesce(F.col("quality") == 0, F.lit(False))
 
 
 def _toxic() -> Column:
