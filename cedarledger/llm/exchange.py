@@ -24,19 +24,45 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=_CODES[blob[0]], offset=1)
 
 
+def thinned(docs: np.ndarray, *sums: np.ndarray) -> tuple[bytes | None, list[np.ndarray]]:
+    """Sums by document for a row: of the documents met alone, with their packed numbers, where those are few."""
+    met = np.flatnonzero(np.bincount(docs))
+    return (pack(met), [x[met] for x in sums]) if 3 * len(met) < len(sums[0]) else (None, list(sums))
+
+
+def added(total: np.ndarray, of: bytes | None, x: np.ndarray) -> np.ndarray:
+    """total, which grows as needed, plus sums from thinned()."""
+    at = None if of is None else unpack(of).astype(np.int64)
+    size = len(x) if at is None else int(at[-1]) + 1 if len(at) else 0
+    if size > len(total):
+        total = np.concatenate([total, np.zeros(max(size, 2 * len(total)) - len(total), total.dtype)])
+    if at is None:
+        total[: len(x)] += x
+    else:
+        total[at] += x
+    return total
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle as the session sets them; a cluster sizes this to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def by_bucket(df: DataFrame, key: str = "bucket") -> DataFrame:
-    """Deal rows out by key."""
-    return df.repartition(partitions(df.sparkSession), key)
+def by_bucket(df: DataFrame) -> DataFrame:
+    """Deal rows out by bucket: each of as many buckets as there are partitions has a task of its own."""
+    return df.repartitionById(partitions(df.sparkSession), "bucket")
 
 
 def together(df: DataFrame, key: str) -> DataFrame:
     """Deal rows out by key, so that each task streams the rows of a key one after another."""
-    return by_bucket(df, key).sortWithinPartitions(key)
+    return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key)
+
+
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """df with a key that the planner takes for a new one. What was aggregated by a key is dealt out by it already, and a join
+    with it can't be split where the key is hot on the other side; dealt out once more, both sides come straight from a
+    shuffle, and adaptive execution splits the hot one."""
+    return df.select(F.explode(F.array(key)).alias(key), *(c for c in df.columns if c != key))
 
 
 def next_row_ids():
@@ -68,7 +94,10 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:  # tests and single machines; gone with the process
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            # one process: a folder that goes with it
             import atexit
             import shutil
             import tempfile
@@ -80,6 +109,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder.
+
+    A checkpoint keeps the size that the planner guessed for it. Guesses multiply at every join, so through rounds of stored
+    steps they would become numbers of millions of digits; a frame made anew from the checkpoint's rows has no guess.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -9,12 +9,13 @@ always confirmed on the full sets, by integers.
 
 Sets of at most FEW shingles, in which one shingle can move every band, have an exact way beside the bands: in any order of
 all shingles, two linked sets share one of their first n - ceil(PERCENT n / 100) + 1. The order puts frequent shingles last.
-Sets that share such a shingle are compared in full, whatever their bands say.
+Sets that share such a shingle are a hanging group too, and are resolved in the same way, whatever their bands say.
 
 Equal sets are one class from the start: a class is compared once, however many copies it has. No pairs are listed, and a
 document is compared with a part of its group until one link is found. A group of more than BLOCK members is cut into blocks
 that are resolved apart; every member is then compared with one hub of the whole group, and what still hangs outside the
-group's largest part goes past every block. So no task holds more than a block, and only the rest is compared again.
+group's largest part goes past every block. So no task holds more than a block, and only the rest is compared again. A
+block has at most BLOCK members and about BLOCK_BYTES of sets.
 
 Null or wordless texts have an empty set, are linked with nothing and stay. Documents of fewer words than a shingle have
 the whole sequence as their one shingle. Repeated rows are copies. A null doc_id counts as smaller than any other and
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .exchange import documents, stored, together
+from .exchange import dealt_anew, documents, stored, text_key, together
 
 SHINGLE = 3
 PERCENT = 85
@@ -39,10 +40,12 @@ MANTISSA = 10
 SURE_SIZE = 256  # smaller sets are compared without an estimate
 MARGIN = 0.35  # pairs estimated further below the threshold are left out: about eight standard deviations
 BLOCK = 4096  # members of a hanging group that one task holds
+BLOCK_BYTES = 64 << 20  # of their sets, expected; one larger set is a block of its own
 FEW = 96  # shingles of a set that is also compared by its prefix; bands lose next to nothing from 80 on
 FREQUENT = 65_536  # shingles of small sets whose frequency counts in the order; the others come first, by hash
 LOWEST = -(1 << 63)
-SIGNATURES = "doc_id long, node binary, n_shingles long, registers binary, few binary"
+NODE_BYTES = 16  # of a set's name, its hash
+SIGNATURES = "doc_id long, text_key long, node binary, n_shingles long, registers binary, few binary"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -109,16 +112,17 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             node, n, regs, few = [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 s = shingle_set(hashes.of(words_of(x.as_py().encode("utf-8"))), shingle)
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 # register i of band j is number j + 16 i, so that a band's registers lie apart
                 regs.append(registers(s).reshape(-1, BANDS).T.tobytes() if len(s) else None)
                 few.append(s.tobytes() if 0 < len(s) <= FEW else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(few, pa.binary())], ["doc_id", "node", "n_shingles", "registers", "few"])
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(few, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n_shingles", "registers", "few"])
 
-    return documents(docs, "doc_id", "text").mapInArrow(run, SIGNATURES)
+    return documents(docs, "doc_id", "text").select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, SIGNATURES)
 
 
 def hanging(nodes: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def hanging(nodes: DataFrame) -> DataFrame:
     width = 2 * REGISTERS // BANDS
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * width + 1, F.lit(width))))).alias("band"))
     least = bands.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).filter("n > 1")
-    edges = bands.join(least, "band").filter(F.col("node") != F.col("m")).select(F.col("node").alias("u"), F.col("m").alias("v"))
+    edges = bands.join(dealt_anew(least, "band"), "band").filter(F.col("node") != F.col("m")).select(F.col("node").alias("u"), F.col("m").alias("v"))
     under = components(edges)
     return under.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(under.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
 
@@ -151,7 +155,7 @@ def frequent(small: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_prefix(small: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links u, v among small sets: node, least, few. A node without a link stands with itself or not at all."""
+    """Confirmed links u, v among small sets: node, least, few."""
     shared = small.sparkSession.sparkContext.broadcast(frequent(small))
 
     def keys(batches):
@@ -165,17 +169,17 @@ def by_prefix(small: DataFrame, percent: int) -> DataFrame:
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         rank = np.where(known[at] == s, place[at], 0)
-                    out += [(node, int(h)) for h in s[np.argsort(rank, kind="stable")[:p]].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["node", "h"])
+                    out += [(node, h.tobytes(), len(s)) for h in s[np.argsort(rank, kind="stable")[:p]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.binary(), pa.binary(), pa.int64()))], ["node", "part", "n_shingles"])
 
-    each = small.select("node", "few").mapInArrow(keys, "node binary, h long")
-    sizes = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    # a group of more than a block: every pair of its blocks meets, so each task holds two blocks at most
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    met = each.join(sizes, "h").select("h", "node", own.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
-    key = F.encode(F.concat_ws(",", "h", F.least("b", "c"), F.greatest("b", "c")), "UTF-8")
-    placed = met.select("node", key.alias("key")).join(small, "node").select("key", F.col("key").alias("part"), "node", "least", F.col("few").alias("members"))
-    return together(placed, "key").mapInArrow(_local(percent), LINKED).filter("u <> v").distinct()
+    each = small.select("node", "few").mapInArrow(keys, "node binary, part binary, n_shingles long")
+    shared_by = each.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+    met = stored(each.join(dealt_anew(shared_by, "part"), "part"))
+    # a set hangs in several groups: in each under a name of its own, the node and then the group
+    placed = met.select("node", "part").join(small, "node").select("part", F.concat("node", "part").alias("node"), "least", F.col("few").alias("members"))
+    found = resolve_groups(placed, met, percent)
+    own = lambda c: F.substring(F.col(c), 1, NODE_BYTES)
+    return found.select(own("node").alias("u"), own("comp").alias("v")).filter("u <> v").distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -296,8 +300,9 @@ def _hub_links(percent: int):
 
 
 def resolve_groups(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """node, comp (a node) of the members of hanging groups."""
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    """node, comp (a node) of the members of hanging groups. parts: part, node, n_shingles."""
+    blocks = F.greatest(F.count("*") / BLOCK, 8 * F.sum("n_shingles") / BLOCK_BYTES)
+    sizes = stored(parts.groupBy("part").agg(F.ceil(blocks).cast("int").alias("blocks")))
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).otherwise(0)
     key = lambda b: F.concat("part", F.encode(b.cast("string"), "UTF-8"))
     placed = members.join(sizes, "part").select(key(block).alias("key"), "part", "node", "least", "members", "blocks")
@@ -311,9 +316,10 @@ def resolve_groups(members: DataFrame, parts: DataFrame, percent: int) -> DataFr
     hubs = large.groupBy("part", "comp").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("comp", F.struct("n", "comp")).alias("hub_comp"))
     hub_sets = hubs.join(large.select(F.col("node").alias("hub_comp"), F.col("members").alias("hub")).dropDuplicates(["hub_comp"]), "hub_comp")
     by_hub = large.select("part", "comp", "members").join(hub_sets, "part").select("comp", "members", "hub_comp", "hub").mapInArrow(_hub_links(percent), LINKED).distinct()
-    joined = _joined(local, components(by_hub))
+    under_hub = components(by_hub)
+    joined = _joined(local, under_hub)
     # what is still outside its group's hub goes past every block of the group
-    hub_of = _joined(hubs.select("part", F.col("hub_comp").alias("comp")), components(by_hub)).select("part", F.col("comp").alias("main"))
+    hub_of = _joined(hubs.select("part", F.col("hub_comp").alias("comp")), under_hub).select("part", F.col("comp").alias("main"))
     now = placed.filter("blocks > 1").join(joined, "node").join(hub_of, "part")
     hosts = now.select("key", "part", "node", "least", "comp", F.lit(False).alias("guest"), "members")
     guests = now.filter(F.col("comp") != F.col("main")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(key(F.col("b")).alias("key"), "part", "node", "least", "comp", F.lit(True).alias("guest"), "members")
@@ -340,15 +346,15 @@ def _least(parts: DataFrame, comps: DataFrame) -> DataFrame:
     """Of each node the least doc_id of its component."""
     own = comps.join(parts.select("node", "least"), "node")
     least = own.groupBy("comp").agg(F.min("least").alias("component"))
-    return own.select("node", "comp").join(least, "comp").select("node", "component")
+    return own.select("node", "comp").join(dealt_anew(least, "comp"), "comp").select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the component), kept: one row per input row."""
+def judged(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id (least doc_id of the component), kept: one row per input row."""
     own = documents(docs, "doc_id", "text")
     signed = stored(signatures(own, shingle))
-    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("least"), F.first("registers").alias("registers"), F.first("few").alias("few"))
-    parts = stored(hanging(nodes.select("node", "registers")).join(nodes.select("node", "least"), "node"))
+    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("few").alias("few"))
+    parts = stored(hanging(nodes.select("node", "registers")).join(nodes.select("node", "least", "n_shingles"), "node"))
 
     def sets(batches):
         hashes = WordHashes()
@@ -371,12 +377,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         comps = _with_links(comps, links)
     resolved = _least(nodes, comps)
     labels = nodes.select("node", "least").join(resolved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-    component = F.when(F.col("component") == LOWEST, F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.select("doc_id", "text_key", "n_shingles", "node")
+    # sets without a word are no group of copies; a hot group of copies is split, as both sides come straight from a shuffle
+    met = rows.filter(F.col("node").isNotNull()).join(dealt_anew(labels, "node"), "node")
+    out = met.unionByName(rows.filter(F.col("node").isNull()).withColumn("component", F.coalesce("doc_id", F.lit(LOWEST))))
+    component = F.nullif(F.col("component"), F.lit(LOWEST))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of the component), kept: one row per input row."""
+    return judged(docs, shingle, percent).drop("text_key")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those of which a near-duplicate with a smaller doc_id stays. All rows of a doc_id that stays, stay."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents, all columns, without those of which a near-duplicate with a smaller doc_id stays. All rows of a group's least doc_id stay; rows of another text under a doc_id that goes are judged apart."""
+    gone = judged(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"]), "left_anti")
