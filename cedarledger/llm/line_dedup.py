@@ -136,8 +136,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     open_ = seen.filter(F.col("verdict") == OPEN)
     each = open_.groupBy("hi", "lo", "doc").agg(F.lit(1).alias("n")).unionByName(seen.filter(F.col("verdict") == MANY).select("hi", "lo", "doc", F.lit(min_docs).alias("n")))
     settled = each.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("doc").alias("best")).filter(F.col("n") >= min_docs)
+    # a range partition leaves open its first and its last key only, so there are at most two settled keys a partition
     lost = seen.filter(F.col("verdict") == DROPPED).select("doc", "text_key", "n_lines", "at").unionByName(
-        open_.join(settled, ["hi", "lo"]).filter(F.col("doc") != F.col("best")).select("doc", "text_key", "n_lines", "at")
+        open_.join(F.broadcast(settled), ["hi", "lo"]).filter(F.col("doc") != F.col("best")).select("doc", "text_key", "n_lines", "at")
     )
 
     def bitmaps(batches):
