@@ -2,7 +2,8 @@
 
 Counts. Every task sends the distinct words of its documents, with training counts and postings, to the bucket of the
 word. A bucket sums a word's count first and then turns postings into one partial sum per document, so counts, sums of
-log counts and the numbers of known words cover the whole corpus exactly.
+log counts and the numbers of known words cover the whole corpus exactly. Of words that many documents of a batch have, the
+bucket is only asked for the count: their postings go straight to where the batch's sums meet, so no bucket gets large.
 
 Model. The HEAD most frequent words and the end have symbols of their own; every other word belongs to one of CLASSES
 tails by its last two characters. A symbol's probability is P(class | state) P(slot | class, state), both softmax layers
@@ -13,7 +14,7 @@ So the model spreads probability 1 over the known words and one unknown word per
 Training. Each task trains a copy of the network on all its training documents, from the same start: truncated
 backpropagation over windows of WINDOW tokens, the state carried from window to window through each document, a gradient
 taken in every window, and every document gone through once, whatever the input's size. The copies are averaged, weighted by
-tokens; the number of copies grows with the input.
+tokens, in a tree; the number of copies grows with the input.
 
 Scoring carries the state through the whole of each document, whatever its length.
 
@@ -30,8 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .exchange import by_bucket, documents, next_row_ids, pack, partitions, stored, text_key, together, unpack
-from .token_counts import dealt, postings
+from .exchange import added, by_bucket, documents, next_row_ids, pack, partitions, stored, text_key, thinned, together, unpack
+from .token_counts import OFTEN, dealt, postings
 
 CLASSES = 64
 SLOTS = 17  # head words of a class, then its tail
@@ -41,6 +42,7 @@ WINDOW = 32
 GROUP = 512  # documents trained on side by side, of about one length
 RATE = 0.01
 BATCH_BYTES = 16 << 20
+TREE = 16  # copies that one task adds up
 BATCH_TOKENS = 6_000_000  # of the documents whose states advance together
 SYMBOLS = HEAD + 1 + CLASSES
 END = HEAD
@@ -329,19 +331,29 @@ def _symbol_slices(batches):
         yield fields, docs
 
 
-SPREAD = "bucket int, second boolean, chunk long, words binary, counts binary, spread binary, docs binary, freqs binary, ids array<long>, keys array<long>"
-SPREAD_NAMES = ["bucket", "second", "chunk", "words", "counts", "spread", "docs", "freqs", "ids", "keys"]
-SPREAD_TYPES = [pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
-# Of a bucket: sums of a chunk's documents, or a document list, or totals by tail class, or one of the bucket's most frequent words
-COUNTED = "chunk long, logs array<double>, known array<double>, ids array<long>, keys array<long>, tails array<double>, word binary, n long"
-COUNTED_NAMES = ["chunk", "logs", "known", "ids", "keys", "tails", "word", "n"]
-COUNTED_TYPES = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.int64()]
+SPREAD = "bucket int, second boolean, chunk long, words binary, counts binary, spread binary, docs binary, freqs binary, asked binary, ids array<long>, keys array<long>"
+SPREAD_NAMES = ["bucket", "second", "chunk", "words", "counts", "spread", "docs", "freqs", "asked", "ids", "keys"]
+SPREAD_TYPES = [pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.int64())]
+# Of a chunk: sums of its documents, its document list, its frequent words' postings, counts that it asked for. Of a bucket: totals by tail class, one of its most frequent words
+COUNTED = "chunk long, of binary, logs binary, known binary, ids array<long>, keys array<long>, spread binary, docs binary, freqs binary, asked binary, counts binary, tails array<double>, word binary, n long"
+COUNTED_NAMES = ["chunk", "of", "logs", "known", "ids", "keys", "spread", "docs", "freqs", "asked", "counts", "tails", "word", "n"]
+COUNTED_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.list_(pa.float64()), pa.binary(), pa.int64()]
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
 
 
+def _named(rows: list[dict], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return _rows([tuple(map(r.get, names)) for r in rows], names, types)
+
+
+def _sums(per: np.ndarray, docs: np.ndarray, freqs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By document: sum of log10(count + 0.1) and number of known words, from postings in order of their words, per of each."""
+    per = per.astype(np.int64)
+    return np.bincount(docs, weights=np.repeat(np.log10(counts + 0.1), per) * freqs), np.bincount(docs, weights=np.repeat(counts > 0, per) * freqs).astype(np.int64)
+
+
 def count_words(keyed: DataFrame) -> DataFrame:
     """Rows of COUNTED, computed once."""
     n_buckets = partitions(keyed.sparkSession)
@@ -354,19 +366,31 @@ def count_words(keyed: DataFrame) -> DataFrame:
                 chunk, n = next(ids), len(texts)
                 words, word_of, doc_of, freq = postings(texts)
                 counts = np.bincount(word_of, weights=freq * ~held[first : first + n][doc_of], minlength=len(words)).astype(np.uint64)
-                index = {w: i for i, w in enumerate(words)}
-                rows = [(chunk % n_buckets, True, chunk, None, None, None, None, None, batch.column(0).slice(first, n).to_pylist(), batch.column(1).slice(first, n).to_pylist())]
-                for b, own, per_word, by in dealt(words, word_of, n_buckets):
-                    joined = b"\n".join(own)
-                    rows.append((b, False, chunk, joined, pack(counts[[index[w] for w in own]]), None, None, None, None, None))
-                    rows.append((b, True, chunk, joined, None, pack(per_word), pack(doc_of[by]), pack(freq[by]), None, None))
+                often = np.bincount(word_of, minlength=len(words)) * OFTEN > n
+                of_often = often[word_of]
+                rank = np.cumsum(often) - 1  # of a frequent word among the batch's
+                own = slice(first, first + n)
+                rows = [{"bucket": chunk % n_buckets, "second": True, "chunk": chunk, "ids": batch.column(0)[own].to_pylist(), "keys": batch.column(1)[own].to_pylist()}]
+                if often.any():
+                    w, d, f = word_of[of_often], doc_of[of_often], freq[of_often]
+                    by = np.argsort(w, kind="stable")
+                    per = np.bincount(rank[w], minlength=int(often.sum()))
+                    rows.append({"bucket": chunk % n_buckets, "second": True, "chunk": chunk, "spread": pack(per), "docs": pack(d[by]), "freqs": pack(f[by])})
+                left, doc_left, freq_left = word_of[~of_often], doc_of[~of_often], freq[~of_often]
+                for b, at, per_word, by in dealt(words, left, n_buckets):
+                    row = {"bucket": b, "chunk": chunk}
+                    rows.append(row | {"second": False, "words": b"\n".join([words[i] for i in at]), "counts": pack(counts[at])})
+                    rare, common = at[~often[at]], at[often[at]]
+                    if len(rare):
+                        rows.append(row | {"second": True, "words": b"\n".join([words[i] for i in rare]), "spread": pack(per_word[~often[at]]), "docs": pack(doc_left[by]), "freqs": pack(freq_left[by])})
+                    if len(common):
+                        rows.append(row | {"second": True, "words": b"\n".join([words[i] for i in common]), "asked": pack(rank[common])})
                 for i in range(0, len(rows), 64):
-                    yield _rows(rows[i : i + 64], SPREAD_NAMES, SPREAD_TYPES)
+                    yield _named(rows[i : i + 64], SPREAD_NAMES, SPREAD_TYPES)
 
     def count(batches):
         """First the counts of all words of the partition, then their postings."""
         known: dict[bytes, int] = {}
-        logs = None
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -374,15 +398,16 @@ def count_words(keyed: DataFrame) -> DataFrame:
                     for w, n in zip(r["words"].split(b"\n"), unpack(r["counts"]).tolist()):
                         known[w] = known.get(w, 0) + n
                     continue
-                if logs is None:
-                    logs = {}
-                if r["ids"] is not None:
-                    out.append((r["chunk"], None, None, r["ids"], r["keys"], None, None, None))
+                if r["words"] is None:  # a document list, or postings of the chunk's frequent words
+                    out.append({k: r[k] for k in ("chunk", "ids", "keys", "spread", "docs", "freqs")})
                     continue
-                c = np.fromiter(map(known.__getitem__, r["words"].split(b"\n")), np.float64)
-                per, of, f = unpack(r["spread"]).astype(np.int64), unpack(r["docs"]), unpack(r["freqs"])
-                out.append((r["chunk"], np.bincount(of, weights=np.repeat(np.log10(c + 0.1), per) * f), np.bincount(of, weights=np.repeat(c > 0, per) * f), None, None, None, None, None))
-            yield _rows(out, COUNTED_NAMES, COUNTED_TYPES)
+                c = np.fromiter(map(known.__getitem__, r["words"].split(b"\n")), np.int64)
+                if r["asked"] is not None:
+                    out.append({"chunk": r["chunk"], "asked": r["asked"], "counts": pack(c)})
+                else:
+                    of, (logs, n_known) = thinned(unpack(r["docs"]), *_sums(unpack(r["spread"]), unpack(r["docs"]), unpack(r["freqs"]), c))
+                    out.append({"chunk": r["chunk"], "of": of, "logs": logs.tobytes(), "known": pack(n_known)})
+            yield _named(out, COUNTED_NAMES, COUNTED_TYPES)
         if known:
             tails = np.zeros((3, CLASSES))  # sum of counts, distinct words, words met once
             for w, n in known.items():
@@ -392,7 +417,7 @@ def count_words(keyed: DataFrame) -> DataFrame:
                     tails[1, k] += 1
                     tails[2, k] += n == 1
             top = sorted(((-n, w) for w, n in known.items() if n))[:HEAD]
-            yield _rows([(None, None, None, None, None, tails.ravel(), None, None), *((None, None, None, None, None, None, w, -n) for n, w in top)], COUNTED_NAMES, COUNTED_TYPES)
+            yield _named([{"tails": tails.ravel()}, *({"word": w, "n": -n} for n, w in top)], COUNTED_NAMES, COUNTED_TYPES)
 
     sent = by_bucket(keyed.mapInArrow(spread, SPREAD)).sortWithinPartitions("second")
     return stored(sent.mapInArrow(count, COUNTED))
@@ -402,32 +427,38 @@ def document_sums(counted: DataFrame) -> DataFrame:
     """doc_id, text_key, logs (sum of log10(c + 0.1) over words), known (words with c > 0)."""
 
     def gather(batches):
-        chunk, logs, known, ids, keys = None, None, None, None, None
+        chunk = None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(_long(logs, len(ids))), pa.array(_long(known, len(ids)).astype(np.int64))], ["doc_id", "text_key", "logs", "known"])
-
-        def _long(x, n):
-            return np.concatenate([x, np.zeros(n - len(x))])
-
-        def plus(a, b):
-            b = np.array(b)
-            return _long(a, max(len(a), len(b))) + _long(b, max(len(a), len(b)))
+            nonlocal logs, known
+            if often is not None:
+                per = unpack(often["spread"])
+                counts = np.zeros(len(per))
+                for r in answers:
+                    counts[unpack(r["asked"]).astype(np.int64)] = unpack(r["counts"])
+                more = _sums(per, unpack(often["docs"]), unpack(often["freqs"]), counts)
+                logs, known = added(logs, None, more[0]), added(known, None, more[1])
+            whole = lambda x: np.concatenate([x, np.zeros(len(ids), x.dtype)])[: len(ids)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(whole(logs)), pa.array(whole(known))], ["doc_id", "text_key", "logs", "known"])
 
         for batch in batches:
             for r in batch.to_pylist():
                 if r["chunk"] != chunk:
                     if chunk is not None:
                         yield done()
-                    chunk, logs, known, ids, keys = r["chunk"], np.zeros(0), np.zeros(0), None, None
+                    chunk, logs, known, ids, keys, often, answers = r["chunk"], np.zeros(0), np.zeros(0, np.int64), None, None, None, []
                 if r["ids"] is not None:
                     ids, keys = r["ids"], r["keys"]
+                elif r["spread"] is not None:
+                    often = r
+                elif r["asked"] is not None:
+                    answers.append(r)
                 else:
-                    logs, known = plus(logs, r["logs"]), plus(known, r["known"])
+                    logs, known = added(logs, r["of"], np.frombuffer(r["logs"])), added(known, r["of"], unpack(r["known"]).astype(np.int64))
         if chunk is not None:
             yield done()
 
-    own = counted.filter(F.col("chunk").isNotNull()).select("chunk", "logs", "known", "ids", "keys")
+    own = counted.filter(F.col("chunk").isNotNull()).select("chunk", "of", "logs", "known", "ids", "keys", "spread", "docs", "freqs", "asked", "counts")
     return together(own, "chunk").mapInArrow(gather, "doc_id long, text_key long, logs double, known long")
 
 
@@ -445,19 +476,23 @@ def train(symbols: DataFrame, symbol_counts: np.ndarray) -> dict[str, np.ndarray
                 trainer.learn(learn)
         if trainer.tokens:
             flat = np.concatenate([trainer.p[k].ravel() for k in names]).astype(np.float64) * trainer.tokens
-            yield _rows([(number % 16, trainer.tokens, flat.tobytes())], ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()])
+            yield _rows([(number, trainer.tokens, flat.tobytes())], ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()])
 
     def add(batches):
         n, w, part = 0, None, None
         for batch in batches:
             for r in batch.to_pylist():
                 x = np.frombuffer(r["w"], np.float64)
-                n, w, part = n + r["n"], x if w is None else w + x, r["part"]
+                n, w, part = n + r["n"], x if w is None else w + x, r["part"] if part is None else part
         if w is not None:
-            yield _rows([(part, n, w.tobytes())], ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()])
+            yield _rows([(part // TREE, n, w.tobytes())], ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()])
 
     kind = "part int, n long, w binary"
-    sums = symbols.mapInArrow(copy, kind).repartition(16, "part").mapInArrow(add, kind).collect()  # 16 rows at most
+    left, sums = symbols.rdd.getNumPartitions(), symbols.mapInArrow(copy, kind)
+    while left > TREE:  # a task adds up TREE copies, in order
+        left = -(-left // TREE)
+        sums = sums.repartitionById(left, F.floor(F.col("part") / TREE).cast("int")).sortWithinPartitions("part").mapInArrow(add, kind)
+    sums = sums.collect()  # TREE rows at most
     n = sum(r["n"] for r in sums)
     if not n:
         return first

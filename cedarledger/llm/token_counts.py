@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import load, vocabulary
-from .exchange import by_bucket, documents, next_row_ids, pack, partitions, together, unpack
+from .exchange import added, by_bucket, documents, next_row_ids, pack, partitions, thinned, together, unpack
 
 PACKED = "bucket int, chunk long, words binary, spread binary, docs binary, freqs binary, doc_ids array<long>, n_bytes array<long>"
-PARTIAL = "chunk long, sums binary, doc_ids array<long>, n_bytes array<long>"
+PARTIAL = "chunk long, of binary, sums binary, doc_ids array<long>, n_bytes array<long>"
 RESULT = "doc_id long, n_bytes long, n_tokens long"
 BATCH_BYTES = 24 << 20
+KNOWN = 1_000_000  # pre-tokens whose counts a task remembers
 OFTEN = 8  # a word in more than one of so many documents of a batch counts as frequent
 
 
@@ -59,7 +60,7 @@ def postings(texts_words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, n
 
 
 def dealt(words: list[bytes], word_of: np.ndarray, n_buckets: int, salt: np.ndarray | None = None):
-    """Per bucket that has any: its number, its words, and the postings that belong to them, ordered by word. Salt, by word, moves a word to another bucket."""
+    """Per bucket that has any: its number, its words' numbers, and the postings that belong to them, ordered by word. Salt, by word, moves a word to another bucket."""
     bucket = np.fromiter(map(crc32, words), np.int64, len(words))
     bucket = (bucket if salt is None else bucket + salt) % n_buckets
     order = np.argsort(bucket, kind="stable")
@@ -72,7 +73,7 @@ def dealt(words: list[bytes], word_of: np.ndarray, n_buckets: int, salt: np.ndar
     for b in range(n_buckets):
         lo, hi = at[b], at[b + 1]
         if lo < hi:
-            yield b, [words[i] for i in order[lo:hi]], per_word[lo:hi], by[starts[lo] : starts[hi]]
+            yield b, order[lo:hi], per_word[lo:hi], by[starts[lo] : starts[hi]]
 
 
 def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
@@ -89,8 +90,8 @@ def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | N
                 # what many documents of the batch have, has many postings in every batch: each batch sends it elsewhere
                 salt = np.where(np.bincount(word_of, minlength=len(words)) * OFTEN > len(texts), crc32(b"%d" % chunk), 0)
                 rows = [(chunk % n_buckets, chunk, None, None, None, None, keys, [len(t) for t in texts])]
-                for b, own, per_word, by in dealt(words, word_of, n_buckets, salt):
-                    rows.append((b, chunk, b"\n".join(own), pack(per_word), pack(doc_of[by]), pack(freq[by]), None, None))
+                for b, at, per_word, by in dealt(words, word_of, n_buckets, salt):
+                    rows.append((b, chunk, b"\n".join([words[i] for i in at]), pack(per_word), pack(doc_of[by]), pack(freq[by]), None, None))
                 for i in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), PACKED_TYPES)], PACKED_NAMES)
 
@@ -100,16 +101,19 @@ def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | N
             out = []
             for r in batch.to_pylist():
                 if r["doc_ids"] is not None:
-                    out.append((r["chunk"], None, r["doc_ids"], r["n_bytes"]))
+                    out.append((r["chunk"], None, None, r["doc_ids"], r["n_bytes"]))
                     continue
                 words = r["words"].split(b"\n")
+                if len(known) > KNOWN:
+                    known = {}
                 new = [w for w in words if w not in known]
                 for w, e in zip(new, tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
                     known[w] = len(e.ids)
                 pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 docs_, weight = unpack(r["docs"]), np.repeat(pieces, unpack(r["spread"]).astype(np.int64)) * unpack(r["freqs"])
-                out.append((r["chunk"], pack(np.bincount(docs_, weights=weight).astype(np.uint64)), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, PARTIAL_TYPES)], PARTIAL_NAMES)
+                of, (sums,) = thinned(docs_, np.bincount(docs_, weights=weight).astype(np.uint64))
+                out.append((r["chunk"], of, pack(sums), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, PARTIAL_TYPES)], PARTIAL_NAMES)
 
     packed = documents(docs, "doc_id", "text").mapInArrow(spread, PACKED)
     partial = by_bucket(packed).mapInArrow(count, PARTIAL)
@@ -121,8 +125,7 @@ def gather(batches):
     chunk, total, keys, sizes = None, None, None, None
 
     def done():
-        t = np.zeros(len(keys), np.int64)
-        t[: len(total)] = total
+        t = np.concatenate([total, np.zeros(len(keys), np.int64)])[: len(keys)]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(t)], ["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
@@ -134,20 +137,15 @@ def gather(batches):
             if r["doc_ids"] is not None:
                 keys, sizes = r["doc_ids"], r["n_bytes"]
             else:
-                s = unpack(r["sums"]).astype(np.int64)
-                if len(s) > len(total):
-                    s[: len(total)] += total
-                    total = s
-                else:
-                    total[: len(s)] += s
+                total = added(total, r["of"], unpack(r["sums"]).astype(np.int64))
     if chunk is not None:
         yield done()
 
 
 PACKED_NAMES = ["bucket", "chunk", "words", "spread", "docs", "freqs", "doc_ids", "n_bytes"]
 PACKED_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
-PARTIAL_NAMES = ["chunk", "sums", "doc_ids", "n_bytes"]
-PARTIAL_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+PARTIAL_NAMES = ["chunk", "of", "sums", "doc_ids", "n_bytes"]
+PARTIAL_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def with_limit(counted: DataFrame, limit: int = 2048) -> DataFrame:
