@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash table of test n-grams, scanned over training windows, hits verified.
 
 Windows of WIDTH normalised words of every benchmark item (an item of fewer words is one window) go into a hash table that
-is broadcast while it has at most BROADCAST_WINDOWS entries and joined by shuffle beyond that. Every window of every document
-is hashed and passes a sieve of the table's hashes in its own row; what passes is looked up by its hash, and a hit counts
-only if the words themselves agree. Everything is built from DataFrame functions.
+is broadcast while it has at most BROADCAST_WINDOWS entries, four times as many item ids and BROADCAST_CHARS characters, and
+joined by shuffle beyond that. Every window of every document is hashed and passes a sieve of the table's hashes in its own
+row, whatever the table's size; what passes is looked up by its hash, and a hit counts only if the words themselves agree.
+Everything is built from DataFrame functions.
 
 Null texts have no words. Repeated documents each get a result; repeated items with one id count once. A benchmark without
 words hits nothing; an empty table of documents gives no rows; extra columns are ignored.
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WIDTH = 13
 BROADCAST_WINDOWS = 500_000
+BROADCAST_CHARS = 64 << 20
+SIEVE = 1 << 17  # longs of the sieve, at most
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,32 +56,37 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return each.groupBy("width", "hash", "words").agg(F.collect_set("item_id").alias("items"))
 
 
-def sieve(hashed: list[int]):
-    """Whether a hash may be among these, as a column function: a table of eight bits for each at least."""
-    n = 1 << max(12, (len(hashed) // 8).bit_length())
+def sieve(table: DataFrame, n_windows: int):
+    """Whether a hash may be among the table's, as a column function: eight bits for each window at least, up to SIEVE longs."""
+    n = min(SIEVE, 1 << max(12, (n_windows // 8).bit_length()))
+    place = lambda h: F.pmod(h, F.lit(n)).cast("int")
+    bit = lambda h: F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
     bits = [0] * n
-    for h in hashed:
-        bits[h % n] |= 1 << ((h >> 40) & 63)
-    table = F.from_json(F.lit("[" + ",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits) + "]"), "array<bigint>")
-    return lambda h: F.getbit(F.get(table, F.pmod(h, F.lit(n)).cast("int")), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")) == 1
+    for r in table.groupBy(place(F.col("hash")).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("hash")))).alias("b")).collect():  # n rows at most
+        bits[r["i"]] = r["b"]
+    longs = F.from_json(F.lit("[" + ",".join(map(str, bits)) + "]"), "array<bigint>")
+    return lambda h: F.getbit(F.get(longs, place(h)), bit(h)) == 1
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, spans (start and number of words of each hit), items (ids of items with hits)."""
     table = windows(items, width)
-    sizes = {r["width"]: r["n"] for r in table.groupBy("width").agg(F.count("*").alias("n")).collect()}  # width rows at most
-    fits = sum(sizes.values()) <= BROADCAST_WINDOWS
-    passes = sieve([r["hash"] for r in table.select("hash").collect()]) if fits else lambda h: F.lit(True)  # at most BROADCAST_WINDOWS longs
+    chars = F.aggregate("words", F.lit(0), lambda s, x: s + F.length(x))
+    by_width = table.groupBy("width").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("ids"), F.sum(chars).alias("chars")).collect()  # width rows at most
+    n_windows = sum(r["n"] for r in by_width)
+    fits = n_windows <= BROADCAST_WINDOWS and sum(r["ids"] for r in by_width) <= 4 * BROADCAST_WINDOWS and sum(r["chars"] for r in by_width) <= BROADCAST_CHARS
+    passes = sieve(table, n_windows)
     table = table.select(F.col("hash").alias("_hash"), F.col("words").alias("_words"), F.col("items").alias("_items"))
     w = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     w = w.select("row", "doc_id", "text_key", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    widths = sorted(sizes) or [width]
-    w = w.withColumn("width", F.lit(widths[0]) if len(widths) == 1 else F.explode(F.array(*map(F.lit, widths))))
-    of = F.coalesce(*(F.when(F.col("width") == n, hashes(F.col("h"), n)) for n in widths))
-    some = F.filter(F.transform(of, lambda h, i: F.when(passes(h), F.struct(i.alias("at"), h.alias("hash")))), lambda x: x.isNotNull())
-    some = F.transform(some, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), F.slice(F.col("w"), x["at"] + 1, F.col("width")).alias("words")))
-    each = w.select("row", "doc_id", "text_key", "n_words", "width", F.explode_outer(some).alias("x"))
-    each = each.select("row", "doc_id", "text_key", "n_words", "width", F.col("x.at").alias("at"), F.col("x.hash").alias("hash"), F.col("x.words").alias("words"))
+
+    def passing(n: int) -> Column:
+        """What passes of the windows of n words."""
+        own = F.transform(hashes(F.col("h"), n), lambda h, i: F.when(passes(h), F.struct(i.alias("at"), F.lit(n).alias("width"), h.alias("hash"), F.slice(F.col("w"), i + 1, F.lit(n)).alias("words"))))
+        return F.filter(own, lambda x: x.isNotNull())
+
+    some = F.concat(*map(passing, sorted(r["width"] for r in by_width) or [width]))
+    each = w.select("row", "doc_id", "text_key", "n_words", F.explode_outer(some).alias("x")).select("row", "doc_id", "text_key", "n_words", "x.*")
     met = each.join(F.broadcast(table) if fits else table, F.col("hash") == F.col("_hash"), "left")
     true = F.coalesce(F.col("words") == F.col("_words"), F.lit(False))
     span = F.when(true, F.struct(F.col("at").alias("at"), F.col("width").alias("width")))
