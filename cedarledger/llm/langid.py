@@ -7,7 +7,8 @@ hashed into a table of fixed size. Marginals come from forward-backward; a docum
 share of posterior mass over its words, and that share is the score.
 
 The field is fitted on a bounded sample of labelled rows: at most about SAMPLE documents a language, drawn by a hash of
-doc_id from the rows meant for learning. Prediction covers every word of every text.
+doc_id from the rows meant for learning, and of a text longer than SAMPLE_CHARS a part of that length, from a place drawn by
+hash. Prediction covers every word of every text.
 
 A null text or one without a letter gives und and score 0; a table without labelled rows gives und everywhere. One result
 per input row, repeated rows included; null doc_id counts as an empty key; extra columns are ignored.
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SAMPLE = 100  # documents a language, expected
+SAMPLE_CHARS = 100_000  # of a document of the sample, at most
 DIM = 1 << 15
 LEXICON = 300  # words a language
 SEGMENT = 64  # words of one training sequence
@@ -180,7 +182,11 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]
     space = 1 << 20
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(space))
     shares = docs.sparkSession.createDataFrame([(lang, max(1, round(space * min(1.0, per_language / n)))) for lang, n in sizes.items()], "lang string, _below long")
-    rows = known.join(F.broadcast(shares), "lang").filter(drawn < F.col("_below")).select("text", "lang", "doc_id").limit(2 * per_language * len(sizes)).collect()
+    n = F.length("text")
+    part = F.when(n > SAMPLE_CHARS, F.substring("text", (F.pmod(F.xxhash64("text"), n - SAMPLE_CHARS) + 1).cast("int"), F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    met = known.join(F.broadcast(shares), "lang").filter(drawn < F.col("_below"))
+    # a doc_id that many rows share is drawn with all of them; the first by hash of their text stay within the bound
+    rows = met.orderBy(drawn, F.xxhash64("text"), "lang").select(part.alias("text"), "lang", "doc_id").limit(2 * per_language * len(sizes)).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"]))]
 
 
