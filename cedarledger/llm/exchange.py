@@ -24,6 +24,22 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=_CODES[blob[0]], offset=1)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        return i
+
+
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative integers, sixteen bits at a time: those are sorted by radix."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(x) and (high := x >> 16).any():
+        order = order[np.argsort(high[order].astype(np.uint16), kind="stable")]
+    return order
+
+
 def thinned(docs: np.ndarray, *sums: np.ndarray) -> tuple[bytes | None, list[np.ndarray]]:
     """Sums by document for a row: of the documents met alone, with their packed numbers, where those are few."""
     met = np.flatnonzero(np.bincount(docs))

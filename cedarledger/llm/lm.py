@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .exchange import added, by_bucket, documents, next_row_ids, pack, partitions, stored, text_key, thinned, together, unpack
+from .exchange import added, by_bucket, documents, in_order, next_row_ids, pack, partitions, stored, text_key, thinned, together, unpack
 from .token_counts import OFTEN, dealt, postings
 
 CLASSES = 64
@@ -98,9 +98,8 @@ def start(symbol_counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
-def step(p: dict, x: np.ndarray, h: np.ndarray):
-    """One token further: new state and what its gradient needs."""
-    e = p["E"].take(x, axis=0)
+def step(p: dict, e: np.ndarray, h: np.ndarray):
+    """One token further, by the token's row of E: new state and what its gradient needs."""
     a = h @ p["U"]
     zr = e[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
     np.negative(zr, out=zr)
@@ -150,7 +149,7 @@ def output(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         grads["c"] += soft.sum(1)
         dh = (p["C"] @ soft).T.copy()
     order, ends = by_class(c)
-    sorted_h, sorted_s, inner = h[order], s[order], np.empty(len(y), out.dtype)
+    sorted_h, sorted_s, inner, inner_dh = h[order], s[order], np.empty(len(y), out.dtype), np.empty_like(h)
     for k in range(CLASSES):
         lo, hi = ends[k], ends[k + 1]
         if lo < hi:
@@ -159,8 +158,10 @@ def output(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
             if grads is not None:
                 grads["S"][k] += (soft @ hk).T
                 grads["s"][k] += soft.sum(1)
-                dh[order[lo:hi]] += (p["S"][k] @ soft).T
+                np.matmul(soft.T, p["S"][k].T, out=inner_dh[lo:hi])
     out[order] += inner
+    if grads is not None:
+        dh[order] += inner_dh
     return out, dh
 
 
@@ -178,44 +179,59 @@ def packed_steps(symbols: list[np.ndarray]):
 
 def train_window(p: dict, xs: list[np.ndarray], ys: list[np.ndarray], h: np.ndarray) -> tuple[dict, np.ndarray, int]:
     """Gradient of the log likelihood over one window from state h; the state after it."""
-    states, kept = [], []
-    for x in xs:
-        h = h[: len(x)]
-        new, k = step(p, x, h)
-        states.append((h, new))
+    x = np.concatenate(xs)
+    e = p["E"].take(x, axis=0)
+    ends = np.cumsum([len(x) for x in xs]).tolist()
+    befores, news, kept = [], [], []
+    for n, end in zip(map(len, xs), ends):
+        h = h[:n]
+        befores.append(h)
+        h, k = step(p, e[end - n : end], h)
+        news.append(h)
         kept.append(k)
-        h = new
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
-    _, dout = output(p, np.concatenate([new for _, new in states]), np.concatenate(ys), grads)
-    ends = np.cumsum([len(x) for x in xs])
-    dh = np.zeros((0, HIDDEN), np.float32)
-    de = []
-    for t in range(len(xs) - 1, -1, -1):
-        n = len(xs[t])
-        d = dout[ends[t] - n : ends[t]]
-        d[: len(dh)] += dh
-        before, _ = states[t]
-        zr, an, new = kept[t]
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        dn = d * (1 - z) * (1 - new * new)
-        da = np.concatenate([d * (before - new) * z * (1 - z), dn * an * r * (1 - r), dn], axis=1)
-        de.append(da.copy())
-        da[:, 2 * HIDDEN :] *= r
-        grads["U"] += before.T @ da
-        dh = d * z + da @ p["U"].T
-    x, d = np.concatenate(xs[::-1]), np.concatenate(de)
-    order = np.argsort(x, kind="stable")
+    grads = views(np.zeros(sum(v.size for v in p.values()), p["U"].dtype), p)
+    _, dout = output(p, np.concatenate(news), np.concatenate(ys), grads)
+    # what a step's gradient is multiplied by doesn't depend on other steps: made at once
+    before, zr, an, new = np.concatenate(befores), *(np.concatenate(k) for k in zip(*kept))
+    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+    by_new = (1 - z) * (1 - new * new)
+    by = np.stack([(before - new) * z * (1 - z), by_new * an * r * (1 - r), by_new], axis=1)  # of update, reset, candidate
+    back = by.copy()
+    back[:, 2] *= r
+    turned = np.ascontiguousarray(p["U"].T)
+    dh = None
+    for n, end in zip(map(len, xs[::-1]), ends[::-1]):
+        at = slice(end - n, end)
+        d = dout[at]
+        if dh is not None:
+            d[: len(dh)] += dh
+        dh = (back[at] * d[:, None]).reshape(n, 3 * HIDDEN) @ turned
+        dh += d * z[at]
+    grads["U"] += before.T @ (back * dout[:, None]).reshape(len(x), 3 * HIDDEN)
+    d = (by * dout[:, None]).reshape(len(x), 3 * HIDDEN)
+    order = np.argsort(x.astype(np.uint16), kind="stable")  # sorted by radix
     at = np.flatnonzero(np.concatenate(([True], np.diff(x[order]) > 0)))
     grads["E"][x[order][at]] = np.add.reduceat(d[order], at, axis=0)
     return grads, h, len(x)
 
 
+def flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in p.values()])
+
+
+def views(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of one vector in the shapes of like, in its order."""
+    ends = np.cumsum([v.size for v in like.values()]).tolist()
+    return {k: x[end - v.size : end].reshape(v.shape) for (k, v), end in zip(like.items(), ends)}
+
+
 class Trainer:
     """Adam on one copy."""
 
     def __init__(self, p: dict[str, np.ndarray], seed: int):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.flat = flat(p)
+        self.p = views(self.flat, p)
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.rng = np.random.default_rng(seed)
         self.updates = self.tokens = 0
 
@@ -241,11 +257,20 @@ class Trainer:
     def _update(self, grads: dict, n: int) -> None:
         self.updates += 1
         i = self.updates
-        for k, g in grads.items():
-            g /= n
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] += RATE * (self.m[k] / (1 - 0.9**i)) / (np.sqrt(self.v[k] / (1 - 0.99**i)) + 1e-6)
+        g = flat(grads)
+        g /= n
+        self.m *= 0.9
+        self.m += 0.1 * g
+        self.v *= 0.99
+        g *= g
+        g *= 0.01
+        self.v += g
+        np.multiply(self.v, 1 / (1 - 0.99**i), out=g)
+        np.sqrt(g, out=g)
+        g += 1e-6
+        np.divide(self.m, g, out=g)
+        g *= RATE / (1 - 0.9**i)
+        self.flat += g
 
 
 def log_likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
@@ -260,7 +285,7 @@ def log_likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     held, size, t0 = [], 0, 0
     for t in range(len(active)):
         y = flat[starts[t] : starts[t + 1]]
-        h, _ = step(p, last[: len(y)], h[: len(y)])
+        h, _ = step(p, p["E"].take(last[: len(y)], axis=0), h[: len(y)])
         last = y
         held.append(h)
         size += len(y)
@@ -373,7 +398,7 @@ def count_words(keyed: DataFrame) -> DataFrame:
                 rows = [{"bucket": chunk % n_buckets, "second": True, "chunk": chunk, "ids": batch.column(0)[own].to_pylist(), "keys": batch.column(1)[own].to_pylist()}]
                 if often.any():
                     w, d, f = word_of[of_often], doc_of[of_often], freq[of_often]
-                    by = np.argsort(w, kind="stable")
+                    by = in_order(w)
                     per = np.bincount(rank[w], minlength=int(often.sum()))
                     rows.append({"bucket": chunk % n_buckets, "second": True, "chunk": chunk, "spread": pack(per), "docs": pack(d[by]), "freqs": pack(f[by])})
                 left, doc_left, freq_left = word_of[~of_often], doc_of[~of_often], freq[~of_often]
@@ -465,7 +490,6 @@ def document_sums(counted: DataFrame) -> DataFrame:
 def train(symbols: DataFrame, symbol_counts: np.ndarray) -> dict[str, np.ndarray]:
     """The average of the copies that the tasks train."""
     first = start(symbol_counts)
-    names = list(first)
     shared = symbols.sparkSession.sparkContext.broadcast(first)
 
     def copy(batches):
@@ -475,8 +499,7 @@ def train(symbols: DataFrame, symbol_counts: np.ndarray) -> dict[str, np.ndarray
             if learn := [d for d, h in zip(docs, held) if not h]:
                 trainer.learn(learn)
         if trainer.tokens:
-            flat = np.concatenate([trainer.p[k].ravel() for k in names]).astype(np.float64) * trainer.tokens
-            yield _rows([(number, trainer.tokens, flat.tobytes())], ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()])
+            yield _rows([(number, trainer.tokens, (trainer.flat.astype(np.float64) * trainer.tokens).tobytes())], ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()])
 
     def add(batches):
         n, w, part = 0, None, None
@@ -496,12 +519,8 @@ def train(symbols: DataFrame, symbol_counts: np.ndarray) -> dict[str, np.ndarray
     n = sum(r["n"] for r in sums)
     if not n:
         return first
-    flat = sum(np.frombuffer(r["w"], np.float64) for r in sorted(sums, key=lambda r: r["part"])) / n
-    out, at = {}, 0
-    for k, v in first.items():
-        out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-        at += v.size
-    return out
+    mean = sum(np.frombuffer(r["w"], np.float64) for r in sorted(sums, key=lambda r: r["part"])) / n
+    return views(mean.astype(np.float32), first)
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import load, vocabulary
-from .exchange import added, by_bucket, documents, next_row_ids, pack, partitions, thinned, together, unpack
+from .exchange import Numbers, added, by_bucket, documents, in_order, next_row_ids, pack, partitions, thinned, together, unpack
 
 PACKED = "bucket int, chunk long, words binary, spread binary, docs binary, freqs binary, doc_ids array<long>, n_bytes array<long>"
 PARTIAL = "chunk long, of binary, sums binary, doc_ids array<long>, n_bytes array<long>"
@@ -45,13 +45,10 @@ def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[tuple[lis
 
 def postings(texts_words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words; and by (word, document): word's number, document's number, frequency."""
-    index: dict[bytes, int] = {}
+    index = Numbers()
     words, docs, freqs = [], [], []
     for d, tokens in enumerate(texts_words):
         counted = Counter(tokens)
-        for w in counted:
-            if w not in index:
-                index[w] = len(index)
         words.append(np.fromiter(map(index.__getitem__, counted), np.uint32, len(counted)))
         freqs.append(np.fromiter(counted.values(), np.uint32, len(counted)))
         docs.append(np.full(len(counted), d, np.uint32))
@@ -63,11 +60,12 @@ def dealt(words: list[bytes], word_of: np.ndarray, n_buckets: int, salt: np.ndar
     """Per bucket that has any: its number, its words' numbers, and the postings that belong to them, ordered by word. Salt, by word, moves a word to another bucket."""
     bucket = np.fromiter(map(crc32, words), np.int64, len(words))
     bucket = (bucket if salt is None else bucket + salt) % n_buckets
-    order = np.argsort(bucket, kind="stable")
+    order = in_order(bucket)
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    by = np.argsort(rank[word_of], kind="stable")
-    per_word = np.bincount(rank[word_of], minlength=len(words))
+    ranks = rank[word_of]
+    by = in_order(ranks)
+    per_word = np.bincount(ranks, minlength=len(words))
     starts = np.concatenate(([0], np.cumsum(per_word)))
     at = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     for b in range(n_buckets):

@@ -171,7 +171,7 @@ def test_language_model_gradient_by_differences():
     def value():
         h, total = h0, 0.0
         for x, y in zip(xs, ys):
-            h, _ = lm.step(p, x, h[: len(x)])
+            h, _ = lm.step(p, p["E"][x], h[: len(x)])
             total += lm.output(p, h, y)[0].sum()
         return total
 
@@ -208,7 +208,7 @@ def test_state_is_carried_through_a_document():
     for d, got in zip(docs, together):
         h, last, total = np.zeros((1, lm.HIDDEN), np.float32), np.array([lm.END]), 0.0
         for y in d:
-            h, _ = lm.step(p, last, h)
+            h, _ = lm.step(p, p["E"][last], h)
             last = np.array([y])
             total += float(lm.output(p, h, last)[0][0])
         assert math.isclose(got, total / math.log(10), rel_tol=1e-4)
