@@ -97,6 +97,11 @@ def fetch_ok(url: Column, host: str = "www.sec.gov") -> Column:
     return F.coalesce((part("PROTOCOL") == "https") & (part("HOST") == host) & ~F.array_contains(F.split(F.coalesce(part("PATH"), F.lit("")), "/"), ".."), F.lit(False))
 
 
+def content_type_ok(content_type: Column, allowed: tuple[str, ...]) -> Column:
+    """Whether a declared content type names one of the allowed ones, whatever parameters follow it; undeclared is not allowed."""
+    return F.coalesce(has_any(content_type, allowed), F.lit(False))
+
+
 def chunk_id(accession_: Column, start: Column, end: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", accession_, start.cast("string"), end.cast("string")), 256), 1, 16)
 

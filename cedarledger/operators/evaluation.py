@@ -37,6 +37,7 @@ def gate(results: DataFrame) -> DataFrame:
         F.count("*").alias("question_count"), rate(F.col("tool_routing_correct")).alias("tool_routing_accuracy"), rate(F.col("numeric_exact")).alias("numeric_exactness_rate"),
         rate(F.col("citation_count") > 0).alias("citation_coverage_rate"), rate(F.col("used_fallback")).alias("fallback_rate"), F.coalesce(F.sum("unsupported_claim_count"), F.lit(0)).alias("total_unsupported_claims"),
         F.coalesce(F.avg("latency_seconds"), F.lit(0.0)).alias("average_latency_seconds"), F.coalesce(F.try_divide(valid.cast("double"), urls), F.lit(1.0)).alias("source_url_validity_rate"),
+        F.lit(None).cast("double").alias("retrieval_recall_at_k"),  # no labelled retrieval questions
         F.count_if(F.col("uncited")).alias("uncited_count"), F.count_if(~F.col("passed")).alias("failed_count"),
     )
     failures = F.filter(F.array(
@@ -47,5 +48,6 @@ def gate(results: DataFrame) -> DataFrame:
 
 
 def report(results: DataFrame) -> DataFrame:
-    """The gate's row and all results as one JSON document."""
-    return gate(results).select(F.to_json(F.struct("*")).alias("summary")).crossJoin(results.agg(F.to_json(F.collect_list(F.struct(*results.columns))).alias("questions")))
+    """The gate's row and each result as lines of JSON: kind (summary or question), question_id, json. Results stay where they are."""
+    summary = gate(results).select(F.lit("summary").alias("kind"), F.lit(None).cast("string").alias("question_id"), F.to_json(F.struct("*")).alias("json"))
+    return summary.unionByName(results.select(F.lit("question").alias("kind"), F.col("question_id").cast("string").alias("question_id"), F.to_json(F.struct(*results.columns)).alias("json")))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import chunk_id, collapse, scrub
+from . import store
 
 TARGET, OVERLAP = 800, 100
 
@@ -48,6 +51,61 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str = "chunk_
     return vectors.select("*", inner_product(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192  # vectors in a block
+DIGITS = 9  # of a score when neighbours are put in order: sums of products differ in the last bits
+
+
+def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Rows of so many keys and their vectors, one after another, as doubles."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        keys, rows = [], []
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([keys]), pa.array([np.array(rows, np.float64).tobytes()], pa.binary())], [f"{name}_keys", f"{name}_rows"])
+
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys.append(k)
+                rows.append(v)
+                if len(keys) == size:
+                    yield row()
+                    keys, rows = [], []
+        if keys:
+            yield row()
+
+    return df.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{name}_keys array<{kind}>, {name}_rows binary")
+
+
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query, key, score, rank of the k vectors nearest to each query by inner product, exactly; ties (at nine digits) by key.
+
+    Both sides meet in blocks: a pair of blocks is one matrix product, which keeps k rows a query, so what is shuffled grows
+    with the number of blocks. Vectors without a value are nobody's neighbour; without queries there are no rows.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def best(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for q_keys, q_rows, keys, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                q, v, names = np.frombuffer(q_rows).reshape(len(q_keys), -1), np.frombuffer(rows).reshape(len(keys), -1), np.array(keys)
+                for name, s in zip(q_keys, np.round(q @ v.T, DIGITS)):
+                    least = np.partition(s, -k)[-k] if k < len(s) else -np.inf
+                    at = np.flatnonzero(s >= least)
+                    at = at[np.lexsort((names[at], -s[at]))][:k]
+                    out[0] += [name] * len(at)
+                    out[1] += names[at].tolist()
+                    out[2] += s[at].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type.value_type), pa.array(out[1], batch.schema.field(2).type.value_type), pa.array(out[2], pa.float64())], ["query", key, "score"])
+
+    pairs = _blocks(queries, key, vector, QUERY_BLOCK, "q").crossJoin(_blocks(vectors, key, vector, VECTOR_BLOCK, "v"))
+    found = pairs.mapInArrow(best, f"query {queries.schema[key].dataType.simpleString()}, {key} {kind}, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, text: str, k: int = 3, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     q = vectors.sparkSession.range(1).select(embed(F.lit(text)).alias("e")).first()["e"]
     return top_k(vectors, list(q), k).withColumn("text", scrub(F.col("text")))
@@ -63,7 +121,8 @@ def delete(index: DataFrame, accession_number: str) -> DataFrame:
 
 
 def save(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").parquet(path)
+    """The index may have been read from path."""
+    store.replace(index, path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

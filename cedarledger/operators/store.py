@@ -50,7 +50,51 @@ def content_addressed(files: DataFrame, source: str) -> DataFrame:
     return out.withColumn("corrupt", F.coalesce(F.col("expected_checksum") != F.col("checksum"), F.lit(False)) if "expected_checksum" in files.columns else F.lit(False))
 
 
+def _stored(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("stored_path") if _exists(spark, path) else spark.createDataFrame([], "stored_path string")
+
+
+def content_status(files: DataFrame, path: str, source: str) -> DataFrame:
+    """content_addressed() of files, and whether the store at path has each already."""
+    there = _stored(files.sparkSession, path).withColumn("already_cached", F.lit(True))
+    return content_addressed(files, source).join(there, "stored_path", "left").fillna(False, ["already_cached"])
+
+
+def write_content(files: DataFrame, path: str, source: str) -> None:
+    """Store files by their content under path, in partitions by the first two digits of the checksum. Content that is there is not written again; corrupt files are left out."""
+    good = content_addressed(files, source).filter("NOT corrupt").select("path", "checksum", "stored_path")
+    new = files.select("path", "content").join(good, "path").join(_stored(files.sparkSession, path), "stored_path", "left_anti").dropDuplicates(["stored_path"])
+    new.select("stored_path", "checksum", "content", F.substring("checksum", 1, 2).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def _path(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Write df in place of what is at path, which df may read: beside it first, then renamed."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+    fs.rename(_path(spark, f"{path}.next")[1], p)
+
+
+def upsert_table(new: DataFrame, path: str, keys: list[str], order: str = "ingest_seq") -> None:
+    """Upsert rows into the table at path, which need not be there yet."""
+    spark = new.sparkSession
+    replace(upsert(spark.read.parquet(path), new, keys, order) if _exists(spark, path) else upsert(new.limit(0), new, keys, order), path)
+
+
 def snapshot_hash(files: DataFrame) -> DataFrame:
-    """Sixteen hex digits for a set of files (path, content), whatever their order: a hash over their checksums by path."""
-    one = F.concat_ws(":", "path", F.sha2("content", 256))
-    return files.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ","), 256), 1, 16).alias("snapshot"))
+    """Sixteen hex digits for a set of files (path, content), whatever their order: a hash over the hashes of 65,536 groups, each over its files' checksums by path."""
+    one = files.select("path", F.sha2("content", 256).alias("checksum"))
+    group = F.substring(F.sha2("path", 256), 1, 4)
+    hashed = one.groupBy(group.alias("group")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "checksum"))), ","), 256).alias("hash"))
+    return hashed.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "group", "hash"))), ","), 256), 1, 16).alias("snapshot"))

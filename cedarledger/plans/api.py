@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import analytics as A
-from .ingest import DealNotFound, both_periods, latest_pair
+from ..sources import certificates
+from .ingest import DealNotFound, both_periods, exists, latest_pair
 
 
 class Surveillance:
@@ -36,7 +37,15 @@ class Surveillance:
         return latest_pair(loans, cik)[1]
 
     def deals(self) -> DataFrame:
-        return self.table("loans").groupBy("cik").agg(F.count_distinct("accession_number").alias("periods"))
+        """cik, periods, and the name where filing lists were ingested."""
+        out = self.table("loans").groupBy("cik").agg(F.count_distinct("accession_number").alias("periods"))
+        if not exists(self.spark, f"{self.tables}/deals"):
+            return out.withColumn("name", F.lit(None).cast("string"))
+        return out.join(self.spark.read.parquet(f"{self.tables}/deals").select("cik", "name"), "cik", "left")
+
+    def outcomes(self, cik: str, kind: str = "assets") -> DataFrame:
+        """Status and reason of each filing of assets, reports or narrative."""
+        return self.table(f"outcomes_{kind}").filter(F.col("cik") == cik)
 
     def summary(self, cik: str) -> DataFrame:
         return A.paydown(A.deal_summary(self._latest(cik)))
@@ -66,9 +75,10 @@ class Surveillance:
         return A.property_profiles(self._latest(cik), asset_number=asset_number, property_name=property_name)
 
     def _last_report(self, cik: str, name: str) -> DataFrame:
-        own = self.table(name).filter(F.col("cik") == cik)
-        last = own.agg(F.max("accession_number").alias("accession_number"))
-        return own.join(last, "accession_number", "left_semi")
+        """Of the report with the latest date; reports without one are in order of their accession numbers."""
+        reports = self.outcomes(cik, "reports").filter("status = 'created'").withColumn("seq", F.col("accession_number"))
+        last = certificates.latest_report(reports).select("accession_number")
+        return self.table(name).filter(F.col("cik") == cik).join(last, "accession_number", "left_semi")
 
     def certificate_distributions(self, cik: str) -> DataFrame:
         return self._last_report(cik, "certificates").orderBy("row_idx")

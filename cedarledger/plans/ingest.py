@@ -5,11 +5,17 @@ A filing that can't be read gives an outcome, not an error; unreadable values gi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.text import content_type_ok
 from ..operators import analytics, retrieval, store
 from ..schemas import SOURCE
-from ..sources import asset_xml, certificates, html
+from ..sources import asset_xml, certificates, filings as filing_lists, html
+
+# Forms and exhibits that are read, and content types that a page may have.
+REPORT_FORM, REPORT_EXHIBIT, NARRATIVE_FORMS, NEWEST = "10-D", "EX-99.1", ("10-D", "8-K"), 8
+HTML_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
+CREATED, SKIPPED, FAILED = "created", "skipped", "failed"
 
 
 def read_documents(spark: SparkSession, path: str, source_name: str = "landing") -> DataFrame:
@@ -23,14 +29,20 @@ def read_documents(spark: SparkSession, path: str, source_name: str = "landing")
 def asset_filings(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Loans, issues, and an outcome per filing: created, or failed where no loan could be read."""
     parsed = asset_xml.parsed(documents)
+    return asset_xml.loans(parsed), asset_xml.issues(parsed), asset_outcomes(documents, parsed)
+
+
+def asset_outcomes(documents: DataFrame, parsed: DataFrame) -> DataFrame:
     per = parsed.groupBy("cik", "accession_number").agg(F.count("*").alias("loan_count"), F.sum(F.size("issues")).alias("issue_count"))
     keys = documents.select("cik", "accession_number").distinct()
-    outcome = keys.join(per, ["cik", "accession_number"], "left").select("cik", "accession_number", F.when(F.col("loan_count") > 0, "created").otherwise("failed").alias("status"), F.coalesce("loan_count", F.lit(0)).alias("loan_count"), F.coalesce("issue_count", F.lit(0)).alias("issue_count"))
-    return asset_xml.loans(parsed), asset_xml.issues(parsed), outcome
+    status = F.when(F.col("loan_count") > 0, CREATED).otherwise(FAILED)
+    return keys.join(per, ["cik", "accession_number"], "left").select(
+        "cik", "accession_number", status.alias("status"), F.coalesce("loan_count", F.lit(0)).alias("loan_count"), F.coalesce("issue_count", F.lit(0)).alias("issue_count")
+    )
 
 
 def status_counts(outcomes: DataFrame) -> DataFrame:
-    return outcomes.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("created", "skipped", "failed")))
+    return outcomes.agg(*(F.count_if(F.col("status") == s).alias(s) for s in (CREATED, SKIPPED, FAILED)))
 
 
 def monthly_reports(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,9 +51,56 @@ def monthly_reports(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return certificates.distributions(grid), certificates.reconciliations(grid)
 
 
+def _first_reason(*reasons) -> Column:
+    return F.coalesce(*(F.when(bad, F.lit(reason)) for bad, reason in reasons))
+
+
+def report_filings(filings: DataFrame, documents: DataFrame, n: int = NEWEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distributions and reconciliations of the n newest monthly reports of each deal, and an outcome per filing.
+
+    filings: as filings.filings gives them. documents: accession_number, seq, document_type, filename, content_type, value.
+    A filing without the exhibit is skipped. One whose page has another content type, no table that is known, or balances that
+    don't reconcile has failed and gives no rows; the others are not touched by it.
+    """
+    recent = filing_lists.newest(filings.filter(F.col("form_type") == REPORT_FORM), n).select("cik", "accession_number", "report_date", "seq")
+    page = filing_lists.first_document(documents, REPORT_EXHIBIT).select("accession_number", "filename", "content_type", "value")
+    met = recent.join(page, "accession_number", "left").withColumn("typed", content_type_ok(F.col("content_type"), HTML_TYPES))
+    grid = html.html_rows(met.filter("filename IS NOT NULL AND typed"), "accession_number", "value")
+    dist, rec = certificates.distributions(grid), certificates.reconciliations(grid)
+    classes = dist.groupBy("accession_number").agg(F.count("*").alias("class_count"))
+    judged = met.drop("value").join(classes, "accession_number", "left").join(rec.select("accession_number", F.lit(True).alias("has_balances"), "reconciles"), "accession_number", "left")
+    missing = F.col("filename").isNull()
+    reason = _first_reason(
+        (missing, f"no {REPORT_EXHIBIT} exhibit"), (~F.col("typed"), "not a page by its content type"), (F.col("class_count").isNull() & F.col("has_balances").isNull(), "no known table"),
+        (~F.col("reconciles"), "balances don't reconcile"),
+    )
+    outcome = judged.select("cik", "accession_number", "report_date", "seq", F.when(missing, SKIPPED).when(reason.isNotNull(), FAILED).otherwise(CREATED).alias("status"), reason.alias("reason"), F.coalesce("class_count", F.lit(0)).alias("class_count"))
+    good = outcome.filter(F.col("status") == CREATED).select("accession_number")
+    return dist.join(good, "accession_number", "left_semi"), rec.join(good, "accession_number", "left_semi"), outcome
+
+
+def narrative_filings(filings: DataFrame, documents: DataFrame, n: int = NEWEST) -> tuple[DataFrame, DataFrame]:
+    """Chunks, with the source of their page, of the n newest narrative filings of each deal, and an outcome per filing: created, or skipped with a reason.
+
+    documents as for report_filings, and a source struct.
+    """
+    recent = filing_lists.newest(filings.filter(F.col("form_type").isin(*NARRATIVE_FORMS)), n).select("cik", "accession_number", "report_date", "seq", "primary_document")
+    chosen = filing_lists.primary_document(documents, recent)
+    known = [c for c in ("accession_number", "filename", "content_type", "value", "source") if c in documents.columns]
+    page = documents.select(*known).join(chosen, ["accession_number", "filename"]).dropDuplicates(["accession_number"])
+    met = recent.join(page, "accession_number", "left").withColumn("typed", content_type_ok(F.col("content_type"), HTML_TYPES))
+    chunks = narrative(met.filter("filename IS NOT NULL AND typed"))
+    counts = chunks.groupBy("accession_number").agg(F.count("*").alias("chunk_count"))
+    reason = _first_reason((F.col("filename").isNull(), "no page"), (~F.col("typed"), "not a page by its content type"), (F.col("chunk_count").isNull(), "no text"))
+    outcome = met.drop("value").join(counts, "accession_number", "left")
+    return chunks, outcome.select("cik", "accession_number", "report_date", "seq", F.when(reason.isNull(), CREATED).otherwise(SKIPPED).alias("status"), reason.alias("reason"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
 def narrative(documents: DataFrame, target: int = retrieval.TARGET, overlap: int = retrieval.OVERLAP) -> DataFrame:
-    """Chunks of filing text with their vectors."""
-    chunks = retrieval.chunk(html.html_sections(documents.select("accession_number", "value"), "accession_number", "value"), "accession_number", target, overlap)
+    """Chunks of filing text with their vectors, and the source of the page where documents have one."""
+    chunks = retrieval.chunk(html.html_sections(documents, "accession_number", "value"), "accession_number", target, overlap)
+    if "source" in documents.columns:
+        chunks = chunks.join(documents.select("accession_number", "source"), "accession_number")
     return chunks.withColumn("embedding", retrieval.hashed_embedding(F.col("text")))
 
 
@@ -51,20 +110,64 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def deals(filings: DataFrame) -> DataFrame:
+    """cik, name (the latest filing's), ingest_seq."""
+    return filings.groupBy("cik").agg(F.max_by("deal_name", "seq").alias("name"), F.max("seq").alias("ingest_seq"))
+
+
+def filing_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Pages under path/<cik>/<accession_number>/<file>, with the type that the filing's submission text (<accession_number>.txt beside them) declares; without one, reports and primary documents by their name."""
+    pages = read_documents(spark, path)
+    texts, rest = pages.filter(F.col("filename").endswith(".txt")), pages.filter(~F.col("filename").endswith(".txt"))
+    declared = filing_lists.document_list(texts.select("accession_number", "value"))
+    name = F.lower("filename")
+    kind = F.when(name.rlike(r"\.html?$"), "text/html").when(name.endswith(".xml"), "text/xml").otherwise("application/octet-stream")
+    return rest.join(declared, ["accession_number", "filename"], "left").select("cik", "accession_number", F.coalesce("seq", F.lit(1 << 30)).alias("seq"), F.coalesce("document_type", F.lit(REPORT_EXHIBIT)).alias("document_type"), "filename", kind.alias("content_type"), "value", "source")
+
+
 def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
-    """Ingest landing/assets, and landing/reports and landing/narrative where they exist; outcomes per asset filing."""
-    loans, issues, outcome = asset_filings(read_documents(spark, f"{landing}/assets"))
-    store.write_filings(loans, f"{tables}/loans")
-    store.write_filings(issues, f"{tables}/issues")
-    for kind, plan in (("reports", monthly_reports), ("narrative", lambda d: (narrative(d),))):
-        if exists(spark, f"{landing}/{kind}"):
-            documents = read_documents(spark, f"{landing}/{kind}")
-            keys = documents.select("cik", "accession_number").distinct()
-            for name, out in zip(("certificates", "reconciliations") if kind == "reports" else ("chunks",), plan(documents)):
-                store.write_filings(out.join(keys, "accession_number"), f"{tables}/{name}")
+    """Ingest landing/assets, landing/submissions (filing lists), and landing/reports and landing/narrative where they exist; outcomes per asset filing.
+
+    Every filing's outcome is kept in the table outcomes; deals, filings and reporting_periods are upserted. Without filing
+    lists every report and page that is there counts as a filing of its deal, in the order of accession numbers.
+    """
+    documents = read_documents(spark, f"{landing}/assets")
+    parsed = asset_xml.parsed(documents)
+    store.write_filings(asset_xml.loans(parsed), f"{tables}/loans")
+    store.write_filings(asset_xml.issues(parsed), f"{tables}/issues")
+    outcome = asset_outcomes(documents, parsed)
+    # what was written is read again: only the partitions of these filings
+    written = spark.read.schema(asset_xml.loans(parsed).schema).parquet(f"{tables}/loans").join(documents.select("cik", "accession_number").distinct(), ["cik", "accession_number"], "left_semi")
+    store.upsert_table(reporting_periods(written).withColumn("ingest_seq", F.lit(0)), f"{tables}/reporting_periods", ["accession_number"])
+    store.write_filings(outcome.withColumn("kind", F.lit("assets")).select("cik", "accession_number", "kind", F.lit(None).cast("date").alias("report_date"), "status", F.lit(None).cast("string").alias("reason"), F.col("loan_count").cast("long").alias("n")), f"{tables}/outcomes_assets")
+    listed = None
+    if exists(spark, f"{landing}/submissions"):
+        listed = filing_lists.submissions(spark, f"{landing}/submissions")
+        store.upsert_table(deals(listed), f"{tables}/deals", ["cik"])
+        store.upsert_table(listed.drop("deal_name").withColumn("ingest_seq", F.col("seq")), f"{tables}/filings", ["accession_number"])
+    for kind in ("reports", "narrative"):
+        if not exists(spark, f"{landing}/{kind}"):
+            continue
+        pages = filing_documents(spark, f"{landing}/{kind}")
+        filings = listed if listed is not None else _as_filings(pages, REPORT_FORM if kind == "reports" else NARRATIVE_FORMS[0])
+        if kind == "reports":
+            dist, rec, done = report_filings(filings, pages)
+            written = (("certificates", dist), ("reconciliations", rec))
+        else:
+            chunks, done = narrative_filings(filings, pages)
+            written = (("chunks", chunks),)
+        for name, out in written:
+            store.write_filings(out.join(filings.select("cik", "accession_number").distinct(), "accession_number"), f"{tables}/{name}")
+        n = "class_count" if kind == "reports" else "chunk_count"
+        store.write_filings(done.select("cik", "accession_number", F.lit(kind).alias("kind"), "report_date", "status", "reason", F.col(n).cast("long").alias("n")), f"{tables}/outcomes_{kind}")
     return outcome
 
 
+def _as_filings(pages: DataFrame, form: str) -> DataFrame:
+    each = pages.groupBy("cik", "accession_number").agg(F.min_by("filename", "seq").alias("primary_document"))
+    return each.select("cik", "accession_number", F.lit(form).alias("form_type"), F.lit(None).cast("date").alias("report_date"), "primary_document", F.row_number().over(Window.partitionBy("cik").orderBy("accession_number")).alias("seq"))
+
+
 def reporting_periods(loans: DataFrame) -> DataFrame:
     """One per filing, from its first loan; consistent tells whether all loans agree."""
     p = F.struct("period_beginning_date", "period_ending_date")

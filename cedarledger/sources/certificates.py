@@ -94,13 +94,15 @@ def strict(reconciliations_: DataFrame) -> DataFrame:
     return reconciliations_.filter(F.when(F.coalesce("reconciles", F.lit(True)), F.lit(True)).otherwise(F.raise_error(F.lit("certificate less scheduled collateral balance is not the reported difference")).cast("boolean")))
 
 
-def lookup(questions: DataFrame, certificates: DataFrame, question: str = "question", key: str = "question_id") -> DataFrame:
-    """Of each question the first certificate whose class or identifier it names. The certificates of one report are few; they go along as one array a report."""
-    list_ = certificates.groupBy().agg(F.array_sort(F.collect_list(F.struct("row_idx", "class_name", "cusip", "beginning_balance", "principal_distribution", "interest_distribution", "ending_balance"))).alias("all"))
+_SHOWN = ("class_name", "cusip", "beginning_balance", "principal_distribution", "interest_distribution", "ending_balance")
+
+
+def lookup(questions: DataFrame, certificates: DataFrame, report: str = "accession_number", question: str = "question", key: str = "question_id") -> DataFrame:
+    """Of each question about a report (a column of both) the first of its certificates whose class or identifier the question names. A report's certificates are a few dozen rows of one document; they meet the question as one array."""
+    list_ = certificates.groupBy(report).agg(F.array_sort(F.collect_list(F.struct("row_idx", *_SHOWN))).alias("all"))
     q = F.lower(F.col(question))
-    met = questions.join(F.broadcast(list_))
     first = F.get(F.filter("all", lambda c: F.contains(q, F.lower(c["class_name"])) | F.contains(q, F.lower(c["cusip"]))), F.lit(0))
-    return met.select(key, question, first.alias("certificate")).select(key, question, "certificate.class_name", "certificate.cusip", "certificate.beginning_balance", "certificate.principal_distribution", "certificate.interest_distribution", "certificate.ending_balance")
+    return questions.join(list_, report, "left").select(key, report, question, first.alias("c")).select(key, report, question, *(f"c.{x}" for x in _SHOWN))
 
 
 def latest_report(reports: DataFrame) -> DataFrame:

@@ -61,6 +61,12 @@ def primary_document(documents: DataFrame, filings_: DataFrame, key: str = "acce
     return met.groupBy(key).agg(F.coalesce(named, page).alias("filename"))
 
 
+def first_document(documents: DataFrame, document_type: str, key: str = "accession_number") -> DataFrame:
+    """The first document of a type in each filing, with all its columns."""
+    rest = [c for c in documents.columns if c != key]
+    return documents.filter(F.col("document_type") == document_type).groupBy(key).agg(F.min_by(F.struct(*rest), "seq").alias("d")).select(key, "d.*")
+
+
 def exhibits(spark: SparkSession, path: str) -> DataFrame:
     """Files with their checksums: path, size, retrieved_at, checksum, content."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("retrieved_at"), F.sha2("content", 256).alias("checksum"), "content")

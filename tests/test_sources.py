@@ -78,9 +78,9 @@ def test_reconciliation(spark):
 
 
 def test_certificate_lookup(spark):
-    q = spark.createDataFrame([("1", "balance of class A-1?"), ("2", "cusip 08164faa9"), ("3", "nothing")], "question_id string, question string")
-    got = {r["question_id"]: r["cusip"] for r in certificates.lookup(q, certificates.distributions(grid(spark, REPORT.format("1")))).collect()}
-    assert got == {"1": "08164FAA9", "2": "08164FAA9", "3": None}
+    q = spark.createDataFrame([("1", "r0", "balance of class A-1?"), ("2", "r0", "cusip 08164faa9"), ("3", "r0", "nothing"), ("4", "r1", "class A-1"), ("5", "r9", "class A-1")], "question_id string, accession_number string, question string")
+    got = {r["question_id"]: r["cusip"] for r in certificates.lookup(q, certificates.distributions(grid(spark, REPORT.format("1"), SUMMARY.replace("A1", "Z9")))).collect()}
+    assert got == {"1": "08164FAA9", "2": "08164FAA9", "3": None, "4": None, "5": None}
 
 
 def test_sections_without_double_counting():
@@ -114,6 +114,31 @@ def test_search(spark):
     assert retrieval.upsert(index, index.filter("chunk_id = '1'").withColumn("text", F.lit("new"))).filter("text = 'new'").count() == 1 and retrieval.upsert(index, index).count() == 3
 
 
+def test_index_is_saved_over_what_it_was_read_from(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = lambda *r: spark.createDataFrame(r, "chunk_id string, accession_number string")
+    retrieval.save(rows(("1", "a"), ("2", "b")), path)
+    retrieval.save(retrieval.upsert(retrieval.load(spark, path), rows(("2", "c"), ("3", "c"))), path)
+    assert sorted(map(tuple, retrieval.load(spark, path).collect())) == [("1", "a"), ("2", "c"), ("3", "c")]
+
+
+def test_neighbours_by_brute_force(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    vectors = {i: [float(r.randrange(-3, 4)) for _ in range(4)] for i in range(60)}
+    for v in ((2, 5), (3, 40), (4, 41)):
+        vectors[v[1]] = vectors[v[0]]  # ties
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7)
+    df = spark.createDataFrame([*vectors.items(), (99, None)], "vec_id long, embedding array<float>").repartition(3)
+    got = {(x["query"], x["rank"]): x["vec_id"] for x in retrieval.neighbours(df.filter("vec_id % 10 = 0"), df, 4).collect()}
+    for q in range(0, 60, 10):
+        want = sorted(vectors, key=lambda i: (-sum(a * b for a, b in zip(vectors[q], vectors[i])), i))[:4]
+        assert [got[q, k] for k in range(1, 5)] == want
+    assert retrieval.neighbours(df.limit(0), df).count() == 0 and retrieval.neighbours(df, df.limit(0)).count() == 0
+
+
 def test_submissions(spark, tmp_path):
     f = tmp_path / "s.json"
     f.write_text('{"name": "T", "cik": "123", "filings": {"recent": {"accessionNumber": ["c", "b", "a"], "filingDate": ["2026-03-01", "2026-02-01", "2026-02-01"], "reportDate": ["", "2026-01-31", "2026-01-31"], "form": ["8-K", "ABS-EE", "10-D"], "primaryDocument": ["x", "y", "z"]}, "files": []}}')
@@ -190,6 +215,46 @@ def test_store(spark):
     assert store.orphans(docs.select("seq"), docs.filter("seq < 4").select("seq"), ["seq"]).count() == 1
 
 
+def test_content_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    files = lambda *r: spark.createDataFrame([(p, bytearray(c), e) for p, c, e in r], "path string, content binary, expected_checksum string")
+    one = files(("/x/a.txt", b"hi", None), ("/y/a.txt", b"hi", None), ("/x/b.txt", b"ho", "wrong"))
+    store.write_content(one, path, "edgar")
+    store.write_content(one, path, "edgar")
+    assert [bytes(r["content"]) for r in spark.read.parquet(path).collect()] == [b"hi"]
+    assert {r["path"]: r["already_cached"] for r in store.content_status(files(("/z/a.txt", b"hi", None), ("/z/c.txt", b"new", None)), path, "edgar").collect()} == {"/z/a.txt": True, "/z/c.txt": False}
+
+
+def test_snapshot_hash_depends_on_every_file(spark):
+    files = lambda *r: store.snapshot_hash(spark.createDataFrame([(p, bytearray(c)) for p, c in r], "path string, content binary")).first()[0]
+    a = files(("a", b"1"), ("b", b"2"))
+    assert a == files(("b", b"2"), ("a", b"1")) and len({a, files(("a", b"2"), ("b", b"1")), files(("a", b"1"))}) == 3
+
+
+def test_filings_are_ingested_with_outcomes(spark, tmp_path):
+    """Two reports: one whose balances don't reconcile has failed and hides nothing; the latest is the one with the latest date, not number."""
+    from cedarledger.plans import api
+
+    put(tmp_path / "in", "0000000001", "a1", PLAIN)
+    (tmp_path / "in" / "submissions").mkdir()
+    (tmp_path / "in" / "submissions" / "s.json").write_text('{"name": "Trust", "cik": "1", "filings": {"recent": {"accessionNumber": ["r1", "r2", "r3", "n1"], "filingDate": ["2026-03-01", "2026-02-01", "2026-04-01", "2026-04-02"], "reportDate": ["2026-03-01", "2026-02-01", "2026-04-01", "2026-04-02"], "form": ["10-D", "10-D", "10-D", "8-K"], "primaryDocument": ["x.htm", "x.htm", "x.htm", "p.htm"]}, "files": []}}')
+    for accession, text in (("r1", REPORT.format("728,298,799.17")), ("r2", REPORT.format("728,298,799.17").replace("A-1", "A-2")), ("r3", REPORT.format("1"))):
+        d = tmp_path / "in" / "reports" / "0000000001" / accession
+        d.mkdir(parents=True)
+        (d / "x.htm").write_text(text)
+        (d / f"{accession}.txt").write_text("<TYPE>EX-99.1\n<FILENAME>x.htm\n")
+    d = tmp_path / "in" / "narrative" / "0000000001" / "n1"
+    d.mkdir(parents=True)
+    (d / "p.htm").write_text("<h1>T</h1><p>some words</p>")
+    ingest.run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    deal = api.Surveillance(spark, str(tmp_path / "out"))
+    assert {r["accession_number"]: (r["status"], r["reason"]) for r in deal.outcomes("0000000001", "reports").collect()} == {"r1": ("created", None), "r2": ("created", None), "r3": ("failed", "balances don't reconcile")}
+    assert [r["class_name"] for r in deal.certificate_distributions("0000000001").collect()] == ["A-1"]
+    assert deal.deals().first()["name"] == "Trust" and spark.read.parquet(f"{tmp_path}/out/filings").count() == 4 and spark.read.parquet(f"{tmp_path}/out/reporting_periods").count() == 1
+    assert deal.table("chunks").first()["source"]["source_url"].endswith("p.htm")
+    assert {r["accession_number"]: r["status"] for r in deal.outcomes("0000000001", "narrative").collect()} == {"n1": "created", "r1": "skipped", "r2": "skipped", "r3": "skipped"}
+
+
 def test_monthly_reports_and_narrative(spark):
     docs = spark.createDataFrame([("1", "r", REPORT.format("728,298,799.17")), ("1", "n", "<h1>T</h1><p>some words here")], "cik string, accession_number string, value string")
     d, r = ingest.monthly_reports(docs)

@@ -85,8 +85,9 @@ def test_gate_without_questions(spark):
 def test_report_is_json(spark):
     import json
 
-    r = evaluation.report(evaluation.evaluate(spark.createDataFrame([("q", ["a"], [], ["a"], "x", "x", OK, 1.0)], ANSWERS))).first()
-    assert json.loads(r["summary"])["gate_passed"] and len(json.loads(r["questions"])) == 1
+    r = {x["kind"]: x for x in evaluation.report(evaluation.evaluate(spark.createDataFrame([("q", ["a"], [], ["a"], "x", "x", OK, 1.0)], ANSWERS))).collect()}
+    assert json.loads(r["summary"]["json"])["gate_passed"] and "retrieval_recall_at_k" not in json.loads(r["summary"]["json"])
+    assert r["question"]["question_id"] == "q" and json.loads(r["question"]["json"])["passed"]
 
 
 @pytest.fixture
@@ -121,6 +122,36 @@ def test_tools(spark, deal, question, text):
     assert text in assistant.ask(spark, question, deal).evidence
 
 
+def test_sources_of_the_loans_that_evidence_names(spark):
+    path = F.struct(F.lit("https://www.sec.gov/f").alias("source_url"), F.concat(F.lit("assets["), "asset_number", F.lit("]")).alias("field_path"))
+    a, b = (frame(spark, [loan("16", x), loan("30", "0")]).withColumn("source", path) for x in ("B", "0"))
+    got = assistant.ask(spark, "Which loans changed payment status?", assistant.Deal("Trust", a, b))
+    assert got.sources == [("https://www.sec.gov/f", "assets[16]")] and got.citations == ["https://www.sec.gov/f"]
+    nothing = assistant.ask(spark, "Which loans changed payment status?", assistant.Deal("Trust", b, b))
+    assert "no loans changed" in nothing.evidence and nothing.sources == [("https://www.sec.gov/f", None)] and not nothing.errors
+
+
+def test_excerpts_cite_their_page(spark):
+    from cedarledger.operators import retrieval
+
+    chunks = spark.createDataFrame([("1", "acc", "a material agreement was signed", ("https://www.sec.gov/p",))], "chunk_id string, accession_number string, text string, source struct<source_url: string>")
+    got = assistant.ask(spark, "Explain the material agreement", assistant.Deal("Trust", chunks=chunks.withColumn("embedding", retrieval.hashed_embedding(F.col("text")))))
+    assert got.citations == ["https://www.sec.gov/p"] and "material agreement was signed" in got.evidence
+
+
+def test_model_surface():
+    model = assistant.ScriptedModel('{"label": "current", "share": 0.5}', "not json")
+    assert model.health() and model.info()["model"] == "ScriptedModel"
+    assert model.structured("p", {"label": str, "share": float}) == {"label": "current", "share": 0.5}
+    for m, fields in ((model, {"label": str}), (assistant.ScriptedModel('{"label": 1}'), {"label": str})):
+        with pytest.raises(assistant.ModelError) as e:
+            m.structured("p", fields)
+        assert e.value.category == "invalid_response"
+    with pytest.raises(assistant.ModelError) as e:
+        assistant.ScriptedModel().generate("p")
+    assert e.value.category == "unavailable"
+
+
 def test_question_without_tools(spark, deal):
     got = assistant.ask(spark, "Hello", deal)
     assert got.evidence == "" and got.planned_tools == [] and not got.errors
