@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .exchange import stored, text_key
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 DIGITS = 4  # of a weight after the point: the table is part of the plan, and plans are printed and logged
 TRUSTED = 20_000  # labelled ids at most; these are broadcast
 JUDGED = 2_000  # documents of either label, at most, from which toxic words are learned
