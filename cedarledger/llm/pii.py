@@ -167,7 +167,7 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
     elif kind == "ip":
         parts = s.split(".")
         pattern = all(len(p) < 4 and int(p) <= 255 for p in parts)
-        gazetteer = len(parts[0]) < 4 and 1 <= int(parts[0]) <= 223 and int(parts[0]) != 127
+        gazetteer = pattern and 1 <= int(parts[0]) <= 223 and int(parts[0]) != 127  # blocks that hosts have
         form = all(p == "0" or p[0] != "0" for p in parts) and text[max(0, a - 1) : a] not in ("v", "V", ".", "-") and not re.match(r"[.-]?[0-9]", text[b : b + 2])
     elif kind == "card":
         digits = _digits(s)
@@ -258,7 +258,10 @@ def _spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+THRESHOLD = 0.8  # least probability of a span beside the base spans
+
+
+def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, counts of base spans by kind, base spans and all spans as kind:start:end lists."""
     own = documents(docs, "doc_id", "text")
 
