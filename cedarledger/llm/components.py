@@ -20,14 +20,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return lower.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """u, v: every node but the least of its component, with that least node. Edges of a node with itself don't matter."""
+def components(edges: DataFrame) -> DataFrame:
+    """u, v: every node but the least of its component, with that least node. Edges of a node with itself don't matter. The number of rounds grows with the logarithm of the nodes."""
     now = stored(edges.select("u", "v").filter("u != v").distinct())
     mark = None
-    for _ in range(most):
+    while True:
         now = stored(_small(_large(now)))
         new = now.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")).first()
         if mark == tuple(new):
             return now
         mark = tuple(new)
-    raise RuntimeError("components did not settle")

@@ -2,6 +2,11 @@
 
 Order: quality rules, line deduplication, near-duplicates (the document with the least doc_id of each group stays), benchmark
 decontamination (contaminated documents go), BPE encoding and decoding.
+
+Every stage takes null and empty texts, very long ones, ties, repeated rows, an empty table and extra columns, whatever their
+names. Null and empty texts fail the quality rules and go. Rows that share doc_id and text share every verdict: they stay
+or go together. Rows of one doc_id with different texts are judged apart, but count as one document for line deduplication.
+Of near-duplicates all rows of the least doc_id stay. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -45,11 +50,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's documents are written as Parquet to the shared folder and read again, so no stage runs twice."""
+    """Each stage's documents are written as Parquet to the shared folder and read again, so no stage runs twice; what the next stage has read is removed."""
     folder = f"{exchange.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *first, (_, last) = STAGES
-    for name, stage in first:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return last(spark, docs, sf_dir)
+    try:
+        before = None
+        for name, stage in first:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                exchange.removed(spark, before)
+            before = f"{folder}/{name}"
+        return exchange.stored(last(spark, docs, sf_dir))
+    finally:
+        exchange.removed(spark, folder)
