@@ -5,6 +5,7 @@ A filing that can't be read gives an outcome, not an error; unreadable values gi
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import content_type_ok
@@ -16,6 +17,7 @@ from ..sources import asset_xml, certificates, filings as filing_lists, html
 REPORT_FORM, REPORT_EXHIBIT, NARRATIVE_FORMS, NEWEST = "10-D", "EX-99.1", ("10-D", "8-K"), 8
 HTML_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 CREATED, SKIPPED, FAILED = "created", "skipped", "failed"
+OUTCOMES = "kind string, report_date date, status string, reason string, n long, cik string, accession_number string"
 
 
 def read_documents(spark: SparkSession, path: str, source_name: str = "landing") -> DataFrame:
@@ -132,14 +134,13 @@ def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
     lists every report and page that is there counts as a filing of its deal, in the order of accession numbers.
     """
     documents = read_documents(spark, f"{landing}/assets")
-    parsed = asset_xml.parsed(documents)
+    parsed = asset_xml.parsed(documents).persist(StorageLevel.DISK_ONLY)  # parsed once; a lost part is parsed again
+    outcome = asset_outcomes(documents, parsed)
     store.write_filings(asset_xml.loans(parsed), f"{tables}/loans")
     store.write_filings(asset_xml.issues(parsed), f"{tables}/issues")
-    outcome = asset_outcomes(documents, parsed)
-    # what was written is read again: only the partitions of these filings
-    written = spark.read.schema(asset_xml.loans(parsed).schema).parquet(f"{tables}/loans").join(documents.select("cik", "accession_number").distinct(), ["cik", "accession_number"], "left_semi")
-    store.upsert_table(reporting_periods(written).withColumn("ingest_seq", F.lit(0)), f"{tables}/reporting_periods", ["accession_number"])
-    store.write_filings(outcome.withColumn("kind", F.lit("assets")).select("cik", "accession_number", "kind", F.lit(None).cast("date").alias("report_date"), "status", F.lit(None).cast("string").alias("reason"), F.col("loan_count").cast("long").alias("n")), f"{tables}/outcomes_assets")
+    store.upsert_table(reporting_periods(parsed).withColumn("ingest_seq", F.lit(0)), f"{tables}/reporting_periods", ["accession_number"])
+    store.write_filings(outcome.select("cik", "accession_number", F.lit("assets").alias("kind"), F.lit(None).cast("date").alias("report_date"), "status", F.lit(None).cast("string").alias("reason"), F.col("loan_count").cast("long").alias("n")), f"{tables}/outcomes_assets")
+    parsed.unpersist()
     listed = None
     if exists(spark, f"{landing}/submissions"):
         listed = filing_lists.submissions(spark, f"{landing}/submissions")
@@ -160,7 +161,7 @@ def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
             store.write_filings(out.join(filings.select("cik", "accession_number").distinct(), "accession_number"), f"{tables}/{name}")
         n = "class_count" if kind == "reports" else "chunk_count"
         store.write_filings(done.select("cik", "accession_number", F.lit(kind).alias("kind"), "report_date", "status", "reason", F.col(n).cast("long").alias("n")), f"{tables}/outcomes_{kind}")
-    return outcome
+    return spark.read.schema(OUTCOMES).parquet(f"{tables}/outcomes_assets").join(documents.select("cik", "accession_number").distinct(), ["cik", "accession_number"], "left_semi")
 
 
 def _as_filings(pages: DataFrame, form: str) -> DataFrame:
