@@ -34,7 +34,8 @@ CHUNK_MASK = 0x1FF
 CACHE_BYTES = 48 << 20
 BATCH_CHARS = 1 << 20  # of documents whose joins are encoded together
 SPACES = b" \t\n\x0b\x0c\r"
-# A punctuation mark after an ASCII letter is a pre-token of its own; the apostrophe is not, as it may begin a contraction.
+# A punctuation mark after an ASCII letter is a pre-token of its own; the apostrophe is not, as it may begin a
+# contraction.
 CLOSING, LETTERS = b".,;:!?|", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -88,7 +89,9 @@ class Words(dict):
         self.shown = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: bytes):
-        """White-space-free word: what only differs in case or by closing punctuation is put together from what is known."""
+        """White-space-free word: what only differs in case or by closing punctuation is put together from what is
+        known.
+        """
         last = word[-1]
         if self.parts and last in CLOSING and len(word) > 1 and word[-2] in LETTERS:
             core, end = self[word[:-1]], self[word[-1:]]
@@ -113,7 +116,9 @@ class Words(dict):
         new = [w for w in new if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
+        for w, e in zip(
+            new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
+        ):
             self[w] = self.of(e.ids)
 
     def of(self, ids: list[int]) -> tuple[bytes, str]:
@@ -121,15 +126,26 @@ class Words(dict):
 
 
 def assumptions(tokenizer) -> tuple[bool, bool]:
-    """Whether the tokenizer splits at ASCII white space, and whether words may be put together from their parts, by trying it."""
+    """Whether the tokenizer splits at ASCII white space, and whether words may be put together from their parts, by
+    trying it.
+    """
     ids = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
     shown = json.loads(tokenizer.to_str())
-    kinds = ["a", "word", "Tion", "x1", "7", "42", "'s", "it's", "don't", "...", "?!", "-", "_", "#a", "\u00e9t\u00e9", "\u65e5\u672c", "\U0001f642", "a.", "<|", "|>", "\u0301", *(t["content"] for t in shown["added_tokens"])]
+    kinds = [
+        "a", "word", "Tion", "x1", "7", "42", "'s", "it's", "don't", "...", "?!", "-", "_", "#a", "\u00e9t\u00e9",
+        "\u65e5\u672c", "\U0001f642", "a.", "<|", "|>", "\u0301", *(t["content"] for t in shown["added_tokens"])
+    ]
     alone = {k: ids(k) for k in kinds}
     splits = not any(c in " \t\n\x0b\x0c\r" for t in shown["added_tokens"] for c in t["content"]) and not ids(" \n")
-    splits = splits and all(ids(x + between + y) == alone[x] + alone[y] for x in kinds for y in kinds for between in (" ", "\n", " \t\r\x0b\x0c "))
-    parts = splits and all(ids(w + m) == ids(w) + ids(m) for w in ("a", "Z", "word", "naWord") for m in CLOSING.decode()) and all(ids(chr(c) + m) == ids(chr(c)) + ids(m) for c in LETTERS for m in CLOSING.decode())
-    parts = parts and all(ids(w) == ids(w.lower()) for w in ("A", "Word", "LONGER", "tHe", "Internationalisation", LETTERS.decode()))
+    splits = splits and all(
+        ids(x + between + y) == alone[x] + alone[y] for x in kinds for y in kinds for between in (" ", "\n", " \t\r\x0b\x0c ")
+    )
+    parts = splits and all(
+        ids(w + m) == ids(w) + ids(m) for w in ("a", "Z", "word", "naWord") for m in CLOSING.decode()
+    ) and all(ids(chr(c) + m) == ids(chr(c)) + ids(m) for c in LETTERS for m in CLOSING.decode())
+    parts = parts and all(
+        ids(w) == ids(w.lower()) for w in ("A", "Word", "LONGER", "tHe", "Internationalisation", LETTERS.decode())
+    )
     return splits, parts
 
 
@@ -140,7 +156,9 @@ def whole_words(data: bytes) -> list[bytes]:
 
 
 class Chunk:
-    """A chunk as it is encoded alone: bytes before its first white space, ids and decoded form between, bytes after its last. Without white space all is head and ids is None."""
+    """A chunk as it is encoded alone: bytes before its first white space, ids and decoded form between, bytes after its
+    last. Without white space all is head and ids is None.
+    """
 
     __slots__ = ("data", "head", "tail", "ids", "shown")
 
@@ -174,7 +192,10 @@ class Encoder:
             while data[tail_at - 1] not in SPACES:
                 tail_at -= 1
             found = [self.words[w] for w in data[head_end:tail_at].split()]
-            got = Chunk(data, data[:head_end], data[tail_at:], b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]))
+            got = Chunk(
+                data, data[:head_end], data[tail_at:], b"".join([x[0] for x in found]),
+                " ".join([x[1] for x in found if x[0]])
+            )
         cost = 2 * len(data) + 3 * len(got.ids or b"") + 400
         if self.held + cost > self.most:
             self.chunks.clear()
@@ -184,9 +205,13 @@ class Encoder:
         return got, False
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str, int, int]]:
-        """Of each text its packed ids (little-endian, 32 bits), decoded form, number of chunks and of chunks that were known."""
+        """Of each text its packed ids (little-endian, 32 bits), decoded form, number of chunks and of chunks that were
+        known.
+        """
         if not self.splits:
-            return [(*self.words.of(self.tokenizer.encode(t, add_special_tokens=False).ids), int(t != ""), 0) for t in texts]
+            return [
+                (*self.words.of(self.tokenizer.encode(t, add_special_tokens=False).ids), int(t != ""), 0) for t in texts
+            ]
         cut = []
         for text in texts:
             data = text.encode("utf-8")
@@ -226,7 +251,9 @@ class Encoder:
         return out
 
     def _mended(self, joins: list[tuple[bytes, Chunk | None, Chunk | None]]) -> list[tuple[bytes, str] | None]:
-        """Ids and decoded form of what stands between the inner parts of two chunks, encoded with context until both sides agree; None where they never do."""
+        """Ids and decoded form of what stands between the inner parts of two chunks, encoded with context until both
+        sides agree; None where they never do.
+        """
         out: list[tuple[bytes, str] | None] = [None] * len(joins)
         size, left = 1, list(range(len(joins)))
         self.joins += len(joins)
@@ -239,7 +266,9 @@ class Encoder:
                 sides.append((before, after))
                 windows.append(b" ".join([*before, between, *after]).decode("utf-8"))
             again = []
-            for i, (before, after), e in zip(left, sides, self.tokenizer.encode_batch_fast(windows, add_special_tokens=False)):
+            for i, (before, after), e in zip(
+                left, sides, self.tokenizer.encode_batch_fast(windows, add_special_tokens=False)
+            ):
                 ids = struct.pack(f"<{len(e.ids)}I", *e.ids)
                 x, y = b"".join([self.words[w][0] for w in before]), b"".join([self.words[w][0] for w in after])
                 if len(x) + len(y) <= len(ids) and ids.startswith(x) and ids.endswith(y):
@@ -255,7 +284,9 @@ class Encoder:
 
 
 def encode_decode(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit), decoded, n_chunks, n_known (chunks that its task had met before): one row per input row."""
+    """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit), decoded, n_chunks, n_known (chunks that its task
+    had met before): one row per input row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(name, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +304,14 @@ def encode_decode(docs: DataFrame, name: str = "word_bpe_49k.json", path: str |
                     size += len(part[-1])
                     at += 1
                 ids, decoded, n, known = zip(*encoder.encode_batch(part))
-                columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string()), pa.array(n, pa.int64()), pa.array(known, pa.int64())]
-                yield pa.RecordBatch.from_arrays([keys.slice(start, at - start), *columns], ["doc_id", "n_tokens", "ids", "decoded", "n_chunks", "n_known"])
+                columns = [
+                    pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array(decoded, pa.string()), pa.array(n, pa.int64()), pa.array(known, pa.int64())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(start, at - start), *columns],
+                    ["doc_id", "n_tokens", "ids", "decoded", "n_chunks", "n_known"]
+                )
 
     return documents(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 

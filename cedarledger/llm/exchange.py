@@ -133,7 +133,9 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     kept = df.checkpoint()._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    return DataFrame(
+        spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark
+    )
 
 
 def removed(spark: SparkSession, path: str) -> None:

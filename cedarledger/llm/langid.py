@@ -130,7 +130,9 @@ def forward_backward(scores: list[np.ndarray], move: np.ndarray) -> list[np.ndar
 
 
 def fit(rows: list[tuple[str, str]], epochs: int = 2, seed: int = 5) -> Field:
-    """Stochastic gradient on the conditional likelihood. Training sequences join segments of two documents, so transitions between languages are seen."""
+    """Stochastic gradient on the conditional likelihood. Training sequences join segments of two documents, so
+    transitions between languages are seen.
+    """
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
     cut: list[tuple[list[str], int]] = []
@@ -148,7 +150,9 @@ def fit(rows: list[tuple[str, str]], epochs: int = 2, seed: int = 5) -> Field:
         order = rng.permutation(len(cut))
         for at in range(0, len(order), 64):
             part = [cut[i] for i in order[at : at + 64]]
-            seqs = [(a[0] + b[0], [a[1]] * len(a[0]) + [b[1]] * len(b[0])) for a, b in zip(part[::2], part[1::2])] or part and [(part[0][0], [part[0][1]] * len(part[0][0]))]
+            seqs = [
+                (a[0] + b[0], [a[1]] * len(a[0]) + [b[1]] * len(b[0])) for a, b in zip(part[::2], part[1::2])
+            ] or part and [(part[0][0], [part[0][1]] * len(part[0][0]))]
             ids = [[seen[w] for w in s] for s, _ in seqs]
             scores = [np.array([emit[f].sum(0) / np.sqrt(len(f)) for f in x]).reshape(-1, len(langs)) for x in ids]
             grams = forward_backward(scores, move)
@@ -175,15 +179,24 @@ def _remainder():
 
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """A bounded number of labelled rows for fitting, about per_language of each label; never a row that is held out."""
-    known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_remainder() != 2))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # every label is a language
+    known = docs.select("doc_id", "text", "lang").filter(
+        F.col("text").isNotNull() & F.col("lang").isNotNull() & (_remainder() != 2)
+    )
+    # every label is a language
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
     space = 1 << 20
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(space))
-    shares = docs.sparkSession.createDataFrame([(lang, max(1, round(space * min(1.0, per_language / n)))) for lang, n in sizes.items()], "lang string, _below long")
+    shares = docs.sparkSession.createDataFrame(
+        [(lang, max(1, round(space * min(1.0, per_language / n)))) for lang, n in sizes.items()],
+        "lang string, _below long"
+    )
     n = F.length("text")
-    part = F.when(n > SAMPLE_CHARS, F.substring("text", (F.pmod(F.xxhash64("text"), n - SAMPLE_CHARS) + 1).cast("int"), F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    part = F.when(
+        n > SAMPLE_CHARS,
+        F.substring("text", (F.pmod(F.xxhash64("text"), n - SAMPLE_CHARS) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    ).otherwise(F.col("text"))
     met = known.join(F.broadcast(shares), "lang").filter(drawn < F.col("_below"))
     # a doc_id that many rows share is drawn with all of them; the first by hash of their text stay within the bound
     rows = met.orderBy(drawn, F.xxhash64("text"), "lang").select(part.alias("text"), "lang", "doc_id").limit(2 * per_language * len(sizes)).collect()
@@ -212,6 +225,12 @@ def predict(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
                     p = g.mean(0) if len(g) else None
                     lang.append(f.langs[int(p.argmax())] if p is not None else "und")
                     score.append(float(min(1.0, p.max())) if p is not None else 0.0)
-                yield pa.RecordBatch.from_arrays([keys.slice(start, at - start), held.slice(start, at - start), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.slice(start, at - start), held.slice(start, at - start), pa.array(lang, pa.string()),
+                        pa.array(score, pa.float64())
+                    ],
+                    ["doc_id", "held_out", "lang_pred", "score"]
+                )
 
     return docs.select("doc_id", (_remainder() == 2).alias("held_out"), "text").mapInArrow(run, SCHEMA)

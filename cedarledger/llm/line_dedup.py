@@ -56,14 +56,20 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     h = xxhash.xxh3_128_intdigest(line)
                     rows.append((_long(h >> 64), _long(h & (1 << 64) - 1), doc, key, n, pack(np.array(at))))
             types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], NAMES
+            )
 
     own = documents(docs, "doc_id", "text")
-    return own.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), text_key().alias("text_key"), "text").mapInArrow(run, LINES)
+    return own.select(
+        F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), text_key().alias("text_key"), "text"
+    ).mapInArrow(run, LINES)
 
 
 def stream(batches, min_docs: int = MIN_DOCS):
-    """Rows of a range partition in order of (hash, doc descending): each with what is decided about it, or nothing if its lines stay."""
+    """Rows of a range partition in order of (hash, doc descending): each with what is decided about it, or nothing if
+    its lines stay.
+    """
     run = doc = None  # key of the current run, its latest document
     best = n_docs = 0  # the run's largest doc_id, documents so far
     held: list[tuple] = []  # the run's rows while fewer than min_docs documents have been met, but those of its first
@@ -124,18 +130,26 @@ def stream(batches, min_docs: int = MIN_DOCS):
 
 def _decided(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], [*NAMES, "verdict"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], [*NAMES, "verdict"]
+    )
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Of each document that loses lines: doc (doc_id), text_key, n_dropped, keep (zlib of one bit a line, 1: stays)."""
     lines = hashed_lines(docs, min_chars)
     # the text's key and the first line number make the order total, so that rows of one hash and doc can part as well
-    ordered = lines.repartitionByRange(partitions(docs.sparkSession), "hi", "lo", F.desc("doc"), "text_key", F.xxhash64("at")).sortWithinPartitions("hi", "lo", F.desc("doc"), "text_key")
+    ordered = lines.repartitionByRange(
+        partitions(docs.sparkSession), "hi", "lo", F.desc("doc"), "text_key", F.xxhash64("at")
+    ).sortWithinPartitions("hi", "lo", F.desc("doc"), "text_key")
     seen = stored(ordered.mapInArrow(lambda b: stream(b, min_docs), LINES + ", verdict int"))
     open_ = seen.filter(F.col("verdict") == OPEN)
-    each = open_.groupBy("hi", "lo", "doc").agg(F.lit(1).alias("n")).unionByName(seen.filter(F.col("verdict") == MANY).select("hi", "lo", "doc", F.lit(min_docs).alias("n")))
-    settled = each.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("doc").alias("best")).filter(F.col("n") >= min_docs)
+    each = open_.groupBy("hi", "lo", "doc").agg(F.lit(1).alias("n")).unionByName(
+        seen.filter(F.col("verdict") == MANY).select("hi", "lo", "doc", F.lit(min_docs).alias("n"))
+    )
+    settled = each.groupBy("hi", "lo").agg(
+        F.sum("n").alias("n"), F.max("doc").alias("best")
+    ).filter(F.col("n") >= min_docs)
     # a range partition leaves open its first and its last key only, so there are at most two settled keys a partition
     lost = seen.filter(F.col("verdict") == DROPPED).select("doc", "text_key", "n_lines", "at").unionByName(
         open_.join(F.broadcast(settled), ["hi", "lo"]).filter(F.col("doc") != F.col("best")).select("doc", "text_key", "n_lines", "at")
@@ -150,16 +164,23 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
                     bits[unpack(p).astype(np.int64)] = 0
                 keep.append(zlib.compress(np.packbits(bits).tobytes(), 1))
                 n_dropped.append(int(n - bits.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_dropped, pa.int64()), pa.array(keep, pa.binary())], ["doc", "text_key", "n_dropped", "keep"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n_dropped, pa.int64()), pa.array(keep, pa.binary())],
+                ["doc", "text_key", "n_dropped", "keep"]
+            )
 
-    return lost.groupBy("doc", "text_key", "n_lines").agg(F.collect_list("at").alias("at")).select("doc", "text_key", "n_lines", "at").mapInArrow(bitmaps, "doc long, text_key long, n_dropped long, keep binary")
+    return lost.groupBy("doc", "text_key", "n_lines").agg(F.collect_list("at").alias("at")).select("doc", "text_key", "n_lines", "at").mapInArrow(
+        bitmaps, "doc long, text_key long, n_dropped long, keep binary"
+    )
 
 
 def apply(docs: DataFrame, bitmaps: DataFrame, *carry: str) -> DataFrame:
     """doc_id, the columns to carry, n_lines, n_dropped, kept (the text without dropped lines)."""
     keyed = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("_text"))
     keyed = keyed.withColumn("_doc", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("_key", F.xxhash64("_text"))
-    b = bitmaps.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), "n_dropped", F.col("keep").alias("_keep"))
+    b = bitmaps.select(
+        F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), "n_dropped", F.col("keep").alias("_keep")
+    )
     met = keyed.join(b.hint("shuffle_hash"), ["_doc", "_key"], "left")
     kinds = [f.dataType.simpleString() for f in docs.select("doc_id", *carry).schema]
 
@@ -177,12 +198,23 @@ def apply(docs: DataFrame, bitmaps: DataFrame, *carry: str) -> DataFrame:
                     n_lines.append(len(lines))
                     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
                     kept.append("\n".join([line for line, bit in zip(lines, bits) if bit]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(n_lines, pa.int64()), pa.array(kept, pa.string())], [*["c%d" % i for i in range(n - 2)], "n_lines", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: n - 2], pa.array(n_lines, pa.int64()), pa.array(kept, pa.string())],
+                [*["c%d" % i for i in range(n - 2)], "n_lines", "kept"]
+            )
 
     names = ["doc_id", *carry]
-    held = met.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.coalesce("n_dropped", F.lit(0)).cast("long").alias(f"c{len(names)}"), "_text", "_keep")
-    out = held.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate([*kinds, "bigint"])) + ", n_lines long, kept string")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_lines", F.col(f"c{len(names)}").alias("n_dropped"), "kept")
+    held = met.select(
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)],
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias(f"c{len(names)}"), "_text", "_keep"
+    )
+    out = held.mapInArrow(
+        run, ", ".join(f"c{i} {k}" for i, k in enumerate([*kinds, "bigint"])) + ", n_lines long, kept string"
+    )
+    return out.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_lines", F.col(f"c{len(names)}").alias("n_dropped"),
+        "kept"
+    )
 
 
 def digests(applied: DataFrame) -> DataFrame:
@@ -190,12 +222,18 @@ def digests(applied: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with all their columns, text without its dropped lines, n_chars (if there is one) the new length. A text that loses nothing stays as it is."""
-    rest = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])).select("doc_id", "text", "_row")
+    """The documents with all their columns, text without its dropped lines, n_chars (if there is one) the new length. A
+    text that loses nothing stays as it is.
+    """
+    rest = docs.withColumn(
+        "_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    ).select("doc_id", "text", "_row")
     out = apply(rest, bitmaps, "_row", "text")
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
     columns = []
     for c in docs.columns:
-        new = text if c == "text" else F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c]) if c == "n_chars" else F.col("_row")[c]
+        new = text if c == "text" else F.when(
+            F.col("n_dropped") > 0, F.length("kept").cast(docs.schema[c].dataType)
+        ).otherwise(F.col("_row")[c]) if c == "n_chars" else F.col("_row")[c]
         columns.append(new.alias(c))
     return out.select(*columns)

@@ -123,7 +123,9 @@ def by_class(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _softmax_at(w: np.ndarray, bias: np.ndarray, h: np.ndarray, at: np.ndarray, grad: bool):
-    """Log softmax of h at one place of each row; with grad, one-hot less softmax. Classes are rows here, so maxima and sums run along memory."""
+    """Log softmax of h at one place of each row; with grad, one-hot less softmax. Classes are rows here, so maxima and
+    sums run along memory.
+    """
     logits = w.T @ h.T
     logits += bias[:, None]
     logits -= logits.max(0)
@@ -195,7 +197,8 @@ def train_window(p: dict, xs: list[np.ndarray], ys: list[np.ndarray], h: np.ndar
     before, zr, an, new = np.concatenate(befores), *(np.concatenate(k) for k in zip(*kept))
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     by_new = (1 - z) * (1 - new * new)
-    by = np.stack([(before - new) * z * (1 - z), by_new * an * r * (1 - r), by_new], axis=1)  # of update, reset, candidate
+    # of update, reset, candidate
+    by = np.stack([(before - new) * z * (1 - z), by_new * an * r * (1 - r), by_new], axis=1)
     back = by.copy()
     back[:, 2] *= r
     turned = np.ascontiguousarray(p["U"].T)
@@ -303,7 +306,9 @@ def log_likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    return documents(docs, "doc_id", "text").select("doc_id", text_key().alias("text_key"), held.alias("held_out"), "text")
+    return documents(docs, "doc_id", "text").select(
+        "doc_id", text_key().alias("text_key"), held.alias("held_out"), "text"
+    )
 
 
 def _slices(batch: pa.RecordBatch):
@@ -330,16 +335,22 @@ def as_symbols(keyed: DataFrame, head: list[bytes]) -> DataFrame:
             while at < len(texts):
                 begin, size, out = at, 0, []
                 while at < len(texts) and size < BATCH_BYTES:  # one document's words at a time
-                    out.append(symbols.of(texts[at].as_py().encode("utf-8").lower().split()).astype(np.uint16).tobytes())
+                    out.append(
+                        symbols.of(texts[at].as_py().encode("utf-8").lower().split()).astype(np.uint16).tobytes()
+                    )
                     size += 2 * len(out[-1])
                     at += 1
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, at - begin) for i in range(3)), pa.array(out, pa.binary())], ["doc_id", "text_key", "held_out", "symbols"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(begin, at - begin) for i in range(3)), pa.array(out, pa.binary())],
+                    ["doc_id", "text_key", "held_out", "symbols"]
+                )
 
     return stored(keyed.mapInArrow(run, "doc_id long, text_key long, held_out boolean, symbols binary"))
 
 
 def _symbol_slices(batches):
-    """Fields of some rows and the symbols of each, over batches: rows are gathered until they have BATCH_TOKENS tokens."""
+    """Fields of some rows and the symbols of each, over batches: rows are gathered until they have BATCH_TOKENS tokens.
+    """
     fields: list[list] = [[], [], []]
     docs, size = [], 0
     for batch in batches:
@@ -359,14 +370,22 @@ def _symbol_slices(batches):
 SPREAD = "bucket int, second boolean, chunk long, words binary, counts binary, spread binary, docs binary, freqs binary, asked binary, ids array<long>, keys array<long>"
 SPREAD_NAMES = ["bucket", "second", "chunk", "words", "counts", "spread", "docs", "freqs", "asked", "ids", "keys"]
 SPREAD_TYPES = [pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.int64())]
-# Of a chunk: sums of its documents, its document list, its frequent words' postings, counts that it asked for. Of a bucket: totals by tail class, one of its most frequent words
+# Of a chunk: sums of its documents, its document list, its frequent words' postings, counts that it asked for. Of a
+# bucket: totals by tail class, one of its most frequent words
 COUNTED = "chunk long, of binary, logs binary, known binary, ids array<long>, keys array<long>, spread binary, docs binary, freqs binary, asked binary, counts binary, tails array<double>, word binary, n long"
-COUNTED_NAMES = ["chunk", "of", "logs", "known", "ids", "keys", "spread", "docs", "freqs", "asked", "counts", "tails", "word", "n"]
-COUNTED_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.list_(pa.float64()), pa.binary(), pa.int64()]
+COUNTED_NAMES = [
+    "chunk", "of", "logs", "known", "ids", "keys", "spread", "docs", "freqs", "asked", "counts", "tails", "word", "n"
+]
+COUNTED_TYPES = [
+    pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5,
+    pa.list_(pa.float64()), pa.binary(), pa.int64()
+]
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names
+    )
 
 
 def _named(rows: list[dict], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -374,9 +393,13 @@ def _named(rows: list[dict], names: list[str], types: list[pa.DataType]) -> pa.R
 
 
 def _sums(per: np.ndarray, docs: np.ndarray, freqs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By document: sum of log10(count + 0.1) and number of known words, from postings in order of their words, per of each."""
+    """By document: sum of log10(count + 0.1) and number of known words, from postings in order of their words, per of
+    each.
+    """
     per = per.astype(np.int64)
-    return np.bincount(docs, weights=np.repeat(np.log10(counts + 0.1), per) * freqs), np.bincount(docs, weights=np.repeat(counts > 0, per) * freqs).astype(np.int64)
+    return np.bincount(
+        docs, weights=np.repeat(np.log10(counts + 0.1), per) * freqs
+    ), np.bincount(docs, weights=np.repeat(counts > 0, per) * freqs).astype(np.int64)
 
 
 def count_words(keyed: DataFrame) -> DataFrame:
@@ -390,26 +413,51 @@ def count_words(keyed: DataFrame) -> DataFrame:
             for first, texts in _slices(batch):
                 chunk, n = next(ids), len(texts)
                 words, word_of, doc_of, freq = postings(texts)
-                counts = np.bincount(word_of, weights=freq * ~held[first : first + n][doc_of], minlength=len(words)).astype(np.uint64)
+                counts = np.bincount(
+                    word_of, weights=freq * ~held[first : first + n][doc_of], minlength=len(words)
+                ).astype(np.uint64)
                 often = np.bincount(word_of, minlength=len(words)) * OFTEN > n
                 of_often = often[word_of]
                 rank = np.cumsum(often) - 1  # of a frequent word among the batch's
                 own = slice(first, first + n)
-                rows = [{"bucket": chunk % n_buckets, "second": True, "chunk": chunk, "ids": batch.column(0)[own].to_pylist(), "keys": batch.column(1)[own].to_pylist()}]
+                rows = [
+                    {
+                        "bucket": chunk % n_buckets, "second": True, "chunk": chunk,
+                        "ids": batch.column(0)[own].to_pylist(), "keys": batch.column(1)[own].to_pylist()
+                    }
+                ]
                 if often.any():
                     w, d, f = word_of[of_often], doc_of[of_often], freq[of_often]
                     by = in_order(w)
                     per = np.bincount(rank[w], minlength=int(often.sum()))
-                    rows.append({"bucket": chunk % n_buckets, "second": True, "chunk": chunk, "spread": pack(per), "docs": pack(d[by]), "freqs": pack(f[by])})
+                    rows.append(
+                        {
+                            "bucket": chunk % n_buckets, "second": True, "chunk": chunk, "spread": pack(per),
+                            "docs": pack(d[by]), "freqs": pack(f[by])
+                        }
+                    )
                 left, doc_left, freq_left = word_of[~of_often], doc_of[~of_often], freq[~of_often]
                 for b, at, per_word, by in dealt(words, left, n_buckets):
                     row = {"bucket": b, "chunk": chunk}
-                    rows.append(row | {"second": False, "words": b"\n".join([words[i] for i in at]), "counts": pack(counts[at])})
+                    rows.append(
+                        row | {"second": False, "words": b"\n".join([words[i] for i in at]), "counts": pack(counts[at])}
+                    )
                     rare, common = at[~often[at]], at[often[at]]
                     if len(rare):
-                        rows.append(row | {"second": True, "words": b"\n".join([words[i] for i in rare]), "spread": pack(per_word[~often[at]]), "docs": pack(doc_left[by]), "freqs": pack(freq_left[by])})
+                        rows.append(
+                            row | {
+                                "second": True, "words": b"\n".join([words[i] for i in rare]),
+                                "spread": pack(per_word[~often[at]]), "docs": pack(doc_left[by]),
+                                "freqs": pack(freq_left[by])
+                            }
+                        )
                     if len(common):
-                        rows.append(row | {"second": True, "words": b"\n".join([words[i] for i in common]), "asked": pack(rank[common])})
+                        rows.append(
+                            row | {
+                                "second": True, "words": b"\n".join([words[i] for i in common]),
+                                "asked": pack(rank[common])
+                            }
+                        )
                 for i in range(0, len(rows), 64):
                     yield _named(rows[i : i + 64], SPREAD_NAMES, SPREAD_TYPES)
 
@@ -430,7 +478,9 @@ def count_words(keyed: DataFrame) -> DataFrame:
                 if r["asked"] is not None:
                     out.append({"chunk": r["chunk"], "asked": r["asked"], "counts": pack(c)})
                 else:
-                    of, (logs, n_known) = thinned(unpack(r["docs"]), *_sums(unpack(r["spread"]), unpack(r["docs"]), unpack(r["freqs"]), c))
+                    of, (logs, n_known) = thinned(
+                        unpack(r["docs"]), *_sums(unpack(r["spread"]), unpack(r["docs"]), unpack(r["freqs"]), c)
+                    )
                     out.append({"chunk": r["chunk"], "of": of, "logs": logs.tobytes(), "known": pack(n_known)})
             yield _named(out, COUNTED_NAMES, COUNTED_TYPES)
         if known:
@@ -442,7 +492,9 @@ def count_words(keyed: DataFrame) -> DataFrame:
                     tails[1, k] += 1
                     tails[2, k] += n == 1
             top = sorted(((-n, w) for w, n in known.items() if n))[:HEAD]
-            yield _named([{"tails": tails.ravel()}, *({"word": w, "n": -n} for n, w in top)], COUNTED_NAMES, COUNTED_TYPES)
+            yield _named(
+                [{"tails": tails.ravel()}, *({"word": w, "n": -n} for n, w in top)], COUNTED_NAMES, COUNTED_TYPES
+            )
 
     sent = by_bucket(keyed.mapInArrow(spread, SPREAD)).sortWithinPartitions("second")
     return stored(sent.mapInArrow(count, COUNTED))
@@ -464,7 +516,10 @@ def document_sums(counted: DataFrame) -> DataFrame:
                 more = _sums(per, unpack(often["docs"]), unpack(often["freqs"]), counts)
                 logs, known = added(logs, None, more[0]), added(known, None, more[1])
             whole = lambda x: np.concatenate([x, np.zeros(len(ids), x.dtype)])[: len(ids)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(whole(logs)), pa.array(whole(known))], ["doc_id", "text_key", "logs", "known"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(whole(logs)), pa.array(whole(known))],
+                ["doc_id", "text_key", "logs", "known"]
+            )
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -479,11 +534,15 @@ def document_sums(counted: DataFrame) -> DataFrame:
                 elif r["asked"] is not None:
                     answers.append(r)
                 else:
-                    logs, known = added(logs, r["of"], np.frombuffer(r["logs"])), added(known, r["of"], unpack(r["known"]).astype(np.int64))
+                    logs, known = added(logs, r["of"], np.frombuffer(r["logs"])), added(
+                        known, r["of"], unpack(r["known"]).astype(np.int64)
+                    )
         if chunk is not None:
             yield done()
 
-    own = counted.filter(F.col("chunk").isNotNull()).select("chunk", "of", "logs", "known", "ids", "keys", "spread", "docs", "freqs", "asked", "counts")
+    own = counted.filter(F.col("chunk").isNotNull()).select(
+        "chunk", "of", "logs", "known", "ids", "keys", "spread", "docs", "freqs", "asked", "counts"
+    )
     return together(own, "chunk").mapInArrow(gather, "doc_id long, text_key long, logs double, known long")
 
 
@@ -499,7 +558,10 @@ def train(symbols: DataFrame, symbol_counts: np.ndarray) -> dict[str, np.ndarray
             if learn := [d for d, h in zip(docs, held) if not h]:
                 trainer.learn(learn)
         if trainer.tokens:
-            yield _rows([(number, trainer.tokens, (trainer.flat.astype(np.float64) * trainer.tokens).tobytes())], ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()])
+            yield _rows(
+                [(number, trainer.tokens, (trainer.flat.astype(np.float64) * trainer.tokens).tobytes())],
+                ["part", "n", "w"], [pa.int32(), pa.int64(), pa.binary()]
+            )
 
     def add(batches):
         n, w, part = 0, None, None
@@ -514,7 +576,9 @@ def train(symbols: DataFrame, symbol_counts: np.ndarray) -> dict[str, np.ndarray
     left, sums = symbols.rdd.getNumPartitions(), symbols.mapInArrow(copy, kind)
     while left > TREE:  # a task adds up TREE copies, in order
         left = -(-left // TREE)
-        sums = sums.repartitionById(left, F.floor(F.col("part") / TREE).cast("int")).sortWithinPartitions("part").mapInArrow(add, kind)
+        sums = sums.repartitionById(
+            left, F.floor(F.col("part") / TREE).cast("int")
+        ).sortWithinPartitions("part").mapInArrow(add, kind)
     sums = sums.collect()  # TREE rows at most
     n = sum(r["n"] for r in sums)
     if not n:
@@ -528,7 +592,8 @@ def score(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     counted = count_words(keyed)
     n_docs = keyed.filter(~F.col("held_out")).count()
-    tails = counted.filter(F.col("tails").isNotNull()).select(F.posexplode("tails").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # 3 x CLASSES rows
+    # 3 x CLASSES rows
+    tails = counted.filter(F.col("tails").isNotNull()).select(F.posexplode("tails").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     totals = np.zeros(3 * CLASSES)
     for r in tails:
         totals[r["i"]] = r["x"]
@@ -543,8 +608,11 @@ def score(docs: DataFrame) -> DataFrame:
     symbol_counts = np.concatenate([head_counts, np.zeros(HEAD - len(head)), [n_docs], counts])
     symbols = as_symbols(keyed, head)
     weights = train(symbols, symbol_counts)
-    # what a symbol adds besides the network's log probability: a head word gives back its log count, a tail divides by its sum
-    besides = np.concatenate([-np.log10(head_counts + 0.1), np.zeros(HEAD - len(head) + 1), -np.log10(counts + 0.1 * distinct + unknown)])
+    # what a symbol adds besides the network's log probability: a head word gives back its log count, a tail divides by
+    # its sum
+    besides = np.concatenate(
+        [-np.log10(head_counts + 0.1), np.zeros(HEAD - len(head) + 1), -np.log10(counts + 0.1 * distinct + unknown)]
+    )
     shared = docs.sparkSession.sparkContext.broadcast((weights, besides))
 
     def run(batches):
@@ -552,16 +620,25 @@ def score(docs: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.bool_()]
         for fields, ids in _symbol_slices(batches):
             got = log_likelihoods(p, ids) + np.array([besides_[x].sum() for x in ids])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, fields, types), pa.array([len(x) for x in ids], pa.int64()), pa.array(got)], ["doc_id", "text_key", "held_out", "n_tokens", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, fields, types), pa.array([len(x) for x in ids], pa.int64()), pa.array(got)],
+                ["doc_id", "text_key", "held_out", "n_tokens", "part"]
+            )
 
     scored = symbols.mapInArrow(run, "doc_id long, text_key long, held_out boolean, n_tokens long, part double")
-    sums = document_sums(counted).groupBy("doc_id", "text_key").agg(F.max("logs").alias("logs"), F.max("known").alias("known"))
+    sums = document_sums(counted).groupBy("doc_id", "text_key").agg(
+        F.max("logs").alias("logs"), F.max("known").alias("known")
+    )
     sums = sums.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "logs", "known")
     met = scored.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     end = math.log10(n_docs + 0.1)
     base = F.col("logs") + F.lit(end) - F.col("n_tokens") * F.lit(math.log10(n_all + 0.1 * (v_all + 1)))
     strange = F.col("n_tokens") - 1 - F.col("known")
     return met.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.lit(int(n_docs > 0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (F.col("part") + F.col("logs") + strange * F.lit(math.log10(unknown) + 1.0)).alias("score"),
+        "doc_id", "held_out", "n_tokens", (
+            F.col("known") + F.lit(int(n_docs > 0))
+        ).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (
+            F.col("part") + F.col("logs") + strange * F.lit(math.log10(unknown) + 1.0)
+        ).alias("score"),
     )

@@ -83,7 +83,9 @@ def shingle_set(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def registers(s: np.ndarray, k: int = REGISTERS) -> np.ndarray:
-    """Of a non-empty sorted set: per bucket (top bits) the leading zeros and mantissa of its least value; empty ones take the next non-empty register, moved by the distance."""
+    """Of a non-empty sorted set: per bucket (top bits) the leading zeros and mantissa of its least value; empty ones
+    take the next non-empty register, moved by the distance.
+    """
     bits = np.uint64(k.bit_length() - 1)
     bucket = (s >> (np.uint64(64) - bits)).astype(np.int64)
     filled, first = np.unique(bucket, return_index=True)  # sorted, so the first is the least
@@ -119,24 +121,44 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 # register i of band j is number j + 16 i, so that a band's registers lie apart
                 regs.append(registers(s).reshape(-1, BANDS).T.tobytes() if len(s) else None)
                 few.append(s.tobytes() if 0 < len(s) <= FEW else None)
-            columns = [batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(few, pa.binary())]
+            columns = [
+                batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(n, pa.int64()),
+                pa.array(regs, pa.binary()), pa.array(few, pa.binary())
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n_shingles", "registers", "few"])
 
-    return documents(docs, "doc_id", "text").select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, SIGNATURES)
+    return documents(docs, "doc_id", "text").select(
+        "doc_id", text_key().alias("text_key"), "text"
+    ).mapInArrow(run, SIGNATURES)
 
 
 def hanging(nodes: DataFrame) -> DataFrame:
-    """node, part: nodes that hang together by equal bands, under the least of them; nodes that hang alone are left out."""
+    """node, part: nodes that hang together by equal bands, under the least of them; nodes that hang alone are left out.
+    """
     width = 2 * REGISTERS // BANDS
-    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * width + 1, F.lit(width))))).alias("band"))
+    bands = nodes.select(
+        "node",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(BANDS - 1)),
+                lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * width + 1, F.lit(width)))
+            )
+        ).alias("band")
+    )
     least = bands.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).filter("n > 1")
-    edges = bands.join(dealt_anew(least, "band"), "band").filter(F.col("node") != F.col("m")).select(F.col("node").alias("u"), F.col("m").alias("v"))
+    edges = bands.join(dealt_anew(least, "band"), "band").filter(F.col("node") != F.col("m")).select(
+        F.col("node").alias("u"), F.col("m").alias("v")
+    )
     under = components(edges)
-    return under.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(under.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
+    return under.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(
+        under.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct()
+    )
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Of a set's shingles in order, so many that every other set linked with it shares one; none if all linked sets are equal to it."""
+    """Of a set's shingles in order, so many that every other set linked with it shares one; none if all linked sets are
+    equal to it.
+    """
     return n + (-percent * n // 100) + 1 if 100 * n >= percent * (n + 1) or 100 * (n - 1) >= percent * n else 0
 
 
@@ -170,13 +192,18 @@ def by_prefix(small: DataFrame, percent: int) -> DataFrame:
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         rank = np.where(known[at] == s, place[at], 0)
                     out += [(node, h.tobytes(), len(s)) for h in s[np.argsort(rank, kind="stable")[:p]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.binary(), pa.binary(), pa.int64()))], ["node", "part", "n_shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.binary(), pa.binary(), pa.int64()))],
+                ["node", "part", "n_shingles"]
+            )
 
     each = small.select("node", "few").mapInArrow(keys, "node binary, part binary, n_shingles long")
     shared_by = each.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
     met = stored(each.join(dealt_anew(shared_by, "part"), "part"))
     # a set hangs in several groups: in each under a name of its own, the node and then the group
-    placed = met.select("node", "part").join(small, "node").select("part", F.concat("node", "part").alias("node"), "least", F.col("few").alias("members"))
+    placed = met.select("node", "part").join(small, "node").select(
+        "part", F.concat("node", "part").alias("node"), "least", F.col("few").alias("members")
+    )
     found = resolve_groups(placed, met, percent)
     own = lambda c: F.substring(F.col(c), 1, NODE_BYTES)
     return found.select(own("node").alias("u"), own("comp").alias("v")).filter("u <> v").distinct()
@@ -191,7 +218,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def estimate(agree: np.ndarray, k: int = REGISTERS) -> np.ndarray:
-    """Jaccard similarity from the share of equal registers, less what agrees by chance: about 2^-MANTISSA times the chance of equal zeros."""
+    """Jaccard similarity from the share of equal registers, less what agrees by chance: about 2^-MANTISSA times the
+    chance of equal zeros.
+    """
     chance = 2.0**-MANTISSA / 3
     return (agree / k - chance) / (1 - chance)
 
@@ -208,7 +237,9 @@ def resolve(sets: list[np.ndarray], regs: np.ndarray, percent: int = PERCENT) ->
         if (part[:x] == part[x]).all():
             continue
         agree = (regs[:x] == regs[x]).sum(1)
-        fit = (part[:x] != part[x]) & (100 * np.minimum(sizes[:x], sizes[x]) >= percent * np.maximum(sizes[:x], sizes[x]))
+        fit = (part[:x] != part[x]) & (
+            100 * np.minimum(sizes[:x], sizes[x]) >= percent * np.maximum(sizes[:x], sizes[x])
+        )
         sure = np.minimum(sizes[:x], sizes[x]) < SURE_SIZE
         fit &= sure | (estimate(agree) >= percent / 100 - MARGIN)
         found = np.flatnonzero(fit)
@@ -239,7 +270,9 @@ def _groups(batches, n: int):
 
 
 def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["u", "v"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["u", "v"]
+    )
 
 
 def _local(percent: int):
@@ -260,7 +293,9 @@ def _local(percent: int):
 
 
 def _past(percent: int):
-    """Guests of a block against its members of other components: one edge for each component that a guest is linked with."""
+    """Guests of a block against its members of other components: one edge for each component that a guest is linked
+    with.
+    """
 
     def run(batches):
         for rows in _groups(batches, 7):
@@ -292,7 +327,9 @@ def _hub_links(percent: int):
         for batch in batches:
             out = []
             for comp, members, hub_comp, hub in zip(*(c.to_pylist() for c in batch.columns)):
-                if comp != hub_comp and linked(np.frombuffer(members, np.uint64), np.frombuffer(hub, np.uint64), percent):
+                if comp != hub_comp and linked(
+                    np.frombuffer(members, np.uint64), np.frombuffer(hub, np.uint64), percent
+                ):
                     out.append((comp, hub_comp))
             yield _edges(out)
 
@@ -307,30 +344,47 @@ def resolve_groups(members: DataFrame, parts: DataFrame, percent: int) -> DataFr
     key = lambda b: F.concat("part", F.encode(b.cast("string"), "UTF-8"))
     placed = members.join(sizes, "part").select(key(block).alias("key"), "part", "node", "least", "members", "blocks")
     if sizes.filter("blocks > 1").isEmpty():
-        local = together(placed, "key").select("key", "part", "node", "least", "members").mapInArrow(_local(percent), LINKED)
+        local = together(placed, "key").select(
+            "key", "part", "node", "least", "members"
+        ).mapInArrow(_local(percent), LINKED)
         return local.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     placed = stored(placed)
-    local = stored(together(placed, "key").select("key", "part", "node", "least", "members").mapInArrow(_local(percent), LINKED)).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    local = stored(
+        together(placed, "key").select("key", "part", "node", "least", "members").mapInArrow(_local(percent), LINKED)
+    ).select(F.col("u").alias("node"), F.col("v").alias("comp"))
     # of the groups that were cut: one hub each, the first node of the largest component of any block
     large = placed.filter("blocks > 1").join(local, "node")
-    hubs = large.groupBy("part", "comp").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("comp", F.struct("n", "comp")).alias("hub_comp"))
-    hub_sets = hubs.join(large.select(F.col("node").alias("hub_comp"), F.col("members").alias("hub")).dropDuplicates(["hub_comp"]), "hub_comp")
+    hubs = large.groupBy("part", "comp").agg(F.count("*").alias("n")).groupBy("part").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("hub_comp")
+    )
+    hub_sets = hubs.join(
+        large.select(F.col("node").alias("hub_comp"), F.col("members").alias("hub")).dropDuplicates(["hub_comp"]),
+        "hub_comp"
+    )
     by_hub = large.select("part", "comp", "members").join(hub_sets, "part").select("comp", "members", "hub_comp", "hub").mapInArrow(_hub_links(percent), LINKED).distinct()
     under_hub = components(by_hub)
     joined = _joined(local, under_hub)
     # what is still outside its group's hub goes past every block of the group
-    hub_of = _joined(hubs.select("part", F.col("hub_comp").alias("comp")), under_hub).select("part", F.col("comp").alias("main"))
+    hub_of = _joined(
+        hubs.select("part", F.col("hub_comp").alias("comp")), under_hub
+    ).select("part", F.col("comp").alias("main"))
     now = placed.filter("blocks > 1").join(joined, "node").join(hub_of, "part")
     hosts = now.select("key", "part", "node", "least", "comp", F.lit(False).alias("guest"), "members")
-    guests = now.filter(F.col("comp") != F.col("main")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(key(F.col("b")).alias("key"), "part", "node", "least", "comp", F.lit(True).alias("guest"), "members")
-    more = together(hosts.unionByName(guests), "key").select("key", "part", "node", "least", "comp", "guest", "members").mapInArrow(_past(percent), LINKED).distinct()
+    guests = now.filter(F.col("comp") != F.col("main")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        key(F.col("b")).alias("key"), "part", "node", "least", "comp", F.lit(True).alias("guest"), "members"
+    )
+    more = together(hosts.unionByName(guests), "key").select(
+        "key", "part", "node", "least", "comp", "guest", "members"
+    ).mapInArrow(_past(percent), LINKED).distinct()
     return _joined(joined, components(more))
 
 
 def _joined(local: DataFrame, under: DataFrame) -> DataFrame:
     """local with its comp replaced by the component that it belongs to."""
     up = under.select(F.col("u").alias("comp"), F.col("v").alias("_top"))
-    return local.join(up, "comp", "left").select(*[c for c in local.columns if c != "comp"], F.coalesce("_top", "comp").alias("comp"))
+    return local.join(up, "comp", "left").select(
+        *[c for c in local.columns if c != "comp"], F.coalesce("_top", "comp").alias("comp")
+    )
 
 
 def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -338,7 +392,9 @@ def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
     every = stored(comps.unionByName(ends.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))))
     of = lambda end: every.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}"))
-    edges = links.join(of("u"), "u").join(of("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).filter("u <> v")
+    edges = links.join(of("u"), "u").join(of("v"), "v").select(
+        F.col("_u").alias("u"), F.col("_v").alias("v")
+    ).filter("u <> v")
     return _joined(every, components(edges))
 
 
@@ -353,7 +409,10 @@ def judged(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """doc_id, text_key, n_shingles, component_id (least doc_id of the component), kept: one row per input row."""
     own = documents(docs, "doc_id", "text")
     signed = stored(signatures(own, shingle))
-    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("few").alias("few"))
+    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("least"), F.first("n_shingles").alias("n_shingles"),
+        F.first("registers").alias("registers"), F.first("few").alias("few")
+    )
     parts = stored(hanging(nodes.select("node", "registers")).join(nodes.select("node", "least", "n_shingles"), "node"))
 
     def sets(batches):
@@ -365,7 +424,14 @@ def judged(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == node.as_py():
                     out.append((part.as_py(), node.as_py(), least.as_py(), s.tobytes()))
             for i in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500]), (pa.binary(), pa.binary(), pa.int64(), pa.binary()))], ["part", "node", "least", "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(c, t) for c, t in zip(
+                            zip(*out[i : i + 500]), (pa.binary(), pa.binary(), pa.int64(), pa.binary())
+                        )
+                    ],
+                    ["part", "node", "least", "members"]
+                )
 
     wanted = parts.select(F.col("least").alias("_id"), "node", "part", "least")
     keyed = own.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), "text")
@@ -376,13 +442,20 @@ def judged(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     if not links.isEmpty():
         comps = _with_links(comps, links)
     resolved = _least(nodes, comps)
-    labels = nodes.select("node", "least").join(resolved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    labels = nodes.select("node", "least").join(resolved, "node", "left").select(
+        "node", F.coalesce("component", "least").alias("component")
+    )
     rows = signed.select("doc_id", "text_key", "n_shingles", "node")
-    # sets without a word are no group of copies; a hot group of copies is split, as both sides come straight from a shuffle
+    # sets without a word are no group of copies; a hot group of copies is split, as both sides come straight from a
+    # shuffle
     met = rows.filter(F.col("node").isNotNull()).join(dealt_anew(labels, "node"), "node")
-    out = met.unionByName(rows.filter(F.col("node").isNull()).withColumn("component", F.coalesce("doc_id", F.lit(LOWEST))))
+    out = met.unionByName(
+        rows.filter(F.col("node").isNull()).withColumn("component", F.coalesce("doc_id", F.lit(LOWEST)))
+    )
     component = F.nullif(F.col("component"), F.lit(LOWEST))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select(
+        "doc_id", "text_key", "n_shingles", component.alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -391,6 +464,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those of which a near-duplicate with a smaller doc_id stays. All rows of a group's least doc_id stay; rows of another text under a doc_id that goes are judged apart."""
-    gone = judged(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"]), "left_anti")
+    """The documents, all columns, without those of which a near-duplicate with a smaller doc_id stays. All rows of a
+    group's least doc_id stay; rows of another text under a doc_id that goes are judged apart.
+    """
+    gone = judged(docs.select("doc_id", "text")).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")
+    ).distinct()
+    return docs.join(
+        gone.hint("shuffle_hash"),
+        docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"]),
+        "left_anti"
+    )

@@ -39,7 +39,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 # Looser candidates: addresses written out, numbers in groups, values that are named as secret, opaque strings.
-_WRITTEN = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+[ ]?(?:\(at\)|\[at\])[ ]?[A-Za-z0-9-]{1,63}+(?:(?:\.|[ ]?(?:\(dot\)|\[dot\])[ ]?)[A-Za-z0-9-]{1,63}+){0,8}")
+_WRITTEN = re.compile(
+    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+[ ]?(?:\(at\)|\[at\])[ ]?[A-Za-z0-9-]{1,63}+(?:(?:\.|[ ]?(?:\(dot\)|\[dot\])[ ]?)[A-Za-z0-9-]{1,63}+){0,8}"
+)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9][0-9() .-]{6,24}[0-9](?![0-9A-Za-z])")
 _NAMED = re.compile(r"(?<![A-Za-z_-])([A-Za-z_-]{3,40}+)[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z0-9_+/=.-]{8,256}+)")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]{24,256}+(?![A-Za-z0-9_+/=.-])")
@@ -48,19 +50,36 @@ _GROUPS = re.compile(r"[0-9]{13,19}$|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$
 _BEFORE = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 # Gazetteers, stated in part: what a value may end in, begin with or be called.
-_DOMAINS = frozenset("com org net edu gov mil int info biz name io co ai app dev eu uk de fr es it nl be ch at pl se no fi dk pt ie cz gr ru ua tr us ca mx br ar au nz jp cn in kr za".split())
-_CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-_CALLING_THREE = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())  # first two digits of codes of three
-_SECRET_NAMES = frozenset("token secret password passwd pwd apikey api_key api-key access_key secret_key private_key auth bearer credential credentials".split())
-_SECRET_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "eyJ")
+_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name io co ai app dev eu uk de fr es it nl be ch at pl se no fi dk pt ie cz gr ru ua tr us ca mx br ar au nz jp cn in kr za".split()
+)
+_CALLING = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+# first two digits of codes of three
+_CALLING_THREE = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+_SECRET_NAMES = frozenset(
+    "token secret password passwd pwd apikey api_key api-key access_key secret_key private_key auth bearer credential credentials".split()
+)
+_SECRET_PREFIXES = (
+    "AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "eyJ"
+)
 _NEAR = {
-    "email": frozenset("mail email e-mail contact write reach address".split()), "ip": frozenset("ip host server address node peer".split()),
-    "card": frozenset("card visa mastercard amex credit debit account payment".split()), "phone": frozenset("phone tel telephone call mobile fax cell dial".split()),
+    "email": frozenset(
+        "mail email e-mail contact write reach address".split()
+    ), "ip": frozenset("ip host server address node peer".split()),
+    "card": frozenset(
+        "card visa mastercard amex credit debit account payment".split()
+    ), "phone": frozenset("phone tel telephone call mobile fax cell dial".split()),
     "secret": _SECRET_NAMES | frozenset(("key", "login")),
 }
 _AGAINST = {
-    "email": frozenset(()), "ip": frozenset("version release section chapter firmware".split()), "card": frozenset("isbn order invoice serial number id".split()),
-    "phone": frozenset("version license licence page chapter section isbn figure table year order".split()), "secret": frozenset("commit sha md5 checksum digest hash url path file branch".split()),
+    "email": frozenset(()), "ip": frozenset(
+        "version release section chapter firmware".split()
+    ), "card": frozenset("isbn order invoice serial number id".split()),
+    "phone": frozenset(
+        "version license licence page chapter section isbn figure table year order".split()
+    ), "secret": frozenset("commit sha md5 checksum digest hash url path file branch".split()),
 }
 
 
@@ -97,7 +116,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Strict spans by kind, then start: (kind, start, end) in code points."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+        out += [
+            ("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(
+                len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")
+            )
+        ]
         for m in _CARD.finditer(text):
             if 16 <= len(d := _digits(m.group())) <= 19 and luhn(d):
                 out.append(("card", m.start(), m.end()))
@@ -206,7 +229,9 @@ def features(kind: str, v: tuple[int, ...], form: tuple[int, ...]) -> np.ndarray
 
 
 def reliabilities(counted: dict[tuple[int, ...], int], rounds: int = 100):
-    """Dawid-Skene over vote combinations of one kind: share of personal spans, per labeler P(1 | personal) and P(1 | not), and the posterior of each combination."""
+    """Dawid-Skene over vote combinations of one kind: share of personal spans, per labeler P(1 | personal) and P(1 |
+    not), and the posterior of each combination.
+    """
     keys = sorted(counted)
     n, v = np.array([counted[k] for k in keys], float), np.array(keys)
     post = np.clip(((v == 1).sum(1) + 0.5) / ((v >= 0).sum(1) + 1.0), 0.05, 0.95)  # start from the majority
@@ -274,11 +299,16 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 for k, a, b in (*base, *candidates(text, base)):
                     seen[k, votes(text, k, a, b), shape(text, a, b)] += 1
             code = lambda t: ",".join(map(str, t))
-            columns = [pa.array([k for k, _, _ in seen], pa.string()), pa.array([code(v) for _, v, _ in seen], pa.string()), pa.array([code(f) for _, _, f in seen], pa.string()), pa.array(list(seen.values()), pa.int64())]
+            columns = [
+                pa.array([k for k, _, _ in seen], pa.string()), pa.array([code(v) for _, v, _ in seen], pa.string()),
+                pa.array([code(f) for _, _, f in seen], pa.string()), pa.array(list(seen.values()), pa.int64())
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["kind", "votes", "shape", "n"])
 
     # at most 5 kinds x 24 combinations of votes x 64 shapes come back
-    counted = own.select("text").mapInArrow(tally, "kind string, votes string, shape string, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n")).collect()
+    counted = own.select("text").mapInArrow(
+        tally, "kind string, votes string, shape string, n long"
+    ).groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n")).collect()
     numbers = lambda s: tuple(map(int, s.split(",")))
     weights = train({(r["kind"], numbers(r["votes"]), numbers(r["shape"])): r["n"] for r in counted})
 
@@ -299,11 +329,25 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 base = base_spans(text)
                 n = Counter(k for k, _, _ in base)
                 more = [s for s in candidates(text, base) if personal(text, *s)]
-                rows.append((key, *(n[k] for k in KINDS), _spans(base), _spans(sorted(base + more, key=lambda s: (order[s[0]], s[1], s[2])))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(zip(*rows) if rows else [[]] * 7)], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
+                rows.append(
+                    (
+                        key, *(n[k] for k in KINDS), _spans(base),
+                        _spans(sorted(base + more, key=lambda s: (order[s[0]], s[1], s[2])))
+                    )
+                )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(
+                        c, pa.int64() if i < 5 else pa.string()
+                    ) for i, c in enumerate(zip(*rows) if rows else [[]] * 7)
+                ],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"]
+            )
 
     return own.mapInArrow(label, SCHEMA)
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
+    return found.select(
+        "doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans"
+    )

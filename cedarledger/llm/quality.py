@@ -78,7 +78,10 @@ def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """Log ratio of trusted to raw probability for each bucket, from n-grams of all documents."""
     trusted = trusted_ids(labels).select(F.col("doc_id").alias("_trusted"))
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("_trusted"), "left")
-    buckets = let(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), lambda h: F.concat(F.transform(h, _bucket), _pairs(h, _bucket)))
+    buckets = let(
+        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)),
+        lambda h: F.concat(F.transform(h, _bucket), _pairs(h, _bucket))
+    )
     counted = (
         marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(buckets).alias("b"))
         .groupBy("b")
@@ -91,31 +94,57 @@ def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     total_raw, total_target = sum(raw) + SMOOTHING * BUCKETS, sum(target) + SMOOTHING * BUCKETS
     if not sum(target):
         return [0.0] * BUCKETS
-    return [round(math.log((t + SMOOTHING) / total_target) - math.log((r + SMOOTHING) / total_raw), DIGITS) for t, r in zip(target, raw)]
+    return [
+        round(
+            math.log((t + SMOOTHING) / total_target) - math.log((r + SMOOTHING) / total_raw), DIGITS
+        ) for t, r in zip(target, raw)
+    ]
 
 
 def _repeats(h: Column) -> Column:
     """Words inside 3-word windows that occur twice or more."""
     m = F.greatest(F.size(h) - 2, F.lit(0))
-    windows = F.zip_with(F.zip_with(F.slice(h, F.lit(1), m), F.slice(h, F.lit(2), m), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(h, F.lit(3), m), lambda ab, c: F.xxhash64(ab["a"], ab["b"], c))
+    windows = F.zip_with(
+        F.zip_with(F.slice(h, F.lit(1), m), F.slice(h, F.lit(2), m), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        F.slice(h, F.lit(3), m), lambda ab, c: F.xxhash64(ab["a"], ab["b"], c)
+    )
 
     def covered(at: Column) -> Column:  # positions in order; each covers three words
         start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"))
-        step = lambda acc, p: F.struct((p + 3).alias("end"), (acc["n"] + (p + 3 - F.greatest(p, acc["end"]))).alias("n"))
+        step = lambda acc, p: F.struct(
+            (p + 3).alias("end"), (acc["n"] + (p + 3 - F.greatest(p, acc["end"]))).alias("n")
+        )
         return F.aggregate(at, start, step, lambda acc: acc["n"])
 
     def few(t: Column, twice: Column) -> Column:
-        return covered(F.filter(F.transform(t, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull()))
+        return covered(
+            F.filter(F.transform(t, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
+        )
 
     def many(t: Column) -> Column:  # sorted by window, so equal windows are neighbours
         return let(
             F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i")))),
-            lambda s: covered(F.sort_array(F.transform(F.filter(s, lambda e, j: F.coalesce(F.get(s, j - 1)["x"] == e["x"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["x"] == e["x"], F.lit(False))), lambda e: e["i"]))),
+            lambda s: covered(
+                F.sort_array(
+                    F.transform(
+                        F.filter(
+                            s,
+                            lambda e, j: F.coalesce(F.get(s, j - 1)["x"] == e["x"], F.lit(False)) | F.coalesce(
+                                F.get(s, j + 1)["x"] == e["x"], F.lit(False)
+                            )
+                        ),
+                        lambda e: e["i"]
+                    )
+                )
+            ),
         )
 
     def at_all(t: Column) -> Column:
         return let(
-            let(F.sort_array(t), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False))))),
+            let(
+                F.sort_array(t),
+                lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False))))
+            ),
             lambda twice: F.when(F.size(twice) == 0, F.lit(0)).when(F.size(twice) <= 32, few(t, twice)).otherwise(many(t)),
         )
 
@@ -142,14 +171,23 @@ def toxic_words(docs: DataFrame, labels: DataFrame, most: int = JUDGED) -> dict[
     toxic = _first(labels, _toxic(), most).select(F.col("doc_id").alias("_judged"), F.lit(1).alias("_t"))
     good = _first(labels, _good(), most).select(F.col("doc_id").alias("_judged"), F.lit(0).alias("_t"))
     met = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(good)), F.col("doc_id") == F.col("_judged"))
-    own = met.select("_t", F.explode(F.array_distinct(F.concat(F.array(F.lit(None).cast("long")), F.transform(words(F.col("text")), lambda w: F.xxhash64(w))))).alias("h"))
+    own = met.select(
+        "_t",
+        F.explode(
+            F.array_distinct(
+                F.concat(F.array(F.lit(None).cast("long")), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
+            )
+        ).alias("h")
+    )
     counts = own.groupBy("h").agg(F.sum("_t").alias("t"), F.sum(1 - F.col("_t")).alias("g"))
     sizes = counts.filter("h IS NULL").first()  # every document has the null once
     if sizes is None or not sizes["t"] or not sizes["g"]:
         return {}
     ratio = F.log((F.col("t") + 0.5) / (sizes["t"] + 1.0)) - F.log((F.col("g") + 0.5) / (sizes["g"] + 1.0))
     told = counts.filter("h IS NOT NULL AND t > 1").select("h", "t", ratio.alias("r")).filter(F.col("r") >= math.log(TELLING))
-    return {x["h"]: round(x["r"], 2) for x in told.orderBy((F.col("t") * F.col("r")).desc(), "h").limit(TOXIC_WORDS).collect()}
+    return {
+        x["h"]: round(x["r"], 2) for x in told.orderBy((F.col("t") * F.col("r")).desc(), "h").limit(TOXIC_WORDS).collect()
+    }
 
 
 def _toxicity(h: Column, telling: dict[int, float]) -> Column:
@@ -157,11 +195,15 @@ def _toxicity(h: Column, telling: dict[int, float]) -> Column:
     if not telling:
         return F.lit(0.0)
     weight = F.create_map(*(F.lit(x) for kv in telling.items() for x in kv))
-    return F.aggregate(F.array_distinct(F.filter(h, lambda x: x.isin(*telling))), F.lit(0.0), lambda s, x: s + F.element_at(weight, x))
+    return F.aggregate(
+        F.array_distinct(F.filter(h, lambda x: x.isin(*telling))), F.lit(0.0), lambda s, x: s + F.element_at(weight, x)
+    )
 
 
 def cut(bins: list[tuple[float, float, int, int]]) -> float:
-    """The value with most bad documents less COST times the good ones below it, in the middle of the widest gap that has it. Bins in order: least and largest value, bad and good documents."""
+    """The value with most bad documents less COST times the good ones below it, in the middle of the widest gap that
+    has it. Bins in order: least and largest value, bad and good documents.
+    """
     best, found, gain = (0, math.inf), -math.inf, 0
     for (_, s, bad, good_), (t, *_) in zip(bins, bins[1:]):  # never above the last
         gain += bad - COST * good_
@@ -172,20 +214,31 @@ def cut(bins: list[tuple[float, float, int, int]]) -> float:
 
 def _histogram(judged: DataFrame, value: Column) -> list[tuple[float, float, int, int]]:
     """Of all labelled documents; as many rows as there are bins."""
-    bins = judged.select(value.alias("x"), "_bad", "_good").groupBy(F.floor(F.col("x") * BINS).alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("_bad").alias("bad"), F.sum("_good").alias("good"))
+    bins = judged.select(value.alias("x"), "_bad", "_good").groupBy(F.floor(F.col("x") * BINS).alias("bin")).agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("_bad").alias("bad"), F.sum("_good").alias("good")
+    )
     return sorted(tuple(r) for r in bins.select("lo", "hi", "bad", "good").collect())
 
 
 def fit_thresholds(scored: DataFrame, labels: DataFrame) -> tuple[float, float]:
-    """Least score and, below it, largest toxicity of a kept document, from all labelled documents that the rules don't reject anyway."""
-    one = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_judged")).agg(F.max(_bad().cast("int")).alias("_bad"), F.max(_toxic().cast("int")).alias("_toxic"), F.max(F.coalesce(_good(), F.lit(False)).cast("int")).alias("_good"))
-    judged = scored.filter(~F.col("base_failed")).select("doc_id", "score", "toxicity").join(one, F.col("doc_id") == F.col("_judged"))
+    """Least score and, below it, largest toxicity of a kept document, from all labelled documents that the rules don't
+    reject anyway.
+    """
+    one = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_judged")).agg(
+        F.max(_bad().cast("int")).alias("_bad"), F.max(_toxic().cast("int")).alias("_toxic"),
+        F.max(F.coalesce(_good(), F.lit(False)).cast("int")).alias("_good")
+    )
+    judged = scored.filter(~F.col("base_failed")).select("doc_id", "score", "toxicity").join(
+        one, F.col("doc_id") == F.col("_judged")
+    )
     most = -cut(_histogram(judged.select("toxicity", F.col("_toxic").alias("_bad"), "_good"), -F.col("toxicity")))
     return cut(_histogram(judged.filter(F.col("toxicity") <= most), F.col("score"))), most
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, *carry: str) -> DataFrame:
-    """doc_id, counts, base_failed, score and kept; carry names columns to pass through. Without a threshold of the score one is fitted, and one of toxicity."""
+    """doc_id, counts, base_failed, score and kept; carry names columns to pass through. Without a threshold of the
+    score one is fitted, and one of toxicity.
+    """
     table = _table(ratios(docs, labels))
     telling = toxic_words(docs, labels) if threshold is None else {}
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -202,8 +255,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, *c
             ),
         ),
     )
-    lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    got = docs.select("doc_id", *carry, one.alias("_q"), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"))
+    lines = let(
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        lambda x: F.size(x) - F.size(F.array_distinct(x))
+    )
+    got = docs.select(
+        "doc_id", *carry, one.alias("_q"), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        lines.cast("long").alias("n_dup_lines")
+    )
     q = F.col("_q")
     scored = got.select(
         "doc_id", *carry, q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), "n_symbols", "n_dup_lines", q["n_repeat_words"].alias("n_repeat_words"),
@@ -222,4 +281,7 @@ def good(docs: DataFrame, labels: DataFrame, threshold: float | None = None) ->
     # whole rows are not carried through the stored scores: reading those back takes too much memory
     keyed = docs.select("doc_id", "text", text_key().alias("_key"))
     gone = score(keyed, labels, threshold, "_key").filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_key").distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
+    return docs.join(
+        gone.hint("shuffle_hash"),
+        docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti"
+    )

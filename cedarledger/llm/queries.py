@@ -55,7 +55,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_score, op2_decontamination, op3_bpe, op4_token_counts, op5_line_dedup, op6_substring_dedup, op7_minhash, op8_pii, op9_language_id, op10_quality)}
+    return {
+        f.__name__: f for f in (
+            op1_lm_score, op2_decontamination, op3_bpe, op4_token_counts, op5_line_dedup, op6_substring_dedup,
+            op7_minhash, op8_pii, op9_language_id, op10_quality
+        )
+    }
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,5 +102,10 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = d.doc_id A
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL where it can express the whole result. The others are held against plain versions, round trips and held-out accuracy in the tests."""
-    return {"op2_decontamination": _DECONTAMINATION, "op5_line_dedup": _LINES, "op6_substring_dedup": _SUBSTRINGS, "op7_minhash": _NEAR}
+    """SQL where it can express the whole result. The others are held against plain versions, round trips and held-out
+    accuracy in the tests.
+    """
+    return {
+        "op2_decontamination": _DECONTAMINATION, "op5_line_dedup": _LINES, "op6_substring_dedup": _SUBSTRINGS,
+        "op7_minhash": _NEAR
+    }

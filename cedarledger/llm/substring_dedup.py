@@ -63,7 +63,9 @@ def word_batches(batch: pa.RecordBatch, most: int = BATCH_BYTES):
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names
+    )
 
 
 def _split(of: np.ndarray, p: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -72,7 +74,9 @@ def _split(of: np.ndarray, p: np.ndarray) -> tuple[bytes, bytes, bytes]:
 
 
 SPREAD = "bucket int, chunk long, docs binary, low binary, high binary, ids array<long>, keys array<long>"
-SPREAD_NAMES, SPREAD_TYPES = ["bucket", "chunk", "docs", "low", "high", "ids", "keys"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+SPREAD_NAMES, SPREAD_TYPES = ["bucket", "chunk", "docs", "low", "high", "ids", "keys"], [
+    pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
+]
 
 
 def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
@@ -91,10 +95,16 @@ def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
                         prints.append(p)
                         of.append(np.full(len(p), d, np.uint32))
                 n = len(texts)
-                rows = [(chunk % n_buckets, chunk, None, None, None, batch.column(0).slice(start, n).to_pylist(), batch.column(1).slice(start, n).to_pylist())]
+                rows = [
+                    (
+                        chunk % n_buckets, chunk, None, None, None, batch.column(0).slice(start, n).to_pylist(),
+                        batch.column(1).slice(start, n).to_pylist()
+                    )
+                ]
                 if prints:
                     p, of = np.concatenate(prints), np.concatenate(of)
-                    # anchors that several documents of the batch have are known to be shared: one of them goes on, for other batches
+                    # anchors that several documents of the batch have are known to be shared: one of them goes on, for
+                    # other batches
                     order = np.argsort(p, kind="stable")
                     p, of = p[order], of[order]
                     first = np.concatenate(([True], p[1:] != p[:-1]))
@@ -113,13 +123,20 @@ def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
                 yield _rows(rows, SPREAD_NAMES, SPREAD_TYPES)
 
     def meet(batches):
-        """All rows of a partition, one for each batch and bucket: passes on what is known and answers with the anchors that two batches have."""
+        """All rows of a partition, one for each batch and bucket: passes on what is known and answers with the anchors
+        that two batches have.
+        """
         held = []
         for batch in batches:
             lists = []
             for r in batch.to_pylist():
                 if r["ids"] is not None:  # a document list, or anchors that are known to be shared
-                    lists.append((r["chunk"], r["docs"], r["low"], r["high"], *((r["ids"], r["keys"]) if r["docs"] is None else (None, None))))
+                    lists.append(
+                        (
+                            r["chunk"], r["docs"], r["low"], r["high"],
+                            *((r["ids"], r["keys"]) if r["docs"] is None else (None, None))
+                        )
+                    )
                 else:
                     p = np.frombuffer(r["low"], np.uint32).astype(np.uint64) | np.frombuffer(r["high"], np.uint16).astype(np.uint64) << np.uint64(32)
                     held.append((r["chunk"], unpack(r["docs"]), p))
@@ -143,7 +160,11 @@ def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
             if not parts:
                 return
             of = np.concatenate([unpack(a) for a, _, _ in parts])
-            p = np.concatenate([np.frombuffer(b, np.uint32).astype(np.uint64) | np.frombuffer(c, np.uint16).astype(np.uint64) << np.uint64(32) for _, b, c in parts])
+            p = np.concatenate(
+                [
+                    np.frombuffer(b, np.uint32).astype(np.uint64) | np.frombuffer(c, np.uint16).astype(np.uint64) << np.uint64(32) for _, b, c in parts
+                ]
+            )
             order = np.argsort(of, kind="stable")
             of, p = of[order], p[order]
             docs, at = np.unique(of, return_index=True)
@@ -152,7 +173,10 @@ def shared_anchors(own: DataFrame, length: int, seed: int) -> DataFrame:
                 split = np.split(p[at[i] :], at[i + 1 : i + len(part)] - at[i]) if len(part) > 1 else [p[at[i] :]]
                 stop = at[i + len(part)] if i + len(part) < len(at) else len(p)
                 split[-1] = p[at[i + len(part) - 1] : stop]
-                yield _rows([(ids[d], keys[d], np.unique(x).tobytes()) for d, x in zip(part.tolist(), split)], ["doc", "text_key", "anchors"], [pa.int64(), pa.int64(), pa.binary()])
+                yield _rows(
+                    [(ids[d], keys[d], np.unique(x).tobytes()) for d, x in zip(part.tolist(), split)],
+                    ["doc", "text_key", "anchors"], [pa.int64(), pa.int64(), pa.binary()]
+                )
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -176,12 +200,17 @@ MEET_NAMES, MEET_TYPES = SPREAD_NAMES[1:], SPREAD_TYPES[1:]
 WINDOWS = "bucket int, chunk long, ids binary, docs binary, at binary, hash binary, check binary, all_ids array<long>, all_keys array<long>"
 WINDOWS_NAMES = ["bucket", "chunk", "ids", "docs", "at", "hash", "check", "all_ids", "all_keys"]
 WINDOWS_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
-FOUND_NAMES, FOUND_TYPES = ["chunk", "docs", "at", "all_ids", "all_keys"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+FOUND_NAMES, FOUND_TYPES = ["chunk", "docs", "at", "all_ids", "all_keys"], [
+    pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
+]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc, text_key, starts and ends (in words, packed) of the maximal repeats to remove, for documents that have any."""
-    own = documents(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), text_key().alias("text_key"), "text")
+    """doc, text_key, starts and ends (in words, packed) of the maximal repeats to remove, for documents that have any.
+    """
+    own = documents(docs, "doc_id", "text").select(
+        F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), text_key().alias("text_key"), "text"
+    )
     n_buckets = partitions(docs.sparkSession)
     seeds = shared_anchors(own, length, seed).dropDuplicates(["doc", "text_key"])
     met = own.join(seeds.hint("shuffle_hash"), ["doc", "text_key"]).select("doc", "text_key", "anchors", "text")
@@ -199,20 +228,36 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                     if not len(at):
                         continue
                     own_prints = g[at] >> np.uint64(16)
-                    windows = np.flatnonzero(prints[np.minimum(np.searchsorted(prints, own_prints), len(prints) - 1)] == own_prints)
+                    windows = np.flatnonzero(
+                        prints[np.minimum(np.searchsorted(prints, own_prints), len(prints) - 1)] == own_prints
+                    )
                     if len(windows):
-                        keep.append((np.full(len(windows), d, np.uint32), windows.astype(np.uint32), rolled(h, length)[windows], g[at[windows]]))
-                rows = [(chunk % n_buckets, chunk, None, None, None, None, None, doc_ids.tolist(), batch.column(1).slice(start, n).to_pylist())]
+                        keep.append(
+                            (
+                                np.full(len(windows), d, np.uint32), windows.astype(np.uint32),
+                                rolled(h, length)[windows], g[at[windows]]
+                            )
+                        )
+                rows = [
+                    (
+                        chunk % n_buckets, chunk, None, None, None, None, None, doc_ids.tolist(),
+                        batch.column(1).slice(start, n).to_pylist()
+                    )
+                ]
                 if keep:
                     of, at, whole, anchor = (np.concatenate(x) for x in zip(*keep))
                     # a window that a smaller doc_id of this batch has too is decided here; the others' least goes on
                     order = np.lexsort((doc_ids[of], anchor, whole))
-                    new = np.concatenate(([True], (whole[order[1:]] != whole[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])))
+                    new = np.concatenate(
+                        ([True], (whole[order[1:]] != whole[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]]))
+                    )
                     least = doc_ids[of[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
                     later = np.empty(len(order), bool)
                     later[order] = doc_ids[of[order]] > least
                     if later.any():
-                        rows.append((chunk % n_buckets, chunk, None, pack(of[later]), pack(at[later]), None, None, [], []))
+                        rows.append(
+                            (chunk % n_buckets, chunk, None, pack(of[later]), pack(at[later]), None, None, [], [])
+                        )
                         of, at, whole, anchor = of[~later], at[~later], whole[~later], anchor[~later]
                     bucket = (mix(anchor) % np.uint64(n_buckets)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
@@ -221,7 +266,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                         i = order[ends[b] : ends[b + 1]]
                         if len(i):
                             local, docs_ = np.unique(of[i], return_inverse=True)
-                            rows.append((b, chunk, doc_ids[local].tobytes(), pack(docs_) + local.astype(np.uint32).tobytes(), pack(at[i]), whole[i].tobytes(), (anchor[i] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), None, None))
+                            rows.append(
+                                (
+                                    b, chunk, doc_ids[local].tobytes(), pack(docs_) + local.astype(np.uint32).tobytes(),
+                                    pack(at[i]), whole[i].tobytes(),
+                                    (anchor[i] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), None, None
+                                )
+                            )
                 yield _rows(rows, WINDOWS_NAMES, WINDOWS_TYPES)
 
     def judge(batches):
@@ -230,11 +281,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
             lists = []
             for r in batch.to_pylist():
                 if r["all_ids"] is not None:  # a document list, or windows that are decided
-                    lists.append((r["chunk"], r["docs"], r["at"], *((r["all_ids"], r["all_keys"]) if r["docs"] is None else (None, None))))
+                    lists.append(
+                        (
+                            r["chunk"], r["docs"], r["at"],
+                            *((r["all_ids"], r["all_keys"]) if r["docs"] is None else (None, None))
+                        )
+                    )
                 else:
                     ids = np.frombuffer(r["ids"], np.int64)
                     tail = len(r["docs"]) - 4 * len(ids)
-                    held.append((r["chunk"], ids, unpack(r["docs"][:tail]).astype(np.int64), np.frombuffer(r["docs"], np.uint32, offset=tail), r["at"], np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["check"], np.uint16)))
+                    held.append(
+                        (
+                            r["chunk"], ids, unpack(r["docs"][:tail]).astype(np.int64),
+                            np.frombuffer(r["docs"], np.uint32, offset=tail), r["at"],
+                            np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["check"], np.uint16)
+                        )
+                    )
             yield _rows(lists, FOUND_NAMES, FOUND_TYPES)
         if not held:
             return
@@ -252,7 +314,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
             hit = later[at : at + len(h)]
             at += len(h)
             if hit.any():
-                yield _rows([(chunk, pack(local[docs_[hit]]), pack(unpack(starts)[hit]), None, None)], FOUND_NAMES, FOUND_TYPES)
+                yield _rows(
+                    [(chunk, pack(local[docs_[hit]]), pack(unpack(starts)[hit]), None, None)], FOUND_NAMES, FOUND_TYPES
+                )
 
     def merge(batches):
         chunk, parts, ids, keys = None, [], None, None
@@ -286,21 +350,29 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
         if chunk is not None:
             yield from done()
 
-    judged = by_bucket(met.mapInArrow(extend, WINDOWS)).mapInArrow(judge, "chunk long, docs binary, at binary, all_ids array<long>, all_keys array<long>")
+    judged = by_bucket(met.mapInArrow(extend, WINDOWS)).mapInArrow(
+        judge, "chunk long, docs binary, at binary, all_ids array<long>, all_keys array<long>"
+    )
     return together(judged, "chunk").mapInArrow(merge, "doc long, text_key long, starts binary, ends binary")
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    own = documents(docs, "doc_id", "text").withColumn("doc", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("text_key", text_key())
-    met = own.join(found.dropDuplicates(["doc", "text_key"]).hint("shuffle_hash"), ["doc", "text_key"], "left").select("doc_id", "starts", "ends", "text")
+    own = documents(docs, "doc_id", "text").withColumn(
+        "doc", F.coalesce("doc_id", F.lit(LOWEST))
+    ).withColumn("text_key", text_key())
+    met = own.join(
+        found.dropDuplicates(["doc", "text_key"]).hint("shuffle_hash"), ["doc", "text_key"], "left"
+    ).select("doc_id", "starts", "ends", "text")
 
     def run(batches):
         for batch in batches:
             for start, texts in word_batches(batch, 8 << 20):
                 n = len(texts)
                 removed, kept = [], []
-                for w, a, b in zip(texts, batch.column(1).slice(start, n).to_pylist(), batch.column(2).slice(start, n).to_pylist()):
+                for w, a, b in zip(
+                    texts, batch.column(1).slice(start, n).to_pylist(), batch.column(2).slice(start, n).to_pylist()
+                ):
                     left = len(w)
                     if a is not None:
                         out, at = [], 0
@@ -310,7 +382,13 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                         w = out + w[at:]
                     removed.append(left - len(w))
                     kept.append(b" ".join(w).decode("utf-8"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array([len(w) + 0 for w in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, n), pa.array([len(w) + 0 for w in texts], pa.int64()),
+                        pa.array(removed, pa.int64()), pa.array(kept, pa.string())
+                    ],
+                    ["doc_id", "n_words", "n_removed", "kept"]
+                )
 
     return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 

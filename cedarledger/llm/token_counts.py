@@ -57,7 +57,9 @@ def postings(texts_words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, n
 
 
 def dealt(words: list[bytes], word_of: np.ndarray, n_buckets: int, salt: np.ndarray | None = None):
-    """Per bucket that has any: its number, its words' numbers, and the postings that belong to them, ordered by word. Salt, by word, moves a word to another bucket."""
+    """Per bucket that has any: its number, its words' numbers, and the postings that belong to them, ordered by word.
+    Salt, by word, moves a word to another bucket.
+    """
     bucket = np.fromiter(map(crc32, words), np.int64, len(words))
     bucket = (bucket if salt is None else bucket + salt) % n_buckets
     order = in_order(bucket)
@@ -86,12 +88,21 @@ def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | N
                 chunk = next(ids)
                 words, word_of, doc_of, freq = postings([t.split() for t in texts])
                 # what many documents of the batch have, has many postings in every batch: each batch sends it elsewhere
-                salt = np.where(np.bincount(word_of, minlength=len(words)) * OFTEN > len(texts), crc32(b"%d" % chunk), 0)
+                salt = np.where(
+                    np.bincount(word_of, minlength=len(words)) * OFTEN > len(texts), crc32(b"%d" % chunk), 0
+                )
                 rows = [(chunk % n_buckets, chunk, None, None, None, None, keys, [len(t) for t in texts])]
                 for b, at, per_word, by in dealt(words, word_of, n_buckets, salt):
-                    rows.append((b, chunk, b"\n".join([words[i] for i in at]), pack(per_word), pack(doc_of[by]), pack(freq[by]), None, None))
+                    rows.append(
+                        (
+                            b, chunk, b"\n".join([words[i] for i in at]), pack(per_word), pack(doc_of[by]),
+                            pack(freq[by]), None, None
+                        )
+                    )
                 for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), PACKED_TYPES)], PACKED_NAMES)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), PACKED_TYPES)], PACKED_NAMES
+                    )
 
     def count(batches):
         tokenizer, known = load(shared.value), {}
@@ -105,13 +116,19 @@ def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | N
                 if len(known) > KNOWN:
                     known = {}
                 new = [w for w in words if w not in known]
-                for w, e in zip(new, tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
+                for w, e in zip(
+                    new, tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
+                ):
                     known[w] = len(e.ids)
                 pieces = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                docs_, weight = unpack(r["docs"]), np.repeat(pieces, unpack(r["spread"]).astype(np.int64)) * unpack(r["freqs"])
+                docs_, weight = unpack(r["docs"]), np.repeat(
+                    pieces, unpack(r["spread"]).astype(np.int64)
+                ) * unpack(r["freqs"])
                 of, (sums,) = thinned(docs_, np.bincount(docs_, weights=weight).astype(np.uint64))
                 out.append((r["chunk"], of, pack(sums), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, PARTIAL_TYPES)], PARTIAL_NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, PARTIAL_TYPES)], PARTIAL_NAMES
+            )
 
     packed = documents(docs, "doc_id", "text").mapInArrow(spread, PACKED)
     partial = by_bucket(packed).mapInArrow(count, PARTIAL)
@@ -124,7 +141,9 @@ def gather(batches):
 
     def done():
         t = np.concatenate([total, np.zeros(len(keys), np.int64)])[: len(keys)]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(t)], ["doc_id", "n_bytes", "n_tokens"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(t)], ["doc_id", "n_bytes", "n_tokens"]
+        )
 
     for batch in batches:
         for r in batch.to_pylist():

@@ -22,13 +22,31 @@ def rows():
         for _ in range(2 + i):
             w[r.randrange(len(w))] = f"new{i}"
         out.append((40 + i, " ".join(w)))
-    out += [(50 + i, sentence(r, 70) + "\n" + LINE.upper() * (i % 2) + LINE * (1 - i % 2) + "  \n" + sentence(r, 5)) for i in range(5)]
+    out += [
+        (
+            50 + i, sentence(r, 70) + "\n" + LINE.upper() * (i % 2) + LINE * (1 - i % 2) + "  \n" + sentence(r, 5)
+        ) for i in range(5)
+    ]
     out += [(60 + i, sentence(r, 30 * i) + " " + PASSAGE + " " + sentence(r, 20)) for i in range(4)]
-    out += [(70, None), (71, ""), (72, " \n\t "), (73, "x"), (74, "a b"), (75, "a b"), (76, "ONE two\nthree"), (77, "one TWO three")]
-    out += [(80, "la la la " * 40), (81, "\n".join([LINE] * 3 + ["short"] * 4)), (82, "<|endoftext|> it's x<|startoftext|>y. ΑΒΣ é é 日本語 🙂"), (83, "café wide\u0085next \x1c z" * 3)]
-    out += [(90, "mail a.b@c-d.org_e@f.gh, 1.2.3.4.5 300.1.1.1 and 4111 1111 1111 1111 or +1 (555) 010-9999. +12-3 a@b@c.de " + sentence(r, 50))]
+    out += [
+        (70, None), (71, ""), (72, " \n\t "), (73, "x"), (74, "a b"), (75, "a b"), (76, "ONE two\nthree"),
+        (77, "one TWO three")
+    ]
+    out += [
+        (80, "la la la " * 40), (81, "\n".join([LINE] * 3 + ["short"] * 4)),
+        (82, "<|endoftext|> it's x<|startoftext|>y. ΑΒΣ é é 日本語 🙂"), (83, "café wide\u0085next \x1c z" * 3)
+    ]
+    out += [
+        (
+            90,
+            "mail a.b@c-d.org_e@f.gh, 1.2.3.4.5 300.1.1.1 and 4111 1111 1111 1111 or +1 (555) 010-9999. +12-3 a@b@c.de " + sentence(r, 50)
+        )
+    ]
     out += [(100, sentence(r, 20_000)), (101, "z" * 50_000), (102, "7" * 30_000), (103, "la di da " * 7_000)]
-    out += [(1, out[0][1]), (1, out[0][1]), (2, "another text of a known id " + sentence(r, 60)), (None, sentence(r, 80)), (None, base), (-5, base + " tail")]
+    out += [
+        (1, out[0][1]), (1, out[0][1]), (2, "another text of a known id " + sentence(r, 60)), (None, sentence(r, 80)),
+        (None, base), (-5, base + " tail")
+    ]
     return out
 
 
@@ -39,7 +57,14 @@ def docs_rows():
 
 def frame(spark, rows_):
     langs = ["en", "fr", None, "de"]
-    return spark.createDataFrame([(d, t, langs[i % 4], None if i % 5 == 0 else f"s{i % 3}", None if t is None else len(t), *["clash"] * 6) for i, (d, t) in enumerate(rows_)], SCHEMA)
+    return spark.createDataFrame(
+        [
+            (
+                d, t, langs[i % 4], None if i % 5 == 0 else f"s{i % 3}", None if t is None else len(t), *["clash"] * 6
+            ) for i, (d, t) in enumerate(rows_)
+        ],
+        SCHEMA
+    )
 
 
 @pytest.fixture(scope="session")
@@ -54,7 +79,11 @@ def empty(spark):
 
 @pytest.fixture(scope="session")
 def items_rows():
-    return [(1, PASSAGE), (2, " ".join(PASSAGE.split()[10:40])), (3, "one TWO, three"), (4, None), (5, ""), (6, "unseen words that no document of the fixture holds anywhere at all in this order"), (1, PASSAGE), (11, "a b")]
+    return [
+        (1, PASSAGE), (2, " ".join(PASSAGE.split()[10:40])), (3, "one TWO, three"), (4, None), (5, ""),
+        (6, "unseen words that no document of the fixture holds anywhere at all in this order"), (1, PASSAGE),
+        (11, "a b")
+    ]
 
 
 @pytest.fixture(scope="session")
@@ -64,4 +93,7 @@ def items(spark, items_rows):
 
 @pytest.fixture(scope="session")
 def labels(spark):
-    return spark.createDataFrame([(i, 1, 0) for i in range(1, 20)] + [(1, 1, 0), (80, 0, 0), (60, 1, 1), (None, 1, 0), (61, None, None)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(
+        [(i, 1, 0) for i in range(1, 20)] + [(1, 1, 0), (80, 0, 0), (60, 1, 1), (None, 1, 0), (61, None, None)],
+        "doc_id long, quality int, toxic int"
+    )

@@ -1,4 +1,6 @@
-"""Plain versions of the contracts, by definition and without regard to speed. Documents are (doc_id, text) pairs in row order."""
+"""Plain versions of the contracts, by definition and without regard to speed. Documents are (doc_id, text) pairs in row
+order.
+"""
 
 import collections
 import hashlib
@@ -38,7 +40,12 @@ def decontamination(docs, items):
                 if x := windows.get(tuple(w[p : p + n])):
                     hit.update(range(p, p + n))
                     found |= x
-        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append(
+            (
+                d, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))),
+                len(hit) > 0 and 20 * len(hit) >= len(w)
+            )
+        )
     return out
 
 
@@ -52,7 +59,11 @@ def line_dedup(docs):
     out = []
     for d, t in docs:
         lines = (t or "").split("\n")
-        keep = [x for x in lines if not (len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and order(d) != max(holders[key(x)]))]
+        keep = [
+            x for x in lines if not (
+                len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and order(d) != max(holders[key(x)])
+            )
+        ]
         out.append((d, len(lines), len(lines) - len(keep), sha("\n".join(keep))))
     return out
 
@@ -116,7 +127,10 @@ def personal_data(docs):
         found = [
             ("email", [m.span() for m in email.finditer(t)]),
             ("ip", [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]),
-            ("card", [m.span() for m in card.finditer(t) if 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]),
+            (
+                "card",
+                [m.span() for m in card.finditer(t) if 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+            ),
             ("phone", [m.span() for m in phone.finditer(t) if 8 <= len(digits(m.group())) <= 15]),
         ]
         out.append((d, *(len(x) for _, x in found), sha(",".join(f"{k}:{a}:{b}" for k, x in found for a, b in x))))
@@ -134,5 +148,10 @@ def quality(docs):
             if n[tuple(w[i : i + 3])] > 1:
                 rep.update((i, i + 1, i + 2))
         lines = [x for x in t.split("\n") if SPACE_WORD.search(x)]
-        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)))
+        out.append(
+            (
+                d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep),
+                len(w) < 50 or 100 * len(rep) > 50 * len(w)
+            )
+        )
     return out

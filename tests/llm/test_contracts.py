@@ -1,4 +1,6 @@
-"""Every operator against its plain version, over nulls, empty and very long texts, ties, repeated rows and clashing columns."""
+"""Every operator against its plain version, over nulls, empty and very long texts, ties, repeated rows and clashing
+columns.
+"""
 
 import math
 import random
@@ -22,12 +24,18 @@ def same(df, columns, expected):
 
 def test_decontamination(docs, docs_rows, items, items_rows):
     got = decontam.judged(decontam.find(docs, items))
-    same(got, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], plain.decontamination(docs_rows, items_rows))
+    same(
+        got, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        plain.decontamination(docs_rows, items_rows)
+    )
 
 
 def test_decontamination_by_shuffle_gives_the_same(docs, docs_rows, items, items_rows, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
-    same(decontam.judged(decontam.find(docs, items)), ["doc_id", "n_words", "n_hit"], [r[:3] for r in plain.decontamination(docs_rows, items_rows)])
+    same(
+        decontam.judged(decontam.find(docs, items)), ["doc_id", "n_words", "n_hit"],
+        [r[:3] for r in plain.decontamination(docs_rows, items_rows)]
+    )
 
 
 def test_decontaminated_documents_keep_their_columns(docs, docs_rows, items, items_rows):
@@ -46,16 +54,26 @@ def test_encoding_and_decoding(docs, docs_rows, tokenizer):
     want = []
     for d, t in docs_rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
-        want.append((d, len(ids), plain.sha(np.array(ids, "<u4").tobytes()), plain.sha(tokenizer.decode(ids, skip_special_tokens=False))))
+        want.append(
+            (
+                d, len(ids), plain.sha(np.array(ids, "<u4").tobytes()),
+                plain.sha(tokenizer.decode(ids, skip_special_tokens=False))
+            )
+        )
     same(bpe.digests(bpe.encode_decode(docs)), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], want)
 
 
 def test_joins_of_chunks_against_the_library(tokenizer):
-    """Chunks of a few bytes, so that cuts fall inside words, marks and special strings; repeated passages are looked up."""
+    """Chunks of a few bytes, so that cuts fall inside words, marks and special strings; repeated passages are looked
+    up.
+    """
     import struct
 
     r = random.Random(47)
-    parts = [*" \t\n\r\x0b\x0c", *"abzABZ019.,;:!?|'-_#<>", "'s", "'re", " it's ", "é", "É", "\u0301", "ß", "Σ", "İ", "日", "🙂", "\u00a0", "\u0085", "\x1c", "<|endoftext|>", "<|startoftext|>"]
+    parts = [
+        *" \t\n\r\x0b\x0c", *"abzABZ019.,;:!?|'-_#<>", "'s", "'re", " it's ", "é", "É", "\u0301", "ß", "Σ", "İ", "日",
+        "🙂", "\u00a0", "\u0085", "\x1c", "<|endoftext|>", "<|startoftext|>"
+    ]
     encoder = bpe.Encoder(tokenizer, mask=0x7)
     assert encoder.splits and encoder.words.parts
     passage = "".join(r.choice(parts) for _ in range(300))
@@ -79,7 +97,9 @@ def test_contexts_grow_until_both_sides_agree(tokenizer, monkeypatch):
     ids, _, _, _ = encoder.encode_batch(["x " * 40])[0]
     assert encoder.grown == 0 and len(ids) == 160
     encoder.chunks.clear()
-    assert encoder._mended([(b"between", bpe.Chunk(b"a text", b"a", b"text", b"", ""), None)])[0] == encoder.words.of(tokenizer.encode("between", add_special_tokens=False).ids)
+    assert encoder._mended(
+        [(b"between", bpe.Chunk(b"a text", b"a", b"text", b"", ""), None)]
+    )[0] == encoder.words.of(tokenizer.encode("between", add_special_tokens=False).ids)
     wrong = bpe.Chunk(b"a text here b", b"a", b"b", b"", "")
     encoder.words[b"here"] = encoder.words.of([1, 2, 3])
     assert encoder._mended([(b"between", wrong, None)]) == [None] and encoder.grown > 0
@@ -88,12 +108,21 @@ def test_contexts_grow_until_both_sides_agree(tokenizer, monkeypatch):
 
 
 def test_token_counts(docs, docs_rows, tokenizer):
-    want = [(d, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 2048) for d, t in docs_rows]
-    same(token_counts.with_limit(token_counts.count_tokens(docs)), ["doc_id", "n_bytes", "n_tokens", "over_limit"], want)
+    want = [
+        (
+            d, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 2048
+        ) for d, t in docs_rows
+    ]
+    same(
+        token_counts.with_limit(token_counts.count_tokens(docs)), ["doc_id", "n_bytes", "n_tokens", "over_limit"], want
+    )
 
 
 def test_line_dedup(docs, docs_rows):
-    same(line_dedup.digests(line_dedup.apply(docs, line_dedup.keep_bitmaps(docs))), ["doc_id", "n_lines", "n_dropped", "kept_sha256"], plain.line_dedup(docs_rows))
+    same(
+        line_dedup.digests(line_dedup.apply(docs, line_dedup.keep_bitmaps(docs))),
+        ["doc_id", "n_lines", "n_dropped", "kept_sha256"], plain.line_dedup(docs_rows)
+    )
 
 
 def test_line_dedup_returns_documents(docs):
@@ -103,11 +132,17 @@ def test_line_dedup_returns_documents(docs):
 
 
 def test_substring_dedup(docs, docs_rows):
-    same(substring_dedup.digests(substring_dedup.remove(docs, substring_dedup.repeats(docs))), ["doc_id", "n_words", "n_removed", "kept_sha256"], plain.substring_dedup(docs_rows))
+    same(
+        substring_dedup.digests(substring_dedup.remove(docs, substring_dedup.repeats(docs))),
+        ["doc_id", "n_words", "n_removed", "kept_sha256"], plain.substring_dedup(docs_rows)
+    )
 
 
 def test_near_duplicates(docs, docs_rows):
-    same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(docs_rows))
+    same(
+        minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"],
+        plain.near_duplicates(docs_rows)
+    )
 
 
 def test_first_of_each_near_duplicate_stays(docs, docs_rows):
@@ -121,13 +156,18 @@ def test_another_text_of_a_repeated_doc_id_stays(spark):
     a, b = (" ".join(f"w{r.randrange(900)}" for _ in range(30)) for _ in range(2))
     rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " end"), (None, a), (4, None), (4, "")]
     docs_ = spark.createDataFrame(rows, "doc_id long, text string")
-    same(minhash.first_of_each(docs_), ["doc_id", "text"], [x for x, y in zip(rows, plain.near_duplicates(rows)) if y[3]])
+    same(
+        minhash.first_of_each(docs_), ["doc_id", "text"], [x for x, y in zip(rows, plain.near_duplicates(rows)) if y[3]]
+    )
     assert minhash.first_of_each(docs_).filter("doc_id = 2").count() == 2
 
 
 def test_personal_data(docs, docs_rows):
     found = pii.find(docs)
-    same(pii.digests(found), ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"], plain.personal_data(docs_rows))
+    same(
+        pii.digests(found), ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"],
+        plain.personal_data(docs_rows)
+    )
     for r in found.collect():
         assert set(filter(None, r["base"].split(","))) <= set(r["spans"].split(","))
 
@@ -139,19 +179,27 @@ def test_reliabilities_are_recovered():
     drawn = Counter()
     for _ in range(20_000):
         personal = r.random() < share
-        drawn[tuple(-1 if j == 2 and r.random() < 0.5 else int(r.random() < t[not personal]) for j, t in enumerate(truth))] += 1
+        drawn[
+            tuple(-1 if j == 2 and r.random() < 0.5 else int(r.random() < t[not personal]) for j, t in enumerate(truth))
+        ] += 1
     prior, table, post = pii.reliabilities(drawn)
-    assert abs(prior - share) < 0.03 and all(abs(x - y) < 0.05 for got, want in zip(table, truth) for x, y in zip(got, want))
+    assert abs(prior - share) < 0.03 and all(
+        abs(x - y) < 0.05 for got, want in zip(table, truth) for x, y in zip(got, want)
+    )
     assert post[1, 1, 1, 1] > 0.95 and post[0, 0, 0, 0] < 0.05
 
 
 def test_spans_beyond_the_strict_patterns(spark):
-    """Written-out addresses, numbers without a country code and named secrets come out; numbers and words like them don't."""
+    """Written-out addresses, numbers without a country code and named secrets come out; numbers and words like them
+    don't.
+    """
     r = random.Random(37)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     digits = lambda n: "".join(r.choice("23456789") for _ in range(n))
     planted = {
-        "email": lambda: f"{word()} (at) {word()} (dot) com", "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "secret": lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)),
+        "email": lambda: f"{word()} (at) {word()} (dot) com", "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "secret": lambda: "".join(
+            r.choice("0123456789abcdef") for _ in range(40)
+        ),
     }
     shown = {"email": "write to {}", "phone": "please call {}", "secret": 'token = "{}"'}
     rows, want = [], {}
@@ -163,8 +211,17 @@ def test_spans_beyond_the_strict_patterns(spark):
         rows.append((i, text))
         want[i] = f"{kind}:{at}:{at + len(value)}"
     strict = [(1000 + i, f"{word()}@{word()}.org +1 ({digits(3)}) 555-{digits(4)} and 10.{i}.3.4") for i in range(60)]
-    decoys = [(2000 + i, f"{word()} isbn {digits(3)} {digits(1)} {digits(2)} {digits(6)} section 1.2.3.999 {word()} 1234 5678 9012 3456 password: please hash {word()}{word()}{word()}{word()}{word()}") for i in range(60)]
-    got = {x["doc_id"]: set(filter(None, x["spans"].split(","))) for x in pii.find(spark.createDataFrame(rows + strict + decoys, "doc_id long, text string")).collect()}
+    decoys = [
+        (
+            2000 + i,
+            f"{word()} isbn {digits(3)} {digits(1)} {digits(2)} {digits(6)} section 1.2.3.999 {word()} 1234 5678 9012 3456 password: please hash {word()}{word()}{word()}{word()}{word()}"
+        ) for i in range(60)
+    ]
+    got = {
+        x["doc_id"]: set(filter(None, x["spans"].split(","))) for x in pii.find(
+            spark.createDataFrame(rows + strict + decoys, "doc_id long, text string")
+        ).collect()
+    }
     found = sum(got[i] == {w} for i, w in want.items())
     assert found >= 0.95 * len(want), (found, next((rows[i], got[i], w) for i, w in want.items() if got[i] != {w}))
     assert all(len(got[d]) == 3 for d, _ in strict)
@@ -181,7 +238,11 @@ def test_secrets_of_the_given_tables(spark):
         pytest.skip("tables are not here")
     named = re.compile(r'token = "([0-9a-f]{40})"')
     docs_ = spark.read.parquet(path)
-    want = {(r["doc_id"], f"secret:{m.start(1)}:{m.end(1)}") for r in docs_.select("doc_id", "text").collect() for m in named.finditer(r["text"] or "")}
+    want = {
+        (
+            r["doc_id"], f"secret:{m.start(1)}:{m.end(1)}"
+        ) for r in docs_.select("doc_id", "text").collect() for m in named.finditer(r["text"] or "")
+    }
     got = {(r["doc_id"], s) for r in pii.find(docs_).collect() for s in r["spans"].split(",") if s.startswith("secret")}
     assert want and got == want
 
@@ -196,10 +257,20 @@ def test_quality_counts(docs, docs_rows, labels):
 def test_quality_scores_by_brute_force(spark, docs, labels):
     """Buckets come from Spark's hash; sums and ratios are redone here."""
     small = docs.filter(F.length("text") < 2000)
-    hashed = small.select("doc_id", quality.words(F.col("text")).alias("w")).withColumn("u", F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(quality.BUCKETS))))
-    hashed = hashed.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("p", F.zip_with(F.expr("slice(h, 1, greatest(size(h) - 1, 0))"), F.expr("slice(h, 2, greatest(size(h) - 1, 0))"), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(quality.BUCKETS))))
+    hashed = small.select("doc_id", quality.words(F.col("text")).alias("w")).withColumn(
+        "u", F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(quality.BUCKETS)))
+    )
+    hashed = hashed.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn(
+        "p",
+        F.zip_with(
+            F.expr("slice(h, 1, greatest(size(h) - 1, 0))"), F.expr("slice(h, 2, greatest(size(h) - 1, 0))"),
+            lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(quality.BUCKETS))
+        )
+    )
     rows = [(r["doc_id"], list(r["u"]) + list(r["p"])) for r in hashed.collect()]
-    trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"] and r["doc_id"] is not None}
+    trusted = {
+        r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"] and r["doc_id"] is not None
+    }
     raw, target = Counter(), Counter()
     for d, g in rows:
         raw.update(g)
@@ -217,7 +288,9 @@ def test_quality_verdicts_by_brute_force(spark, docs, labels):
     marks = {}
     for r in labels.filter("doc_id IS NOT NULL").collect():
         bad, toxic, good = marks.get(r["doc_id"], (0, 0, 0))
-        marks[r["doc_id"]] = max(bad, r["quality"] == 0), max(toxic, r["toxic"] == 1), max(good, r["quality"] == 1 and not r["toxic"])
+        marks[r["doc_id"]] = max(bad, r["quality"] == 0), max(toxic, r["toxic"] == 1), max(
+            good, r["quality"] == 1 and not r["toxic"]
+        )
     judged = [(r["score"], *marks[r["doc_id"]]) for r in rows if not r["base_failed"] and r["doc_id"] in marks]
 
     def gain(t):
@@ -226,7 +299,11 @@ def test_quality_verdicts_by_brute_force(spark, docs, labels):
     cuts = [-math.inf, *(s for s, *_ in judged)]
     best = max(map(gain, cuts))
     lowest_kept = min(r["score"] for r in rows if r["kept"])
-    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= lowest_kept) for r in rows if not marks.get(r["doc_id"], (0, 0, 0))[1])
+    assert all(
+        r["kept"] == (
+            not r["base_failed"] and r["score"] >= lowest_kept
+        ) for r in rows if not marks.get(r["doc_id"], (0, 0, 0))[1]
+    )
     assert gain(lowest_kept) == best
 
 
@@ -243,7 +320,11 @@ def test_documents_labelled_toxic_go(spark):
         if i % 10 < 8:
             marks.append((i, 1, int(toxic)))
     docs_ = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {x["doc_id"] for x in quality.score(docs_, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect() if x["kept"]}
+    kept = {
+        x["doc_id"] for x in quality.score(
+            docs_, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+        ).collect() if x["kept"]
+    }
     assert kept == {i for i in range(300) if i % 5}
 
 
@@ -265,11 +346,15 @@ def test_language_model(docs, docs_rows):
     for d, ws in tokens:
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         known = sum(c[w] > 0 for w in ws)
-        assert any(r["held_out"] == held(d) and r["n_known"] == known and r["train_tokens"] == n and math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isfinite(r["score"]) and r["score"] < 0 for r in rows[d, len(ws)])
+        assert any(
+            r["held_out"] == held(d) and r["n_known"] == known and r["train_tokens"] == n and math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isfinite(r["score"]) and r["score"] < 0 for r in rows[d, len(ws)]
+        )
 
 
 def test_language_model_scores_a_corpus(spark):
-    """Held-out texts of a corpus with an order to learn score above their word frequencies, and one text's score is made up by hand."""
+    """Held-out texts of a corpus with an order to learn score above their word frequencies, and one text's score is
+    made up by hand.
+    """
     r = random.Random(41)
     follow = {w: [r.choice(range(60)) for _ in range(3)] for w in range(60)}
     rows = []
@@ -324,7 +409,10 @@ def test_language_model_gradient_by_differences():
 
     grads, _, _ = lm.train_window(p, xs, ys, h0)
     c, _ = lm.class_slot(ys[0])
-    for name, at in (("U", (2, 5)), ("U", (1, 40)), ("E", (int(xs[0][0]), 3)), ("E", (int(xs[1][1]), 35)), ("C", (1, 2)), ("S", (int(c[0]), 2, 1))):
+    for name, at in (
+        ("U", (2, 5)), ("U", (1, 40)), ("E", (int(xs[0][0]), 3)), ("E", (int(xs[1][1]), 35)), ("C", (1, 2)),
+        ("S", (int(c[0]), 2, 1))
+    ):
         old = p[name][at]
         p[name][at] = old + 1e-5
         up = value()
@@ -366,9 +454,20 @@ def test_languages(spark):
 
     r = random.Random(3)
     lex = {"en": "the and ing tion wh".split(), "fr": "eau le é ou ment".split(), "de": "ung sch ein ü keit".split()}
-    rows = [(i, " ".join("".join(r.choice(lex[l]) for _ in range(2)) for _ in range(60)), l) for i, l in enumerate(r.choice(list(lex)) for _ in range(240))]
-    rows += [(1000, None, "en"), (1001, "", "fr"), (1002, "123 !!", "de"), (1003, "theing", None), (None, "einung schkeit", None)]
-    out = {r_["doc_id"]: r_ for r_ in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    rows = [
+        (
+            i, " ".join("".join(r.choice(lex[l]) for _ in range(2)) for _ in range(60)), l
+        ) for i, l in enumerate(r.choice(list(lex)) for _ in range(240))
+    ]
+    rows += [
+        (1000, None, "en"), (1001, "", "fr"), (1002, "123 !!", "de"), (1003, "theing", None),
+        (None, "einung schkeit", None)
+    ]
+    out = {
+        r_["doc_id"]: r_ for r_ in langid.predict(
+            spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        ).collect()
+    }
     assert len(out) == len(rows)
     held = [x for x in rows if x[0] is not None and x[0] < 1000 and out[x[0]]["held_out"]]
     assert held and sum(out[d]["lang_pred"] == l for d, _, l in held) >= 0.97 * len(held)
@@ -384,9 +483,16 @@ def test_languages_of_odd_rows(spark):
     make = lambda l, n: " ".join("".join(r.choice(lex[l]) for _ in range(2)) for _ in range(n))
     rows = [(i, make(l, 40), l, "clash", "clash") for i, l in enumerate(["en", "fr"] * 60)]
     long = make("fr", 60_000)
-    rows += [(500, long, None, None, None), (500, long, None, None, None), (501, "z" * 300_000, None, None, None), (502, make("en", 5) + " " + make("fr", 400), "de", None, None)]
-    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, score string")).collect()
-    assert len(got) == len(rows) and langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, score string")).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    rows += [
+        (500, long, None, None, None), (500, long, None, None, None), (501, "z" * 300_000, None, None, None),
+        (502, make("en", 5) + " " + make("fr", 400), "de", None, None)
+    ]
+    got = langid.predict(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, score string")
+    ).collect()
+    assert len(got) == len(rows) and langid.predict(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, score string")
+    ).columns == ["doc_id", "held_out", "lang_pred", "score"]
     by = {x["doc_id"]: x for x in got}
     assert by[500]["lang_pred"] == by[502]["lang_pred"] == "fr" and by[501]["lang_pred"] in ("en", "fr", "de")
     assert len({(x["lang_pred"], x["score"]) for x in got if x["doc_id"] == 500}) == 1
@@ -429,7 +535,9 @@ def test_code_switched_words_follow_their_language():
     f = langid.fit([(make(l, 200), l) for l in lex for _ in range(10)])
     tokens = langid.words(make("en", 30) + " " + make("fr", 30))
     g = langid.forward_backward(f.scores([tokens]), f.move)[0]
-    assert (g[:30].argmax(1) == f.langs.index("en")).mean() > 0.9 and (g[30:].argmax(1) == f.langs.index("fr")).mean() > 0.9
+    assert (g[:30].argmax(1) == f.langs.index("en")).mean() > 0.9 and (
+        g[30:].argmax(1) == f.langs.index("fr")
+    ).mean() > 0.9
 
 
 def test_forward_backward_by_enumeration():
@@ -458,6 +566,8 @@ def test_empty_tables(run, empty, items, labels):
 
 
 def test_empty_benchmark_and_labels(docs, docs_rows, items, labels):
-    assert decontam.judged(decontam.find(docs, items.limit(0))).filter("n_hit > 0 OR contaminated OR n_items > 0").count() == 0
+    assert decontam.judged(decontam.find(docs, items.limit(0))).filter(
+        "n_hit > 0 OR contaminated OR n_items > 0"
+    ).count() == 0
     got = quality.score(docs, labels.limit(0))
     assert got.count() == len(docs_rows) and got.filter("score <> 0").count() == 0

@@ -32,9 +32,17 @@ def test_hot_line_crosses_partitions(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
-        same(line_dedup.digests(line_dedup.apply(docs, line_dedup.keep_bitmaps(docs))), ["doc_id", "n_lines", "n_dropped", "kept_sha256"], plain.line_dedup(rows))
-        same(substring_dedup.digests(substring_dedup.remove(docs, substring_dedup.repeats(docs))), ["doc_id", "n_words", "n_removed", "kept_sha256"], plain.substring_dedup(rows))
-        same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows))
+        same(
+            line_dedup.digests(line_dedup.apply(docs, line_dedup.keep_bitmaps(docs))),
+            ["doc_id", "n_lines", "n_dropped", "kept_sha256"], plain.line_dedup(rows)
+        )
+        same(
+            substring_dedup.digests(substring_dedup.remove(docs, substring_dedup.repeats(docs))),
+            ["doc_id", "n_words", "n_removed", "kept_sha256"], plain.substring_dedup(rows)
+        )
+        same(
+            minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows)
+        )
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
@@ -43,9 +51,15 @@ def test_streamed_lines_decide_runs_inside_batches():
     """All ways to cut one ordered run of rows into batches give the same verdicts."""
     import pyarrow as pa
 
-    rows = [(1, 1, 9, 0, 1, b"\x01\x00"), (1, 2, 9, 0, 1, b"\x01\x00"), (1, 2, 8, 0, 1, b"\x01\x00"), (1, 2, 7, 0, 1, b"\x01\x00"), (1, 2, 7, 5, 1, b"\x01\x00"), (1, 3, 6, 0, 1, b"\x01\x00"), (1, 4, 5, 0, 1, b"\x01\x00")]
+    rows = [
+        (1, 1, 9, 0, 1, b"\x01\x00"), (1, 2, 9, 0, 1, b"\x01\x00"), (1, 2, 8, 0, 1, b"\x01\x00"),
+        (1, 2, 7, 0, 1, b"\x01\x00"), (1, 2, 7, 5, 1, b"\x01\x00"), (1, 3, 6, 0, 1, b"\x01\x00"),
+        (1, 4, 5, 0, 1, b"\x01\x00")
+    ]
     types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], line_dedup.NAMES)
+    batch = lambda part: pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*part), types)], line_dedup.NAMES
+    )
     for size in range(1, 8):
         got = []
         for b in line_dedup.stream(iter([batch(rows[i : i + size]) for i in range(0, len(rows), size)])):
@@ -71,16 +85,21 @@ def test_groups_cut_into_blocks(spark, monkeypatch):
         if i % 2 == 0:
             words[r.randrange(120)] = f"edit{i}"
     other = sentence(r, 80).split()
-    rows += [(200 + i, " ".join(other[:40] + [f"one{i}"] + other[41:])) for i in range(40)] + [(300 + i, sentence(r, 50)) for i in range(20)]
+    rows += [
+        (200 + i, " ".join(other[:40] + [f"one{i}"] + other[41:])) for i in range(40)
+    ] + [(300 + i, sentence(r, 50)) for i in range(20)]
     r.shuffle(rows)
     docs = frame(spark, rows).repartition(5)
     for block in (7, 30, 10_000):
         monkeypatch.setattr(minhash, "BLOCK", block)
-        same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows))
+        same(
+            minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows)
+        )
 
 
 def test_small_sets_are_linked_exactly(spark, monkeypatch):
-    """One-word edits of texts of 8 to 40 words, at an end or inside, against brute force; groups of any size are cut."""
+    """One-word edits of texts of 8 to 40 words, at an end or inside, against brute force; groups of any size are cut.
+    """
     r = random.Random(19)
     rows = []
     for n in range(8, 41):
@@ -89,10 +108,16 @@ def test_small_sets_are_linked_exactly(spark, monkeypatch):
             at = r.randrange(n)
             for edited in (w, w + ["end"], w[1:], w[:at] + ["new"] + w[at + 1 :]):
                 rows.append((len(rows), " ".join(edited)))
-    rows += [(len(rows) + i, "one and the same start of many short texts, all of them alike but for the end " + f"e{i}") for i in range(40)]
+    rows += [
+        (
+            len(rows) + i, "one and the same start of many short texts, all of them alike but for the end " + f"e{i}"
+        ) for i in range(40)
+    ]
     r.shuffle(rows)
     docs = frame(spark, rows).repartition(5)
     for block, most in ((7, 3), (10_000, 1 << 16)):
         monkeypatch.setattr(minhash, "BLOCK", block)
         monkeypatch.setattr(minhash, "FREQUENT", most)
-        same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows))
+        same(
+            minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], plain.near_duplicates(rows)
+        )
