@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's documents are written as Parquet to the shared folder and read again, so no stage runs twice; what the next stage has read is removed."""
+    """Each stage's documents are written as Parquet to the shared folder and read again, so no stage runs twice; what
+    the next stage has read is removed.
+    """
     folder = f"{exchange.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *first, (_, last) = STAGES
