@@ -35,7 +35,10 @@ def accession(raw: Column) -> Column:
 
 def submission_url(cik_: Column, accession_: Column) -> Column:
     short = F.regexp_replace(cik_, "^0+", "")
-    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), short, F.lit("/"), F.replace(accession_, F.lit("-"), F.lit("")), F.lit("/"), accession_, F.lit(".txt"))
+    return F.concat(
+        F.lit("https://www.sec.gov/Archives/edgar/data/"), short, F.lit("/"),
+        F.replace(accession_, F.lit("-"), F.lit("")), F.lit("/"), accession_, F.lit(".txt")
+    )
 
 
 def money(x: Column) -> Column:
@@ -48,7 +51,9 @@ def compact_money(x: Column) -> Column:
     size = F.abs(x)
     return (
         F.when(x.isNull(), "n/a").when(size >= 1e9, F.concat(F.lit("$"), F.format_number(x / 1e9, 2), F.lit("B")))
-        .when(size >= 1e6, F.concat(F.lit("$"), F.format_number(x / 1e6, 2), F.lit("M"))).when(size >= 1e3, F.concat(F.lit("$"), F.format_number(x / 1e3, 1), F.lit("K")))
+        .when(size >= 1e6, F.concat(F.lit("$"), F.format_number(x / 1e6, 2), F.lit("M"))).when(
+            size >= 1e3, F.concat(F.lit("$"), F.format_number(x / 1e3, 1), F.lit("K"))
+        )
         .otherwise(F.concat(F.lit("$"), F.format_number(x, 0)))
     )
 
@@ -64,7 +69,9 @@ def number_tokens(text: Column) -> Column:
 def plain_number(token: Column) -> Column:
     """Without separators, and without zeros that end a fraction."""
     bare = F.regexp_replace(token, "[,$]", "")
-    cut = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(F.regexp_replace(bare, "0+$", ""), r"\.+$", "")).otherwise(bare)
+    cut = F.when(
+        F.contains(bare, F.lit(".")), F.regexp_replace(F.regexp_replace(bare, "0+$", ""), r"\.+$", "")
+    ).otherwise(bare)
     return F.when(cut == "", "0").otherwise(cut)
 
 
@@ -79,12 +86,20 @@ def loan_in_question(question: Column) -> Column:
 
 def fact_form(text: Column) -> Column:
     """Lower case, with the nouns loan and property in the singular."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"(?i)\b(loan)(?:s|ies)\b", "$1"), r"(?i)\bpropert(?:s|ies)\b", "property"))
+    return F.lower(
+        F.regexp_replace(
+            F.regexp_replace(text, r"(?i)\b(loan)(?:s|ies)\b", "$1"), r"(?i)\bpropert(?:s|ies)\b", "property"
+        )
+    )
 
 
 def property_list(names: Column, shown: int = 3) -> Column:
     more = F.size(names) - shown
-    return F.when(more <= 0, F.concat_ws(", ", names)).otherwise(F.concat(F.concat_ws(", ", F.slice(names, 1, shown)), F.lit(" and "), more.cast("string"), F.lit(" more properties")))
+    return F.when(more <= 0, F.concat_ws(", ", names)).otherwise(
+        F.concat(
+            F.concat_ws(", ", F.slice(names, 1, shown)), F.lit(" and "), more.cast("string"), F.lit(" more properties")
+        )
+    )
 
 
 def citation_ok(url: Column) -> Column:
@@ -94,11 +109,18 @@ def citation_ok(url: Column) -> Column:
 def fetch_ok(url: Column, host: str = "www.sec.gov") -> Column:
     """https, the one host, and no parent folder in the path."""
     part = lambda name: F.try_parse_url(url, F.lit(name))
-    return F.coalesce((part("PROTOCOL") == "https") & (part("HOST") == host) & ~F.array_contains(F.split(F.coalesce(part("PATH"), F.lit("")), "/"), ".."), F.lit(False))
+    return F.coalesce(
+        (part("PROTOCOL") == "https") & (part("HOST") == host) & ~F.array_contains(
+            F.split(F.coalesce(part("PATH"), F.lit("")), "/"), ".."
+        ),
+        F.lit(False)
+    )
 
 
 def content_type_ok(content_type: Column, allowed: tuple[str, ...]) -> Column:
-    """Whether a declared content type names one of the allowed ones, whatever parameters follow it; undeclared is not allowed."""
+    """Whether a declared content type names one of the allowed ones, whatever parameters follow it; undeclared is not
+    allowed.
+    """
     return F.coalesce(has_any(content_type, allowed), F.lit(False))
 
 
@@ -117,7 +139,9 @@ def clean_cusip(raw: Column) -> Column:
 def report_text(raw: Column) -> Column:
     """A report's cell as a number's text; null where the report shows that there is none."""
     bare = F.trim(F.regexp_replace(raw, "[,$%]", ""))
-    return F.when(raw.isNull() | raw.isin("", "--", "N/A"), None).otherwise(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"))
+    return F.when(
+        raw.isNull() | raw.isin("", "--", "N/A"), None
+    ).otherwise(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"))
 
 
 def report_decimal(raw: Column, percent: bool = False) -> Column:

@@ -14,7 +14,10 @@ SUMMARY = ("deal summary", "overview", "how many loans", "total balance")
 PROFILE = ("property profile", "occupancy", "valuation", "square feet")
 NOI = ("noi", "deteriorat", "net operating income")
 CERTIFICATE = ("certificate", "cusip", "tranche", "credit support", "principal distribution", "interest distribution")
-RECONCILIATION = ("collateralization", "certificate balance", "collateral balance", "reconciliation", "under collateral", "over collateral")
+RECONCILIATION = (
+    "collateralization", "certificate balance", "collateral balance", "reconciliation", "under collateral",
+    "over collateral"
+)
 NARRATIVE = ("material agreement", "8-k", "10-d", "background", "why", "what happened", "filing text", "explain")
 
 
@@ -22,9 +25,15 @@ def planned_tools(question: Column) -> Column:
     q = F.lower(question)
     reconciles = has_any(q, RECONCILIATION)
     tools = [
-        (has_any(q, STATUS), "rank_loans_by_status_change"), (has_any(q, BALANCE) & ~reconciles, "rank_loans_by_balance_drift"), (has_any(q, HISTORY), "get_loan_history"),
-        (has_any(q, SUMMARY), "get_deal_summary"), (has_any(q, PROFILE), "get_property_profile"), (has_any(q, NOI), "rank_properties_by_noi_change"),
-        (has_any(q, CERTIFICATE) & ~reconciles, "get_certificate_distribution"), (reconciles, "get_bond_collateral_reconciliation"),
+        (has_any(q, STATUS), "rank_loans_by_status_change"), (
+            has_any(q, BALANCE) & ~reconciles, "rank_loans_by_balance_drift"
+        ), (has_any(q, HISTORY), "get_loan_history"),
+        (has_any(q, SUMMARY), "get_deal_summary"), (has_any(q, PROFILE), "get_property_profile"), (
+            has_any(q, NOI), "rank_properties_by_noi_change"
+        ),
+        (
+            has_any(q, CERTIFICATE) & ~reconciles, "get_certificate_distribution"
+        ), (reconciles, "get_bond_collateral_reconciliation"),
     ]
     return F.filter(F.array(*(F.when(c, F.lit(t)) for c, t in tools)), lambda t: t.isNotNull())
 
@@ -34,4 +43,6 @@ def needs_retrieval(question: Column) -> Column:
 
 
 def plan(questions: DataFrame, text: str = "question") -> DataFrame:
-    return questions.withColumn("planned_tools", planned_tools(F.col(text))).withColumn("needs_retrieval", needs_retrieval(F.col(text)))
+    return questions.withColumn("planned_tools", planned_tools(F.col(text))).withColumn(
+        "needs_retrieval", needs_retrieval(F.col(text))
+    )

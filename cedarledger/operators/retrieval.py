@@ -14,7 +14,9 @@ from . import store
 TARGET, OVERLAP = 800, 100
 
 
-def chunk(sections: DataFrame, key: str = "accession_number", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+def chunk(
+    sections: DataFrame, key: str = "accession_number", target: int = TARGET, overlap: int = OVERLAP
+) -> DataFrame:
     """Chunks of at most target words, overlapping, never across sections.
 
     sections: key, pos, heading, text. Offsets count characters of the sections' collapsed texts joined by one space each.
@@ -22,30 +24,50 @@ def chunk(sections: DataFrame, key: str = "accession_number", target: int = TARG
     step = max(target - overlap, 1)
     s = sections.select(key, "pos", "heading", collapse(F.col("text")).alias("text")).filter(F.col("text") != "")
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("base", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).withColumn("words", F.split("text", " "))
+    s = s.withColumn(
+        "base", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
+    ).withColumn("words", F.split("text", " "))
     n = F.size("words")
     last = F.when(n > target, F.ceil((n - target) / step).cast("int") * step).otherwise(F.lit(0))
-    each = s.select(key, "pos", "heading", "base", "words", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("at"))
-    lead = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice("words", F.lit(1), F.col("at")), " ")) + 1)
-    each = each.withColumn("start_offset", F.col("base") + lead).withColumn("token_count", F.least(F.lit(target), F.size("words") - F.col("at")))
+    each = s.select(
+        key, "pos", "heading", "base", "words", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("at")
+    )
+    lead = F.when(F.col("at") == 0, F.lit(0)).otherwise(
+        F.length(F.array_join(F.slice("words", F.lit(1), F.col("at")), " ")) + 1
+    )
+    each = each.withColumn("start_offset", F.col("base") + lead).withColumn(
+        "token_count", F.least(F.lit(target), F.size("words") - F.col("at"))
+    )
     each = each.withColumn("text", F.array_join(F.slice("words", F.col("at") + 1, F.col("token_count")), " "))
     each = each.withColumn("end_offset", F.col("start_offset") + F.length("text"))
-    return each.select(chunk_id(F.col(key).cast("string"), F.col("start_offset"), F.col("end_offset")).alias("chunk_id"), key, F.col("heading").alias("section_heading"), "text", "start_offset", "end_offset", "token_count")
+    return each.select(
+        chunk_id(F.col(key).cast("string"), F.col("start_offset"), F.col("end_offset")).alias("chunk_id"), key,
+        F.col("heading").alias("section_heading"), "text", "start_offset", "end_offset", "token_count"
+    )
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """A deterministic unit vector of word counts by hash: stands in where no embedding model is at hand."""
-    at = F.transform(F.filter(F.split(F.lower(collapse(text)), " "), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda x: x == d)).cast("double"))
+    at = F.transform(
+        F.filter(F.split(F.lower(collapse(text)), " "), lambda w: w != ""),
+        lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int")
+    )
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda x: x == d)).cast("double")
+    )
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
 
 
 def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+def top_k(
+    vectors: DataFrame, query: list[float], k: int = 5, key: str = "chunk_id", vector: str = "embedding"
+) -> DataFrame:
     """The k vectors nearest to one query, ties by key: a scan that keeps k rows a task."""
     q = F.array(*(F.lit(float(x)) for x in query))
     return vectors.select("*", inner_product(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
@@ -63,7 +85,10 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataF
         keys, rows = [], []
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([keys]), pa.array([np.array(rows, np.float64).tobytes()], pa.binary())], [f"{name}_keys", f"{name}_rows"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([keys]), pa.array([np.array(rows, np.float64).tobytes()], pa.binary())],
+                [f"{name}_keys", f"{name}_rows"]
+            )
 
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -75,10 +100,14 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataF
         if keys:
             yield row()
 
-    return df.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{name}_keys array<{kind}>, {name}_rows binary")
+    return df.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(
+        run, f"{name}_keys array<{kind}>, {name}_rows binary"
+    )
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(
+    queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
     """query, key, score, rank of the k vectors nearest to each query by inner product, exactly; ties (at nine digits) by key.
 
     Both sides meet in blocks: a pair of blocks is one matrix product, which keeps k rows a query, so what is shuffled grows
@@ -98,7 +127,13 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "
                     out[0] += [name] * len(at)
                     out[1] += names[at].tolist()
                     out[2] += s[at].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type.value_type), pa.array(out[1], batch.schema.field(2).type.value_type), pa.array(out[2], pa.float64())], ["query", key, "score"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(out[0], batch.schema.field(0).type.value_type),
+                    pa.array(out[1], batch.schema.field(2).type.value_type), pa.array(out[2], pa.float64())
+                ],
+                ["query", key, "score"]
+            )
 
     pairs = _blocks(queries, key, vector, QUERY_BLOCK, "q").crossJoin(_blocks(vectors, key, vector, VECTOR_BLOCK, "v"))
     found = pairs.mapInArrow(best, f"query {queries.schema[key].dataType.simpleString()}, {key} {kind}, score double")
@@ -106,7 +141,9 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, text: str, k: int = 3, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+def search(
+    vectors: DataFrame, text: str, k: int = 3, embed: Callable[[Column], Column] = hashed_embedding
+) -> DataFrame:
     q = vectors.sparkSession.range(1).select(embed(F.lit(text)).alias("e")).first()["e"]
     return top_k(vectors, list(q), k).withColumn("text", scrub(F.col("text")))
 

@@ -15,12 +15,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "ingest
 def dedupe_sources(documents: DataFrame, order: str = "seq") -> DataFrame:
     """Of documents with one checksum the first; documents without a checksum all stay."""
     known = documents.filter(F.col("checksum").isNotNull())
-    first = known.withColumn("_n", F.row_number().over(Window.partitionBy("checksum").orderBy(order))).filter("_n = 1").drop("_n")
+    first = known.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("checksum").orderBy(order))
+    ).filter("_n = 1").drop("_n")
     return first.unionByName(documents.filter(F.col("checksum").isNull()))
 
 
 def write_filings(df: DataFrame, path: str) -> None:
-    """Replace the partitions (cik, accession_number) that df has, and no others: ingesting a filing again gives the same table."""
+    """Replace the partitions (cik, accession_number) that df has, and no others: ingesting a filing again gives the
+    same table.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cik", "accession_number").parquet(path)
 
 
@@ -43,11 +47,21 @@ def content_path(source: Column, checksum: Column, filename: Column) -> Column:
 
 
 def content_addressed(files: DataFrame, source: str) -> DataFrame:
-    """files: path and content as binaryFile reads them. A wrong expected_checksum, if there is one, shows as corrupt."""
+    """files: path and content as binaryFile reads them. A wrong expected_checksum, if there is one, shows as corrupt.
+    """
     checksum = F.sha2("content", 256)
     name = F.element_at(F.split("path", "/"), -1)
-    out = files.select("path", F.length("content").alias("size"), checksum.alias("checksum"), content_path(F.lit(source), checksum, name).alias("stored_path"), *(["expected_checksum"] if "expected_checksum" in files.columns else []))
-    return out.withColumn("corrupt", F.coalesce(F.col("expected_checksum") != F.col("checksum"), F.lit(False)) if "expected_checksum" in files.columns else F.lit(False))
+    out = files.select(
+        "path", F.length("content").alias("size"), checksum.alias("checksum"),
+        content_path(F.lit(source), checksum, name).alias("stored_path"),
+        *(["expected_checksum"] if "expected_checksum" in files.columns else [])
+    )
+    return out.withColumn(
+        "corrupt",
+        F.coalesce(
+            F.col("expected_checksum") != F.col("checksum"), F.lit(False)
+        ) if "expected_checksum" in files.columns else F.lit(False)
+    )
 
 
 def _stored(spark, path: str) -> DataFrame:
@@ -61,10 +75,16 @@ def content_status(files: DataFrame, path: str, source: str) -> DataFrame:
 
 
 def write_content(files: DataFrame, path: str, source: str) -> None:
-    """Store files by their content under path, in partitions by the first two digits of the checksum. Content that is there is not written again; corrupt files are left out."""
+    """Store files by their content under path, in partitions by the first two digits of the checksum. Content that is
+    there is not written again; corrupt files are left out.
+    """
     good = content_addressed(files, source).filter("NOT corrupt").select("path", "checksum", "stored_path")
-    new = files.select("path", "content").join(good, "path").join(_stored(files.sparkSession, path), "stored_path", "left_anti").dropDuplicates(["stored_path"])
-    new.select("stored_path", "checksum", "content", F.substring("checksum", 1, 2).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(path)
+    new = files.select("path", "content").join(good, "path").join(
+        _stored(files.sparkSession, path), "stored_path", "left_anti"
+    ).dropDuplicates(["stored_path"])
+    new.select(
+        "stored_path", "checksum", "content", F.substring("checksum", 1, 2).alias("prefix")
+    ).write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def _path(spark, path: str):
@@ -89,12 +109,25 @@ def replace(df: DataFrame, path: str) -> None:
 def upsert_table(new: DataFrame, path: str, keys: list[str], order: str = "ingest_seq") -> None:
     """Upsert rows into the table at path, which need not be there yet."""
     spark = new.sparkSession
-    replace(upsert(spark.read.parquet(path), new, keys, order) if _exists(spark, path) else upsert(new.limit(0), new, keys, order), path)
+    replace(
+        upsert(
+            spark.read.parquet(path), new, keys, order
+        ) if _exists(spark, path) else upsert(new.limit(0), new, keys, order),
+        path
+    )
 
 
 def snapshot_hash(files: DataFrame) -> DataFrame:
-    """Sixteen hex digits for a set of files (path, content), whatever their order: a hash over the hashes of 65,536 groups, each over its files' checksums by path."""
+    """Sixteen hex digits for a set of files (path, content), whatever their order: a hash over the hashes of 65,536
+    groups, each over its files' checksums by path.
+    """
     one = files.select("path", F.sha2("content", 256).alias("checksum"))
     group = F.substring(F.sha2("path", 256), 1, 4)
-    hashed = one.groupBy(group.alias("group")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "checksum"))), ","), 256).alias("hash"))
-    return hashed.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "group", "hash"))), ","), 256), 1, 16).alias("snapshot"))
+    hashed = one.groupBy(group.alias("group")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "checksum"))), ","), 256).alias("hash")
+    )
+    return hashed.agg(
+        F.substring(
+            F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "group", "hash"))), ","), 256), 1, 16
+        ).alias("snapshot")
+    )

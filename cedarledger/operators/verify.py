@@ -17,7 +17,9 @@ REFUSAL = (
 
 
 def unsupported_numbers(draft: Column, evidence: Column, strict: bool = False) -> Column:
-    """Number tokens of two digits or more that the evidence doesn't support. A rounded or more precise form of an evidence number is supported; strict asks for three digits at least on both sides before one may contain the other."""
+    """Number tokens of two digits or more that the evidence doesn't support. A rounded or more precise form of an
+    evidence number is supported; strict asks for three digits at least on both sides before one may contain the other.
+    """
     known = F.array_distinct(F.transform(number_tokens(evidence), plain_number))
 
     def supported(n: Column) -> Column:
@@ -26,7 +28,9 @@ def unsupported_numbers(draft: Column, evidence: Column, strict: bool = False) -
             return F.exists(known, lambda e: (e == n) | ((F.length(e) >= 3) & (F.length(n) >= 3) & part(e)))
         return F.exists(known, lambda e: part(e))
 
-    return F.filter(number_tokens(draft), lambda t: (F.length(F.regexp_replace(t, "[,.]", "")) >= 2) & ~supported(plain_number(t)))
+    return F.filter(
+        number_tokens(draft), lambda t: (F.length(F.regexp_replace(t, "[,.]", "")) >= 2) & ~supported(plain_number(t))
+    )
 
 
 def unsupported_loans(draft: Column, evidence: Column) -> Column:
@@ -49,19 +53,23 @@ def _windows(chars: Column, width: int) -> Column:
 
 
 def repetitive(text: Column, window: int = WINDOW, most: int = MOST) -> Column:
-    """Whether any window of characters occurs more than most times. The windows are sorted in the text's own row, so one that occurs most + 1 times equals the one most places on; no row is exploded."""
+    """Whether any window of characters occurs more than most times. The windows are sorted in the text's own row, so
+    one that occurs most + 1 times equals the one most places on; no row is exploded.
+    """
     chars = F.when(F.length(text) >= window * most, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
     def any_more(a: Column) -> Column:
         left = F.greatest(F.size(a) - most, F.lit(0))
-        return F.exists(F.zip_with(F.slice(a, F.lit(1), left), F.slice(a, F.lit(most + 1), left), lambda x, y: x == y), lambda x: x)
+        return F.exists(
+            F.zip_with(F.slice(a, F.lit(1), left), F.slice(a, F.lit(most + 1), left), lambda x, y: x == y), lambda x: x
+        )
 
     return F.coalesce(let(F.sort_array(_windows(chars, window)), any_more), F.lit(False))
 
 
-# Why a draft is rejected.
+# Why a draft is rejected.
 NUMBERS, LOANS = "numbers not present in evidence: ", "loans not present in evidence: "
-LOOP, UNCITED = "draft is a degenerate repetitive loop, not coherent prose", "evidence was gathered but no citation is available"
+LOOP, UNCITED = "the draft repeats itself", "the evidence has no source to cite"
 
 
 def errors(draft: Column, evidence: Column, has_evidence: Column, n_citations: Column, strict: bool = False) -> Column:

@@ -21,7 +21,9 @@ class Surveillance:
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.tables}/{name}")
-        return df.withColumn("cik", F.lpad(F.col("cik").cast("string"), 10, "0")).withColumn("accession_number", F.col("accession_number").cast("string"))
+        return df.withColumn("cik", F.lpad(F.col("cik").cast("string"), 10, "0")).withColumn(
+            "accession_number", F.col("accession_number").cast("string")
+        )
 
     def _pair(self, cik: str, before: str | None = None, after: str | None = None) -> tuple[DataFrame, DataFrame]:
         loans = self.table("loans")
@@ -54,7 +56,9 @@ class Surveillance:
         return A.compare_periods(*self._pair(cik, before, after)).orderBy("doc_position", "field_order")
 
     def status_changes(self, cik: str, before: str | None = None, after: str | None = None) -> DataFrame:
-        return A.status_changes(*self._pair(cik, before, after)).withColumn("severity", A.severity_label(F.col("severity_rank"))).orderBy("rank")
+        return A.status_changes(*self._pair(cik, before, after)).withColumn(
+            "severity", A.severity_label(F.col("severity_rank"))
+        ).orderBy("rank")
 
     def balance_drift(self, cik: str) -> DataFrame:
         return A.balance_drift(self._latest(cik)).orderBy("rank")
@@ -69,7 +73,9 @@ class Surveillance:
         return A.property_types(self._latest(cik)).orderBy("rank")
 
     def loan_history(self, cik: str, asset_number: str) -> DataFrame:
-        return A.loan_history(self.table("loans").filter((F.col("cik") == cik) & (F.col("asset_number") == asset_number))).orderBy("entry")
+        return A.loan_history(
+            self.table("loans").filter((F.col("cik") == cik) & (F.col("asset_number") == asset_number))
+        ).orderBy("entry")
 
     def property_profile(self, cik: str, asset_number: str, property_name: str) -> DataFrame:
         return A.property_profiles(self._latest(cik), asset_number=asset_number, property_name=property_name)

@@ -24,8 +24,15 @@ def read_documents(spark: SparkSession, path: str, source_name: str = "landing")
     """Whole documents under path/<cik>/<accession_number>/<file>, with their provenance."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     part = lambda i: F.element_at(F.split("path", "/"), i)
-    source = F.struct(F.lit(source_name).alias("source_name"), F.col("path").alias("source_url"), F.col("modificationTime").alias("retrieved_at"), F.sha2("content", 256).alias("checksum"), part(-2).alias("record_id"), F.lit(None).cast("string").alias("field_path"))
-    return raw.select(part(-3).alias("cik"), part(-2).alias("accession_number"), part(-1).alias("filename"), F.decode("content", "UTF-8").alias("value"), source.cast(SOURCE).alias("source"))
+    source = F.struct(
+        F.lit(source_name).alias("source_name"), F.col("path").alias("source_url"),
+        F.col("modificationTime").alias("retrieved_at"), F.sha2("content", 256).alias("checksum"),
+        part(-2).alias("record_id"), F.lit(None).cast("string").alias("field_path")
+    )
+    return raw.select(
+        part(-3).alias("cik"), part(-2).alias("accession_number"), part(-1).alias("filename"),
+        F.decode("content", "UTF-8").alias("value"), source.cast(SOURCE).alias("source")
+    )
 
 
 def asset_filings(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -35,7 +42,9 @@ def asset_filings(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def asset_outcomes(documents: DataFrame, parsed: DataFrame) -> DataFrame:
-    per = parsed.groupBy("cik", "accession_number").agg(F.count("*").alias("loan_count"), F.sum(F.size("issues")).alias("issue_count"))
+    per = parsed.groupBy("cik", "accession_number").agg(
+        F.count("*").alias("loan_count"), F.sum(F.size("issues")).alias("issue_count")
+    )
     keys = documents.select("cik", "accession_number").distinct()
     status = F.when(F.col("loan_count") > 0, CREATED).otherwise(FAILED)
     return keys.join(per, ["cik", "accession_number"], "left").select(
@@ -64,19 +73,33 @@ def report_filings(filings: DataFrame, documents: DataFrame, n: int = NEWEST) ->
     A filing without the exhibit is skipped. One whose page has another content type, no table that is known, or balances that
     don't reconcile has failed and gives no rows; the others are not touched by it.
     """
-    recent = filing_lists.newest(filings.filter(F.col("form_type") == REPORT_FORM), n).select("cik", "accession_number", "report_date", "seq")
-    page = filing_lists.first_document(documents, REPORT_EXHIBIT).select("accession_number", "filename", "content_type", "value")
-    met = recent.join(page, "accession_number", "left").withColumn("typed", content_type_ok(F.col("content_type"), HTML_TYPES))
+    recent = filing_lists.newest(
+        filings.filter(F.col("form_type") == REPORT_FORM), n
+    ).select("cik", "accession_number", "report_date", "seq")
+    page = filing_lists.first_document(documents, REPORT_EXHIBIT).select(
+        "accession_number", "filename", "content_type", "value"
+    )
+    met = recent.join(page, "accession_number", "left").withColumn(
+        "typed", content_type_ok(F.col("content_type"), HTML_TYPES)
+    )
     grid = html.html_rows(met.filter("filename IS NOT NULL AND typed"), "accession_number", "value")
     dist, rec = certificates.distributions(grid), certificates.reconciliations(grid)
     classes = dist.groupBy("accession_number").agg(F.count("*").alias("class_count"))
-    judged = met.drop("value").join(classes, "accession_number", "left").join(rec.select("accession_number", F.lit(True).alias("has_balances"), "reconciles"), "accession_number", "left")
+    judged = met.drop("value").join(classes, "accession_number", "left").join(
+        rec.select("accession_number", F.lit(True).alias("has_balances"), "reconciles"), "accession_number", "left"
+    )
     missing = F.col("filename").isNull()
     reason = _first_reason(
-        (missing, f"no {REPORT_EXHIBIT} exhibit"), (~F.col("typed"), "not a page by its content type"), (F.col("class_count").isNull() & F.col("has_balances").isNull(), "no known table"),
+        (missing, f"no {REPORT_EXHIBIT} exhibit"), (~F.col("typed"), "not a page by its content type"), (
+            F.col("class_count").isNull() & F.col("has_balances").isNull(), "no known table"
+        ),
         (~F.col("reconciles"), "balances don't reconcile"),
     )
-    outcome = judged.select("cik", "accession_number", "report_date", "seq", F.when(missing, SKIPPED).when(reason.isNotNull(), FAILED).otherwise(CREATED).alias("status"), reason.alias("reason"), F.coalesce("class_count", F.lit(0)).alias("class_count"))
+    outcome = judged.select(
+        "cik", "accession_number", "report_date", "seq",
+        F.when(missing, SKIPPED).when(reason.isNotNull(), FAILED).otherwise(CREATED).alias("status"),
+        reason.alias("reason"), F.coalesce("class_count", F.lit(0)).alias("class_count")
+    )
     good = outcome.filter(F.col("status") == CREATED).select("accession_number")
     return dist.join(good, "accession_number", "left_semi"), rec.join(good, "accession_number", "left_semi"), outcome
 
@@ -86,21 +109,34 @@ def narrative_filings(filings: DataFrame, documents: DataFrame, n: int = NEWEST)
 
     documents as for report_filings, and a source struct.
     """
-    recent = filing_lists.newest(filings.filter(F.col("form_type").isin(*NARRATIVE_FORMS)), n).select("cik", "accession_number", "report_date", "seq", "primary_document")
+    recent = filing_lists.newest(filings.filter(F.col("form_type").isin(*NARRATIVE_FORMS)), n).select(
+        "cik", "accession_number", "report_date", "seq", "primary_document"
+    )
     chosen = filing_lists.primary_document(documents, recent)
     known = [c for c in ("accession_number", "filename", "content_type", "value", "source") if c in documents.columns]
     page = documents.select(*known).join(chosen, ["accession_number", "filename"]).dropDuplicates(["accession_number"])
-    met = recent.join(page, "accession_number", "left").withColumn("typed", content_type_ok(F.col("content_type"), HTML_TYPES))
+    met = recent.join(page, "accession_number", "left").withColumn(
+        "typed", content_type_ok(F.col("content_type"), HTML_TYPES)
+    )
     chunks = narrative(met.filter("filename IS NOT NULL AND typed"))
     counts = chunks.groupBy("accession_number").agg(F.count("*").alias("chunk_count"))
-    reason = _first_reason((F.col("filename").isNull(), "no page"), (~F.col("typed"), "not a page by its content type"), (F.col("chunk_count").isNull(), "no text"))
+    reason = _first_reason(
+        (F.col("filename").isNull(), "no page"), (~F.col("typed"), "not a page by its content type"),
+        (F.col("chunk_count").isNull(), "no text")
+    )
     outcome = met.drop("value").join(counts, "accession_number", "left")
-    return chunks, outcome.select("cik", "accession_number", "report_date", "seq", F.when(reason.isNull(), CREATED).otherwise(SKIPPED).alias("status"), reason.alias("reason"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    return chunks, outcome.select(
+        "cik", "accession_number", "report_date", "seq",
+        F.when(reason.isNull(), CREATED).otherwise(SKIPPED).alias("status"), reason.alias("reason"),
+        F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")
+    )
 
 
 def narrative(documents: DataFrame, target: int = retrieval.TARGET, overlap: int = retrieval.OVERLAP) -> DataFrame:
     """Chunks of filing text with their vectors, and the source of the page where documents have one."""
-    chunks = retrieval.chunk(html.html_sections(documents, "accession_number", "value"), "accession_number", target, overlap)
+    chunks = retrieval.chunk(
+        html.html_sections(documents, "accession_number", "value"), "accession_number", target, overlap
+    )
     if "source" in documents.columns:
         chunks = chunks.join(documents.select("accession_number", "source"), "accession_number")
     return chunks.withColumn("embedding", retrieval.hashed_embedding(F.col("text")))
@@ -118,13 +154,19 @@ def deals(filings: DataFrame) -> DataFrame:
 
 
 def filing_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Pages under path/<cik>/<accession_number>/<file>, with the type that the filing's submission text (<accession_number>.txt beside them) declares; without one, reports and primary documents by their name."""
+    """Pages under path/<cik>/<accession_number>/<file>, with the type that the filing's submission text
+    (<accession_number>.txt beside them) declares; without one, reports and primary documents by their name.
+    """
     pages = read_documents(spark, path)
     texts, rest = pages.filter(F.col("filename").endswith(".txt")), pages.filter(~F.col("filename").endswith(".txt"))
     declared = filing_lists.document_list(texts.select("accession_number", "value"))
     name = F.lower("filename")
     kind = F.when(name.rlike(r"\.html?$"), "text/html").when(name.endswith(".xml"), "text/xml").otherwise("application/octet-stream")
-    return rest.join(declared, ["accession_number", "filename"], "left").select("cik", "accession_number", F.coalesce("seq", F.lit(1 << 30)).alias("seq"), F.coalesce("document_type", F.lit(REPORT_EXHIBIT)).alias("document_type"), "filename", kind.alias("content_type"), "value", "source")
+    return rest.join(declared, ["accession_number", "filename"], "left").select(
+        "cik", "accession_number", F.coalesce("seq", F.lit(1 << 30)).alias("seq"),
+        F.coalesce("document_type", F.lit(REPORT_EXHIBIT)).alias("document_type"), "filename",
+        kind.alias("content_type"), "value", "source"
+    )
 
 
 def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
@@ -138,19 +180,32 @@ def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
     outcome = asset_outcomes(documents, parsed)
     store.write_filings(asset_xml.loans(parsed), f"{tables}/loans")
     store.write_filings(asset_xml.issues(parsed), f"{tables}/issues")
-    store.upsert_table(reporting_periods(parsed).withColumn("ingest_seq", F.lit(0)), f"{tables}/reporting_periods", ["accession_number"])
-    store.write_filings(outcome.select("cik", "accession_number", F.lit("assets").alias("kind"), F.lit(None).cast("date").alias("report_date"), "status", F.lit(None).cast("string").alias("reason"), F.col("loan_count").cast("long").alias("n")), f"{tables}/outcomes_assets")
+    store.upsert_table(
+        reporting_periods(parsed).withColumn("ingest_seq", F.lit(0)), f"{tables}/reporting_periods",
+        ["accession_number"]
+    )
+    store.write_filings(
+        outcome.select(
+            "cik", "accession_number", F.lit("assets").alias("kind"), F.lit(None).cast("date").alias("report_date"),
+            "status", F.lit(None).cast("string").alias("reason"), F.col("loan_count").cast("long").alias("n")
+        ),
+        f"{tables}/outcomes_assets"
+    )
     parsed.unpersist()
     listed = None
     if exists(spark, f"{landing}/submissions"):
         listed = filing_lists.submissions(spark, f"{landing}/submissions")
         store.upsert_table(deals(listed), f"{tables}/deals", ["cik"])
-        store.upsert_table(listed.drop("deal_name").withColumn("ingest_seq", F.col("seq")), f"{tables}/filings", ["accession_number"])
+        store.upsert_table(
+            listed.drop("deal_name").withColumn("ingest_seq", F.col("seq")), f"{tables}/filings", ["accession_number"]
+        )
     for kind in ("reports", "narrative"):
         if not exists(spark, f"{landing}/{kind}"):
             continue
         pages = filing_documents(spark, f"{landing}/{kind}")
-        filings = listed if listed is not None else _as_filings(pages, REPORT_FORM if kind == "reports" else NARRATIVE_FORMS[0])
+        filings = listed if listed is not None else _as_filings(
+            pages, REPORT_FORM if kind == "reports" else NARRATIVE_FORMS[0]
+        )
         if kind == "reports":
             dist, rec, done = report_filings(filings, pages)
             written = (("certificates", dist), ("reconciliations", rec))
@@ -158,28 +213,50 @@ def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
             chunks, done = narrative_filings(filings, pages)
             written = (("chunks", chunks),)
         for name, out in written:
-            store.write_filings(out.join(filings.select("cik", "accession_number").distinct(), "accession_number"), f"{tables}/{name}")
+            store.write_filings(
+                out.join(filings.select("cik", "accession_number").distinct(), "accession_number"), f"{tables}/{name}"
+            )
         n = "class_count" if kind == "reports" else "chunk_count"
-        store.write_filings(done.select("cik", "accession_number", F.lit(kind).alias("kind"), "report_date", "status", "reason", F.col(n).cast("long").alias("n")), f"{tables}/outcomes_{kind}")
-    return spark.read.schema(OUTCOMES).parquet(f"{tables}/outcomes_assets").join(documents.select("cik", "accession_number").distinct(), ["cik", "accession_number"], "left_semi")
+        store.write_filings(
+            done.select(
+                "cik", "accession_number", F.lit(kind).alias("kind"), "report_date", "status", "reason",
+                F.col(n).cast("long").alias("n")
+            ),
+            f"{tables}/outcomes_{kind}"
+        )
+    return spark.read.schema(OUTCOMES).parquet(f"{tables}/outcomes_assets").join(
+        documents.select("cik", "accession_number").distinct(), ["cik", "accession_number"], "left_semi"
+    )
 
 
 def _as_filings(pages: DataFrame, form: str) -> DataFrame:
     each = pages.groupBy("cik", "accession_number").agg(F.min_by("filename", "seq").alias("primary_document"))
-    return each.select("cik", "accession_number", F.lit(form).alias("form_type"), F.lit(None).cast("date").alias("report_date"), "primary_document", F.row_number().over(Window.partitionBy("cik").orderBy("accession_number")).alias("seq"))
+    return each.select(
+        "cik", "accession_number", F.lit(form).alias("form_type"), F.lit(None).cast("date").alias("report_date"),
+        "primary_document", F.row_number().over(Window.partitionBy("cik").orderBy("accession_number")).alias("seq")
+    )
 
 
 def reporting_periods(loans: DataFrame) -> DataFrame:
     """One per filing, from its first loan; consistent tells whether all loans agree."""
     p = F.struct("period_beginning_date", "period_ending_date")
-    return loans.groupBy("cik", "accession_number").agg(F.min_by(p, "doc_position").alias("p"), (F.count_distinct(F.coalesce(F.col("period_ending_date").cast("string"), F.lit(""))) == 1).alias("consistent")).select("cik", "accession_number", "p.*", "consistent")
+    return loans.groupBy("cik", "accession_number").agg(
+        F.min_by(p, "doc_position").alias("p"),
+        (F.count_distinct(F.coalesce(F.col("period_ending_date").cast("string"), F.lit(""))) == 1).alias("consistent")
+    ).select("cik", "accession_number", "p.*", "consistent")
 
 
 def latest_pair(loans: DataFrame, cik: str) -> tuple[DataFrame, DataFrame]:
     """Snapshots of a deal's last two periods, earlier first; both the only one's where there is one."""
     own = loans.filter(F.col("cik") == cik)
-    periods = reporting_periods(own).select("cik", "accession_number", F.col("period_ending_date").alias("report_date"), F.col("accession_number").alias("seq"))
-    last = {r["recency"]: r["accession_number"] for r in analytics.latest_periods(periods).select("recency", "accession_number").collect()}  # two rows at most
+    periods = reporting_periods(own).select(
+        "cik", "accession_number", F.col("period_ending_date").alias("report_date"),
+        F.col("accession_number").alias("seq")
+    )
+    # two rows at most
+    last = {
+        r["recency"]: r["accession_number"] for r in analytics.latest_periods(periods).select("recency", "accession_number").collect()
+    }
     pick = lambda i: own.filter(F.col("accession_number") == last.get(i, last.get(1)))
     return pick(2), pick(1)
 

@@ -46,4 +46,7 @@ class Runs:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """ingestion_runs"""
-        return spark.createDataFrame([(r.job_id, r.key, r.status, r.error, r.started, r.ended) for r in self.by_id.values()], "job_id string, idempotency_key string, status string, error string, started double, ended double")
+        return spark.createDataFrame(
+            [(r.job_id, r.key, r.status, r.error, r.started, r.ended) for r in self.by_id.values()],
+            "job_id string, idempotency_key string, status string, error string, started double, ended double"
+        )

@@ -20,11 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _orders(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     if years:
-        o = o.filter((F.col("o_orderdate") >= F.lit(f"{min(years)}-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit(f"{max(years) + 1}-01-01").cast("timestamp")))
+        o = o.filter(
+            (F.col("o_orderdate") >= F.lit(f"{min(years)}-01-01").cast("timestamp")) & (
+                F.col("o_orderdate") < F.lit(f"{max(years) + 1}-01-01").cast("timestamp")
+            )
+        )
     return o.withColumn("y", F.year("o_orderdate"))
 
 
-def snapshots(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None = None, properties: bool = False) -> DataFrame:
+def snapshots(
+    spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None = None, properties: bool = False
+) -> DataFrame:
     o = _orders(spark, sf_dir, years)
     cents = lambda c: F.col(c).cast("decimal(18,2)")
     snap = o.groupBy("o_custkey", "y").agg(
@@ -32,22 +38,32 @@ def snapshots(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None =
     )
     items = table(spark, sf_dir, "lineitem")
     line = o.select("o_orderkey", "o_custkey", "y").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    sched = line.groupBy("o_custkey", "y").agg(F.sum(cents("l_extendedprice")).alias("scheduled"), F.sum(cents("l_discount")).alias("advances"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.lpad(F.col("c_nationkey").cast("string"), 10, "0").alias("cik"))
+    sched = line.groupBy("o_custkey", "y").agg(
+        F.sum(cents("l_extendedprice")).alias("scheduled"), F.sum(cents("l_discount")).alias("advances")
+    )
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.lpad(F.col("c_nationkey").cast("string"), 10, "0").alias("cik")
+    )
     out = snap.join(sched, ["o_custkey", "y"], "left").join(c, F.col("o_custkey") == F.col("c_custkey"))
     if properties:
         p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
         s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("state"))
         by_brand = line.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("o_custkey", "y", "p_brand").agg(
-            F.min("p_type").alias("kind"), F.min("state").alias("state"), F.sum(cents("l_extendedprice")).alias("value"), F.sum(F.when(F.col("l_returnflag") == "N", cents("l_extendedprice"))).alias("noi"),
+            F.min("p_type").alias("kind"), F.min("state").alias("state"), F.sum(cents("l_extendedprice")).alias("value"), F.sum(
+                F.when(F.col("l_returnflag") == "N", cents("l_extendedprice"))
+            ).alias("noi"),
         )
         one = F.struct(
             F.col("p_brand").alias("property_name"), F.col("kind").alias("property_type_code"), "state",
             F.struct(F.col("value").cast(_AMOUNT).alias("valuation_amount")).alias("at_securitization"),
-            F.when(F.col("noi").isNotNull(), F.struct(F.col("noi").cast(_AMOUNT).alias("net_operating_income_amount"))).alias("most_recent"),
+            F.when(
+                F.col("noi").isNotNull(), F.struct(F.col("noi").cast(_AMOUNT).alias("net_operating_income_amount"))
+            ).alias("most_recent"),
         )
         # a year's brands of one customer are few and bounded by the number of brands
-        arrays = by_brand.select("o_custkey", "y", one.alias("p")).groupBy("o_custkey", "y").agg(F.array_sort(F.collect_list("p")).alias("properties"))
+        arrays = by_brand.select("o_custkey", "y", one.alias("p")).groupBy("o_custkey", "y").agg(
+            F.array_sort(F.collect_list("p")).alias("properties")
+        )
         out = out.join(arrays, ["o_custkey", "y"], "left")
     else:
         out = out.withColumn("properties", F.lit(None).cast("array<struct<property_name:string>>"))
@@ -56,7 +72,9 @@ def snapshots(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None =
         F.make_date("y", F.lit(1), F.lit(1)).alias("period_beginning_date"), F.make_date("y", F.lit(12), F.lit(31)).alias("period_ending_date"), "paid_through_date",
         (F.col("actual") + F.col("top")).cast(_AMOUNT).alias("original_loan_amount"), F.col("actual").cast(_AMOUNT).alias("actual_balance_amount"), F.col("scheduled").cast(_AMOUNT).alias("scheduled_balance_amount"),
         F.when(F.col("last_status") == "F", "0").when(F.col("last_status") == "O", "B").alias("payment_status_code"), F.coalesce("properties", F.array()).alias("properties"),
-        F.when(F.col("advances").isNotNull(), F.create_map(F.lit(ADVANCES), F.col("advances").cast("string"))).otherwise(F.create_map().cast("map<string,string>")).alias("raw_fields"),
+        F.when(
+            F.col("advances").isNotNull(), F.create_map(F.lit(ADVANCES), F.col("advances").cast("string"))
+        ).otherwise(F.create_map().cast("map<string,string>")).alias("raw_fields"),
     )
 
 

@@ -11,7 +11,10 @@ SOURCE = T.StructType([
 ])
 
 # Names of elements in the regulator's asset-level XML, and the columns they fill.
-LOAN_STRINGS = {"asset_number": "assetNumber", "group_id": "GroupID", "originator_name": "originatorName", "payment_status_code": "paymentStatusLoanCode"}
+LOAN_STRINGS = {
+    "asset_number": "assetNumber", "group_id": "GroupID", "originator_name": "originatorName",
+    "payment_status_code": "paymentStatusLoanCode"
+}
 LOAN_DATES = {
     "origination_date": "originationDate", "maturity_date": "maturityDate", "paid_through_date": "paidThroughDate",
     "period_beginning_date": "reportingPeriodBeginningDate", "period_ending_date": "reportingPeriodEndDate",
@@ -34,7 +37,9 @@ SECURITIZATION_AMOUNTS = {
     "operating_expenses_amount": "operatingExpensesSecuritizationAmount", "net_operating_income_amount": "netOperatingIncomeSecuritizationAmount",
     "net_cash_flow_amount": "netCashFlowFlowSecuritizationAmount",
 }
-RECENT_DATES = {"financials_start_date": "mostRecentFinancialsStartDate", "financials_end_date": "mostRecentFinancialsEndDate"}
+RECENT_DATES = {
+    "financials_start_date": "mostRecentFinancialsStartDate", "financials_end_date": "mostRecentFinancialsEndDate"
+}
 RECENT_AMOUNTS = {
     "revenue_amount": "mostRecentRevenueAmount", "operating_expenses_amount": "operatingExpensesAmount",
     "net_operating_income_amount": "mostRecentNetOperatingIncomeAmount", "net_cash_flow_amount": "mostRecentNetCashFlowAmount",

@@ -36,7 +36,9 @@ def _has(text: str) -> Column:
 
 
 def _chosen(grid: DataFrame, key: str, title: str, required: str, after_title: str | None = None) -> DataFrame:
-    """key and table_idx of the first table that has title and required; with after_title, else or first (see callers) the first with required after one with that title."""
+    """key and table_idx of the first table that has title and required; with after_title, else or first (see callers)
+    the first with required after one with that title.
+    """
     each = grid.select(key, "table_idx", "table_text").distinct()
     inside = each.filter(_has(title) & _has(required)).groupBy(key).agg(F.min("table_idx").alias("inside"))
     if after_title is None:
@@ -44,43 +46,92 @@ def _chosen(grid: DataFrame, key: str, title: str, required: str, after_title: s
     titled = each.filter(_has(title)).groupBy(key).agg(F.min("table_idx").alias("titled"))
     later = each.filter(_has(required)).join(titled, key).filter(F.col("table_idx") > F.col("titled")).groupBy(key).agg(F.min("table_idx").alias("later"))
     order = ("later", "inside") if after_title == "first" else ("inside", "later")
-    return inside.join(later, key, "full").select(key, F.coalesce(*order).alias("table_idx")).filter(F.col("table_idx").isNotNull())
+    return inside.join(later, key, "full").select(
+        key, F.coalesce(*order).alias("table_idx")
+    ).filter(F.col("table_idx").isNotNull())
 
 
 def _typed(rows: DataFrame, key: str, columns: dict[str, int]) -> DataFrame:
     cell = lambda i: F.get("cells", F.lit(i))
     names = list(DETAIL_COLUMNS)
-    values = [report_decimal(cell(columns[c]), c in PERCENT).alias(c) if c in columns else F.lit(None).cast("decimal(20,8)").alias(c) for c in names]
-    bad = F.filter(F.array(*(F.when(report_issue(cell(i)), F.struct(F.lit(c).alias("field_name"), cell(i).alias("raw_value"))) for c, i in columns.items())), lambda x: x.isNotNull())
-    return rows.select(key, "row_idx", "class_name", "cusip", *values, F.concat(F.lit("certificate_distribution[class="), "class_name", F.lit("]")).alias("field_path"), bad.alias("issues"))
+    values = [
+        report_decimal(cell(columns[c]), c in PERCENT).alias(c) if c in columns else F.lit(None).cast("decimal(20,8)").alias(c) for c in names
+    ]
+    bad = F.filter(
+        F.array(
+            *(
+                F.when(
+                    report_issue(cell(i)), F.struct(F.lit(c).alias("field_name"), cell(i).alias("raw_value"))
+                ) for c, i in columns.items()
+            )
+        ),
+        lambda x: x.isNotNull()
+    )
+    return rows.select(
+        key, "row_idx", "class_name", "cusip", *values,
+        F.concat(F.lit("certificate_distribution[class="), "class_name", F.lit("]")).alias("field_path"),
+        bad.alias("issues")
+    )
 
 
 def distributions(grid: DataFrame, key: str = "accession_number") -> DataFrame:
     """One row per certificate class; the second layout is read only where the first gives nothing."""
     cell = lambda i: F.get("cells", F.lit(i))
-    detail = grid.join(_chosen(grid, key, DETAIL, "CUSIP"), [key, "table_idx"]).filter((F.size("cells") >= 13) & cell(1).rlike(CUSIP))
-    one = _typed(detail.withColumn("class_name", clean_class(cell(0))).withColumn("cusip", cell(1)), key, DETAIL_COLUMNS)
+    detail = grid.join(
+        _chosen(grid, key, DETAIL, "CUSIP"), [key, "table_idx"]
+    ).filter((F.size("cells") >= 13) & cell(1).rlike(CUSIP))
+    one = _typed(
+        detail.withColumn("class_name", clean_class(cell(0))).withColumn("cusip", cell(1)), key, DETAIL_COLUMNS
+    )
     rest = grid.join(one.select(key).distinct(), key, "left_anti")
-    summary = rest.join(_chosen(rest, key, SUMMARY, "Pass-Through", "first"), [key, "table_idx"]).filter(F.size("cells") >= 14).withColumn("class_name", F.trim(cell(0)))
+    summary = rest.join(
+        _chosen(rest, key, SUMMARY, "Pass-Through", "first"), [key, "table_idx"]
+    ).filter(F.size("cells") >= 14).withColumn("class_name", F.trim(cell(0)))
     factors = rest.join(_chosen(rest, key, FACTORS, "CUSIP", "last"), [key, "table_idx"]).filter(F.size("cells") >= 2)
     alone, joined = clean_cusip(cell(1)), clean_cusip(F.concat(cell(1), F.coalesce(cell(2), F.lit(""))))
-    factors = factors.select(key, "row_idx", F.trim(cell(0)).alias("class_name"), F.when(alone.rlike(CUSIP), alone).when((F.size("cells") >= 3) & joined.rlike(CUSIP), joined).alias("cusip")).filter(F.col("cusip").isNotNull())
+    factors = factors.select(
+        key, "row_idx", F.trim(cell(0)).alias("class_name"),
+        F.when(alone.rlike(CUSIP), alone).when((F.size("cells") >= 3) & joined.rlike(CUSIP), joined).alias("cusip")
+    ).filter(F.col("cusip").isNotNull())
     factors = factors.groupBy(key, "class_name").agg(F.max_by("cusip", "row_idx").alias("cusip"))
     return one.unionByName(_typed(summary.join(factors, [key, "class_name"]), key, SUMMARY_COLUMNS))
 
 
 def reconciliations(grid: DataFrame, key: str = "accession_number") -> DataFrame:
-    """One row per report that has the table: its balances, and whether certificate less scheduled collateral balance is the reported difference (null if any is unknown)."""
+    """One row per report that has the table: its balances, and whether certificate less scheduled collateral balance is
+    the reported difference (null if any is unknown).
+    """
     rows = grid.join(_chosen(grid, key, BALANCES, "Beginning Scheduled Collateral Balance"), [key, "table_idx"])
     cell = lambda i: F.get("cells", F.lit(i))
     pairs = F.filter(F.array(
-        F.when((F.size("cells") >= 2) & (cell(0) != ""), F.struct(F.lit(0).alias("side"), cell(0).alias("label"), cell(1).alias("raw"))),
-        F.when((F.size("cells") >= 5) & (cell(3) != ""), F.struct(F.lit(1).alias("side"), cell(3).alias("label"), cell(4).alias("raw"))),
+        F.when(
+            (F.size("cells") >= 2) & (cell(0) != ""),
+            F.struct(F.lit(0).alias("side"), cell(0).alias("label"), cell(1).alias("raw"))
+        ),
+        F.when(
+            (F.size("cells") >= 5) & (cell(3) != ""),
+            F.struct(F.lit(1).alias("side"), cell(3).alias("label"), cell(4).alias("raw"))
+        ),
     ), lambda p: p.isNotNull())
     each = rows.select(key, "row_idx", F.explode_outer(pairs).alias("p"))
     place = F.struct("row_idx", F.col("p")["side"].alias("side"))
-    raw = each.groupBy(key).agg(*(F.max(F.when(F.col("p")["label"] == label, F.struct(place.alias("o"), F.col("p")["raw"].alias("raw"))))["raw"].alias(c) for c, label in LABELS.items()))
-    bad = F.filter(F.array(*(F.when(report_issue(F.col(c)), F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw_value"))) for c in LABELS)), lambda x: x.isNotNull())
+    raw = each.groupBy(key).agg(
+        *(
+            F.max(
+                F.when(F.col("p")["label"] == label, F.struct(place.alias("o"), F.col("p")["raw"].alias("raw")))
+            )["raw"].alias(c) for c, label in LABELS.items()
+        )
+    )
+    bad = F.filter(
+        F.array(
+            *(
+                F.when(
+                    report_issue(F.col(c)), F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw_value"))
+                ) for c in LABELS
+            )
+        ),
+        lambda x: x.isNotNull()
+    )
     out = raw.select(key, *(report_decimal(F.col(c)).alias(c) for c in LABELS), bad.alias("issues"))
     return out.withColumn("reconciles", reconciles()).withColumn("field_path", F.lit("bond_collateral_reconciliation"))
 
@@ -91,20 +142,40 @@ def reconciles() -> Column:
 
 def strict(reconciliations_: DataFrame) -> DataFrame:
     """Fails on a report that doesn't reconcile."""
-    return reconciliations_.filter(F.when(F.coalesce("reconciles", F.lit(True)), F.lit(True)).otherwise(F.raise_error(F.lit("certificate less scheduled collateral balance is not the reported difference")).cast("boolean")))
-
-
-_SHOWN = ("class_name", "cusip", "beginning_balance", "principal_distribution", "interest_distribution", "ending_balance")
-
-
-def lookup(questions: DataFrame, certificates: DataFrame, report: str = "accession_number", question: str = "question", key: str = "question_id") -> DataFrame:
-    """Of each question about a report (a column of both) the first of its certificates whose class or identifier the question names. A report's certificates are a few dozen rows of one document; they meet the question as one array."""
+    return reconciliations_.filter(
+        F.when(F.coalesce("reconciles", F.lit(True)), F.lit(True)).otherwise(
+            F.raise_error(
+                F.lit("certificate less scheduled collateral balance is not the reported difference")
+            ).cast("boolean")
+        )
+    )
+
+
+_SHOWN = (
+    "class_name", "cusip", "beginning_balance", "principal_distribution", "interest_distribution", "ending_balance"
+)
+
+
+def lookup(
+    questions: DataFrame, certificates: DataFrame, report: str = "accession_number", question: str = "question",
+    key: str = "question_id"
+) -> DataFrame:
+    """Of each question about a report (a column of both) the first of its certificates whose class or identifier the
+    question names. A report's certificates are a few dozen rows of one document; they meet the question as one array.
+    """
     list_ = certificates.groupBy(report).agg(F.array_sort(F.collect_list(F.struct("row_idx", *_SHOWN))).alias("all"))
     q = F.lower(F.col(question))
-    first = F.get(F.filter("all", lambda c: F.contains(q, F.lower(c["class_name"])) | F.contains(q, F.lower(c["cusip"]))), F.lit(0))
-    return questions.join(list_, report, "left").select(key, report, question, first.alias("c")).select(key, report, question, *(f"c.{x}" for x in _SHOWN))
+    first = F.get(
+        F.filter("all", lambda c: F.contains(q, F.lower(c["class_name"])) | F.contains(q, F.lower(c["cusip"]))),
+        F.lit(0)
+    )
+    return questions.join(list_, report, "left").select(key, report, question, first.alias("c")).select(
+        key, report, question, *(f"c.{x}" for x in _SHOWN)
+    )
 
 
 def latest_report(reports: DataFrame) -> DataFrame:
     """Of each deal the report with the latest date."""
-    return reports.withColumn("_n", F.row_number().over(Window.partitionBy("cik").orderBy(F.desc_nulls_last("report_date"), F.desc("seq")))).filter("_n = 1").drop("_n")
+    return reports.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("cik").orderBy(F.desc_nulls_last("report_date"), F.desc("seq")))
+    ).filter("_n = 1").drop("_n")

@@ -11,13 +11,22 @@ SUBMISSIONS = f"name string, cik string, filings struct<recent: struct<{_RECENT.
 
 
 def submissions(spark: SparkSession, path: str, forms: list[str] | None = None) -> DataFrame:
-    """Filings of column-oriented submission files, oldest first: cik, deal_name, accession_number, form_type, filing_date, report_date, primary_document, seq."""
+    """Filings of column-oriented submission files, oldest first: cik, deal_name, accession_number, form_type,
+    filing_date, report_date, primary_document, seq.
+    """
     return filings(spark.read.schema(SUBMISSIONS).json(path, multiLine=True), forms)
 
 
 def filings(raw: DataFrame, forms: list[str] | None = None) -> DataFrame:
     r = "filings.recent."
-    each = raw.select(cik(F.col("cik")).alias("cik"), F.col("name").alias("deal_name"), F.posexplode(F.arrays_zip(*(F.col(r + c) for c in ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument")))).alias("pos", "f"))
+    each = raw.select(
+        cik(F.col("cik")).alias("cik"), F.col("name").alias("deal_name"),
+        F.posexplode(
+            F.arrays_zip(
+                *(F.col(r + c) for c in ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument"))
+            )
+        ).alias("pos", "f")
+    )
     out = each.select(
         "cik", "deal_name", F.col("f.accessionNumber").alias("accession_number"), F.col("f.form").alias("form_type"), any_date(F.col("f.filingDate")).alias("filing_date"),
         any_date(F.col("f.reportDate")).alias("report_date"), F.col("f.primaryDocument").alias("primary_document"), "pos",
@@ -25,32 +34,46 @@ def filings(raw: DataFrame, forms: list[str] | None = None) -> DataFrame:
     if forms is not None:
         out = out.filter(F.col("form_type").isin(*forms))
     # equal dates keep the order of the list
-    return out.withColumn("seq", F.row_number().over(Window.partitionBy("cik").orderBy("filing_date", "pos"))).drop("pos")
+    return out.withColumn(
+        "seq", F.row_number().over(Window.partitionBy("cik").orderBy("filing_date", "pos"))
+    ).drop("pos")
 
 
 def newest(filings_: DataFrame, n: int = 8) -> DataFrame:
     """The n newest filings of each deal."""
-    return filings_.withColumn("_n", F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("seq")))).filter(F.col("_n") <= n).drop("_n")
+    return filings_.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("seq")))
+    ).filter(F.col("_n") <= n).drop("_n")
 
 
 def document_list(texts: DataFrame, key: str = "accession_number", text: str = "value") -> DataFrame:
-    """Documents that a submission's text declares: key, seq, document_type, filename; of a repeated filename the first. A key without documents has no rows."""
+    """Documents that a submission's text declares: key, seq, document_type, filename; of a repeated filename the first.
+    A key without documents has no rows.
+    """
     pattern = r"<TYPE>([^\s<]+)[\s\S]*?<FILENAME>([^\s<]+)"
     pair = lambda g: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g))
-    each = texts.select(key, F.posexplode(F.arrays_zip(pair(1).alias("document_type"), pair(2).alias("filename"))).alias("seq", "d"))
-    each = each.select(key, "seq", F.col("d.document_type").alias("document_type"), F.col("d.filename").alias("filename"))
+    each = texts.select(
+        key, F.posexplode(F.arrays_zip(pair(1).alias("document_type"), pair(2).alias("filename"))).alias("seq", "d")
+    )
+    each = each.select(
+        key, "seq", F.col("d.document_type").alias("document_type"), F.col("d.filename").alias("filename")
+    )
     first = Window.partitionBy(key, "filename").orderBy("seq")
     return each.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def submission_documents(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("accession_number"), "value")
+    texts = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("accession_number"), "value"
+    )
     return document_list(texts)
 
 
 def exhibit(documents: DataFrame, document_type: str, key: str = "accession_number") -> DataFrame:
     """The first document of a type in each filing."""
-    return documents.filter(F.col("document_type") == document_type).groupBy(key).agg(F.min_by("filename", "seq").alias("filename"))
+    return documents.filter(F.col("document_type") == document_type).groupBy(key).agg(
+        F.min_by("filename", "seq").alias("filename")
+    )
 
 
 def primary_document(documents: DataFrame, filings_: DataFrame, key: str = "accession_number") -> DataFrame:
@@ -64,9 +87,14 @@ def primary_document(documents: DataFrame, filings_: DataFrame, key: str = "acce
 def first_document(documents: DataFrame, document_type: str, key: str = "accession_number") -> DataFrame:
     """The first document of a type in each filing, with all its columns."""
     rest = [c for c in documents.columns if c != key]
-    return documents.filter(F.col("document_type") == document_type).groupBy(key).agg(F.min_by(F.struct(*rest), "seq").alias("d")).select(key, "d.*")
+    return documents.filter(F.col("document_type") == document_type).groupBy(key).agg(
+        F.min_by(F.struct(*rest), "seq").alias("d")
+    ).select(key, "d.*")
 
 
 def exhibits(spark: SparkSession, path: str) -> DataFrame:
     """Files with their checksums: path, size, retrieved_at, checksum, content."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("retrieved_at"), F.sha2("content", 256).alias("checksum"), "content")
+    return spark.read.format("binaryFile").load(path).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("retrieved_at"),
+        F.sha2("content", 256).alias("checksum"), "content"
+    )

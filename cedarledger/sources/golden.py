@@ -13,5 +13,13 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
         import yaml
 
         text = spark.read.text(path, wholetext=True).first()[0]
-        return spark.createDataFrame([(str(c["id"]), c["question"], c.get("expected_tools") or [], [str(f) for f in c.get("expected_facts") or []]) for c in yaml.safe_load(text)], SCHEMA)
+        return spark.createDataFrame(
+            [
+                (
+                    str(c["id"]), c["question"], c.get("expected_tools") or [],
+                    [str(f) for f in c.get("expected_facts") or []]
+                ) for c in yaml.safe_load(text)
+            ],
+            SCHEMA
+        )
     return spark.read.schema(SCHEMA).json(path)

@@ -1,4 +1,6 @@
-"""HTML to rows: grids of table cells, and sections of prose. Parsing is tolerant and runs once per document in Arrow batches."""
+"""HTML to rows: grids of table cells, and sections of prose. Parsing is tolerant and runs once per document in Arrow
+batches.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +15,15 @@ CONTENT = frozenset(("p", "li", "td", "th"))
 HIDDEN = frozenset(("script", "style"))
 # An opening tag ends open elements of these kinds, up to the nearest of the bounds.
 IMPLIED = {
-    "p": (("p",), ("td", "th", "li", "table", "body", "div")), "li": (("li", "p"), ("ul", "ol", "body")), "tr": (("td", "th", "tr", "p"), ("table",)),
-    "td": (("td", "th", "p"), ("tr", "table")), "th": (("td", "th", "p"), ("tr", "table")), "table": (("p",), ("td", "th", "body", "div")), "div": (("p",), ("td", "th", "li", "body", "div")),
-    **{h: (("p",), ("td", "th", "li", "body", "div")) for h in HEADINGS}, "ul": (("p",), ("td", "th", "li", "body", "div")), "ol": (("p",), ("td", "th", "li", "body", "div")),
+    "p": (
+        ("p",), ("td", "th", "li", "table", "body", "div")
+    ), "li": (("li", "p"), ("ul", "ol", "body")), "tr": (("td", "th", "tr", "p"), ("table",)),
+    "td": (("td", "th", "p"), ("tr", "table")), "th": (("td", "th", "p"), ("tr", "table")), "table": (("p",), ("td", "th", "body", "div")), "div": (
+        ("p",), ("td", "th", "li", "body", "div")
+    ),
+    **{
+        h: (("p",), ("td", "th", "li", "body", "div")) for h in HEADINGS
+    }, "ul": (("p",), ("td", "th", "li", "body", "div")), "ol": (("p",), ("td", "th", "li", "body", "div")),
 }
 
 
@@ -100,12 +108,18 @@ def squeeze(text: str) -> str:
 def tables(html: str):
     """Of every table, outer ones first: its text, and the cells of all rows inside it."""
     for i, t in enumerate(n for n in tree(html).walk() if n.tag == "table"):
-        rows = [[squeeze(c.text()) for c in r.parts if isinstance(c, Node) and c.tag in ("td", "th")] for r in t.walk() if r.tag == "tr"]
+        rows = [
+            [
+                squeeze(c.text()) for c in r.parts if isinstance(c, Node) and c.tag in ("td", "th")
+            ] for r in t.walk() if r.tag == "tr"
+        ]
         yield i, squeeze(t.text()), rows
 
 
 def sections(html: str):
-    """(heading or None, text) of each stretch between headings that has text. Text of a content element counts once, whatever is nested in it."""
+    """(heading or None, text) of each stretch between headings that has text. Text of a content element counts once,
+    whatever is nested in it.
+    """
     root = tree(html)
     body = next((n for n in root.walk() if n.tag == "body"), root)
     heading, parts = None, []
@@ -139,21 +153,35 @@ def _mapped(df: DataFrame, key: str, html: str, rows, fields: list[tuple[str, pa
                     at.append(i)
                     out.append(r)
             columns = [pa.array([r[j] for r in out], t) for j, (_, t) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], [key, *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), *columns], [key, *(n for n, _ in fields)]
+            )
 
     return df.select(key, html).mapInArrow(run, f"{key} {kind}, {ddl}")
 
 
 def html_sections(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, pos, heading, text"""
-    return _mapped(df, key, html, lambda t: ((i, h, x) for i, (h, x) in enumerate(sections(t))), [("pos", pa.int32()), ("heading", pa.string()), ("text", pa.string())], "pos int, heading string, text string")
+    return _mapped(
+        df, key, html, lambda t: ((i, h, x) for i, (h, x) in enumerate(sections(t))),
+        [("pos", pa.int32()), ("heading", pa.string()), ("text", pa.string())], "pos int, heading string, text string"
+    )
 
 
 def html_rows(df: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, table_idx, table_text, row_idx, cells: a row for each table row; a table without rows gives one with null cells."""
+    """key, table_idx, table_text, row_idx, cells: a row for each table row; a table without rows gives one with null
+    cells.
+    """
     def rows(t):
         for i, text, grid in tables(t):
             for j, cells in enumerate(grid) if grid else [(0, None)]:
                 yield i, text, j, cells
 
-    return _mapped(df, key, html, rows, [("table_idx", pa.int32()), ("table_text", pa.string()), ("row_idx", pa.int32()), ("cells", pa.list_(pa.string()))], "table_idx int, table_text string, row_idx int, cells array<string>")
+    return _mapped(
+        df, key, html, rows,
+        [
+            ("table_idx", pa.int32()), ("table_text", pa.string()), ("row_idx", pa.int32()),
+            ("cells", pa.list_(pa.string()))
+        ],
+        "table_idx int, table_text string, row_idx int, cells array<string>"
+    )

@@ -1,4 +1,5 @@
-"""Filings as a stream: documents that land in a folder go through the batch plan, one partition overwrite per filing."""
+"""Filings as a stream: documents that land in a folder go through the batch plan, one partition overwrite per filing.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +15,15 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 def stream_documents(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(path)
     part = lambda i: F.element_at(F.split("path", "/"), i)
-    source = F.struct(F.lit("landing").alias("source_name"), F.col("path").alias("source_url"), F.col("modificationTime").alias("retrieved_at"), F.sha2("content", 256).alias("checksum"), part(-2).alias("record_id"), F.lit(None).cast("string").alias("field_path"))
-    return raw.select(part(-3).alias("cik"), part(-2).alias("accession_number"), F.decode("content", "UTF-8").alias("value"), source.cast(SOURCE).alias("source"))
+    source = F.struct(
+        F.lit("landing").alias("source_name"), F.col("path").alias("source_url"),
+        F.col("modificationTime").alias("retrieved_at"), F.sha2("content", 256).alias("checksum"),
+        part(-2).alias("record_id"), F.lit(None).cast("string").alias("field_path")
+    )
+    return raw.select(
+        part(-3).alias("cik"), part(-2).alias("accession_number"), F.decode("content", "UTF-8").alias("value"),
+        source.cast(SOURCE).alias("source")
+    )
 
 
 def run(spark: SparkSession, landing: str, tables: str, checkpoint: str) -> None:

@@ -12,7 +12,9 @@ def spark(tmp_path_factory):
 
     s = (
         SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
+        .config("spark.driver.memory", "4g").config(
+            "spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))
+        ).config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -24,7 +24,14 @@ def duck():
 
 def plain(df):
     df = df[sorted(df.columns)]
-    return sorted((tuple(f"{x:.6f}" if isinstance(x, float) else None if x != x or x is None else str(x) for x in r) for r in df.astype(object).where(df.notna(), None).itertuples(index=False)), key=str)
+    return sorted(
+        (
+            tuple(
+                f"{x:.6f}" if isinstance(x, float) else None if x != x or x is None else str(x) for x in r
+            ) for r in df.astype(object).where(df.notna(), None).itertuples(index=False)
+        ),
+        key=str
+    )
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
@@ -34,7 +41,9 @@ def test_query_matches_its_sql(spark, duck, name):
 
 def test_no_neighbours_without_the_query_vector(spark, tmp_path):
     for i, ids in enumerate(([], [1, 2])):
-        spark.createDataFrame([(k, [1.0, 0.5]) for k in ids], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{i}/embeddings.parquet")
+        spark.createDataFrame(
+            [(k, [1.0, 0.5]) for k in ids], "vec_id long, embedding array<float>"
+        ).write.parquet(f"{tmp_path}/{i}/embeddings.parquet")
         assert catalog.vector_topk(spark, f"{tmp_path}/{i}").collect() == []
 
 
@@ -62,7 +71,10 @@ def test_entry_without_the_optional_part(tmp_path):
         if x not in ("llm", "__pycache__"):
             (tmp_path / "cedarledger" / x).symlink_to(f"{root}/cedarledger/{x}")
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') and n[2:3].isdigit() for n in e.queries()), len(e.oracle_sql()))"
-    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    out = subprocess.run(
+        [sys.executable, "-B", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)},
+        capture_output=True, text=True, timeout=120
+    )
     assert out.returncode == 0, out.stderr
     n, llm, sql = out.stdout.split()
     assert int(n) == len(catalog.queries()) and llm == "False" and int(sql) == len(catalog.oracle_sql())
