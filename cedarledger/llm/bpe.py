@@ -34,9 +34,11 @@ CHUNK_MASK = 0x1FF
 CACHE_BYTES = 48 << 20
 BATCH_CHARS = 1 << 20  # of documents whose joins are encoded together
 SPACES = b" \t\n\x0b\x0c\r"
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 # A punctuation mark after an ASCII letter is a pre-token of its own; the apostrophe is not, as it may begin a
 # contraction.
 CLOSING, LETTERS = b".,;:!?|", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTER = frozenset(bytes([c]) for c in LETTERS)
 
 
 def vocabulary(name: str = "word_bpe_49k.json", path: str | None = None) -> str:
@@ -106,14 +108,11 @@ class Words(dict):
         return value
 
     def learn(self, words: set[bytes]) -> None:
-        """What the library must encode for these words, at once."""
-        new = set()
-        for w in words:
-            if w not in self:
-                while self.parts and w[-1] in CLOSING and len(w) > 1 and w[-2] in LETTERS:
-                    w = w[:-1]
-                new.add(w.lower() if self.parts and w.isascii() and not w.islower() and w.isalpha() else w)
-        new = [w for w in new if w not in self]
+        """What the library must encode for these unknown words, at once."""
+        if self.parts:
+            bare = [w.rstrip(CLOSING) if w[-1] in CLOSING and w.rstrip(CLOSING)[-1:] in LETTER else w for w in words]
+            words = {w.lower() if w.isalpha() and w.isascii() else w for w in bare}
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
         for w, e in zip(
@@ -122,7 +121,9 @@ class Words(dict):
             self[w] = self.of(e.ids)
 
     def of(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.shown[i] for i in ids])
+        n = len(ids)
+        packed = PACKED[n](*ids) if n < len(PACKED) else struct.pack(f"<{n}I", *ids)
+        return packed, " ".join(map(self.shown.__getitem__, ids))
 
 
 def assumptions(tokenizer) -> tuple[bool, bool]:
@@ -149,10 +150,13 @@ def assumptions(tokenizer) -> tuple[bool, bool]:
     return splits, parts
 
 
-def whole_words(data: bytes) -> list[bytes]:
-    """Words between the first white space and the last."""
+def parted(data: bytes) -> tuple[bytes, list[bytes] | None, bytes]:
+    """What stands before the first white space, the words between, what stands after the last. Without white space all is the first."""
     w = data.split()
-    return w[data[0] not in SPACES : len(w) - (data[-1] not in SPACES)]
+    before, after = data[0] not in SPACES, data[-1] not in SPACES
+    if before and after and len(w) == 1:
+        return data, None, b""
+    return w[0] if before else b"", w[before : len(w) - after], w[-1] if after else b""
 
 
 class Chunk:
@@ -180,22 +184,16 @@ class Encoder:
         self.held, self.most = 0, cache_bytes
         self.joins = self.grown = 0  # joins made anew; times that a context had to grow
 
-    def _chunk(self, data: bytes) -> tuple[Chunk, bool]:
+    def _chunk(self, data: bytes, fresh: dict[bytes, tuple]) -> tuple[Chunk, bool]:
         """The chunk, and whether it was known."""
         if (got := self.chunks.get(data)) is not None:
             return got, True
-        head_end = next((i for i, c in enumerate(data) if c in SPACES), -1)
-        if head_end < 0:
-            got = Chunk(data, data, b"", None, None)
-        else:
-            tail_at = len(data)
-            while data[tail_at - 1] not in SPACES:
-                tail_at -= 1
-            found = [self.words[w] for w in data[head_end:tail_at].split()]
-            got = Chunk(
-                data, data[:head_end], data[tail_at:], b"".join([x[0] for x in found]),
-                " ".join([x[1] for x in found if x[0]])
-            )
+        head, words, tail, found = fresh.get(data) or (*parted(data), [None])
+        ids, shown = (None, None) if words is None else (b"", "")
+        if words:
+            packed, decoded = zip(*(map(self.words.__getitem__, words) if None in found else found))
+            ids, shown = b"".join(packed), " ".join(filter(None, decoded))
+        got = Chunk(data, head, tail, ids, shown)
         cost = 2 * len(data) + 3 * len(got.ids or b"") + 400
         if self.held + cost > self.most:
             self.chunks.clear()
@@ -217,7 +215,16 @@ class Encoder:
             data = text.encode("utf-8")
             ends = cuts(data, self.table, self.mask)
             cut.append([data[a:b] for a, b in zip([0, *ends], ends)])
-        self.words.learn({w for parts in cut for c in parts if c not in self.chunks for w in whole_words(c)})
+        fresh, unknown = {}, set()
+        for parts in cut:
+            for c in parts:
+                if c not in self.chunks and c not in fresh:
+                    head, words, tail = parted(c)
+                    found = list(map(self.words.get, words or ()))
+                    if None in found:
+                        unknown.update([w for w, x in zip(words, found) if x is None])
+                    fresh[c] = head, words, tail, found
+        self.words.learn(unknown)
         plans, joins = [], []  # a text: parts, which are chunks, words or numbers of joins
         for datas in cut:
             parts, known, left, open_ = [], 0, None, []
@@ -231,7 +238,7 @@ class Encoder:
                     joins.append((b"".join(pieces), left, right))
 
             for data in datas:
-                chunk, old = self._chunk(data)
+                chunk, old = self._chunk(data, fresh)
                 known += old
                 open_.append(chunk.head)
                 if chunk.ids is not None:
