@@ -34,7 +34,6 @@ CHUNK_MASK = 0x1FF
 CACHE_BYTES = 48 << 20
 BATCH_CHARS = 1 << 20  # of documents whose joins are encoded together
 SPACES = b" \t\n\x0b\x0c\r"
-PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 # A punctuation mark after an ASCII letter is a pre-token of its own; the apostrophe is not, as it may begin a
 # contraction.
 CLOSING, LETTERS = b".,;:!?|", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -89,6 +88,7 @@ class Words(dict):
         super().__init__()
         self.tokenizer, self.parts, self.most = tokenizer, parts, most
         self.shown = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
+        self.packed = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
     def __missing__(self, word: bytes):
         """White-space-free word: what only differs in case or by closing punctuation is put together from what is
@@ -122,7 +122,7 @@ class Words(dict):
 
     def of(self, ids: list[int]) -> tuple[bytes, str]:
         n = len(ids)
-        packed = PACKED[n](*ids) if n < len(PACKED) else struct.pack(f"<{n}I", *ids)
+        packed = self.packed[n](*ids) if n < len(self.packed) else struct.pack(f"<{n}I", *ids)
         return packed, " ".join(map(self.shown.__getitem__, ids))
 
 
