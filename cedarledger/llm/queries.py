@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, line_dedup, lm, minhash, pii, quality, substring_dedup, token_counts
+from . import bpe, decontam, divergence, langid, line_dedup, lm, minhash, pii, quality, substring_dedup, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir))
+
+
 def queries():
     return {
         f.__name__: f for f in (
             op1_lm_score, op2_decontamination, op3_bpe, op4_token_counts, op5_line_dedup, op6_substring_dedup,
-            op7_minhash, op8_pii, op9_language_id, op10_quality
+            op7_minhash, op8_pii, op9_language_id, op10_quality, op11_divergence
         )
     }
 
@@ -100,6 +104,19 @@ reach AS (SELECT doc_id AS d, doc_id AS r FROM d UNION SELECT reach.d, links.y F
 least AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = d.doc_id AS kept FROM d JOIN least ON least.d = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+_DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source)::HUGEINT AS ng, sum(n) OVER (PARTITION BY lang)::HUGEINT AS nl, sum(n) OVER (PARTITION BY lang, term)::HUGEINT AS nt, count(*) OVER (PARTITION BY lang, source) AS v FROM c),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (ng + 5 * v) AS p, 1 + 1000000000::HUGEINT * (nt + 5) // (nl + 5 * v) AS q FROM s),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts QUALIFY part = 'pair' OR rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the whole result. The others are held against plain versions, round trips and held-out
@@ -107,5 +124,5 @@ def oracle_sql() -> dict[str, str]:
     """
     return {
         "op2_decontamination": _DECONTAMINATION, "op5_line_dedup": _LINES, "op6_substring_dedup": _SUBSTRINGS,
-        "op7_minhash": _NEAR
+        "op7_minhash": _NEAR, "op11_divergence": _DIVERGENCE
     }
