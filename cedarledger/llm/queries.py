@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontam, divergence, langid, line_dedup, lm, minhash, pii, quality, substring_dedup, token_counts
+from . import bpe, conversations, decontam, divergence, fingerprints, langid, line_dedup, lm, minhash, pii, quality, substring_dedup, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,16 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(_docs(spark, sf_dir))
+
+
 def queries():
     return {
         f.__name__: f for f in (
             op1_lm_score, op2_decontamination, op3_bpe, op4_token_counts, op5_line_dedup, op6_substring_dedup,
             op7_minhash, op8_pii, op9_language_id, op10_quality, op11_divergence,
-            op12_conversations
+            op12_conversations, op13_fingerprints
         )
     }
 
@@ -135,7 +139,9 @@ def _repair_sql() -> str:
     return rf"""WITH RECURSIVE raw AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS code FROM conversations),
 dam AS (SELECT cid, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN code = 0 THEN [] WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw),
 r AS (SELECT *, substr(role, 1, 1) AS c, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM dam),
-f AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS dup, NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut, lag(c) OVER (PARTITION BY cid ORDER BY i) || c AS two FROM r),
+f AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS dup, NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS cut, lag(c) OVER (PARTITION BY cid ORDER BY i) || c AS two FROM r),
 g AS (SELECT cid, i, c, blank OR dup AS go, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM f),
 v AS (SELECT DISTINCT cid, 0::BIGINT AS i, '000000000000' AS k0, NULL::VARCHAR AS k1, '000000000003I' AS k2, '000000000006II' AS k3 FROM raw
 UNION ALL SELECT cid, i, n0, n1, least(n2, {put("n0")}, {put("n1")}, {put("n3")}), least(n3, {put("n2")}, {put(f"({put('n0')})")}, {put(f"({put('n1')})")})
