@@ -122,7 +122,7 @@ def kept_terms(blocks_: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                     bucket, part = b, pa.ipc.open_stream(block.as_buffer()).read_all()  # noqa: F841
                     db.execute("INSERT INTO counts SELECT * FROM part")
             if bucket is not None:
-                for out in db.execute(_KEPT.format(min_docs=min_docs)).to_arrow_reader(50_000):
+                for out in db.sql(_KEPT.format(min_docs=min_docs)).to_arrow_reader(50_000):
                     yield out
 
     return by_bucket(blocks_).mapInArrow(run, "lang string, source string, term string, n long, first int")
@@ -162,7 +162,7 @@ def shard_parts(rows: DataFrame, top: int, smoothing: int, scale: int) -> DataFr
             for sql in (_GROUPS, _CELLS):
                 db.execute(sql.format(**values))
             for sql in (_PAIRS, _TERMS):
-                for out in db.execute(sql.format(**values)).to_arrow_reader(50_000):
+                for out in db.sql(sql.format(**values)).to_arrow_reader(50_000):
                     yield out
 
     return by_bucket(rows).mapInArrow(run, PARTS)
