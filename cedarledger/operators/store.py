@@ -1,14 +1,24 @@
-"""Keyed upserts, deduplication and partition-wise storage of parsed filings."""
+"""Keyed upserts, deduplication and versioned storage of parsed filings.
+
+A run gets a number that no other run has (next_seq). It writes its rows beside those that are there, under that number, and
+then puts its manifest, the list of its filings, in place by one rename (commit). current() reads of each filing the rows of the
+last run whose manifest is there: all tables of a run change together, also where a filing has no rows left, and a run
+that is killed changes nothing. Versions that were superseded, or left by killed runs, are deleted after the commit.
+"""
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+FILING = ["cik", "accession_number"]
+MANIFEST = "cik string, accession_number string, kind string, ingest_seq long"
+
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "ingest_seq") -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | list[str] = "ingest_seq") -> DataFrame:
     """Rows of both, of each key the one with the largest order; one shuffle on the key."""
     both = old.unionByName(new, allowMissingColumns=True)
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
+    last = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in ([order] if isinstance(order, str) else order)))
     return both.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
@@ -21,11 +31,77 @@ def dedupe_sources(documents: DataFrame, order: str = "seq") -> DataFrame:
     return first.unionByName(documents.filter(F.col("checksum").isNull()))
 
 
-def write_filings(df: DataFrame, path: str) -> None:
-    """Replace the partitions (cik, accession_number) that df has, and no others: ingesting a filing again gives the
-    same table.
-    """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cik", "accession_number").parquet(path)
+def next_seq(spark, tables: str) -> int:
+    """A run's number, larger than those before it: whoever creates the file of that name has it, once and for all."""
+    fs, folder = _path(spark, f"{tables}/runs")
+    fs.mkdirs(folder)
+    taken = [s.getPath().getName() for s in fs.listStatus(folder)]
+    seq = max((int(n) for n in taken if n.isdigit()), default=0)
+    while True:
+        seq += 1
+        p = _path(spark, f"{tables}/runs/{seq}")[1]
+        try:
+            fs.create(p, False).close()
+            return seq
+        except Py4JJavaError:
+            if not fs.exists(p):
+                raise
+
+
+def versions(spark, tables: str, name: str) -> DataFrame:
+    """All rows of a table, whatever run they are of; no rows, with the table's columns, where it holds none."""
+    schema = spark.read.parquet(f"{tables}/schemas/{name}").schema
+    return spark.read.schema(schema).parquet(f"{tables}/{name}")
+
+
+def manifest(spark, tables: str, kind: str) -> DataFrame:
+    """cik, accession_number, ingest_seq of all runs of a kind that were committed."""
+    return spark.read.schema(MANIFEST).parquet(f"{tables}/manifest").filter(F.col("kind") == kind).drop("kind")
+
+
+def current_rows(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of rows (cik, accession_number, ingest_seq and others) those of the last run that lists their filing."""
+    live = runs.groupBy(*FILING).agg(F.max("ingest_seq").alias("ingest_seq"))
+    return rows.join(live, [*FILING, "ingest_seq"], "left_semi").select(*rows.columns)
+
+
+def current(spark, tables: str, name: str, kind: str) -> DataFrame:
+    return current_rows(versions(spark, tables, name), manifest(spark, tables, kind))
+
+
+def write_versions(spark, tables: str, outputs: dict[str, DataFrame], seq: int) -> None:
+    """Rows of a run, which nobody reads before commit_run()."""
+    for name, df in outputs.items():
+        rows = df.withColumns({c: F.col(c).cast("string") for c in FILING} | {"ingest_seq": F.lit(seq).cast("long")})
+        rows.limit(0).write.mode("ignore").parquet(f"{tables}/schemas/{name}")
+        rows.write.mode("append").partitionBy(*FILING, "ingest_seq").parquet(f"{tables}/{name}")
+
+
+def commit_run(spark, tables: str, kind: str, names: list[str], every: str, seq: int) -> None:
+    """Put the run's manifest in place, then delete what it supersedes. every: the table that has a row for each filing."""
+    filings = versions(spark, tables, every).filter(F.col("ingest_seq") == seq).select(*FILING).distinct()
+    waiting, place = f"{tables}/manifest/_{kind}-{seq}", f"{tables}/manifest/kind={kind}"
+    filings.write.mode("overwrite").parquet(waiting)
+    fs, p = _path(spark, place)
+    fs.mkdirs(p)
+    if not fs.rename(_path(spark, waiting)[1], _path(spark, f"{place}/ingest_seq={seq}")[1]):
+        raise RuntimeError(f"run {seq} of {kind} can't be committed")
+    own = manifest(spark, tables, kind).filter(F.col("ingest_seq") == seq).drop("ingest_seq")
+    for name in names:
+        lies = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")
+        old = versions(spark, tables, name).filter(F.col("ingest_seq") < seq).select(*FILING, lies).distinct().join(
+            own, FILING, "left_semi"
+        )
+        for r in old.toLocalIterator():  # a folder a filing
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["folder"])), True)
+
+
+def commit(spark, tables: str, kind: str, outputs: dict[str, DataFrame], every: str) -> int:
+    """Replace, in all of outputs at once, the filings that the table every lists. Gives the run's number."""
+    seq = next_seq(spark, tables)
+    write_versions(spark, tables, outputs, seq)
+    commit_run(spark, tables, kind, list(outputs), every, seq)
+    return seq
 
 
 def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,18 +173,32 @@ def _exists(spark, path: str) -> bool:
     return fs.exists(p)
 
 
+def recover(spark, path: str) -> None:
+    """Put back what replace() had set aside, if it was killed between its two renames."""
+    fs, p = _path(spark, path)
+    aside = _path(spark, f"{path}.old")[1]
+    if not fs.exists(p) and fs.exists(aside):
+        fs.rename(aside, p)
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Write df in place of what is at path, which df may read: beside it first, then renamed."""
+    """Write df in place of what is at path, which df may read: beside it first, then the old is set aside and the new
+    renamed. recover() undoes half of that."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.next")
     fs, p = _path(spark, path)
-    fs.delete(p, True)
+    aside = _path(spark, f"{path}.old")[1]
+    if fs.exists(p):
+        fs.delete(aside, True)
+        fs.rename(p, aside)
     fs.rename(_path(spark, f"{path}.next")[1], p)
+    fs.delete(aside, True)
 
 
-def upsert_table(new: DataFrame, path: str, keys: list[str], order: str = "ingest_seq") -> None:
+def upsert_table(new: DataFrame, path: str, keys: list[str], order: str | list[str] = "ingest_seq") -> None:
     """Upsert rows into the table at path, which need not be there yet."""
     spark = new.sparkSession
+    recover(spark, path)
     replace(
         upsert(
             spark.read.parquet(path), new, keys, order

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import analytics as A
+from ..operators import analytics as A, store
 from ..sources import certificates
-from .ingest import DealNotFound, both_periods, exists, latest_pair
+from .ingest import KIND, DealNotFound, both_periods, exists, latest_pair
 
 
 class Surveillance:
@@ -20,7 +20,7 @@ class Surveillance:
         self.spark, self.tables = spark, tables
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.tables}/{name}")
+        df = store.current(self.spark, self.tables, name, KIND[name]).drop("ingest_seq")
         return df.withColumn("cik", F.lpad(F.col("cik").cast("string"), 10, "0")).withColumn(
             "accession_number", F.col("accession_number").cast("string")
         )

@@ -354,6 +354,26 @@ def orphan_check(spark, sf_dir):
     return store.orphans(child, parent, ["k"])
 
 
+def refiled_lines(spark, sf_dir):
+    """Orders as filings of their customers, ingested twice: those of urgent priority are filed again without the lines that
+    were sent back, which leaves some of them no line. The lines that are current, by customer.
+    """
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("accession_number"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("again")
+    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("accession_number"), "l_linenumber", (F.col("l_returnflag") == "R").alias("sent_back")
+    ).join(o, "accession_number")
+    run = lambda df, seq: df.withColumn("ingest_seq", F.lit(seq))
+    rows = run(lines, 1).unionByName(run(lines.filter("again AND NOT sent_back"), 2))
+    runs = run(o.drop("again"), 1).unionByName(run(o.filter("again").drop("again"), 2))
+    return store.current_rows(rows, runs).groupBy(F.col("cik").alias("c_custkey")).agg(
+        F.count("*").alias("n_lines"), F.sum("l_linenumber").cast("long").alias("line_numbers"),
+        F.count_distinct("accession_number").alias("n_filings")
+    )
+
+
 def row_counts(spark, sf_dir):
     return store.row_counts(
         {
@@ -542,6 +562,7 @@ SELECT cast(o_orderkey AS varchar) AS question_id, true AS tool_routing_correct,
                 "region", "nation", "customer", "orders", "lineitem", "documents", "pages"
             )
         ),
+        "refiled_lines": "SELECT o_custkey AS c_custkey, count(*) AS n_lines, cast(sum(l_linenumber) AS bigint) AS line_numbers, count(DISTINCT o_orderkey) AS n_filings FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE NOT (o_orderpriority = '1-URGENT' AND l_returnflag = 'R') GROUP BY o_custkey",
         "health": "SELECT 1 AS ok",
         "filing_list": f"""WITH f AS (SELECT lpad(cast(o_custkey AS varchar), 10, '0') AS cik, cast(o_orderkey AS varchar) AS accession_number, o_orderstatus AS form_type, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, o_orderkey AS k FROM orders WHERE o_orderstatus IN ('F', 'O')),
 s AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date, k) AS seq, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, k DESC) AS r FROM f) SELECT cik, accession_number, form_type, filing_date, filing_date AS report_date, cast(seq AS int) AS seq FROM s WHERE r <= 2""",
@@ -555,7 +576,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date, k) AS
 _QUERIES = (
     deal_summary, paydown_kpi, period_compare, status_changes, balance_drift, top_movers, loan_history, property_profile, noi_change, noi_change_summary, property_types, geography, latest_two_periods, gate_metrics,
     chunk_documents, vector_topk, repetition_flags, number_grounding, loan_reference_check, injection_scrub, route_questions, citation_dedupe, url_allowlist, money_rendering, identifier_forms, fact_forms,
-    property_name_match, evaluate_answers, upsert_latest, source_dedupe, content_paths, orphan_check, row_counts, health, filing_list, document_names, sectionize_pages, xml_loans, certificate_grid, reconciliation_check,
+    property_name_match, evaluate_answers, upsert_latest, refiled_lines, source_dedupe, content_paths, orphan_check, row_counts, health, filing_list, document_names, sectionize_pages, xml_loans, certificate_grid, reconciliation_check,
 )
 
 

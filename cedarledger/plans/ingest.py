@@ -1,4 +1,5 @@
-"""From a landing folder to partitioned tables: every filing is one partition, written whole, so doing it again changes nothing.
+"""From a landing folder to tables of filings: a run replaces each of its filings in all tables at once, so doing it again changes
+nothing, and a re-filing with fewer loans, none, or without issues leaves nothing behind.
 
 A filing that can't be read gives an outcome, not an error; unreadable values give issues.
 """
@@ -17,7 +18,12 @@ from ..sources import asset_xml, certificates, filings as filing_lists, html
 REPORT_FORM, REPORT_EXHIBIT, NARRATIVE_FORMS, NEWEST = "10-D", "EX-99.1", ("10-D", "8-K"), 8
 HTML_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 CREATED, SKIPPED, FAILED = "created", "skipped", "failed"
-OUTCOMES = "kind string, report_date date, status string, reason string, n long, cik string, accession_number string"
+#: tables that change together, by the kind of filing that they are read from
+TABLES = {
+    "assets": ("loans", "issues", "reporting_periods", "outcomes_assets"),
+    "reports": ("certificates", "reconciliations", "outcomes_reports"), "narrative": ("chunks", "outcomes_narrative")
+}
+KIND = {name: kind for kind, names in TABLES.items() for name in names}
 
 
 def read_documents(spark: SparkSession, path: str, source_name: str = "landing") -> DataFrame:
@@ -169,35 +175,45 @@ def filing_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _outcome_rows(done: DataFrame, kind: str, n: str) -> DataFrame:
+    extra = {c: F.lit(None).cast(t) for c, t in (("report_date", "date"), ("reason", "string")) if c not in done.columns}
+    return done.withColumns(extra).select(
+        "cik", "accession_number", F.lit(kind).alias("kind"), "report_date", "status", "reason", F.col(n).cast("long").alias("n")
+    )
+
+
+def take_assets(documents: DataFrame, tables: str) -> int:
+    """Replace the filings of documents in loans, issues, reporting_periods and outcomes_assets; gives the run's number."""
+    parsed = asset_xml.parsed(documents).persist(StorageLevel.DISK_ONLY)  # parsed once; a lost part is parsed again
+    try:
+        return store.commit(
+            documents.sparkSession, tables, "assets",
+            {
+                "loans": asset_xml.loans(parsed), "issues": asset_xml.issues(parsed),
+                "reporting_periods": reporting_periods(parsed),
+                "outcomes_assets": _outcome_rows(asset_outcomes(documents, parsed), "assets", "loan_count")
+            },
+            "outcomes_assets"
+        )
+    finally:
+        parsed.unpersist()
+
+
 def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
     """Ingest landing/assets, landing/submissions (filing lists), and landing/reports and landing/narrative where they exist; outcomes per asset filing.
 
-    Every filing's outcome is kept in the table outcomes; deals, filings and reporting_periods are upserted. Without filing
-    lists every report and page that is there counts as a filing of its deal, in the order of accession numbers.
+    Every filing's outcome is kept with its rows, and both change together; deals and filings are upserted by the run's number.
+    Without filing lists every report and page that is there counts as a filing of its deal, in the order of accession numbers.
     """
     documents = read_documents(spark, f"{landing}/assets")
-    parsed = asset_xml.parsed(documents).persist(StorageLevel.DISK_ONLY)  # parsed once; a lost part is parsed again
-    outcome = asset_outcomes(documents, parsed)
-    store.write_filings(asset_xml.loans(parsed), f"{tables}/loans")
-    store.write_filings(asset_xml.issues(parsed), f"{tables}/issues")
-    store.upsert_table(
-        reporting_periods(parsed).withColumn("ingest_seq", F.lit(0)), f"{tables}/reporting_periods",
-        ["accession_number"]
-    )
-    store.write_filings(
-        outcome.select(
-            "cik", "accession_number", F.lit("assets").alias("kind"), F.lit(None).cast("date").alias("report_date"),
-            "status", F.lit(None).cast("string").alias("reason"), F.col("loan_count").cast("long").alias("n")
-        ),
-        f"{tables}/outcomes_assets"
-    )
-    parsed.unpersist()
+    seq = take_assets(documents, tables)
     listed = None
     if exists(spark, f"{landing}/submissions"):
         listed = filing_lists.submissions(spark, f"{landing}/submissions")
-        store.upsert_table(deals(listed), f"{tables}/deals", ["cik"])
+        store.upsert_table(deals(listed).withColumn("ingest_seq", F.lit(seq)), f"{tables}/deals", ["cik"])
         store.upsert_table(
-            listed.drop("deal_name").withColumn("ingest_seq", F.col("seq")), f"{tables}/filings", ["accession_number"]
+            listed.drop("deal_name").withColumn("ingest_seq", F.lit(seq)), f"{tables}/filings", ["accession_number"],
+            ["ingest_seq", "seq"]
         )
     for kind in ("reports", "narrative"):
         if not exists(spark, f"{landing}/{kind}"):
@@ -208,25 +224,17 @@ def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
         )
         if kind == "reports":
             dist, rec, done = report_filings(filings, pages)
-            written = (("certificates", dist), ("reconciliations", rec))
+            written = {"certificates": dist, "reconciliations": rec}
         else:
             chunks, done = narrative_filings(filings, pages)
-            written = (("chunks", chunks),)
-        for name, out in written:
-            store.write_filings(
-                out.join(filings.select("cik", "accession_number").distinct(), "accession_number"), f"{tables}/{name}"
-            )
+            written = {"chunks": chunks}
+        of = filings.select("cik", "accession_number").distinct()
+        outputs = {name: out.join(of, "accession_number") for name, out in written.items()}
         n = "class_count" if kind == "reports" else "chunk_count"
-        store.write_filings(
-            done.select(
-                "cik", "accession_number", F.lit(kind).alias("kind"), "report_date", "status", "reason",
-                F.col(n).cast("long").alias("n")
-            ),
-            f"{tables}/outcomes_{kind}"
+        store.commit(
+            spark, tables, kind, outputs | {f"outcomes_{kind}": _outcome_rows(done, kind, n)}, f"outcomes_{kind}"
         )
-    return spark.read.schema(OUTCOMES).parquet(f"{tables}/outcomes_assets").join(
-        documents.select("cik", "accession_number").distinct(), ["cik", "accession_number"], "left_semi"
-    )
+    return store.current(spark, tables, "outcomes_assets", "assets").filter(F.col("ingest_seq") == seq)
 
 
 def _as_filings(pages: DataFrame, form: str) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Filings as a stream: documents that land in a folder go through the batch plan, one partition overwrite per filing.
+"""Filings as a stream: documents that land in a folder go through the batch plan, each batch a run that is committed as one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import store
 from ..plans import ingest
 from ..schemas import SOURCE
 
@@ -27,12 +26,14 @@ def stream_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, landing: str, tables: str, checkpoint: str) -> None:
-    """Take in what has landed since the last call. A batch that runs twice writes the same partitions."""
+    """Take in what has landed since the last call: loans, issues, reporting periods and outcomes of each filing change together.
+
+    A batch that runs twice is a run of its own each time, with the same rows. A re-filing is a new file in its filing's folder.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        loans, issues, _outcome = ingest.asset_filings(batch)
-        store.write_filings(loans, f"{tables}/loans")
-        store.write_filings(issues, f"{tables}/issues")
+        if not batch.isEmpty():
+            ingest.take_assets(batch, tables)
 
     query = stream_documents(spark, landing).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
