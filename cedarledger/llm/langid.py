@@ -34,7 +34,11 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; numerals such as fractions or digits in circles, which the pattern takes too, part them."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 class Hashed(dict):
