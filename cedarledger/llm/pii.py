@@ -40,11 +40,11 @@ _DIGIT = re.compile(r"[0-9]")
 
 # Looser candidates: addresses written out, numbers in groups, values that are named as secret, opaque strings.
 _WRITTEN = re.compile(
-    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+[ ]?(?:\(at\)|\[at\])[ ]?[A-Za-z0-9-]{1,63}+(?:(?:\.|[ ]?(?:\(dot\)|\[dot\])[ ]?)[A-Za-z0-9-]{1,63}+){0,8}"
-)
+    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+[ ]?(?:\(at\)|\[at\])[ ]?[A-Za-z0-9-]{1,63}+(?:(?:\.|[ ]?(?:\(dot\)|\[dot\])[ ]?)[A-Za-z0-9-]{1,63}+)*"
+)  # 64 and 63: as long as the mail standards let a mailbox and a label be
 _NUMBER = re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9][0-9() .-]{6,24}[0-9](?![0-9A-Za-z])")
-_NAMED = re.compile(r"(?<![A-Za-z_-])([A-Za-z_-]{3,40}+)[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z0-9_+/=.-]{8,256}+)")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]{24,256}+(?![A-Za-z0-9_+/=.-])")
+_NAMED = re.compile(r"(?<![A-Za-z_-])([A-Za-z_-]{3,40}+)[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z0-9_+/=.-]{8,}+)")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]{24,}+(?![A-Za-z0-9_+/=.-])")
 _NORTH_AMERICA = re.compile(r"\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}$")
 _GROUPS = re.compile(r"[0-9]{13,19}$|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}$")
 _BEFORE = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -64,6 +64,10 @@ _SECRET_NAMES = frozenset(
 _SECRET_PREFIXES = (
     "AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "eyJ"
 )
+# tokens that their prefix gives away, in parts joined by dots
+_PREFIXED = re.compile(
+    r"(?<![A-Za-z0-9_+/=.-])(?:" + "|".join(map(re.escape, _SECRET_PREFIXES)) + r")[A-Za-z0-9_+/=-]++(?:\.[A-Za-z0-9_+/=-]++)*+"
+)
 _NEAR = {
     "email": frozenset(
         "mail email e-mail contact write reach address".split()
@@ -139,6 +143,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
         found += [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(_digits(m.group())) <= 19]
         found += [("phone", *m.span()) for m in _NUMBER.finditer(text)]
         found += [("secret", *m.span()) for m in _OPAQUE.finditer(text) if not m.group().isdigit()]
+    found += [("secret", *m.span()) for m in _PREFIXED.finditer(text) if m.end() - m.start() >= 20]
     if ":" in text or "=" in text:
         found += [("secret", *m.span(2)) for m in _NAMED.finditer(text) if _secret_name(m.group(1))]
     if not found:
@@ -202,7 +207,7 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
         form = s.count("(") == s.count(")") and not re.search(r"[. -]{2}|\d{11}|[.][0-9]{1,2}$", s)
     else:
         named = any(m.start(2) == a and _secret_name(m.group(1)) for m in _NAMED.finditer(text, max(0, a - 48), b))
-        pattern = len(s) >= 20 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+|[A-Za-z0-9_+/=-]+", s) is not None
+        pattern = len(s) >= 20 and re.fullmatch(r"[A-Za-z0-9_+/=-]+(?:\.[A-Za-z0-9_+/=-]+)*", s) is not None
         gazetteer = named or s.startswith(_SECRET_PREFIXES)
         form = len(set(s)) >= 10 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
     return int(pattern), int(gazetteer), context, int(form)
