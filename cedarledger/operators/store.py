@@ -173,6 +173,11 @@ def _exists(spark, path: str) -> bool:
     return fs.exists(p)
 
 
+def removed(spark, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def recover(spark, path: str) -> None:
     """Put back what replace() had set aside, if it was killed between its two renames."""
     fs, p = _path(spark, path)

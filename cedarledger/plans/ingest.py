@@ -72,12 +72,15 @@ def _first_reason(*reasons) -> Column:
     return F.coalesce(*(F.when(bad, F.lit(reason)) for bad, reason in reasons))
 
 
-def report_filings(filings: DataFrame, documents: DataFrame, n: int = NEWEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def report_filings(
+    filings: DataFrame, documents: DataFrame, n: int = NEWEST, stored: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distributions and reconciliations of the n newest monthly reports of each deal, and an outcome per filing.
 
     filings: as filings.filings gives them. documents: accession_number, seq, document_type, filename, content_type, value.
     A filing without the exhibit is skipped. One whose page has another content type, no table that is known, or balances that
-    don't reconcile has failed and gives no rows; the others are not touched by it.
+    don't reconcile has failed and gives no rows; the others are not touched by it. The outcome's plan parses each page once; with
+    stored, a folder, the parsed rows are written there first and all three results read them.
     """
     recent = filing_lists.newest(
         filings.filter(F.col("form_type") == REPORT_FORM), n
@@ -89,15 +92,15 @@ def report_filings(filings: DataFrame, documents: DataFrame, n: int = NEWEST) ->
         "typed", content_type_ok(F.col("content_type"), HTML_TYPES)
     )
     grid = html.html_rows(met.filter("filename IS NOT NULL AND typed"), "accession_number", "value")
+    if stored:
+        grid.write.mode("overwrite").parquet(stored)
+        grid = grid.sparkSession.read.parquet(stored)
     dist, rec = certificates.distributions(grid), certificates.reconciliations(grid)
-    classes = dist.groupBy("accession_number").agg(F.count("*").alias("class_count"))
-    judged = met.drop("value").join(classes, "accession_number", "left").join(
-        rec.select("accession_number", F.lit(True).alias("has_balances"), "reconciles"), "accession_number", "left"
-    )
+    judged = met.drop("value").join(certificates.findings(grid), "accession_number", "left")
     missing = F.col("filename").isNull()
     reason = _first_reason(
         (missing, f"no {REPORT_EXHIBIT} exhibit"), (~F.col("typed"), "not a page by its content type"), (
-            F.col("class_count").isNull() & F.col("has_balances").isNull(), "no known table"
+            F.col("class_count").isNull(), "no known table"
         ),
         (~F.col("reconciles"), "balances don't reconcile"),
     )
@@ -223,7 +226,8 @@ def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
             pages, REPORT_FORM if kind == "reports" else NARRATIVE_FORMS[0]
         )
         if kind == "reports":
-            dist, rec, done = report_filings(filings, pages)
+            parsed = f"{tables}/parsing/{seq}"
+            dist, rec, done = report_filings(filings, pages, stored=parsed)
             written = {"certificates": dist, "reconciliations": rec}
         else:
             chunks, done = narrative_filings(filings, pages)
@@ -234,6 +238,8 @@ def run(spark: SparkSession, landing: str, tables: str) -> DataFrame:
         store.commit(
             spark, tables, kind, outputs | {f"outcomes_{kind}": _outcome_rows(done, kind, n)}, f"outcomes_{kind}"
         )
+        if kind == "reports":
+            store.removed(spark, parsed)
     return store.current(spark, tables, "outcomes_assets", "assets").filter(F.col("ingest_seq") == seq)
 
 

@@ -31,111 +31,106 @@ LABELS = {
 CUSIP = "^[A-Z0-9]{9}$"
 
 
-def _has(text: str) -> Column:
-    return F.contains(F.col("table_text"), F.lit(text))
-
-
-def _chosen(grid: DataFrame, key: str, title: str, required: str, after_title: str | None = None) -> DataFrame:
-    """key and table_idx of the first table that has title and required; with after_title, else or first (see callers)
-    the first with required after one with that title.
+def _marked(grid: DataFrame, key: str) -> DataFrame:
+    """Rows of the tables that a report is read from: of the first layout those with an identifier, of the second, which counts
+    only in reports without any of those, the summary's rows; and the rows of the balances. One shuffle by report; the
+    text of a table stays before it.
     """
-    each = grid.select(key, "table_idx", "table_text").distinct()
-    inside = each.filter(_has(title) & _has(required)).groupBy(key).agg(F.min("table_idx").alias("inside"))
-    if after_title is None:
-        return inside.select(key, F.col("inside").alias("table_idx"))
-    titled = each.filter(_has(title)).groupBy(key).agg(F.min("table_idx").alias("titled"))
-    later = each.filter(_has(required)).join(titled, key).filter(F.col("table_idx") > F.col("titled")).groupBy(key).agg(F.min("table_idx").alias("later"))
-    order = ("later", "inside") if after_title == "first" else ("inside", "later")
-    return inside.join(later, key, "full").select(
-        key, F.coalesce(*order).alias("table_idx")
-    ).filter(F.col("table_idx").isNotNull())
-
-
-def _typed(rows: DataFrame, key: str, columns: dict[str, int]) -> DataFrame:
+    has = lambda text: F.contains(F.col("table_text"), F.lit(text))
     cell = lambda i: F.get("cells", F.lit(i))
-    names = list(DETAIL_COLUMNS)
+    report = Window.partitionBy(key)
+    least = lambda flag: F.min(F.when(flag, F.col("table_idx"))).over(report)
+    rows = grid.filter(F.col(key).isNotNull()).select(
+        key, "table_idx", "row_idx", "cells", (has(DETAIL) & has("CUSIP")).alias("detail"), has(SUMMARY).alias("summary"),
+        has("Pass-Through").alias("rates"), has(FACTORS).alias("factors"), has("CUSIP").alias("ids"),
+        (has(BALANCES) & has(LABELS["beginning_scheduled_collateral_balance"])).alias("balances")
+    )
+    n = F.size("cells")
+    is_detail = (F.col("table_idx") == F.col("detail_at")) & (n >= 13) & cell(1).rlike(CUSIP)
+    # a title may stand in a table of its own, before the one that it is for
+    rows = rows.withColumns({
+        "detail_at": least(F.col("detail")), "balances_at": least(F.col("balances")),
+        "summary_at": least(F.col("summary")), "factors_at": least(F.col("factors")),
+        "summary_inside": least(F.col("summary") & F.col("rates")), "factors_inside": least(F.col("factors") & F.col("ids"))
+    }).withColumns({
+        "first_layout": F.coalesce(F.bool_or(is_detail).over(report), F.lit(False)),
+        "summary_later": least(F.col("rates") & (F.col("table_idx") > F.col("summary_at"))),
+        "factors_later": least(F.col("ids") & (F.col("table_idx") > F.col("factors_at")))
+    })
+    of = lambda *at: F.coalesce(F.col("table_idx") == F.coalesce(*at), F.lit(False))
+    alone, joined = clean_cusip(cell(1)), clean_cusip(F.concat(cell(1), F.coalesce(cell(2), F.lit(""))))
+    found = F.when(alone.rlike(CUSIP), alone).when((n >= 3) & joined.rlike(CUSIP), joined)
+    rows = rows.withColumns({
+        "is_detail": F.coalesce(is_detail, F.lit(False)), "is_summary": of("summary_later", "summary_inside") & (n >= 14),
+        "is_balance": of("balances_at"), "named": F.trim(cell(0)),
+        "factor_id": F.when(of("factors_inside", "factors_later") & (n >= 2), found)
+    })
+    by_class = F.max_by("factor_id", F.when(F.col("factor_id").isNotNull(), F.col("row_idx"))).over(Window.partitionBy(key, "named"))
+    rows = rows.withColumn("class_id", by_class)
+    first = F.col("first_layout")
+    return rows.select(
+        key, "row_idx", "cells", "first_layout", "is_balance",
+        F.when(first, clean_class(cell(0))).otherwise(F.col("named")).alias("class_name"),
+        F.when(first, cell(1)).otherwise(F.col("class_id")).alias("cusip"),
+        F.when(first, F.col("is_detail")).otherwise(F.col("is_summary") & F.col("class_id").isNotNull()).alias("is_class")
+    ).filter("is_class OR is_balance")
+
+
+def _issues(columns: dict[str, Column]) -> Column:
+    each = (F.when(report_issue(raw), F.struct(F.lit(c).alias("field_name"), raw.alias("raw_value"))) for c, raw in columns.items())
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
+def distributions(grid: DataFrame, key: str = "accession_number") -> DataFrame:
+    """One row per certificate class; the second layout is read only where the first gives nothing."""
+    cell = lambda i: F.get("cells", F.lit(i)) if i is not None else F.lit(None).cast("string")
+    first = F.col("first_layout")
     values = [
-        report_decimal(cell(columns[c]), c in PERCENT).alias(c) if c in columns else F.lit(None).cast("decimal(20,8)").alias(c) for c in names
+        report_decimal(
+            F.when(first, cell(i)).otherwise(cell(SUMMARY_COLUMNS.get(c))), c in PERCENT
+        ).alias(c) for c, i in DETAIL_COLUMNS.items()
     ]
-    bad = F.filter(
-        F.array(
-            *(
-                F.when(
-                    report_issue(cell(i)), F.struct(F.lit(c).alias("field_name"), cell(i).alias("raw_value"))
-                ) for c, i in columns.items()
-            )
-        ),
-        lambda x: x.isNotNull()
+    bad = F.when(first, _issues({c: cell(i) for c, i in DETAIL_COLUMNS.items()})).otherwise(
+        _issues({c: cell(i) for c, i in SUMMARY_COLUMNS.items()})
     )
-    return rows.select(
+    return _marked(grid, key).filter("is_class").select(
         key, "row_idx", "class_name", "cusip", *values,
         F.concat(F.lit("certificate_distribution[class="), "class_name", F.lit("]")).alias("field_path"),
         bad.alias("issues")
     )
 
 
-def distributions(grid: DataFrame, key: str = "accession_number") -> DataFrame:
-    """One row per certificate class; the second layout is read only where the first gives nothing."""
-    cell = lambda i: F.get("cells", F.lit(i))
-    detail = grid.join(
-        _chosen(grid, key, DETAIL, "CUSIP"), [key, "table_idx"]
-    ).filter((F.size("cells") >= 13) & cell(1).rlike(CUSIP))
-    one = _typed(
-        detail.withColumn("class_name", clean_class(cell(0))).withColumn("cusip", cell(1)), key, DETAIL_COLUMNS
-    )
-    rest = grid.join(one.select(key).distinct(), key, "left_anti")
-    summary = rest.join(
-        _chosen(rest, key, SUMMARY, "Pass-Through", "first"), [key, "table_idx"]
-    ).filter(F.size("cells") >= 14).withColumn("class_name", F.trim(cell(0)))
-    factors = rest.join(_chosen(rest, key, FACTORS, "CUSIP", "last"), [key, "table_idx"]).filter(F.size("cells") >= 2)
-    alone, joined = clean_cusip(cell(1)), clean_cusip(F.concat(cell(1), F.coalesce(cell(2), F.lit(""))))
-    factors = factors.select(
-        key, "row_idx", F.trim(cell(0)).alias("class_name"),
-        F.when(alone.rlike(CUSIP), alone).when((F.size("cells") >= 3) & joined.rlike(CUSIP), joined).alias("cusip")
-    ).filter(F.col("cusip").isNotNull())
-    factors = factors.groupBy(key, "class_name").agg(F.max_by("cusip", "row_idx").alias("cusip"))
-    return one.unionByName(_typed(summary.join(factors, [key, "class_name"]), key, SUMMARY_COLUMNS))
+def _balances() -> dict[str, Column]:
+    """Aggregates of the raw value beside each label, in either half of a row; the last in the table wins."""
+    cell, n = (lambda i: F.get("cells", F.lit(i))), F.size("cells")
+    out = {}
+    for c, label in LABELS.items():
+        right, left = (n >= 5) & (cell(3) == label), (n >= 2) & (cell(0) == label)
+        place = F.when(F.col("is_balance") & (right | left), F.struct("row_idx", F.when(right, cell(4)).otherwise(cell(1)).alias("raw")))
+        out[c] = F.max(place)["raw"]
+    return out
 
 
 def reconciliations(grid: DataFrame, key: str = "accession_number") -> DataFrame:
     """One row per report that has the table: its balances, and whether certificate less scheduled collateral balance is
     the reported difference (null if any is unknown).
     """
-    rows = grid.join(_chosen(grid, key, BALANCES, "Beginning Scheduled Collateral Balance"), [key, "table_idx"])
-    cell = lambda i: F.get("cells", F.lit(i))
-    pairs = F.filter(F.array(
-        F.when(
-            (F.size("cells") >= 2) & (cell(0) != ""),
-            F.struct(F.lit(0).alias("side"), cell(0).alias("label"), cell(1).alias("raw"))
-        ),
-        F.when(
-            (F.size("cells") >= 5) & (cell(3) != ""),
-            F.struct(F.lit(1).alias("side"), cell(3).alias("label"), cell(4).alias("raw"))
-        ),
-    ), lambda p: p.isNotNull())
-    each = rows.select(key, "row_idx", F.explode_outer(pairs).alias("p"))
-    place = F.struct("row_idx", F.col("p")["side"].alias("side"))
-    raw = each.groupBy(key).agg(
-        *(
-            F.max(
-                F.when(F.col("p")["label"] == label, F.struct(place.alias("o"), F.col("p")["raw"].alias("raw")))
-            )["raw"].alias(c) for c, label in LABELS.items()
-        )
-    )
-    bad = F.filter(
-        F.array(
-            *(
-                F.when(
-                    report_issue(F.col(c)), F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw_value"))
-                ) for c in LABELS
-            )
-        ),
-        lambda x: x.isNotNull()
+    raw = _marked(grid, key).filter("is_balance").groupBy(key).agg(*(v.alias(c) for c, v in _balances().items()))
+    out = raw.select(
+        key, *(report_decimal(F.col(c)).alias(c) for c in LABELS), _issues({c: F.col(c) for c in LABELS}).alias("issues")
     )
-    out = raw.select(key, *(report_decimal(F.col(c)).alias(c) for c in LABELS), bad.alias("issues"))
     return out.withColumn("reconciles", reconciles()).withColumn("field_path", F.lit("bond_collateral_reconciliation"))
 
 
+def findings(grid: DataFrame, key: str = "accession_number") -> DataFrame:
+    """One row per report with a table that is known: class_count, has_balances, reconciles."""
+    raw = _marked(grid, key).groupBy(key).agg(
+        F.count_if("is_class").alias("class_count"), F.bool_or("is_balance").alias("has_balances"),
+        *(report_decimal(v).alias(c) for c, v in _balances().items())
+    )
+    return raw.select(key, "class_count", "has_balances", reconciles().alias("reconciles"))
+
+
 def reconciles() -> Column:
     return F.col("ending_certificate_balance") - F.col("ending_scheduled_collateral_balance") == F.col("under_over_collateralization")
 

@@ -1,6 +1,7 @@
 """Parsers on documents written out here."""
 
 import datetime as dt
+import os
 from decimal import Decimal as D
 
 import pytest
@@ -338,3 +339,27 @@ def test_monthly_reports_and_narrative(spark):
     )
     d, r = ingest.monthly_reports(docs)
     assert d.count() == 1 and r.count() == 1 and ingest.narrative(docs.filter("accession_number = 'n'")).first()["section_heading"] == "T"
+
+
+def test_pages_are_parsed_once(spark):
+    from cedarledger.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("tables are not here")
+    for name in ("certificate_grid", "certificate_summary", "reconciliation_check", "report_outcomes"):
+        plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
+
+
+def test_findings_are_those_of_both_tables(spark):
+    g = grid(
+        spark, REPORT.format("54,899,998.25"), SUMMARY, REPORT.format("54,899,998.26"), "<p>nothing</p>", "", REPORT.format("N/A")
+    )
+    d = {r[0]: r["count"] for r in certificates.distributions(g).groupBy("accession_number").count().collect()}
+    b = {r["accession_number"]: r["reconciles"] for r in certificates.reconciliations(g).collect()}
+    found = {r["accession_number"]: r for r in certificates.findings(g).collect()}
+    assert {k: r["class_count"] for k, r in found.items() if r["class_count"]} == d
+    assert {k: r["reconciles"] for k, r in found.items() if r["has_balances"]} == b and set(found) == set(d) | set(b)
+    empty = certificates.findings(g.limit(0))
+    assert empty.count() == 0 and certificates.distributions(g.limit(0)).count() == 0
