@@ -29,16 +29,20 @@ def chunk(
     ).withColumn("words", F.split("text", " "))
     n = F.size("words")
     last = F.when(n > target, F.ceil((n - target) / step).cast("int") * step).otherwise(F.lit(0))
-    each = s.select(
-        key, "pos", "heading", "base", "words", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("at")
+    words = lambda at, size: F.array_join(F.slice("words", at + 1, F.lit(size)), " ")
+    pieces = F.transform(
+        F.sequence(F.lit(0), last, F.lit(step)),
+        lambda at: F.struct(
+            at.alias("at"), words(at, target).alias("text"), (F.length(words(at, step)) + 1).alias("step_length"),
+            F.least(F.lit(target), F.size("words") - at).alias("token_count")
+        )
     )
-    lead = F.when(F.col("at") == 0, F.lit(0)).otherwise(
-        F.length(F.array_join(F.slice("words", F.lit(1), F.col("at")), " ")) + 1
+    each = s.select(key, "pos", "heading", "base", F.explode(pieces).alias("c")).select(key, "pos", "heading", "base", "c.*")
+    # base tells sections apart; the shuffle by key serves both sums
+    lead = F.sum("step_length").over(
+        Window.partitionBy(key, "pos", "base").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     )
-    each = each.withColumn("start_offset", F.col("base") + lead).withColumn(
-        "token_count", F.least(F.lit(target), F.size("words") - F.col("at"))
-    )
-    each = each.withColumn("text", F.array_join(F.slice("words", F.col("at") + 1, F.col("token_count")), " "))
+    each = each.withColumn("start_offset", (F.col("base") + F.coalesce(lead, F.lit(0))).cast("long"))
     each = each.withColumn("end_offset", F.col("start_offset") + F.length("text"))
     return each.select(
         chunk_id(F.col(key).cast("string"), F.col("start_offset"), F.col("end_offset")).alias("chunk_id"), key,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import analytics as A, citations, evaluation, planner, retrieval, store, verify
+from ..operators import analytics as A, citations, evaluation, matching, planner, retrieval, store, verify
 from ..sources import asset_xml, certificates, filings, html
 from . import filing_catalog, proxy
 from .proxy import AFTER, BEFORE, table
@@ -295,20 +295,30 @@ def fact_forms(spark, sf_dir):
 
 
 def property_name_match(spark, sf_dir):
-    """Brands named in a question, the first in order: containment against the few distinct brands, which go along as
-    one array.
-    """
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct().agg(
-        F.array_sort(F.collect_set("p_brand")).alias("brands")
+    """Of the brands that a question names the first in order."""
+    part = table(spark, sf_dir, "part")
+    q = part.select(
+        "p_partkey", F.concat(F.lit("tell me about "), F.col("p_brand"), F.lit(" and its occupancy")).alias("q")
+    )
+    return matching.first_contained(q, part, "p_partkey", "q", "p_brand").select(
+        "p_partkey", F.col("p_brand").alias("property_name")
     )
-    q = table(spark, sf_dir, "part").select(
-        "p_partkey",
-        F.lower(F.concat(F.lit("tell me about "), F.col("p_brand"), F.lit(" and its occupancy"))).alias("q")
+
+
+def supplier_mentions(spark, sf_dir):
+    """Which customers' and suppliers' numbers, written as names, occur in the texts about orders: as many names as the
+    tables have rows, against every order.
+    """
+    name = lambda word, c: F.concat(F.lit(word), F.lpad(F.col(c).cast("string"), 9, "0"))
+    names = table(spark, sf_dir, "customer").select(name("Customer#", "c_custkey").alias("name")).unionByName(
+        table(spark, sf_dir, "supplier").select(name("Supplier#", "s_suppkey").alias("name"))
     )
-    return q.join(F.broadcast(brands)).select(
-        "p_partkey",
-        F.get(F.filter("brands", lambda b: F.contains(F.col("q"), F.lower(b))), F.lit(0)).alias("property_name")
+    o = table(spark, sf_dir, "orders")
+    text = F.concat(
+        F.lit("order of "), F.lower(name("Customer#", "o_custkey")), F.lit(", compare "),
+        name("SUPPLIER#", "o_orderkey"), F.lit(" and x"), name("Customer#", "o_orderkey")
     )
+    return matching.contained(o.select("o_orderkey", text.alias("t")), names, "o_orderkey", "t")
 
 
 def evaluate_answers(spark, sf_dir):
@@ -553,6 +563,9 @@ SELECT cast(o_orderkey AS varchar) AS question_id, true AS tool_routing_correct,
         "identifier_forms": "WITH k AS (SELECT c_custkey, lpad(cast(c_custkey AS varchar), 10, '0') AS cik, regexp_replace(lpad(cast(c_custkey AS varchar), 18, '0'), '^(\\d{10})(\\d{2})(\\d{6})$', '\\1-\\2-\\3') AS accession FROM customer) SELECT c_custkey, cik, accession, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(cik, '0') || '/' || replace(accession, '-', '') || '/' || accession || '.txt' AS url, true AS refused, substr(sha256(accession || ':0:' || c_custkey), 1, 16) AS chunk_id FROM k",
         "fact_forms": "SELECT c_custkey, 'loan ' || c_custkey || ' and property; loan ' || c_nationkey AS fact_form, cast(c_nationkey AS varchar) AS asked_loan, c_custkey || ',' || c_nationkey AS loans FROM customer",
         "property_name_match": "WITH b AS (SELECT DISTINCT p_brand AS b FROM part) SELECT p_partkey, min(b) AS property_name FROM part JOIN b ON contains(lower('tell me about ' || p_brand || ' and its occupancy'), lower(b)) GROUP BY p_partkey",
+        "supplier_mentions": """WITH n AS (SELECT DISTINCT 'Customer#' || lpad(cast(c_custkey AS varchar), 9, '0') AS name FROM customer UNION SELECT 'Supplier#' || lpad(cast(s_suppkey AS varchar), 9, '0') FROM supplier),
+o AS (SELECT o_orderkey, unnest(['Customer#' || lpad(cast(o_custkey AS varchar), 9, '0'), 'Supplier#' || lpad(cast(o_orderkey AS varchar), 9, '0'), 'Customer#' || lpad(cast(o_orderkey AS varchar), 9, '0')]) AS name FROM orders)
+SELECT DISTINCT o_orderkey, name FROM o JOIN n USING (name)""",
         "upsert_latest": f"SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE year(o_orderdate) IN ({BEFORE}, {AFTER}) GROUP BY o_custkey",
         "source_dedupe": "WITH d AS (SELECT doc_id AS seq, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS checksum FROM documents) SELECT min(seq) AS seq, checksum FROM d WHERE checksum IS NOT NULL GROUP BY checksum UNION ALL SELECT seq, checksum FROM d WHERE checksum IS NULL",
         "content_paths": "SELECT cast(strlen(html) AS int) AS size, sha256(html) AS checksum, 'edgar/' || substr(sha256(html), 1, 2) || '/' || sha256(html) || '/' || page_id || '.html' AS stored_path, false AS corrupt FROM pages",
@@ -576,7 +589,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date, k) AS
 _QUERIES = (
     deal_summary, paydown_kpi, period_compare, status_changes, balance_drift, top_movers, loan_history, property_profile, noi_change, noi_change_summary, property_types, geography, latest_two_periods, gate_metrics,
     chunk_documents, vector_topk, repetition_flags, number_grounding, loan_reference_check, injection_scrub, route_questions, citation_dedupe, url_allowlist, money_rendering, identifier_forms, fact_forms,
-    property_name_match, evaluate_answers, upsert_latest, refiled_lines, source_dedupe, content_paths, orphan_check, row_counts, health, filing_list, document_names, sectionize_pages, xml_loans, certificate_grid, reconciliation_check,
+    property_name_match, supplier_mentions, evaluate_answers, upsert_latest, refiled_lines, source_dedupe, content_paths, orphan_check, row_counts, health, filing_list, document_names, sectionize_pages, xml_loans, certificate_grid, reconciliation_check,
 )
 
 

@@ -6,37 +6,48 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import any_date, cik
 
-_RECENT = "accessionNumber array<string>, filingDate array<string>, reportDate array<string>, form array<string>, primaryDocument array<string>"
-SUBMISSIONS = f"name string, cik string, filings struct<recent: struct<{_RECENT.replace(' array', ': array')}>>"
+_LISTS = ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument")
+_RECENT = ", ".join(f"{c}: array<string>" for c in _LISTS)
+SUBMISSIONS = f"name string, cik string, filings struct<recent: struct<{_RECENT}>, files: array<struct<name: string>>>"
+CONTINUATION = _RECENT.replace(":", "")
 
 
 def submissions(spark: SparkSession, path: str, forms: list[str] | None = None) -> DataFrame:
     """Filings of column-oriented submission files, oldest first: cik, deal_name, accession_number, form_type,
     filing_date, report_date, primary_document, seq.
+
+    Long lists go on in further files, which the main one names and which lie beside it: they are read too.
     """
-    return filings(spark.read.schema(SUBMISSIONS).json(path, multiLine=True), forms)
-
-
-def filings(raw: DataFrame, forms: list[str] | None = None) -> DataFrame:
-    r = "filings.recent."
-    each = raw.select(
-        cik(F.col("cik")).alias("cik"), F.col("name").alias("deal_name"),
-        F.posexplode(
-            F.arrays_zip(
-                *(F.col(r + c) for c in ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument"))
-            )
-        ).alias("pos", "f")
-    )
+    each = spark.read.schema(
+        f"{SUBMISSIONS}, {CONTINUATION}"
+    ).json(path, multiLine=True).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    return filings(each.filter("filings IS NOT NULL"), forms, each.filter("filings IS NULL"))
+
+
+def filings(raw: DataFrame, forms: list[str] | None = None, further: DataFrame | None = None) -> DataFrame:
+    """further: continuation files (file, and the lists as columns) that filings.files of raw may name; what no list names
+    is left out. They come after the main list, in the order of their names; of an accession number that a
+    deal lists twice the first row counts.
+    """
+    zipped = lambda at: F.arrays_zip(*(F.col(at + c).alias(c) for c in _LISTS))
+    deal = [cik(F.col("cik")).alias("cik"), F.col("name").alias("deal_name")]
+    each = raw.select(*deal, F.lit("").alias("file"), F.posexplode(zipped("filings.recent.")).alias("pos", "f"))
+    if further is not None:
+        named = raw.select(*deal, F.explode("filings.files.name").alias("file")).distinct()
+        rest = further.select("file", F.posexplode(zipped("")).alias("pos", "f"))
+        both = each.unionByName(rest.join(named, "file").select(*each.columns))
+        first = Window.partitionBy("cik", "f.accessionNumber").orderBy("file", "pos")
+        each = both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     out = each.select(
         "cik", "deal_name", F.col("f.accessionNumber").alias("accession_number"), F.col("f.form").alias("form_type"), any_date(F.col("f.filingDate")).alias("filing_date"),
-        any_date(F.col("f.reportDate")).alias("report_date"), F.col("f.primaryDocument").alias("primary_document"), "pos",
+        any_date(F.col("f.reportDate")).alias("report_date"), F.col("f.primaryDocument").alias("primary_document"), "file", "pos",
     )
     if forms is not None:
         out = out.filter(F.col("form_type").isin(*forms))
     # equal dates keep the order of the list
     return out.withColumn(
-        "seq", F.row_number().over(Window.partitionBy("cik").orderBy("filing_date", "pos"))
-    ).drop("pos")
+        "seq", F.row_number().over(Window.partitionBy("cik").orderBy("filing_date", "file", "pos"))
+    ).drop("file", "pos")
 
 
 def newest(filings_: DataFrame, n: int = 8) -> DataFrame:
