@@ -161,6 +161,15 @@ def delete(index: DataFrame, accession_number: str) -> DataFrame:
     return index.filter(~F.col("accession_number").eqNullSafe(F.lit(accession_number)))
 
 
+def delete_saved(spark: SparkSession, path: str, accession_number: str) -> int:
+    """Delete a filing's vectors from the index at path; gives their number."""
+    index = load(spark, path)
+    n = index.filter(F.col("accession_number") == accession_number).count()
+    if n:
+        save(delete(index, accession_number), path)
+    return n
+
+
 def save(index: DataFrame, path: str) -> None:
     """The index may have been read from path."""
     store.replace(index, path)
