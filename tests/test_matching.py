@@ -53,3 +53,19 @@ def test_filing_lists_go_on_in_further_files(spark, tmp_path):
     put("split", "stray.json", lists([1]))  # nobody names it
     whole, split = (filings.submissions(spark, str(tmp_path / f)).orderBy("seq").collect() for f in ("whole", "split"))
     assert whole == split and [r["accession_number"] for r in split] == ["a3", "a4", "a5", "a6", "a7", "a8", "a9"]
+
+
+def test_pieces_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    spark.range(3_000).selectExpr("id AS question_id", "concat('tell me about Brand#', id % 25, ' and more') AS question", "concat('Brand#', id % 25) AS name").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    found = matching.contained(t, t)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == plan.count("BroadcastHashJoin") == 1  # the sieve's longs
+    assert found.count() == sum(1 + (i % 25 > 9) for i in range(3_000))  # Brand#1 is in Brand#10 too
+
+
+def test_names_within_a_column(spark):
+    texts = spark.createDataFrame([(1, 1, "has aB and cd"), (2, 2, "has ab and cd"), (3, None, "ab cd"), (4, 3, "ab")], "question_id int, at int, question string")
+    names = spark.createDataFrame([(1, "AB"), (1, "x"), (2, "cd"), (2, "d"), (None, "ab"), (3, "")], "at int, name string")
+    got = sorted(tuple(r) for r in matching.contained(texts, names, within="at").collect())
+    assert got == [(1, 1, "AB"), (2, 2, "cd"), (2, 2, "d")]
