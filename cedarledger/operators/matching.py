@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.spread import spread
+
 SIEVE = 1 << 20  # longs, at most
 SIZES = (8, 4, 2, 1)  # lengths of the pieces; a name is looked for by pieces of the largest that it has room for
 
@@ -62,7 +64,9 @@ def contained(
     Null and empty names are in no text, a null text contains none; rows of texts that share a key count together.
     """
     scope = [within] if within else []
-    t = texts.select(*scope, F.col(key).alias("_key"), F.lower(F.col(text)).alias("_text")).filter("_text <> ''")
+    t = spread(
+        texts.select(*scope, F.col(key).alias("_key"), F.lower(F.col(text)).alias("_text")).filter("_text <> ''"), *scope, "_key"
+    )
     used = names.select(F.bit_or(_size(F.lower(name)))).scalar()
     of_size = lambda n: F.when(used.bitwiseAND(F.lit(n)) != 0, _pieces(F.col("_text"), n)).otherwise(F.array().cast("array<bigint>"))
     pieces = t.select(*scope, "_key", F.explode(F.array_distinct(F.flatten(F.array(*map(of_size, SIZES))))).alias("anchor"))
