@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_class, clean_cusip, report_decimal, report_issue
+from ..operators.matching import contained
 
 # Titles and labels in the reports, and the columns of each layout.
 DETAIL, BALANCES = "Certificate Distribution Detail", "Bond / Collateral Reconciliation - Balances"
@@ -156,17 +157,20 @@ def lookup(
     key: str = "question_id"
 ) -> DataFrame:
     """Of each question about a report (a column of both) the first of its certificates whose class or identifier the
-    question names. A report's certificates are a few dozen rows of one document; they meet the question as one array.
+    question names. An empty class or identifier is in every question.
+
+    Within a report, names meet only questions that have their rarest piece; no row holds a report's certificates.
     """
-    list_ = certificates.groupBy(report).agg(F.array_sort(F.collect_list(F.struct("row_idx", *_SHOWN))).alias("all"))
-    q = F.lower(F.col(question))
-    first = F.get(
-        F.filter("all", lambda c: F.contains(q, F.lower(c["class_name"])) | F.contains(q, F.lower(c["cusip"]))),
-        F.lit(0)
-    )
-    return questions.join(list_, report, "left").select(key, report, question, first.alias("c")).select(
-        key, report, question, *(f"c.{x}" for x in _SHOWN)
-    )
+    first = F.min("c").alias("c")
+    named = certificates.select(report, F.struct("row_idx", *_SHOWN).alias("c")).select(
+        report, "c", F.explode(F.array_distinct(F.array("c.class_name", "c.cusip"))).alias("name")
+    ).groupBy(report, "name").agg(first)
+    asked = questions.select(report, question).filter(F.col(report).isNotNull() & F.col(question).isNotNull()).distinct()
+    own = contained(asked.withColumn("_asked", F.col(question)), named, question, "_asked", "name", report)
+    found = own.join(named.hint("merge"), [report, "name"]).select(report, question, "c")
+    always = asked.join(named.filter("name = ''").select(report, "c"), report)
+    best = found.unionByName(always).groupBy(report, question).agg(first)
+    return questions.join(best.hint("merge"), [report, question], "left").select(key, report, question, *(f"c.{x}" for x in _SHOWN))
 
 
 def latest_report(reports: DataFrame) -> DataFrame:

@@ -114,6 +114,19 @@ def test_certificate_lookup(spark):
     assert got == {"1": "9ZK41QAB7", "2": "9ZK41QAB7", "3": None, "4": None, "5": None}
 
 
+def test_certificate_lookup_of_large_reports(spark):
+    names = "row_idx int, class_name string, cusip string, beginning_balance int, principal_distribution int, interest_distribution int, ending_balance int"
+    rows = [("r0", 5, "A-1", "X1"), ("r0", 3, None, "X1"), ("r0", 4, "B", None), ("r1", 2, "A", "Z"), ("r1", 1, "", "Y"), (None, 0, "A", "A")]
+    c = spark.createDataFrame([(*r, 0, 0, 0, 0) for r in rows], "accession_number string, " + names)
+    q = [("1", "r0", "x1 of a-1"), ("1", "r0", "x1 of a-1"), ("2", "r0", "class b"), ("3", "r1", "class A"), ("4", "r0", None), ("5", None, "A"), ("6", "r1", "")]
+    found = certificates.lookup(spark.createDataFrame(q, "question_id string, accession_number string, question string"), c)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["question_id"], r["cusip"], r["class_name"]) for r in found.collect())
+    assert [tuple(map(str, x)) for x in got] == [
+        ("1", "X1", "None"), ("1", "X1", "None"), ("2", "None", "B"), ("3", "Y", ""), ("4", "None", "None"), ("5", "None", "None"), ("6", "Y", "")
+    ]
+
+
 def test_sections_without_double_counting():
     page = "<html><body><nav><li>menu</nav><p>before<h1>Item 1</h1><p>one <font><b>two</b></font><script>var a = '</p>'</script><table><tr><td><p>three</p></td></tr></table><h2> </h2><li>four<li>five</body></html>"
     assert list(html.sections(page)) == [(None, "menu before"), ("Item 1", "one two three"), (None, "four five")]
