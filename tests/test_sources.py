@@ -127,6 +127,13 @@ def test_certificate_lookup_of_large_reports(spark):
     ]
 
 
+def test_pages_of_one_file_are_parsed_by_many_tasks(spark):
+    pages = spark.range(400).selectExpr("id", "concat('<h1>', id, '</h1><p>x</p><table><tr><td>', id, '</td></tr></table>') AS html").coalesce(1)
+    for parsed in (html.html_rows(pages, "id"), html.html_sections(pages, "id")):
+        assert len({r[0] for r in parsed.selectExpr("spark_partition_id()").collect()}) > 2
+        assert sorted(r["id"] for r in parsed.collect()) == list(range(400))
+
+
 def test_sections_without_double_counting():
     page = "<html><body><nav><li>menu</nav><p>before<h1>Item 1</h1><p>one <font><b>two</b></font><script>var a = '</p>'</script><table><tr><td><p>three</p></td></tr></table><h2> </h2><li>four<li>five</body></html>"
     assert list(html.sections(page)) == [(None, "menu before"), ("Item 1", "one two three"), (None, "four five")]
