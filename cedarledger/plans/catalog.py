@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
+from ..functions.spread import spread
 from ..operators import analytics as A, citations, evaluation, matching, planner, retrieval, store, verify
 from ..sources import asset_xml, certificates, filings, html
 from . import filing_catalog, proxy
@@ -450,7 +451,7 @@ def xml_loans(spark, sf_dir):
         tag("reportPeriodEndActualBalanceAmount", F.format_string("%.2f", "o_totalprice")),
         F.lit("<property><propertyName>P</propertyName><propertyState>NY</propertyState></property></assets>")
     )
-    docs = o.groupBy("o_custkey").agg(
+    docs = spread(o, "o_custkey").groupBy("o_custkey").agg(
         F.concat(
             F.lit("<assetData>"), F.array_join(F.array_sort(F.collect_list(one)), ""), F.lit("</assetData>")
         ).alias("value")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..functions.spread import spread
 from ..operators import analytics as A, citations, retrieval, store, verify
 from ..sources import asset_xml, certificates, filings, html
 from . import ingest, proxy
@@ -221,7 +222,8 @@ def _asset_documents(spark, sf_dir) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("x")))), lambda s: s["x"]), ""
     )
     whole = F.concat(F.lit('<x:assetData xmlns:x="urn:x">'), body, F.lit("</x:assetData>"))
-    docs = o.groupBy("o_custkey").agg(whole.alias("value"))
+    # dealt out while the rows are small: parsing costs more than the documents' bytes say
+    docs = spread(o, "o_custkey").groupBy("o_custkey").agg(whole.alias("value"))
     return docs.select(
         _text("o_custkey").alias("cik"), F.concat(F.lit("f"), _text("o_custkey")).alias("accession_number"),
         F.when(F.col("o_custkey") % 9 == 0, "no xml").otherwise(F.col("value")).alias("value")
@@ -231,7 +233,7 @@ def _asset_documents(spark, sf_dir) -> DataFrame:
 def asset_issues(spark, sf_dir):
     """Values of asset data that could not be read."""
     return asset_xml.issues(
-        asset_xml.parsed(_asset_documents(spark, sf_dir))
+        asset_xml.parsed(_asset_documents(spark, sf_dir), raw=False)
     ).select("cik", "asset_number", "field_name", "raw_value")
 
 

@@ -101,18 +101,19 @@ def _issues(row: Column, dates: dict, amounts: dict, ints: dict) -> list[Column]
     return out
 
 
-def parsed(documents: DataFrame, text: str = "value") -> DataFrame:
+def parsed(documents: DataFrame, text: str = "value", raw: bool = True) -> DataFrame:
     """documents: cik, accession_number, text, and a source struct if known. One row per loan, with its issues as an
-    array.
+    array. Without raw the text is parsed once, not twice, and raw_fields is left out.
     """
     known = "source" in documents.columns
     both = documents.select(
         "cik", "accession_number", F.col("source") if known else F.lit(None).cast(S.SOURCE).alias("source"),
-        F.from_xml(F.col(text), _ASSET, _OPTIONS)["assets"].alias("typed"), F.from_xml(F.col(text), _RAW, _OPTIONS)["assets"].alias("raw"),
+        F.from_xml(F.col(text), _ASSET, _OPTIONS)["assets"].alias("typed"),
+        *([F.from_xml(F.col(text), _RAW, _OPTIONS)["assets"].alias("raw")] if raw else []),
     )
     each = both.select(
-        "cik", "accession_number", "source", F.posexplode(F.arrays_zip("typed", "raw")).alias("doc_position", "z")
-    ).select("*", F.col("z.typed").alias("t"), F.col("z.raw").alias("r"))
+        "cik", "accession_number", "source", F.posexplode(F.arrays_zip("typed", *["raw"] * raw)).alias("doc_position", "z")
+    ).select("*", F.col("z.typed").alias("t"), *([F.col("z.raw").alias("r")] if raw else []))
     t = F.col("t")
     properties = F.coalesce(t["property"], F.array())
     asset = F.coalesce(_leaf(t, "assetNumber"), F.lit(""))
@@ -139,9 +140,11 @@ def parsed(documents: DataFrame, text: str = "value") -> DataFrame:
         *(
             _amount(_leaf(t, n)).alias(c) for c, n in S.LOAN_AMOUNTS.items()
         ), F.transform(properties, _property).alias("properties"),
-        F.map_filter(
-            F.transform_values("r", lambda k, v: F.trim(v)), lambda k, v: (k != "property") & v.isNotNull() & (v != "")
-        ).alias("raw_fields"),
+        *([
+            F.map_filter(
+                F.transform_values("r", lambda k, v: F.trim(v)), lambda k, v: (k != "property") & v.isNotNull() & (v != "")
+            ).alias("raw_fields")
+        ] if raw else []),
         F.struct(
             *(
                 path.alias("field_path") if f.name == "field_path" else F.col("source")[f.name].alias(f.name) for f in S.SOURCE

@@ -134,6 +134,16 @@ def test_pages_of_one_file_are_parsed_by_many_tasks(spark):
         assert sorted(r["id"] for r in parsed.collect()) == list(range(400))
 
 
+def test_asset_documents_are_parsed_by_many_tasks(spark):
+    from cedarledger.plans import filing_catalog
+
+    found = filing_catalog.asset_issues(spark, "/root/testdata/sf0.001")
+    assert len({r[0] for r in found.selectExpr("spark_partition_id()").collect()}) > 2
+    docs = filing_catalog._asset_documents(spark, "/root/testdata/sf0.001")
+    both = [sorted(map(str, asset_xml.issues(asset_xml.parsed(docs, raw=raw)).collect())) for raw in (True, False)]
+    assert both[0] == both[1] and both[0]
+
+
 def test_sections_without_double_counting():
     page = "<html><body><nav><li>menu</nav><p>before<h1>Item 1</h1><p>one <font><b>two</b></font><script>var a = '</p>'</script><table><tr><td><p>three</p></td></tr></table><h2> </h2><li>four<li>five</body></html>"
     assert list(html.sections(page)) == [(None, "menu before"), ("Item 1", "one two three"), (None, "four five")]
