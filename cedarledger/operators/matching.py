@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.spread import spread
 
-SIEVE = 1 << 20  # longs, at most
+SIEVE = 1 << 19  # longs, at most
 SIZES = (8, 4, 2, 1)  # lengths of the pieces; a name is looked for by pieces of the largest that it has room for
 
 
