@@ -144,6 +144,13 @@ def test_asset_documents_are_parsed_by_many_tasks(spark):
     assert both[0] == both[1] and both[0]
 
 
+def test_pages_of_filings_are_not_broadcast(spark):
+    from cedarledger.plans import filing_catalog
+
+    plan = filing_catalog.report_outcomes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_sections_without_double_counting():
     page = "<html><body><nav><li>menu</nav><p>before<h1>Item 1</h1><p>one <font><b>two</b></font><script>var a = '</p>'</script><table><tr><td><p>three</p></td></tr></table><h2> </h2><li>four<li>five</body></html>"
     assert list(html.sections(page)) == [(None, "menu before"), ("Item 1", "one two three"), (None, "four five")]
