@@ -7,9 +7,11 @@ slot gives every step a random priority and takes the first-ranked step that the
 same steps, and a longer text's further steps count as differing, as padding would. The steps that can ever be sampled are few (a
 record list a slot, made by rule from a seed), so whole texts are walked and little is written.
 
-Likeness of two fingerprints is the share of slots that agree, of the walk where they agree most. Bands of sampled slots bring texts
-together: each is compared with the first document of each of its bands, in full over all slots, and near_first is the least of those
-that are as like as the threshold says. Equal fingerprints meet once, and a band's rows are aggregated, so nothing is listed in pairs.
+Likeness of two fingerprints is the share of slots that agree, of the walk where they agree most. near_first is the least document of
+all that are as like as the threshold says, and none is missed. Each fingerprint is compared, in full over all slots, with the first
+document of each of its bands. Then it meets every document before the least found so far with which it shares a key; keys are
+pieces of bands so many that two alike have one in common (the pigeonhole principle). Equal fingerprints meet once. Members of a
+large group find their least among its first rows, in rounds, so they aren't listed in pairs; what shares a key by chance is.
 
 Each document also meets its successor in order of doc_id: documents are range-partitioned and sorted, and the last row of a partition
 waits for the first of the next, of which there are as many as partitions. Walks of many texts go in step, in numpy; few long ones
@@ -23,15 +25,18 @@ only document's successor is itself. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .exchange import dealt_anew, partitions, stored
 
 WALKS, SLOTS, BAND_SLOTS = 2, 64, 8
 THRESHOLD = 0.8
+ROUND = 32  # times as many rows of a key are asked in a round as in all before
+KEY_SLOTS = 7  # chance meetings fall with it to a fourteenth each, keys grow
 PERIOD = 8192  # steps after which the shared bits come again
 SEED = 20_130_611
 LONGEST = 1 << 33  # steps; a text has under 2^31 code points, two steps each on average
@@ -249,42 +254,111 @@ def embedded(docs: DataFrame) -> DataFrame:
     return seen.filter(F.col("kind") == DONE).unionByName(last).drop("part", "kind", "text")
 
 
-def near_first(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """fingerprint (binary) and near_first (doc_id), of fingerprints that are near one of an earlier document.
+def piece(walk: int, start: int, stop: int):
+    """The bytes of the slots from start to stop of one walk of the column fingerprint."""
+    return F.expr(f"substring(fingerprint, {walk * SLOTS + start + 1}, {stop - start})")
 
-    prints: doc_id, fingerprint, repeated as they are in the documents.
+
+def keys(walk: int, threshold: float) -> F.Column:
+    """Hashes of which any two fingerprints whose walk is as like as the threshold says have one in common.
+
+    Such two differ in `most` slots at most. Of wide bands and narrow ones that are more than most when a wide one counts twice, they
+    differ in at most one slot of some wide band, so what is left of it without that slot is equal, or in none of some narrow one.
+    There are as few wide bands as give keys of at least KEY_SLOTS slots.
     """
-    each = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_copies")).filter("doc_id IS NOT NULL")
-    nodes = stored(each.select(F.xxhash64("fingerprint").alias("node"), "doc_id", "fingerprint"))
-    bands = nodes.select(
-        F.struct("doc_id", "node").alias("x"),
-        F.explode(
-            F.array(
-                *(F.xxhash64(F.lit(i), F.expr(f"substring(fingerprint, {i * BAND_SLOTS + 1}, {BAND_SLOTS})")) for i in range(WIDTH // BAND_SLOTS))
-            )
-        ).alias("band")
-    )
-    hubs = bands.groupBy("band").agg(F.min("x").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    pairs = bands.join(dealt_anew(hubs, "band"), "band").filter("x.node != hub.node").select(
-        F.col("x.node").alias("node"), F.col("hub.node").alias("other"), F.col("hub.doc_id").alias("first")
-    ).distinct()
+    most = max((m for m in range(SLOTS + 1) if (SLOTS - m) / SLOTS >= threshold), default=-1)
+    if most < 0:
+        return F.expr("CAST(array() AS array<bigint>)")
+    wide = next((n for n in range((most + 1) // 2) if SLOTS - n >= KEY_SLOTS * (most + 1 - n)), (most + 1) // 2)
+    bands, length = most + 1 - wide, max(0, SLOTS - wide) // (most + 1 - wide)
+    sizes = [length + (i < wide) for i in range(bands)]
+    for i in range(SLOTS - sum(sizes)):  # what is left over
+        sizes[-1 - i % bands] += 1
+    out, at = [], 0
+    for i, size in enumerate(sizes):
+        for left_out in range(at, at + size) if i < wide and size else [at + size]:
+            parts = piece(walk, at, left_out), piece(walk, min(left_out + 1, at + size), at + size)
+            out.append(F.xxhash64(F.lit(len(out)), *parts))
+        at += size
+    return F.array(*out)
+
+
+def alike(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """node and the least other of its pairs that are as like as the threshold says, over all slots. A pair may come often."""
     a, b = nodes.select("node", "fingerprint"), nodes.select(F.col("node").alias("other"), F.col("fingerprint").alias("theirs"))
-    met = pairs.join(a, "node").join(b, "other").select("fingerprint", "theirs", "first")
+    once_ = pairs.repartition("node").dropDuplicates(["node", "other"])  # dealt out as the join wants it
+    met = once_.join(a, "node").join(b, "other").select("fingerprint", "theirs", "node", "other")
 
     def verify(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDTH) for i in (0, 1))
             near = pa.array(likeness(x, y) >= threshold)
-            yield batch.select([0, 2]).filter(near)
+            yield batch.select([2, 3]).filter(near)
+
+    return met.mapInArrow(verify, "node long, other long").groupBy("node").agg(F.min("other").alias("least"))
+
+
+def least_of(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("least").alias("least"))
+
+
+def found_by_keys(nodes: DataFrame, found: list[DataFrame], walk: int, threshold: float) -> list[DataFrame]:
+    """Like found: lesser ones, of all with which a node shares a key of the walk.
 
-    return met.mapInArrow(verify, f"fingerprint binary, first {_kind(prints)}").groupBy("fingerprint").agg(
-        F.min("first").alias("near_first")
+    Each asks the rows of its keys from the first on, by rounds of growing length, and of them only those before its least so far. Members
+    of a group find theirs among its first rows, so they aren't compared with one another; rounds go on until no row is left unasked.
+    """
+    known = nodes.join(least_of(found), "node", "left").select("node", F.coalesce("least", "node").alias("least"), "fingerprint")
+    own = Window.partitionBy("key")
+    open_ = stored(
+        known.select("node", "least", F.explode(keys(walk, threshold)).alias("key")).select(
+            "key", "node", "least", F.row_number().over(own.orderBy("node")).alias("rank"),
+            F.min("node").over(own).alias("_first"), F.max("least").over(own).alias("_last")
+        ).filter("_first < least OR node < _last")
     )
+    fresh, done, until = [], 0, 1
+    last = open_.filter("node < _last").agg(F.max("rank")).first()[0] or 0
+    while done < last:
+        asking = open_.filter("_first < least").select("key", "node", "least")
+        if fresh:
+            now = least_of(fresh).withColumnRenamed("least", "_now")
+            asking = asking.join(now, "node", "left").select("key", "node", F.least("least", "_now").alias("least"))
+        asked = open_.filter(f"node < _last AND rank > {done} AND rank <= {until}").select("key", F.col("node").alias("other"))
+        pairs = asking.join(asked, "key").filter("other < least").select("node", "other")
+        fresh.append(stored(alike(nodes, pairs, threshold)))
+        done, until = until, ROUND * until
+    return fresh
+
+
+def near_first(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """fingerprint (binary) and near_first (doc_id), of fingerprints that are near one of an earlier document: the least of all such.
+
+    prints: doc_id, fingerprint, repeated as they are in the documents.
+    """
+    each = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL")
+    ordered = each.repartitionByRange(partitions(prints.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    nodes = stored(ordered.select(F.monotonically_increasing_id().alias("node"), "doc_id", "fingerprint"))  # in order of doc_id
+
+    # most have a near one that is the first of a band
+    bands = nodes.select(
+        "node",
+        F.explode(
+            F.array(*(F.xxhash64(F.lit(i), piece(0, i, i + BAND_SLOTS)) for i in range(0, WIDTH, BAND_SLOTS)))
+        ).alias("band")
+    )
+    hubs = bands.groupBy("band").agg(F.min("node").alias("other"), F.count("*").alias("n")).filter("n > 1").select("band", "other")
+    pairs = bands.join(dealt_anew(hubs, "band"), "band").filter("other < node").select("node", "other")
+    found = [stored(alike(nodes, pairs, threshold))]
+    for walk in range(WALKS):
+        found += found_by_keys(nodes, found, walk, threshold)
+
+    firsts = nodes.select(F.col("node").alias("least"), F.col("doc_id").alias("near_first"))
+    return least_of(found).join(firsts, "least").join(nodes, "node").select("fingerprint", "near_first")
 
 
 def fingerprinted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document its fingerprints as hex, its likeness to its edited form and its successor, and near_first: the least doc_id
-    of an earlier document that shares a band with it and is as like, else the least one with its own fingerprint."""
+    of all earlier documents that are as like, else the least one with its own fingerprint."""
     rows = embedded(docs)  # stored already, but for as many rows as partitions
     near = near_first(rows.select("doc_id", "fingerprint"), threshold)
     same = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("same_first"))

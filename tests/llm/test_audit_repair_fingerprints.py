@@ -222,6 +222,63 @@ def test_fingerprints_are_those_of_plain_walks(docs, docs_rows):
     assert set(copies.values()) == {-5}  # the same text with one word more
 
 
+def varied(r, base, most):
+    """A fingerprint that differs from base in up to most random slots of one walk, and in all of the other."""
+    out, walk = np.array(base), r.randrange(P.WALKS)
+    out[(1 - walk) * P.SLOTS : (2 - walk) * P.SLOTS] = r.randrange(100, 200)
+    for slot in r.sample(range(P.SLOTS), r.randint(0, most)):
+        out[walk * P.SLOTS + slot] = r.randrange(200, 250)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 1.0, 0.6, 1.1])
+def test_no_earlier_likeness_is_missed(spark, threshold):
+    """Also of those that no band of slots brings together, and that are near a later document of a band but not its first."""
+    r = random.Random(8)
+    prints = []
+    for _ in range(12):
+        base = np.array([r.randrange(1, 100) for _ in range(P.WIDTH)], np.uint8)
+        group = [base]
+        for _ in range(25):
+            group.append(varied(r, r.choice(group), 14))
+        prints += group
+    r.shuffle(prints)
+    rows = [(i * 3, p.tobytes()) for i, p in enumerate(prints)]
+    first = {}
+    for d, p in rows:
+        first.setdefault(p, d)
+    want, missed = {}, 0
+    for d, p in rows:
+        near = min((e for q, e in first.items() if e < d and alike(p, q) >= threshold), default=None)
+        if first[p] == d and near is not None:
+            want[p] = near
+            banded = [e for q, e in first.items() if e < d and alike(p, q) >= threshold and any(p[i : i + 8] == q[i : i + 8] for i in range(0, P.WIDTH, 8))]
+            missed += near not in banded
+    got = P.near_first(spark.createDataFrame(rows, "doc_id long, fingerprint binary"), threshold)
+    assert {bytes(x["fingerprint"]): x["near_first"] for x in got.collect()} == want
+    assert threshold != 0.8 or missed > 5
+
+
+def test_a_group_is_not_compared_in_pairs(spark, monkeypatch):
+    """Copies of which half are too unlike the group's first, but like its second or third."""
+    r = random.Random(9)
+    base = np.array([r.randrange(1, 100) for _ in range(P.WIDTH)], np.uint8)
+    prints = [base] + [varied(r, base, 8) for _ in range(600)]
+    rows = [(i, p.tobytes()) for i, p in enumerate(prints[1:] + prints[:1])]
+    first = {}
+    for d, p in rows:
+        first.setdefault(p, d)
+    x = np.array([np.frombuffer(p, np.uint8) for p in first])
+    ids, near = list(first.values()), [np.flatnonzero(P.likeness(x, y) >= P.THRESHOLD)[0] for y in x]
+    want = {p: ids[j] for i, (p, j) in enumerate(zip(first, near)) if j < i}
+    assert sum(j == 0 for j in near) < 0.7 * len(near)
+    met, count = P.alike, []
+    monkeypatch.setattr(P, "alike", lambda nodes, pairs, threshold: (count.append(pairs.count()), met(nodes, pairs, threshold))[1])
+    got = P.near_first(spark.createDataFrame(rows, "doc_id long, fingerprint binary"))
+    assert {bytes(y["fingerprint"]): y["near_first"] for y in got.collect()} == want
+    assert sum(count) < 20 * len(rows), count
+
+
 def test_likeness_falls_with_edits_and_finds_near_copies(spark):
     r = random.Random(2)
     text = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))
