@@ -35,7 +35,7 @@ from .exchange import dealt_anew, partitions, stored
 
 WALKS, SLOTS, BAND_SLOTS = 2, 64, 8
 THRESHOLD = 0.8
-ROUND = 32  # times as many rows of a key are asked in a round as in all before
+ROUND = 16  # times as many rows of a key are asked in a round as in all before
 KEY_SLOTS = 7  # chance meetings fall with it to a fourteenth each, keys grow
 PERIOD = 8192  # steps after which the shared bits come again
 SEED = 20_130_611
@@ -259,7 +259,7 @@ def piece(walk: int, start: int, stop: int):
     return F.expr(f"substring(fingerprint, {walk * SLOTS + start + 1}, {stop - start})")
 
 
-def keys(walk: int, threshold: float) -> F.Column:
+def keys(walk: int, threshold: float) -> list[F.Column]:
     """Hashes of which any two fingerprints whose walk is as like as the threshold says have one in common.
 
     Such two differ in `most` slots at most. Of wide bands and narrow ones that are more than most when a wide one counts twice, they
@@ -268,7 +268,7 @@ def keys(walk: int, threshold: float) -> F.Column:
     """
     most = max((m for m in range(SLOTS + 1) if (SLOTS - m) / SLOTS >= threshold), default=-1)
     if most < 0:
-        return F.expr("CAST(array() AS array<bigint>)")
+        return []
     wide = next((n for n in range((most + 1) // 2) if SLOTS - n >= KEY_SLOTS * (most + 1 - n)), (most + 1) // 2)
     bands, length = most + 1 - wide, max(0, SLOTS - wide) // (most + 1 - wide)
     sizes = [length + (i < wide) for i in range(bands)]
@@ -278,16 +278,15 @@ def keys(walk: int, threshold: float) -> F.Column:
     for i, size in enumerate(sizes):
         for left_out in range(at, at + size) if i < wide and size else [at + size]:
             parts = piece(walk, at, left_out), piece(walk, min(left_out + 1, at + size), at + size)
-            out.append(F.xxhash64(F.lit(len(out)), *parts))
+            out.append(F.xxhash64(F.lit(walk), F.lit(len(out)), *parts))
         at += size
-    return F.array(*out)
+    return out
 
 
 def alike(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """node and the least other of its pairs that are as like as the threshold says, over all slots. A pair may come often."""
     a, b = nodes.select("node", "fingerprint"), nodes.select(F.col("node").alias("other"), F.col("fingerprint").alias("theirs"))
-    once_ = pairs.repartition("node").dropDuplicates(["node", "other"])  # dealt out as the join wants it
-    met = once_.join(a, "node").join(b, "other").select("fingerprint", "theirs", "node", "other")
+    met = pairs.distinct().join(a, "node").join(b, "other").select("fingerprint", "theirs", "node", "other")
 
     def verify(batches):
         for batch in batches:
@@ -302,16 +301,19 @@ def least_of(found: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("least").alias("least"))
 
 
-def found_by_keys(nodes: DataFrame, found: list[DataFrame], walk: int, threshold: float) -> list[DataFrame]:
-    """Like found: lesser ones, of all with which a node shares a key of the walk.
+def found_by_keys(nodes: DataFrame, near: DataFrame, threshold: float) -> list[DataFrame]:
+    """Like near, node and least: lesser ones, of all with which a node shares a key.
 
     Each asks the rows of its keys from the first on, by rounds of growing length, and of them only those before its least so far. Members
     of a group find theirs among its first rows, so they aren't compared with one another; rounds go on until no row is left unasked.
     """
-    known = nodes.join(least_of(found), "node", "left").select("node", F.coalesce("least", "node").alias("least"), "fingerprint")
+    each = [key for walk in range(WALKS) for key in keys(walk, threshold)]
+    if not each:
+        return []
+    known = nodes.join(near, "node", "left").select("node", F.coalesce("least", "node").alias("least"), "fingerprint")
     own = Window.partitionBy("key")
     open_ = stored(
-        known.select("node", "least", F.explode(keys(walk, threshold)).alias("key")).select(
+        known.select("node", "least", F.explode(F.array(*each)).alias("key")).select(
             "key", "node", "least", F.row_number().over(own.orderBy("node")).alias("rank"),
             F.min("node").over(own).alias("_first"), F.max("least").over(own).alias("_last")
         ).filter("_first < least OR node < _last")
@@ -348,10 +350,8 @@ def near_first(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     hubs = bands.groupBy("band").agg(F.min("node").alias("other"), F.count("*").alias("n")).filter("n > 1").select("band", "other")
     pairs = bands.join(dealt_anew(hubs, "band"), "band").filter("other < node").select("node", "other")
-    found = [stored(alike(nodes, pairs, threshold))]
-    for walk in range(WALKS):
-        found += found_by_keys(nodes, found, walk, threshold)
-
+    near = stored(alike(nodes, pairs, threshold))
+    found = [near, *found_by_keys(nodes, near, threshold)]
     firsts = nodes.select(F.col("node").alias("least"), F.col("doc_id").alias("near_first"))
     return least_of(found).join(firsts, "least").join(nodes, "node").select("fingerprint", "near_first")
 
