@@ -7,6 +7,8 @@ holds, never by how many documents share a key: a batch sends each of its distin
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -138,6 +140,13 @@ def stored(df: DataFrame) -> DataFrame:
     )
 
 
+def shuffles_freed(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are stored by now: Spark deletes them once the driver collects its garbage, and
+    a driver with little to do may not for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store its path names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

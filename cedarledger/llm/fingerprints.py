@@ -10,8 +10,9 @@ record list a slot, made by rule from a seed), so whole texts are walked and lit
 Likeness of two fingerprints is the share of slots that agree, of the walk where they agree most. near_first is the least document of
 all that are as like as the threshold says, and none is missed. Each fingerprint is compared, in full over all slots, with the first
 document of each of its bands. Then it meets every document before the least found so far with which it shares a key; keys are
-pieces of bands so many that two alike have one in common (the pigeonhole principle). Equal fingerprints meet once. Members of a
-large group find their least among its first rows, in rounds, so they aren't listed in pairs; what shares a key by chance is.
+pieces of bands so many that two alike have one in common (the pigeonhole principle). Equal fingerprints meet once. Rows of a key are
+compared inside tasks, a block of BLOCK rows with another, one after another until one is alike, so pairs are never rows: at first
+all rows of a key with its first block, then those still open with further blocks.
 
 Each document also meets its successor in order of doc_id: documents are range-partitioned and sorted, and the last row of a partition
 waits for the first of the next, of which there are as many as partitions. Walks of many texts go in step, in numpy; few long ones
@@ -31,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .exchange import dealt_anew, partitions, stored
+from .exchange import dealt_anew, partitions, shuffles_freed, stored
 
 WALKS, SLOTS, BAND_SLOTS = 2, 64, 8
 THRESHOLD = 0.8
-ROUND = 16  # times as many rows of a key are asked in a round as in all before
+BLOCK = 1024  # rows of a key that are compared with as many in one go
+ROUND = 16  # times as many rows of a key have been asked after a round as before it
 KEY_SLOTS = 7  # chance meetings fall with it to a fourteenth each, keys grow
 PERIOD = 8192  # steps after which the shared bits come again
 SEED = 20_130_611
@@ -231,6 +233,7 @@ def embedded(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited (digest), fingerprint, edited_fingerprint (binary), near_edited, near_next."""
     spark = docs.sparkSession
     seen = stored(sequence(docs))
+    shuffles_freed(spark)
     # as many rows as partitions at most: each open row's partition, and the next one that has rows
     parts = sorted(r[0] for r in seen.filter(F.col("kind") == HEAD).select("part").collect())
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, following int")
@@ -259,14 +262,24 @@ def piece(walk: int, start: int, stop: int):
     return F.expr(f"substring(fingerprint, {walk * SLOTS + start + 1}, {stop - start})")
 
 
+def differing(threshold: float) -> int:
+    """Slots of a walk in which two fingerprints may differ and be as like as the threshold says; -1 if it asks for more than all."""
+    return max((m for m in range(SLOTS + 1) if (SLOTS - m) / SLOTS >= threshold), default=-1)
+
+
+def of_walk(hashed: F.Column, walk: F.Column) -> F.Column:
+    """The hash with the walk in its lowest bits; WALKS is a power of two."""
+    return hashed.bitwiseAND(F.lit(-WALKS)).bitwiseOR(walk.cast("long"))
+
+
 def keys(walk: int, threshold: float) -> list[F.Column]:
     """Hashes of which any two fingerprints whose walk is as like as the threshold says have one in common.
 
     Such two differ in `most` slots at most. Of wide bands and narrow ones that are more than most when a wide one counts twice, they
     differ in at most one slot of some wide band, so what is left of it without that slot is equal, or in none of some narrow one.
-    There are as few wide bands as give keys of at least KEY_SLOTS slots.
+    There are as few wide bands as give keys of at least KEY_SLOTS slots. The lowest bits of a key tell its walk.
     """
-    most = max((m for m in range(SLOTS + 1) if (SLOTS - m) / SLOTS >= threshold), default=-1)
+    most = differing(threshold)
     if most < 0:
         return []
     wide = next((n for n in range((most + 1) // 2) if SLOTS - n >= KEY_SLOTS * (most + 1 - n)), (most + 1) // 2)
@@ -278,7 +291,7 @@ def keys(walk: int, threshold: float) -> list[F.Column]:
     for i, size in enumerate(sizes):
         for left_out in range(at, at + size) if i < wide and size else [at + size]:
             parts = piece(walk, at, left_out), piece(walk, min(left_out + 1, at + size), at + size)
-            out.append(F.xxhash64(F.lit(walk), F.lit(len(out)), *parts))
+            out.append(of_walk(F.xxhash64(F.lit(walk), F.lit(len(out)), *parts), F.lit(walk)))
         at += size
     return out
 
@@ -301,33 +314,113 @@ def least_of(found: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("least").alias("least"))
 
 
+def asking(rows: DataFrame, done: int) -> DataFrame:
+    """Of key, node, least and rank (of the node among those of its key), beyond the rank done: the rows that ask, since there are rows
+    before their least so far, and those that may be asked, being before the least of another.
+
+    asker numbers those that ask; a row that doesn't has the number of the last one before it. askers: how many ask in the key.
+    """
+    own = Window.partitionBy("key")
+    return rows.filter(f"rank > {done}").select(
+        "key", "node", "least", "rank", (F.min("node").over(own) < F.col("least")).alias("asks"),
+        (F.col("node") < F.max("least").over(own)).alias("asked")
+    ).filter("asks OR asked").select(
+        "*", F.sum(F.col("asks").cast("long")).over(own.orderBy("node")).alias("asker"),
+        F.sum(F.col("asks").cast("long")).over(own).alias("askers")
+    )
+
+
+def units(open_: DataFrame, done: int, until: int) -> DataFrame:
+    """Rows of asking() dealt to units: in one, a block of a key's askers meets a block of what is asked, of the ranks from done to until.
+
+    unit, node, asked here or not, and least: -1 if the row doesn't ask here. A row that asks and is asked in one unit comes once.
+    """
+    block, mine = f"(rank - 1) DIV {BLOCK}", f"(asker - 1) DIV {BLOCK}"
+    first, last = f"{done // BLOCK}L", f"{until // BLOCK - 1}L"
+    met = F.expr(f"""array_union(
+        CASE WHEN asks THEN transform(sequence({first}, least({block}, {last})), x -> struct({mine} AS i, x AS j)) ELSE array() END,
+        CASE WHEN asked AND rank <= {until} AND asker < askers
+            THEN transform(sequence(asker DIV {BLOCK}, (askers - 1) DIV {BLOCK}), x -> struct(x AS i, {block} AS j)) ELSE array() END)""")
+    return open_.select("*", F.explode(met).alias("at")).select(
+        of_walk(F.xxhash64("key", "at.i", "at.j"), F.col("key").bitwiseAND(F.lit(WALKS - 1))).alias("unit"), "node",
+        F.expr(f"asked AND at.j = {block}").alias("asked"), F.expr(f"IF(asks AND at.i = {mine}, least, -1L)").alias("least")
+    )
+
+
+def first_alike(unit: np.ndarray, node: np.ndarray, least: np.ndarray, asked: np.ndarray, prints: np.ndarray, most: int):
+    """Of rows in order of unit and node: numbers of rows that ask, and of the first row of their unit that differs from them in up to
+    most symbols, is asked and is before their least. Rows that ask go through their unit together, a row a step."""
+    new = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    size = np.diff(np.r_[new, len(unit)])
+    start = np.repeat(new, size)
+    end = np.repeat(np.maximum.reduceat(np.where(asked, np.arange(len(unit)), -1), new), size)
+    open_, step, found = np.flatnonzero(least >= 0), 0, []
+    while len(open_):
+        other = start[open_] + step
+        on = (node[other] < least[open_]) & (other <= end[open_])
+        open_, other = open_[on], other[on]
+        near = asked[other] & ((prints[open_] != prints[other]).sum(axis=1) <= most)
+        found.append((open_[near], other[near]))
+        open_, step = open_[~near], step + 1
+    return [np.concatenate([f[i] for f in found]) if found else open_ for i in (0, 1)]
+
+
+def met_in_units(nodes: DataFrame, dealt: DataFrame, most: int) -> DataFrame:
+    """node and the least other that it finds alike in its units."""
+
+    def run(batches):
+        held = []  # of the last unit so far, at most two blocks
+
+        def found(columns):
+            unit, node, least, asked, prints = columns
+            a, b = first_alike(unit, node, least, asked, prints, most)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["node", "least"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SLOTS))
+            held = [np.concatenate(x) for x in zip(held, now)] if held else now
+            size = np.searchsorted(held[0], held[0][-1])
+            if size:
+                yield found([x[:size] for x in held])
+                held = [x[size:] for x in held]
+        if held:
+            yield found(held)
+
+    walked = F.expr(f"substring(fingerprint, {SLOTS} * CAST(unit & {WALKS - 1} AS INT) + 1, {SLOTS})")
+    sent = dealt.join(nodes.select("node", "fingerprint"), "node").select("unit", "node", "least", "asked", walked.alias("walked"))
+    return sent.repartition(partitions(nodes.sparkSession), "unit").sortWithinPartitions("unit", "node").mapInArrow(
+        run, "node long, least long"
+    ).groupBy("node").agg(F.min("least").alias("least"))
+
+
 def found_by_keys(nodes: DataFrame, near: DataFrame, threshold: float) -> list[DataFrame]:
     """Like near, node and least: lesser ones, of all with which a node shares a key.
 
-    Each asks the rows of its keys from the first on, by rounds of growing length, and of them only those before its least so far. Members
-    of a group find theirs among its first rows, so they aren't compared with one another; rounds go on until no row is left unasked.
+    Each asks the rows of its keys that are before its least so far, from the first on, by rounds: at first those of a key's first
+    block, by which most members of a group are settled, then many times more. Rounds go on until no row is left unasked.
     """
     each = [key for walk in range(WALKS) for key in keys(walk, threshold)]
     if not each:
         return []
-    known = nodes.join(near, "node", "left").select("node", F.coalesce("least", "node").alias("least"), "fingerprint")
-    own = Window.partitionBy("key")
-    open_ = stored(
-        known.select("node", "least", F.explode(F.array(*each)).alias("key")).select(
-            "key", "node", "least", F.row_number().over(own.orderBy("node")).alias("rank"),
-            F.min("node").over(own).alias("_first"), F.max("least").over(own).alias("_last")
-        ).filter("_first < least OR node < _last")
+    known = nodes.join(near, "node", "left").select("node", "least", "fingerprint")  # most have no least so far; the shuffle packs nulls well
+    ranked = known.select("node", "least", F.explode(F.array(*each)).alias("key")).select(
+        "key", "node", F.coalesce("least", "node").alias("least"),
+        F.row_number().over(Window.partitionBy("key").orderBy("node")).alias("rank")
     )
-    fresh, done, until = [], 0, 1
-    last = open_.filter("node < _last").agg(F.max("rank")).first()[0] or 0
+    open_ = stored(asking(ranked, 0))
+    shuffles_freed(nodes.sparkSession)
+    fresh, done, until = [], 0, BLOCK
+    last = open_.filter("asked").agg(F.max("rank")).first()[0] or 0
     while done < last:
-        asking = open_.filter("_first < least").select("key", "node", "least")
         if fresh:
             now = least_of(fresh).withColumnRenamed("least", "_now")
-            asking = asking.join(now, "node", "left").select("key", "node", F.least("least", "_now").alias("least"))
-        asked = open_.filter(f"node < _last AND rank > {done} AND rank <= {until}").select("key", F.col("node").alias("other"))
-        pairs = asking.join(asked, "key").filter("other < least").select("node", "other")
-        fresh.append(stored(alike(nodes, pairs, threshold)))
+            open_ = stored(asking(
+                open_.join(now, "node", "left").select("key", "node", F.least("least", "_now").alias("least"), "rank"), done
+            ))
+        fresh.append(stored(met_in_units(nodes, units(open_, done, until), differing(threshold))))
         done, until = until, ROUND * until
     return fresh
 

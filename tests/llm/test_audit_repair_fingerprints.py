@@ -279,6 +279,77 @@ def test_a_group_is_not_compared_in_pairs(spark, monkeypatch):
     assert sum(count) < 20 * len(rows), count
 
 
+def group(r, n, least, most):
+    """n fingerprints that differ from one base in some random slots of each walk, and the first alike of each, if there is one."""
+    base = np.array([r.randrange(1, 100) for _ in range(P.WIDTH)], np.uint8)
+    prints = []
+    for _ in range(n):
+        out = np.array(base)
+        for walk in range(P.WALKS):
+            for slot in r.sample(range(P.SLOTS), r.randint(least, most)):
+                out[walk * P.SLOTS + slot] = r.randrange(100, 250)
+        prints.append(out)
+    x = np.array(prints)
+    near = [np.flatnonzero(P.likeness(x, y) >= P.THRESHOLD)[0] for y in x]
+    return [(i, p.tobytes()) for i, p in enumerate(prints)], {prints[i].tobytes(): j for i, j in enumerate(near) if j < i}
+
+
+def rows_shuffled(spark, make):
+    """Rows written to shuffles by the stages that make runs."""
+    sc = spark.sparkContext
+    jvm, gateway, context = sc._jvm, sc._gateway, sc._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        seq = context.statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {seq.apply(i).stageId(): seq.apply(i).shuffleWriteRecords() for i in range(seq.size())}
+
+    before = max(stages(), default=-1)
+    make()
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_rows_grow_with_a_group_and_not_with_its_square(spark):
+    """Members share keys with most others and are alike to next to none, so each has to meet all that were before it."""
+    count = []
+    for n in (400, 1200):
+        rows, want = group(random.Random(n), n, 15, 19)
+        prints = spark.createDataFrame(rows, "doc_id long, fingerprint binary")
+        got = {}
+        count.append(rows_shuffled(spark, lambda: got.update((bytes(x["fingerprint"]), x["near_first"]) for x in P.near_first(prints).collect())))  # noqa: B023
+        assert got == want and len(want) < n / 10
+    assert 2 * count[0] < count[1] < 3.6 * count[0], count
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(4, 2), (16, 4), (32, 16)])
+def test_likeness_beyond_the_first_block_of_a_key(spark, monkeypatch, block, rounds):
+    rows, want = group(random.Random(block), 300, 5, 11)
+    assert sum(j > 2 * block for j in want.values()) > (0 if block == 32 else 5)
+    monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "ROUND", rounds)
+    got = P.near_first(spark.createDataFrame(rows, "doc_id long, fingerprint binary"))
+    assert {bytes(x["fingerprint"]): x["near_first"] for x in got.collect()} == want
+
+
+def test_steps_through_units_stop_at_the_first_alike():
+    """Units of random rows, some of which don't ask or aren't asked, against each row's own search."""
+    r = np.random.RandomState(4)
+    unit = np.sort(r.randint(0, 40, 500))
+    node = np.arange(500) * 3
+    least = np.where(r.random_sample(500) < 0.3, -1, np.minimum(node, r.randint(0, 1500, 500)))
+    asked = r.random_sample(500) < 0.7
+    prints = r.randint(0, 3, (500, P.SLOTS)).astype(np.uint8)
+    want = []
+    for i in np.flatnonzero(least >= 0):
+        for j in range(i):
+            if unit[j] == unit[i] and asked[j] and node[j] < least[i] and (prints[i] != prints[j]).sum() <= 40:
+                want.append((i, j))
+                break
+    got = P.first_alike(unit, node, least, asked, prints, 40)
+    assert sorted(zip(*(x.tolist() for x in got))) == want and len(want) > 50
+    assert [len(x) for x in P.first_alike(unit, node, np.full(500, -1), asked, prints, 40)] == [0, 0]
+
+
 def test_likeness_falls_with_edits_and_finds_near_copies(spark):
     r = random.Random(2)
     text = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))
