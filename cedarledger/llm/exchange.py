@@ -8,6 +8,7 @@ holds, never by how many documents share a key: a batch sends each of its distin
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -142,8 +143,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 def shuffles_freed(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are stored by now: Spark deletes them once the driver collects its garbage, and
-    a driver with little to do may not for long."""
+    a driver with little to do may not for long. What Python lets go of py4j tells the JVM within a second, not at once."""
     gc.collect()
+    time.sleep(1.2)
     spark._jvm.System.gc()
 
 
